@@ -23,6 +23,7 @@ def local_session(cpus: int | str = "*", app: str = "cohortgrid", partitions: in
         **DEFAULTS,
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("COHORTGRID_DRIVER_MEMORY", "8g"),
         **conf,
     }
