@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning"]
+MODULES = ["cleaning", "joining", "summaries"]
 
 
 def load():

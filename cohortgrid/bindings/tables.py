@@ -69,3 +69,43 @@ def r6(c: Column | str, places: int = 6) -> Column:
     """Rounded for comparison; adding 0.0 turns -0.0 into 0.0."""
     col = F.col(c) if isinstance(c, str) else c
     return F.round(col, places) + F.lit(0.0)
+
+
+def drug_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items with their part as a named compound."""
+    li = table(spark, folder, "lineitem")
+    p = table(spark, folder, "part")
+    name = F.lower(F.concat(F.col("p_name"), F.lit(" "), (F.col("p_partkey") % 50).cast("string")))
+    return li.join(p, li["l_partkey"] == p["p_partkey"]).select(
+        name.alias("canonical"), "l_returnflag", "p_size", "l_discount", "l_tax", "l_quantity", "l_suppkey", "p_brand", "p_type", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+def ranked_list(rows: DataFrame) -> DataFrame:
+    """A compound list with the columns of a reversal ranking."""
+    from cohortgrid.operators.windows import rank_percentile
+
+    g = rows.groupBy("canonical").agg(
+        F.round(F.avg(F.col("l_discount") * F.col("l_quantity")), 9).alias("reversal_score"), F.count(F.lit(1)).alias("n_signatures"),
+        F.count_distinct(F.col("l_suppkey") % 3).alias("n_cell_lines"), F.avg((F.col("l_discount") > 0.05).cast("double")).alias("consistency"),
+        F.array_sort(F.collect_set("p_brand")).alias("targets"))
+    g = g.select("*", F.col("canonical").alias("drug"), F.when(F.length("canonical") % 3 == 0, "cluster_drug_table").otherwise("compact_gctx").alias("source"))
+    return rank_percentile(g, "reversal_score", ["canonical"])
+
+
+def drug_lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    d = drug_rows(spark, folder)
+    return (ranked_list(d.where((F.col("l_returnflag") == "A") & (F.col("p_size") <= 40))),
+            ranked_list(d.where((F.col("l_returnflag") == "R") & (F.col("p_size") >= 10))))
+
+
+def _list_sql(name: str, where: str) -> str:
+    return f"""{name} AS (SELECT *, canonical AS drug, CASE WHEN length(canonical) % 3 = 0 THEN 'cluster_drug_table' ELSE 'compact_gctx' END AS source,
+    row_number() OVER (ORDER BY reversal_score DESC, canonical) AS rank,
+    1.0 - (row_number() OVER (ORDER BY reversal_score DESC, canonical) - 1.0) / greatest(count(*) OVER () - 1, 1) AS percentile
+  FROM (SELECT canonical, round(avg(l_discount * l_quantity), 9) AS reversal_score, count(*) AS n_signatures, count(DISTINCT l_suppkey % 3) AS n_cell_lines,
+    avg(CAST(l_discount > 0.05 AS INTEGER)) AS consistency, list_sort(list(DISTINCT p_brand)) AS targets FROM d WHERE {where} GROUP BY 1))"""
+
+
+D = """d AS (SELECT lower(concat(p_name, ' ', p_partkey % 50)) AS canonical, l_returnflag, p_size, l_discount, l_tax, l_quantity, l_suppkey, p_brand, p_type, l_orderkey, l_linenumber, l_partkey
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+LISTS = D + ", " + _list_sql("l1", "l_returnflag = 'A' AND p_size <= 40") + ", " + _list_sql("l2", "l_returnflag = 'R' AND p_size >= 10")

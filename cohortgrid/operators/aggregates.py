@@ -48,10 +48,10 @@ def compound_rollup(scores: DataFrame, **kw) -> DataFrame:
 
 
 def median_ranking(scores: DataFrame, minimum: int = 2, **kw) -> DataFrame:
-    """Median score per drug over at least `minimum` signatures, ranked downwards."""
+    """Median score per drug over at least `minimum` signatures, ranked downwards; ties (12 digits) go by name."""
     med = exact_quantiles(scores, ["drug"], "reversal_score", {"reversal_score": 0.5}, count="n_signatures", **kw)
     kept = med.where(F.col("n_signatures") >= minimum)
-    return ranked(kept, [], [-F.col("reversal_score"), F.col("drug")], **kw)
+    return ranked(kept, [], [-F.round("reversal_score", 12), F.col("drug")], **kw)
 
 
 def composition(rows: DataFrame, groups: Sequence, vocabulary: Sequence, group: str = "cluster", label: str = "subtype") -> DataFrame:

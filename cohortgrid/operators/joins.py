@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortgrid.functions import cleaning as C
 from cohortgrid.functions.vocabulary import CATEGORY_ORDER
-from cohortgrid.operators.scans import Scan, exact_quantiles, keep_first, medians, running, top_k
+from cohortgrid.operators.scans import Scan, exact_quantiles, keep_first, medians, ranked, running, top_k
 
 
 def attach_first(ids: DataFrame, table: DataFrame, id_key: Column, table_key: Column, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
@@ -132,8 +132,7 @@ def enumerate_pairs(names: DataFrame, name: str, target: str) -> DataFrame:
     The result itself is quadratic, so this is for dictionaries. Each row lists the positions after
     its own and meets them by equality, so the work is spread by position.
     """
-    w = Window.orderBy(name)
-    d = names.select(name, target).distinct().withColumn("_i", F.row_number().over(w))
+    d = ranked(names.select(name, target).distinct(), [], [F.col(name), F.col(target)], "_i").withColumn("_i", F.col("_i").cast("int"))
     n = d.select(F.count(F.lit(1)).cast("int")).scalar()
     left = d.select(F.col(name).alias("drug_a"), F.col(target).alias("target_a"),
                     F.explode(F.when(F.col("_i") < n, F.sequence(F.col("_i") + 1, n)).otherwise(F.array().cast("array<int>"))).alias("_i"))

@@ -33,7 +33,7 @@ class Scan:
 
 
 def _keys(keys: Sequence[str]) -> list[str]:
-    return list(keys) if keys else ["_all"]
+    return list(keys) if keys else ["_whole"]
 
 
 def _position(edges: Column, value: Column) -> Column:
@@ -65,7 +65,7 @@ def place(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_
     """
     d = df.withColumn("_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]))
     if not keys:
-        d = d.withColumn("_all", F.lit(0))
+        d = d.withColumn("_whole", F.lit(0))
     if rows_per_bucket is None:
         if fits_one_task(df):
             return d
@@ -142,7 +142,7 @@ def scan_placed(placed: DataFrame, keys: Sequence[str], scans: dict[str, Scan],
 
 
 def clean(df: DataFrame) -> DataFrame:
-    return df.drop("_o", "_b", "_all")
+    return df.drop("_o", "_b", "_whole")
 
 
 def running(

@@ -96,8 +96,11 @@ def latest_records(ledger: DataFrame, keys: Sequence[str], ts: str, columns: Seq
     last = ledger.groupBy(*keys).agg(F.max_by(F.struct(*columns), F.struct(ts, *columns)).alias("_l"), F.max(ts).alias(ts)).select(*keys, ts, "_l.*")
     for old, new in (renamed or {}).items():
         rest = [k for k in keys if k != name]
-        have = last.where(F.col(name) == new).select(*rest, F.lit(1).alias("_have"))
-        moved = last.where(F.col(name) == old)
-        moved = (moved.join(have, rest, "left_anti") if rest else moved.where(~F.exists(F.array(F.lit(False)), lambda x: x))).withColumn(name, F.lit(new))
+        have = last.where(F.col(name) == new)
+        moved = last.where(F.col(name) == old).withColumn(name, F.lit(new))
+        if rest:
+            moved = moved.join(have.select(*rest), rest, "left_anti")
+        else:
+            moved = moved.where(have.select(F.count(F.lit(1))).scalar() == 0)
         last = last.unionByName(moved)
     return last

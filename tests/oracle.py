@@ -42,11 +42,20 @@ def _rows(df: pd.DataFrame) -> list[tuple]:
             elif isinstance(v, (bool,)) or type(v).__name__ == "bool_":
                 cells.append(bool(v))
             elif isinstance(v, (int, float)) or hasattr(v, "dtype"):
-                cells.append(round(float(v), 6) + 0.0)
+                cells.append(float(v))
             else:
                 cells.append(v if isinstance(v, str) else str(v))
         out.append(tuple(cells))
-    return sorted(out, key=lambda r: tuple((c is None, str(type(c)), c if c is not None else 0) for c in r))
+    return sorted(out, key=_order)
+
+
+def _order(row: tuple) -> tuple:
+    exact = tuple((c is None, str(type(c)), c if c is not None else 0) for c in row if not isinstance(c, float) or (math.isfinite(c) and c == int(c)))
+    return (len(exact), exact, tuple(round(c, 3) for c in row if isinstance(c, float)), row)
+
+
+def _same(x: tuple, y: tuple) -> bool:
+    return all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-11) if isinstance(a, float) and isinstance(b, float) else a == b for a, b in zip(x, y))
 
 
 def compare(spark_df, con, sql: str) -> str | None:
@@ -63,7 +72,7 @@ def compare(spark_df, con, sql: str) -> str | None:
         if _kind(got[c]) != _kind(want[c]) and got[c].notna().any() and want[c].notna().any():
             return f"type of {c}: {got[c].dtype} / {want[c].dtype}"
     a, b = _rows(got), _rows(want)
-    bad = [(x, y) for x, y in zip(a, b) if x != y]
+    bad = [(x, y) for x, y in zip(a, b) if not _same(x, y)]
     if bad:
         return f"{len(bad)} of {len(a)} rows differ ({sorted(got.columns)}): {bad[0][0]} != {bad[0][1]}"
     return None
