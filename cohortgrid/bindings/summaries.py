@@ -205,22 +205,22 @@ def _(spark, folder):
     return A.subtype_concordance(p).withColumns({c: r6(c) for c in ("concordance", "chance")})
 
 
-BLEND = f"""{D}, tb AS (SELECT cluster, drug, percentile FROM (SELECT l_suppkey % 4 AS cluster, canonical AS drug, round(avg(l_discount), 9) AS percentile FROM d GROUP BY 1, 2)),
+BLEND = f"""{D}, tb AS (SELECT cluster, drug, percentile FROM (SELECT l_suppkey % 4 AS cluster, canonical AS drug, avg(l_discount) AS percentile FROM d GROUP BY 1, 2)),
 pr AS (SELECT c_custkey AS profile_id, cluster, (c_custkey * (cluster + 3)) % 7 / 7.0::DOUBLE AS probability FROM (SELECT c_custkey, unnest([0,1,2]) AS cluster FROM customer WHERE c_custkey < 30))"""
 
 
 def blend_inputs(spark, folder):
     d = drug_rows(spark, folder)
-    tables = d.groupBy((F.col("l_suppkey") % 4).alias("cluster"), F.col("canonical").alias("drug")).agg(F.round(F.avg("l_discount"), 9).alias("percentile")).withColumn("drug_rank", F.lit(1))
+    tables = d.groupBy((F.col("l_suppkey") % 4).alias("cluster"), F.col("canonical").alias("drug")).agg(F.avg("l_discount").alias("percentile")).withColumn("drug_rank", F.lit(1))
     c = table(spark, folder, "customer").where(F.col("c_custkey") < 30).select(F.col("c_custkey").alias("profile_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("cluster"))
     prob = c.withColumn("probability", (F.col("profile_id") * (F.col("cluster") + 3)) % 7 / F.lit(7.0)).withColumn("cluster", F.col("cluster").cast("long"))
     return prob, tables
 
 
 @query("agg_18_blend", f"""
-WITH {BLEND} SELECT profile_id, drug, round(sum(probability * percentile) / sum(probability), 9) AS blended_percentile, count(*) AS clusters_with_data FROM pr JOIN tb USING (cluster) GROUP BY 1, 2 HAVING sum(probability) > 0""")
+WITH {BLEND} SELECT profile_id, drug, round(sum(probability * percentile) / sum(probability), 10) AS blended_percentile, count(*) AS clusters_with_data FROM pr JOIN tb USING (cluster) GROUP BY 1, 2 HAVING sum(probability) > 0""")
 def _(spark, folder):
-    return A.blend_percentiles(*blend_inputs(spark, folder)).withColumn("blended_percentile", r6("blended_percentile", 9))
+    return A.blend_percentiles(*blend_inputs(spark, folder)).withColumn("blended_percentile", r6("blended_percentile", 10))
 
 
 _ST = ["supporting", "conflicting", "neutral", "unclear", "odd", None, "neutral"]

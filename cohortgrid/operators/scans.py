@@ -1,9 +1,10 @@
 """Ordered work inside groups that may hold any share of the rows.
 
 A plain window puts a whole group into one task, which is right only for inputs that fit one task.
-So the optimizer's size estimate of the input is looked at while the plan is built (no job runs):
-below `spark.cohortgrid.plainWindowBytes` a plain window is used, above it a group with more than
-`rows_per_bucket` rows is cut into value ranges first. The cut points are the group's own values whose hash falls on a
+So the optimizer's size estimate of the input is looked at while the plan is built: below
+`spark.cohortgrid.plainWindowBytes` a plain window is used. Above it the input is written once to the
+shared folder, which gives its real size and saves recomputing it, and if that is still above the
+limit a group with more than `rows_per_bucket` rows is cut into value ranges first. The cut points are the group's own values whose hash falls on a
 fixed step, so they follow the data's distribution, are bounded in number, and come out the same on
 every recomputation. Each range is scanned on its own and the ranges are tied together by one total
 per range. Groups below the limit have a single range and cost one extra small aggregation.
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortgrid.session import cut_lineage
+
 ROWS_PER_BUCKET = 500_000
 MAX_EDGES = 4_096
 _STRIDE = 64
@@ -61,13 +64,16 @@ def place(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_
     """Add `_o` (the order as one comparable struct) and `_b` (the value range the row falls in).
 
     `order` must be unique within a key and ascending; negate a number to sort it downwards.
-    Without `rows_per_bucket`, inputs estimated to fit one task get no ranges.
+    Without `rows_per_bucket`, inputs that fit one task get no ranges.
     """
     d = df.withColumn("_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]))
     if not keys:
         d = d.withColumn("_whole", F.lit(0))
     if rows_per_bucket is None:
-        if fits_one_task(df):
+        if fits_one_task(d):
+            return d
+        d = cut_lineage(d)
+        if fits_one_task(d):
             return d
         rows_per_bucket = ROWS_PER_BUCKET
     ks = _keys(keys)

@@ -135,14 +135,14 @@ def adjusted_one_vs_rest(df: DataFrame, group: str = "cluster", stratum: str = "
     s = F.coalesce(F.col(stratum).cast("string"), F.lit("Unknown"))
     g = df.withColumn("_s", s).groupBy("feature", "_s", group).agg(F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_y"), (F.var_pop("value") * F.count(F.lit(1))).alias("_m2"))
     w = Window.partitionBy("feature", "_s")
-    g = g.withColumn("_N", F.sum("_n").over(w)).withColumn("_Y", F.sum("_y").over(w))
-    within = F.sum(F.col("_m2") + F.col("_n") * F.pow(F.col("_y") / F.col("_n") - F.col("_Y") / F.col("_N"), 2)).over(w)
+    g = g.withColumn("_ns", F.sum("_n").over(w)).withColumn("_ys", F.sum("_y").over(w))
+    within = F.sum(F.col("_m2") + F.col("_n") * F.pow(F.col("_y") / F.col("_n") - F.col("_ys") / F.col("_ns"), 2)).over(w)
     g = g.withColumn("_ss", within)
-    strata = g.select("feature", "_s", "_N", "_ss").distinct().groupBy("feature").agg(F.sum("_ss").alias("_tss"), F.sum("_N").alias("_n_all"), F.count(F.lit(1)).alias("_k"))
+    strata = g.select("feature", "_s", "_ns", "_ss").distinct().groupBy("feature").agg(F.sum("_ss").alias("_tss"), F.sum("_ns").alias("_n_all"), F.count(F.lit(1)).alias("_k"))
     n1 = F.col("_n").cast("double")
-    n0 = F.col("_N") - n1
-    weight = F.when(n0 > 0, n1 * n0 / F.col("_N")).otherwise(0.0)
-    diff = F.when(n0 > 0, F.col("_y") / n1 - (F.col("_Y") - F.col("_y")) / n0).otherwise(0.0)
+    n0 = F.col("_ns") - n1
+    weight = F.when(n0 > 0, n1 * n0 / F.col("_ns")).otherwise(0.0)
+    diff = F.when(n0 > 0, F.col("_y") / n1 - (F.col("_ys") - F.col("_y")) / n0).otherwise(0.0)
     c = g.groupBy("feature", group).agg(F.sum(weight * diff).alias("_num"), F.sum(weight).alias("_den")).join(strata, "feature")
     coef = F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")).otherwise(0.0)
     dof = F.greatest(F.col("_n_all") - F.col("_k") - 1, F.lit(1)).cast("double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +54,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write `df` to the shared folder and go on from there; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` once as a table in the shared folder and go on from there.
+
+    Later steps read the table instead of recomputing `df`, lost executors cost nothing but a
+    re-read, and the optimizer knows the real size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/cohortgrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
