@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "joining", "summaries", "testing"]
+MODULES = ["cleaning", "joining", "summaries", "testing", "scoring"]
 
 
 def load():

@@ -206,14 +206,16 @@ def _(spark, folder):
 
 
 BLEND = f"""{D}, tb AS (SELECT cluster, drug, percentile FROM (SELECT l_suppkey % 4 AS cluster, canonical AS drug, avg(l_discount) AS percentile FROM d GROUP BY 1, 2)),
-pr AS (SELECT c_custkey AS profile_id, cluster, (c_custkey * (cluster + 3)) % 7 / 7.0::DOUBLE AS probability FROM (SELECT c_custkey, unnest([0,1,2]) AS cluster FROM customer WHERE c_custkey < 30))"""
+pr AS (SELECT c_nationkey AS profile_id, c_custkey % 3 AS cluster, count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey) AS probability FROM customer GROUP BY 1, 2)"""
 
 
 def blend_inputs(spark, folder):
     d = drug_rows(spark, folder)
     tables = d.groupBy((F.col("l_suppkey") % 4).alias("cluster"), F.col("canonical").alias("drug")).agg(F.avg("l_discount").alias("percentile")).withColumn("drug_rank", F.lit(1))
-    c = table(spark, folder, "customer").where(F.col("c_custkey") < 30).select(F.col("c_custkey").alias("profile_id"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("cluster"))
-    prob = c.withColumn("probability", (F.col("profile_id") * (F.col("cluster") + 3)) % 7 / F.lit(7.0)).withColumn("cluster", F.col("cluster").cast("long"))
+    from pyspark.sql import Window
+
+    c = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("profile_id"), (F.col("c_custkey") % 3).alias("cluster")).agg(F.count(F.lit(1)).alias("_n"))
+    prob = c.withColumn("probability", F.col("_n") / F.sum("_n").over(Window.partitionBy("profile_id"))).drop("_n")
     return prob, tables
 
 

@@ -31,20 +31,26 @@ def centroids(z: DataFrame, group: str = "cluster", value: str = "value") -> Dat
     return z.groupBy(group, "feature").agg(F.avg(value).alias("value"))
 
 
-def compound_rollup(scores: DataFrame, **kw) -> DataFrame:
-    """Signature scores (drug, cell_id, targets, reversal_score) per canonical compound, ranked by best score."""
-    s = scores.where(F.col("reversal_score").isNotNull()).withColumn("canonical", C.compound_name_short(F.col("drug")))
-    base = s.groupBy("canonical").agg(
+def compound_rollup(scores: DataFrame, keys: Sequence[str] = (), **kw) -> DataFrame:
+    """Signature scores (drug, cell_id, targets, reversal_score) per canonical compound, ranked by best score.
+
+    With `keys`, one roll-up and ranking per key.
+    """
+    k = [*keys, "canonical"]
+    s = scores.where(F.col("reversal_score").isNotNull()).withColumn("canonical", C.compound_name_short(F.col("drug"))).withColumn("reversal_score", F.round("reversal_score", 12))
+    base = s.groupBy(*k).agg(
         F.min("drug").alias("drug"), F.max("reversal_score").alias("reversal_score"), F.count("reversal_score").alias("n_signatures"),
         F.count_distinct("cell_id").alias("n_cell_lines"), F.avg((F.col("reversal_score") > 0).cast("double")).alias("consistency"))
-    med = exact_quantiles(s, ["canonical"], "reversal_score", {"median_score": 0.5}, **kw)
-    names = s.select("canonical", F.explode(F.split("targets", ";")).alias("_t")).where(F.col("_t") != "").distinct()
-    targets = names.groupBy("canonical").agg(F.array_sort(F.collect_list("_t")).alias("targets"))
-    out = base.join(med, "canonical").join(targets, "canonical", "left")
-    out = out.withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
+    out = base.join(exact_quantiles(s, k, "reversal_score", {"median_score": 0.5}, **kw), k)
+    none = F.array().cast("array<string>")
+    if "targets" in scores.columns:
+        names = s.select(*k, F.explode(F.split("targets", ";")).alias("_t")).where(F.col("_t") != "").distinct()
+        out = out.join(names.groupBy(*k).agg(F.array_sort(F.collect_list("_t")).alias("targets")), k, "left").withColumn("targets", F.coalesce("targets", none))
+    else:
+        out = out.withColumn("targets", none)
     from cohortgrid.operators.windows import rank_percentile
 
-    return rank_percentile(out, "reversal_score", ["canonical"], **kw)
+    return rank_percentile(out, "reversal_score", ["canonical"], list(keys), **kw).withColumn("source", F.lit("compact_gctx"))
 
 
 def median_ranking(scores: DataFrame, minimum: int = 2, **kw) -> DataFrame:

@@ -1,11 +1,22 @@
-"""Scaling, signatures, reversal scores and priorities."""
+"""Scaling, signatures, reversal scores and priorities over long tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from cohortgrid.functions.tails import normal_score, t_pvalue
+from cohortgrid.functions.vocabulary import TARGET_PATHWAY
+from cohortgrid.operators.scans import average_ranks, keep_first, medians, ranked, top_k
+from cohortgrid.operators.windows import empirical_percentile, rank_percentile
 
 
+# ---- scaling ----------------------------------------------------------------------------------------
 def cohort_z(df: DataFrame, sd: str = "sample", zero_sd: str = "null", keys: tuple = ("cohort", "feature")) -> DataFrame:
     """z of every value within its cohort and feature; cohorts of one row pass through.
 
@@ -16,3 +27,401 @@ def cohort_z(df: DataFrame, sd: str = "sample", zero_sd: str = "null", keys: tup
     scale = F.when(F.col("_sd") != 0, F.col("_sd")).otherwise(F.lit(1.0) if zero_sd == "one" else F.lit(None))
     z = F.when(F.col("_n") < 2, F.col("value")).otherwise((F.col("value") - F.col("_mu")) / scale)
     return df.join(st, list(keys)).withColumn("value", z).drop("_mu", "_sd", "_n")
+
+
+def inverse_normal(df: DataFrame, sample: str = "sample_id", **kw) -> DataFrame:
+    """Per sample: tie-averaged rank to normal score of (rank - 0.5) / n."""
+    r = average_ranks(df, [sample], "value", **kw).select(sample, "value", ((F.col("avg_rank") - 0.5) / F.col("n_group")).alias("_p"))
+    scored = r.withColumn("_z", normal_score("_p")).drop("_p")
+    return df.join(scored, [sample, "value"]).withColumn("value", F.col("_z")).drop("_z")
+
+
+def harmonise(train: DataFrame, test: DataFrame, methods: dict[str, Callable[[DataFrame], DataFrame]], score: Callable[[DataFrame, DataFrame], float], enough: float = 0.85):
+    """Try the methods in order, keep the best concordance, stop once it is enough.
+
+    Returns (method, concordance, train, test, tried). One number per method reaches the driver.
+    """
+    best, tried = None, []
+    for name, fn in methods.items():
+        a, b = fn(train), fn(test)
+        c = score(a, b)
+        tried.append((name, c))
+        if best is None or c >= best[1]:
+            best = (name, c, a, b)
+        if c >= enough:
+            break
+    return (*best, tried)
+
+
+def align_profiles(profiles: DataFrame, stats: DataFrame, show: int = 50) -> DataFrame:
+    """z of each profile against reference mean and sd, with coverage of the reference features.
+
+    Names are trimmed and upper-cased; non-finite values do not count as present. Coverage is one row
+    per profile, joined on.
+    """
+    clean = profiles.select("profile_id", F.upper(F.trim("feature")).alias("feature"), "value").where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    one = clean.groupBy("profile_id", "feature").agg(F.max("value").alias("value"))
+    n = stats.select(F.count(F.lit(1))).scalar()
+    j = one.join(stats.select("feature", "mean", "sd"), "feature")
+    z = F.when(F.col("sd") != 0, (F.col("value") - F.col("mean")) / F.col("sd"))
+    return j.select("profile_id", "feature", "value", z.alias("z")).withColumn("reference_size", n)
+
+
+def profile_coverage(aligned: DataFrame, stats: DataFrame, show: int = 50) -> DataFrame:
+    """Found features, coverage and the first missing features per profile."""
+    names = stats.select(F.array_sort(F.collect_set("feature"))).scalar()
+    g = aligned.groupBy("profile_id").agg(F.count(F.lit(1)).alias("found"), F.max("reference_size").alias("requested"), F.collect_set("feature").alias("_have"))
+    return g.select("profile_id", "found", "requested", (F.col("found") / F.greatest(F.col("requested"), F.lit(1))).alias("coverage"),
+                    F.slice(F.array_except(names, F.col("_have")), 1, show).alias("missing"))
+
+
+def compartment_normalise(expr: DataFrame, shares: DataFrame | None, parts: Sequence[str] = ("Normal_Epithelial", "malignant"), floor: float = 0.05) -> DataFrame:
+    """Divide by the epithelial share of the sample (floored); without shares the values are kept and tagged."""
+    have = [c for c in parts if shares is not None and c in shares.columns]
+    if not have:
+        return expr.withColumn("comparison_type", F.lit("bulk_fallback"))
+    total = sum((F.coalesce(F.col(c), F.lit(0.0)) for c in have), F.lit(0.0))
+    s = shares.select("sample_id", F.greatest(total, F.lit(floor)).alias("_share"))
+    return expr.join(s, "sample_id").withColumn("value", F.col("value") / F.col("_share")).drop("_share").withColumn(
+        "comparison_type", F.lit("intrinsic_epithelium_vs_normal_epithelium"))
+
+
+# ---- signatures and reversal ------------------------------------------------------------------------
+def arms(signature: DataFrame, keys: Sequence[str], effect: str, n_up: int, n_down: int) -> DataFrame:
+    """Strongest positive and negative features per key as (keys, feature, effect, direction, rank)."""
+    up = top_k(signature.where(F.col(effect) > 0), keys, [F.round(effect, 12).desc(), F.col("feature")], n_up).withColumn("direction", F.lit("up"))
+    down = top_k(signature.where(F.col(effect) < 0), keys, [F.round(effect, 12), F.col("feature")], n_down).withColumn("direction", F.lit("down"))
+    return up.unionByName(down).select(*keys, "feature", F.col(effect).alias("effect"), "direction", "rank")
+
+
+def query_signature(signature: DataFrame, keys: Sequence[str], effect: str, n_side: int = 150) -> DataFrame:
+    """The n_side lowest and highest features per key, each feature once."""
+    ok = signature.where(F.col(effect).isNotNull() & ~F.isnan(effect))
+    high = top_k(ok, keys, [F.round(effect, 12).desc(), F.col("feature")], n_side)
+    low = top_k(ok, keys, [F.round(effect, 12), F.col("feature")], n_side)
+    return high.unionByName(low).select(*keys, "feature", F.col(effect).alias("effect")).distinct()
+
+
+def residual(z: DataFrame, assignment: DataFrame, centroids: DataFrame) -> DataFrame:
+    """z minus the centroid of the profile's cluster over shared features."""
+    c = centroids.select("cluster", "feature", F.col("value").alias("_c"))
+    j = z.where(F.col("z").isNotNull()).join(assignment.select("profile_id", "cluster"), "profile_id").join(c, ["cluster", "feature"])
+    return j.select("profile_id", "cluster", "feature", (F.col("z") - F.col("_c")).alias("residual")).where(F.col("residual").isNotNull() & ~F.isnan("residual"))
+
+
+def arm_summary(arm_rows: DataFrame, keys: Sequence[str], minimum: int = 10) -> DataFrame:
+    """Arm sizes per key and whether an arm is thin."""
+    g = arm_rows.groupBy(*keys).agg(F.count_if(F.col("direction") == "up").alias("n_up"), F.count_if(F.col("direction") == "down").alias("n_down"))
+    return g.withColumn("thin", (F.col("n_up") < minimum) | (F.col("n_down") < minimum))
+
+
+def connectivity(signature: DataFrame, perturbations: DataFrame, keys: Sequence[str], minimum: int = 5) -> DataFrame:
+    """Negative Pearson correlation of each query signature with every perturbation row on shared features.
+
+    `perturbations` is (sig_id, feature, value). Only query features are kept before the shuffle.
+    """
+    j = perturbations.join(signature.select(*keys, "feature", "effect"), "feature")
+    g = j.groupBy(*keys, "sig_id").agg(F.corr("effect", "value").alias("_r"), F.count(F.lit(1)).alias("n_shared"))
+    return g.where((F.col("n_shared") >= minimum) & F.col("_r").isNotNull()).select(*keys, "sig_id", (-F.col("_r")).alias("reversal_score"), "n_shared")
+
+
+def set_difference(arm_rows: DataFrame, perturbations: DataFrame, keys: Sequence[str], minimum: int = 5) -> DataFrame:
+    """-(mean of up features - mean of down features) per perturbation row, with at least `minimum` per side measured."""
+    j = perturbations.join(arm_rows.select(*keys, "feature", "direction"), "feature")
+    up, down = F.col("direction") == "up", F.col("direction") == "down"
+    g = j.groupBy(*keys, "sig_id").agg(F.avg(F.when(up, F.col("value"))).alias("_u"), F.avg(F.when(down, F.col("value"))).alias("_d"),
+                                       F.count_if(up).alias("n_up"), F.count_if(down).alias("n_down"))
+    return g.where((F.col("n_up") >= minimum) & (F.col("n_down") >= minimum)).select(*keys, "sig_id", (F.col("_d") - F.col("_u")).alias("reversal_score"))
+
+
+def proxy_reversal(table: DataFrame, assignment: DataFrame, residual_arms: DataFrame, cluster_arms: DataFrame, blended: DataFrame | None = None, **kw) -> DataFrame:
+    """Residual list without a perturbation matrix: 0.55 base + 0.25 overlap base + 0.20 tanh(target weight).
+
+    base is the cluster list's percentile, overlap the mean Jaccard of up and down arms, target weight
+    the summed absolute residual of the drug's targets. With blended percentiles: 0.7 score + 0.3 blend.
+    `table` is (cluster, drug, percentile, targets ARRAY).
+    """
+    r = residual_arms.select("profile_id", "direction", "feature", F.lit(1).alias("_r"))
+    c = assignment.select("profile_id", "cluster").join(cluster_arms.select("cluster", "direction", "feature"), "cluster").select("profile_id", "direction", "feature", F.lit(1).alias("_c"))
+    per = r.join(c, ["profile_id", "direction", "feature"], "full").groupBy("profile_id", "direction").agg(
+        (F.count_if(F.col("_r").isNotNull() & F.col("_c").isNotNull()) / F.count(F.lit(1))).alias("_j"))
+    overlap = per.groupBy("profile_id").agg((F.sum("_j") / 2.0).alias("overlap"))
+    drugs = table.select("cluster", "drug", "percentile", "targets")
+    hits = (
+        drugs.select("cluster", "drug", F.explode("targets").alias("feature"))
+        .join(assignment.select("profile_id", "cluster"), "cluster")
+        .join(residual_arms.select("profile_id", "feature", F.abs("effect").alias("_w")), ["profile_id", "feature"])
+        .groupBy("profile_id", "drug").agg(F.sum("_w").alias("_hit"))
+    )
+    j = assignment.select("profile_id", "cluster").join(drugs.drop("targets"), "cluster").join(overlap, "profile_id", "left").join(hits, ["profile_id", "drug"], "left")
+    base, ov = F.col("percentile"), F.coalesce("overlap", F.lit(0.0))
+    score = 0.55 * base + 0.25 * ov * base + 0.20 * F.tanh(F.coalesce("_hit", F.lit(0.0)))
+    out = j.select("profile_id", "drug", score.alias("reversal_score"), ov.alias("consistency"), F.lit("residual_proxy").alias("source"))
+    if blended is not None:
+        out = out.join(blended.select("profile_id", "drug", "blended_percentile"), ["profile_id", "drug"], "left").withColumn(
+            "reversal_score", F.when(F.col("blended_percentile").isNotNull(), 0.7 * F.col("reversal_score") + 0.3 * F.col("blended_percentile")).otherwise(F.col("reversal_score"))).drop("blended_percentile")
+    return rank_percentile(out.withColumn("reversal_score", F.round("reversal_score", 12)), "reversal_score", ["drug"], ["profile_id"], **kw)
+
+
+# ---- coefficient scores --------------------------------------------------------------------------------
+def weighted_scores(z: DataFrame, coefficients: DataFrame, minimum: int = 3, coverage: float = 0.0) -> DataFrame:
+    """sum(w z) / sum(|w|) per (profile, drug) with features used and coverage; null under the guards.
+
+    `coefficients` is (drug, feature, weight); zero and missing weights do not count.
+    """
+    w = coefficients.where(F.col("weight").isNotNull() & (F.col("weight") != 0)).select("drug", "feature", "weight")
+    size = w.groupBy("drug").agg(F.count(F.lit(1)).alias("features_total"))
+    s = z.where(F.col("z").isNotNull()).join(w, "feature").groupBy("profile_id", "drug").agg(
+        F.sum(F.col("weight") * F.col("z")).alias("_n"), F.sum(F.abs("weight")).alias("_d"), F.count(F.lit(1)).alias("features_used"))
+    j = s.join(size, "drug").withColumn("feature_coverage", F.col("features_used") / F.col("features_total"))
+    ok = (F.col("features_used") >= minimum) & (F.col("feature_coverage") >= coverage)
+    return j.select("profile_id", "drug", F.when(ok, F.col("_n") / F.col("_d")).alias("raw_score"), "features_used", "features_total", "feature_coverage")
+
+
+def score_reference(scores: DataFrame) -> DataFrame:
+    """Mean and population deviation of a drug's scores over the reference profiles."""
+    return scores.where(F.col("raw_score").isNotNull()).groupBy("drug").agg(F.avg("raw_score").alias("mean"), F.stddev_pop("raw_score").alias("sd"))
+
+
+def standardise_scores(scores: DataFrame, reference: DataFrame) -> DataFrame:
+    j = scores.join(reference, "drug", "left")
+    return j.withColumn("z_score", F.when(F.col("sd") > 0, (F.col("raw_score") - F.col("mean")) / F.col("sd"))).drop("mean", "sd")
+
+
+def regimen_scores(scores: DataFrame, regimens: DataFrame) -> DataFrame:
+    """Mean z over the regimen's scoreable drugs per profile; null when none can be scored."""
+    asked = regimens.select("profile_id", F.explode(F.array_distinct("drugs")).alias("drug"))
+    j = asked.join(scores.select("profile_id", "drug", "z_score"), ["profile_id", "drug"], "left")
+    return j.groupBy("profile_id").agg(F.avg("z_score").alias("regimen_score"), F.count("z_score").alias("n_scored"), F.count(F.lit(1)).alias("n_requested"))
+
+
+def integrated_priority(scores: DataFrame, reference_scores: DataFrame, support: DataFrame, **kw) -> DataFrame:
+    """0.60 empirical percentile + 0.25 reliability + 0.15 target support, ranked within the profile.
+
+    Rows without a score keep null priority, rank and percentile.
+    """
+    s = scores.withColumn("raw_score", F.round("raw_score", 12))
+    ref = reference_scores.select("drug", F.round("raw_score", 12).alias("raw_score"))
+    j = empirical_percentile(s, ref, "raw_score", ["drug"], "sensitivity_percentile", **kw).join(support.select("drug", "reliability", "drug_support"), "drug", "left")
+    rel, sup = F.coalesce("reliability", F.lit(0.0)), F.coalesce("drug_support", F.lit(0.0))
+    j = j.withColumn("priority", F.round(0.60 * F.col("sensitivity_percentile") + 0.25 * rel + 0.15 * sup, 12)).withColumn("drug_support", sup)
+    done = rank_percentile(j.where(F.col("priority").isNotNull()), "priority", ["drug"], ["profile_id"], **kw)
+    rest = j.where(F.col("priority").isNull()).withColumn("rank", F.lit(None).cast("long")).withColumn("percentile", F.lit(None).cast("double"))
+    return done.unionByName(rest)
+
+
+def nested_score(sensitivity: Column, reliability: Column, support: Column) -> Column:
+    return 0.60 * sensitivity + 0.25 * reliability + 0.15 * support
+
+
+def pair_priority(pairs: DataFrame, priorities: DataFrame, **kw) -> DataFrame:
+    """0.55 sqrt(pa pb) + 0.35 aligned support + 0.10 mean drug support, ranked per profile.
+
+    `pairs` is (drug_a, drug_b, aligned_support); `priorities` is (profile_id, drug, priority, drug_support).
+    """
+    p = priorities.where(F.col("priority").isNotNull())
+    a = p.select("profile_id", F.col("drug").alias("drug_a"), F.col("priority").alias("_pa"), F.col("drug_support").alias("_sa"))
+    b = p.select("profile_id", F.col("drug").alias("drug_b"), F.col("priority").alias("_pb"), F.col("drug_support").alias("_sb"))
+    j = pairs.join(a, "drug_a").join(b, ["profile_id", "drug_b"])
+    comp = F.sqrt(F.greatest("_pa", F.lit(0.0)) * F.greatest("_pb", F.lit(0.0)))
+    score = 0.55 * comp + 0.35 * F.coalesce("aligned_support", F.lit(0.0)) + 0.10 * (F.coalesce("_sa", F.lit(0.0)) + F.coalesce("_sb", F.lit(0.0))) / 2
+    out = j.select("profile_id", "drug_a", "drug_b", comp.alias("component"), F.round(score, 12).alias("priority"))
+    return ranked(out, ["profile_id"], [-F.col("priority"), F.col("drug_a"), F.col("drug_b")], **kw)
+
+
+def overlap_pairs(pairs: DataFrame, allowed: DataFrame, percentiles: DataFrame, k: int = 10) -> DataFrame:
+    """Pairs with both drugs allowed: 0.60 sqrt(pa pb) + 0.40 aligned support, best k."""
+    from cohortgrid.operators.joins import pairs_within
+
+    kept = pairs_within(pairs, allowed)
+    a = percentiles.select(F.col("canonical").alias("drug_a"), F.col("percentile").alias("_pa"))
+    b = percentiles.select(F.col("canonical").alias("drug_b"), F.col("percentile").alias("_pb"))
+    j = kept.join(a, "drug_a", "left").join(b, "drug_b", "left")
+    comp = F.sqrt(F.greatest(F.coalesce("_pa", F.lit(0.0)), F.lit(0.0)) * F.greatest(F.coalesce("_pb", F.lit(0.0)), F.lit(0.0)))
+    out = j.select("drug_a", "drug_b", comp.alias("component"), F.round(0.60 * comp + 0.40 * F.coalesce("aligned_support", F.lit(0.0)), 12).alias("priority"))
+    return top_k(out, [], [F.col("priority").desc(), F.col("drug_a"), F.col("drug_b")], k)
+
+
+def concordance_class(comparators: DataFrame, predictor: DataFrame, high: float = 0.75) -> DataFrame:
+    """concordant_high, expression_only, predictor_only or low_or_uncertain per comparator."""
+    j = comparators.join(predictor.select("canonical", F.col("percentile").alias("_pp")), "canonical", "left")
+    e, p = F.coalesce(F.col("dual_support_percentile") >= high, F.lit(False)), F.coalesce(F.col("_pp") >= high, F.lit(False))
+    return j.withColumn("evidence_concordance", F.when(e & p, "concordant_high").when(e, "expression_only").when(p, "predictor_only").otherwise("low_or_uncertain")).drop("_pp")
+
+
+def consolidate_coefficients(raw: DataFrame, primary: DataFrame, status: DataFrame, analysis: str, model: str, **kw) -> DataFrame:
+    """Median coefficient per (drug, class, feature) of one analysis and model over primary screens, available drugs only."""
+    from cohortgrid.functions.cleaning import compound_name_short
+
+    key = F.concat_ws(":", F.col("primary_screen"), compound_name_short(F.col("drug")), F.col("primary_drug_id").cast("string"))
+    p = primary.select(key.alias("drug_screen"), compound_name_short(F.col("drug")).alias("drug"), "treatment_class")
+    ok = status.where(F.col("available")).select(compound_name_short(F.col("drug")).alias("drug")).distinct()
+    s = raw.where((F.col("analysis") == analysis) & (F.col("model") == model)).select("drug_screen", F.upper(F.trim("feature")).alias("feature"), "coefficient")
+    j = s.join(p, "drug_screen").join(ok, "drug", "left_semi")
+    return medians(j, ["drug", "treatment_class", "feature"], ["coefficient"], **kw)
+
+
+# ---- footprint activity ---------------------------------------------------------------------------------
+def univariate_activity(df: DataFrame, network: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """t of each sample's expression on one source's weights over all of the sample's features (weight 0 outside)."""
+    y = df.where(F.col("value").isNotNull())
+    tot = y.groupBy(sample).agg(F.count(F.lit(1)).alias("_n"), F.sum("value").alias("_sy"), F.sum(F.col("value") * F.col("value")).alias("_syy"))
+    hit = y.join(network.select("source", "feature", "weight"), "feature").groupBy(sample, "source").agg(
+        F.sum(F.col("weight") * F.col("value")).alias("_swy"), F.sum("weight").alias("_sw"), F.sum(F.col("weight") * F.col("weight")).alias("_sww"))
+    j = hit.join(tot, sample)
+    n = F.col("_n")
+    cov = F.col("_swy") - F.col("_sw") * F.col("_sy") / n
+    vw, vy = F.col("_sww") - F.col("_sw") * F.col("_sw") / n, F.col("_syy") - F.col("_sy") * F.col("_sy") / n
+    r = F.when((vw > 0) & (vy > 0), cov / F.sqrt(vw * vy))
+    out = j.select(sample, "source", r.alias("_r"), (n - 2).alias("df"))
+    t = F.col("_r") * F.sqrt(F.col("df") / F.greatest(1 - F.col("_r") * F.col("_r"), F.lit(1e-300)))
+    return out.select(sample, "source", t.alias("activity"), "df")
+
+
+def multivariate_activity(df: DataFrame, network: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """t of every source in one regression of a sample's expression on all sources' weights.
+
+    All samples share the design, so its inverse is taken once: the cross products of sources are a
+    grouped sum, and only that source-by-source table reaches the driver.
+    """
+    features = df.select("feature").distinct()
+    net = network.join(features, "feature", "left_semi").select("source", "feature", "weight").groupBy("source", "feature").agg(F.sum("weight").alias("weight"))
+    names = [r[0] for r in net.select("source").distinct().orderBy("source").limit(2001).collect()]
+    if len(names) > 2000:
+        raise ValueError("a joint regression is meant for at most 2000 sources")
+    at = {s: i + 1 for i, s in enumerate(names)}
+    p = len(names) + 1
+    n = features.count()
+    xtx = np.zeros((p, p))
+    xtx[0, 0] = n
+    for r in net.groupBy("source").agg(F.sum("weight").alias("s")).collect():
+        xtx[0, at[r["source"]]] = xtx[at[r["source"]], 0] = r["s"]
+    cross = net.alias("a").join(net.select(F.col("source").alias("other"), "feature", F.col("weight").alias("w2")).alias("b"), "feature").groupBy("source", "other").agg(F.sum(F.col("weight") * F.col("w2")).alias("s"))
+    for r in cross.collect():
+        xtx[at[r["source"]], at[r["other"]]] = r["s"]
+    inv = np.linalg.pinv(xtx)
+    dof = max(n - p, 1)
+    base = df.where(F.col("value").isNotNull()).groupBy(sample).agg(F.sum("value").alias("_sy"), F.sum(F.col("value") * F.col("value")).alias("_syy"))
+    xy = df.join(net, "feature").groupBy(sample, "source").agg(F.sum(F.col("weight") * F.col("value")).alias("_xy"))
+    packed = xy.groupBy(sample).agg(F.map_from_entries(F.collect_list(F.struct("source", "_xy"))).alias("_m"))
+    vec = F.transform(F.array(*[F.lit(s) for s in names]), lambda s: F.coalesce(F.try_element_at(F.col("_m"), s), F.lit(0.0)))
+    rows = base.join(packed, sample, "left").select(sample, F.concat(F.array("_sy"), vec).alias("_v"), "_syy")
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def solve(v: pd.Series, syy: pd.Series) -> pd.Series:
+        b = np.array(v.tolist(), dtype=float)
+        beta = b @ inv
+        rss = np.maximum(syy.to_numpy(float) - (beta * b).sum(axis=1), 0.0)
+        se = np.sqrt(np.outer(rss / dof, np.diag(inv)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = np.where(se > 0, beta / se, 0.0)
+        return pd.Series(list(t[:, 1:]))
+
+    return rows.withColumn("_t", solve("_v", "_syy")).select(sample, F.posexplode("_t").alias("_i", "activity")).select(
+        sample, F.element_at(F.array(*[F.lit(s) for s in names]), F.col("_i") + 1).alias("source"), "activity", F.lit(dof).alias("df"))
+
+
+def marker_activity(df: DataFrame, markers: Sequence[str], sample: str = "sample_id") -> DataFrame:
+    """Fallback activity: mean of the marker features, or of all features where no marker is measured."""
+    at = F.col("feature").isin(list(markers))
+    return df.groupBy(sample).agg(F.coalesce(F.avg(F.when(at, F.col("value"))), F.avg("value")).alias("activity"))
+
+
+# ---- curves, fingerprints, mixtures -----------------------------------------------------------------------
+def dose_points(curves: DataFrame, n_points: int = 25, band: float = 0.08) -> DataFrame:
+    """Hill viability on a log grid from 1 nM to 100 uM with a fixed display band; ic50_nm, h, max_conc_nm given."""
+    grid = F.transform(F.sequence(F.lit(0), F.lit(n_points - 1)), lambda i: F.pow(F.lit(10.0), i * (5.0 / (n_points - 1))))
+    d = curves.select("*", F.posexplode(grid).alias("point", "concentration_nm"))
+    v = 1.0 / (1.0 + F.pow(F.col("concentration_nm") / F.greatest(F.col("ic50_nm"), F.lit(1e-9)), F.col("h")))
+    d = d.withColumn("viability", v)
+    spread = band * (1 - F.col("viability"))
+    return d.withColumns({
+        "band_lower": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("viability") - spread)),
+        "band_upper": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("viability") + spread)),
+        "ic50_extrapolated": F.coalesce(F.col("ic50_nm") > F.col("max_conc_nm"), F.lit(False))})
+
+
+def fingerprints(pairs: DataFrame, a: str, b: str, n_axes: int = 5, shared_by: Sequence[str] | None = None) -> DataFrame:
+    """Per-axis products scaled to the pair's own peak, or to the peak over all pairs of a key."""
+    cut = F.zip_with(F.slice(a, 1, n_axes), F.slice(b, 1, n_axes), lambda x, y: F.coalesce(x * y, F.lit(0.0)))
+    d = pairs.withColumn("_c", cut).withColumn("_peak", F.array_max(F.transform("_c", lambda x: F.abs(x))))
+    if shared_by:
+        d = d.withColumn("_peak", F.max("_peak").over(Window.partitionBy(*shared_by)))
+    peak = F.when(F.coalesce("_peak", F.lit(0.0)) > 0, F.col("_peak")).otherwise(1.0)
+    scaled = F.transform("_c", lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x / peak)))
+    padded = F.slice(F.concat(scaled, F.array_repeat(F.lit(0.0), n_axes)), 1, n_axes)
+    return d.withColumn("fingerprint", padded).drop("_c", "_peak")
+
+
+def bliss_excess(ea: Column, eb: Column, eab: Column) -> Column:
+    return eab - (ea + eb - ea * eb)
+
+
+def product_of_experts(views: DataFrame, keys: Sequence[str] = ("sample_id", "dim")) -> DataFrame:
+    """Gaussian estimates per view combined with a standard normal prior; a masked view adds no precision.
+
+    `views` is (sample, view, dim, mu, logvar, present).
+    """
+    prec = F.when(F.coalesce(F.col("present"), F.lit(False)) & F.col("mu").isNotNull(), F.exp(-F.col("logvar"))).otherwise(0.0)
+    g = views.withColumn("_p", prec).groupBy(*keys).agg((F.sum("_p") + 1.0).alias("_t"), F.sum(F.col("_p") * F.coalesce("mu", F.lit(0.0))).alias("_w"))
+    return g.select(*keys, (F.col("_w") / F.col("_t")).alias("mu"), (-F.ln("_t")).alias("logvar"))
+
+
+def posterior_width(joint: DataFrame, sample: str = "sample_id") -> DataFrame:
+    """Mean posterior deviation over dimensions."""
+    return joint.groupBy(sample).agg(F.avg(F.exp(0.5 * F.col("logvar"))).alias("width"))
+
+
+def width_reduction(without: DataFrame, with_view: DataFrame, sample: str = "sample_id") -> DataFrame:
+    j = without.select(sample, F.col("width").alias("_a")).join(with_view.select(sample, F.col("width").alias("_b")), sample)
+    return j.select(sample, ((F.col("_a") - F.col("_b")) / F.greatest("_a", F.lit(1e-8))).alias("reduction"))
+
+
+# ---- targets, candidates, detail ---------------------------------------------------------------------------
+def target_pathway(c: Column) -> Column:
+    pairs = F.create_map(*[F.lit(x) for kv in TARGET_PATHWAY.items() for x in kv])
+    return F.coalesce(F.try_element_at(pairs, F.upper(c)), F.lit("MAPK"))
+
+
+def index_treatment(her2: Column, endocrine: Column, chemo: Column) -> Column:
+    return F.when(her2 == 1, "lapatinib").when(endocrine == 1, "tamoxifen").when(chemo == 1, "paclitaxel").otherwise("tamoxifen")
+
+
+def pathway_candidates(activity: DataFrame, pk: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """Drugs whose target pathway reaches the threshold per sample, by name, with tier and excluded count.
+
+    `activity` is (sample_id, pathway, activity); `pk` is (drug_name, target_gene, in_topology). A
+    pathway a sample has no value for counts as 0. Pathways are few, so a sample's values travel as a map.
+    """
+    drugs = pk.select(F.col("drug_name").alias("drug"), F.lower(target_pathway(F.col("target_gene"))).alias("pathway"), F.when(F.col("in_topology"), "A").otherwise("B").alias("tier"))
+    by_path = drugs.groupBy("pathway").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct(F.lower("drug").alias("k"), F.col("drug"), F.col("tier")))).alias("members"))
+    samples = activity.select("sample_id").distinct()
+    paths = by_path.select(F.collect_list(F.struct("pathway", "n", "members"))).scalar()
+    grid = samples.withColumn("_p", F.explode(paths)).select("sample_id", "_p.*")
+    j = grid.join(activity.select("sample_id", F.lower("pathway").alias("pathway"), "activity"), ["sample_id", "pathway"], "left").withColumn("activity", F.coalesce("activity", F.lit(0.0)))
+    kept = F.col("activity") >= threshold
+    g = j.groupBy("sample_id").agg(F.sum("n").alias("n_scored"), F.sum(F.when(~kept, F.col("n")).otherwise(0)).alias("excluded_count"),
+                                   F.array_sort(F.flatten(F.collect_list(F.when(kept, F.col("members"))))).alias("_m"))
+    return g.select("sample_id", F.transform("_m", lambda x: F.struct(x["drug"].alias("drug"), x["tier"].alias("evidence_tier"))).alias("set_members"), "excluded_count", "n_scored")
+
+
+def cluster_detail(signatures: DataFrame, n: int = 20) -> DataFrame:
+    """Top up and down coefficients (5 to 50 each) with the number of features at fdr < 0.10."""
+    k = max(5, min(50, n))
+    rows = arms(signatures.withColumnRenamed("coef", "effect"), ["cluster"], "effect", k, k)
+    sig = signatures.groupBy("cluster").agg(F.count_if(F.col("fdr") < 0.10).alias("n_significant"))
+    return rows.join(sig, "cluster")
+
+
+def start_values(nodes: DataFrame, regulator: DataFrame, pathway: DataFrame, default: float = 0.5) -> DataFrame:
+    """Activity of each node in [0, 1]: the regulator's own value, else its pathway's, else the default.
+
+    `nodes` is (sample_id, node); the others are (sample_id, source, activity).
+    """
+    from cohortgrid.functions.cleaning import unit_clip
+
+    n = nodes.withColumn("_pw", F.lower(target_pathway(F.col("node"))))
+    r = regulator.select("sample_id", F.col("source").alias("node"), F.col("activity").alias("_r"))
+    p = pathway.select("sample_id", F.lower("source").alias("_pw"), F.col("activity").alias("_p"))
+    j = n.join(r, ["sample_id", "node"], "left").join(p, ["sample_id", "_pw"], "left")
+    return j.select("sample_id", "node", F.coalesce(unit_clip(F.col("_r")), unit_clip(F.col("_p")), F.lit(default)).alias("x0"))
