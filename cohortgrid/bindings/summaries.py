@@ -206,7 +206,7 @@ def _(spark, folder):
 
 
 BLEND = f"""{D}, tb AS (SELECT cluster, drug, percentile FROM (SELECT l_suppkey % 4 AS cluster, canonical AS drug, avg(l_discount) AS percentile FROM d GROUP BY 1, 2)),
-pr AS (SELECT c_nationkey AS profile_id, c_custkey % 3 AS cluster, count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey) AS probability FROM customer GROUP BY 1, 2)"""
+pr AS (SELECT c_nationkey AS profile_id, c_custkey % 3 AS cluster, sqrt(count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey)) AS probability FROM customer GROUP BY 1, 2)"""
 
 
 def blend_inputs(spark, folder):
@@ -215,7 +215,7 @@ def blend_inputs(spark, folder):
     from pyspark.sql import Window
 
     c = table(spark, folder, "customer").groupBy(F.col("c_nationkey").alias("profile_id"), (F.col("c_custkey") % 3).alias("cluster")).agg(F.count(F.lit(1)).alias("_n"))
-    prob = c.withColumn("probability", F.col("_n") / F.sum("_n").over(Window.partitionBy("profile_id"))).drop("_n")
+    prob = c.withColumn("probability", F.sqrt(F.col("_n") / F.sum("_n").over(Window.partitionBy("profile_id")))).drop("_n")
     return prob, tables
 
 
