@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortgrid.functions import text as X
 from cohortgrid.functions.vocabulary import BANNED_PHRASES, CONTEXT_DRUGS, COUNTRIES, HOME
@@ -104,7 +103,7 @@ def rank_sites(sites: DataFrame, country: str = "country") -> DataFrame:
     return j.withColumn("included", F.col("tier").isNotNull()).withColumn("tier", F.coalesce("tier", F.lit(3)))
 
 
-STUDY = T.StructType.fromDDL(
+STUDY = (
     "protocolSection struct<identificationModule: struct<nctId: string, briefTitle: string>, statusModule: struct<overallStatus: string>, designModule: struct<phases: array<string>>,"
     " conditionsModule: struct<conditions: array<string>>, armsInterventionsModule: struct<interventions: array<struct<name: string>>>, eligibilityModule: struct<eligibilityCriteria: string>,"
     " contactsLocationsModule: struct<locations: array<struct<facility: string, city: string, country: string>>>>")
@@ -114,12 +113,10 @@ DISEASE_TERMS = ["breast", "mammary", "triple-negative", "tnbc", "her2", "metast
 def parse_studies(raw: DataFrame, column: str, keep: Sequence[str] = (), terms: Sequence[str] = tuple(DISEASE_TERMS)) -> DataFrame:
     """Nested study JSON to one row per study with its allowed sites; off-topic studies and those without a site drop out."""
     s = raw.select(*keep, F.from_json(column, STUDY)["protocolSection"].alias("p"))
-    allowed = [F.lit(c) for c in COUNTRIES]
     sites = F.filter(F.col("p.contactsLocationsModule.locations"), lambda x: F.lower(F.trim(x["country"])).isin(list(COUNTRIES)))
     title = F.coalesce("p.identificationModule.briefTitle", F.lit(""))
     blob = F.lower(F.concat_ws(" ", title, F.col("p.conditionsModule.conditions")))
     s = s.withColumn("sites", sites).where((F.size("sites") > 0) & blob.rlike("|".join(terms)))
-    del allowed
     return s.select(*keep, F.col("p.identificationModule.nctId").alias("study_id"), title.alias("title"), F.col("p.statusModule.overallStatus").alias("status"), F.get("p.designModule.phases", 0).alias("phase"),
                     F.col("p.conditionsModule.conditions").alias("conditions"), F.col("p.armsInterventionsModule.interventions.name").alias("interventions"), "sites", F.col("p.eligibilityModule.eligibilityCriteria").alias("criteria_text"))
 

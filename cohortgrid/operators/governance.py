@@ -48,14 +48,14 @@ def audit_configurations(configs: DataFrame, registered_k: DataFrame) -> DataFra
     return e1.unionByName(e2).unionByName(e3).unionByName(e4).distinct()
 
 
-def audit_samples(samples: DataFrame) -> DataFrame:
+def audit_samples(samples: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Errors per sample from (sample_id, state, abstained, has_reversal, has_prognostic, has_neighbours, encoder, cohort_encoder, reversal_gate_passed)."""
     three = F.col("state") == 3
     errors = F.array_compact(F.array(
         F.when(F.coalesce("sample_id", F.lit("")) == "", "patient_id"), F.when(three & ~F.col("abstained"), "state3_without_abstention"), F.when(three & F.col("has_reversal"), "state3_has_reversal"),
         F.when(three & F.col("has_prognostic"), "state3_has_prognostic"), F.when(three & F.col("has_neighbours"), "state3_has_nearest_lines"),
         F.when(~F.col("encoder").eqNullSafe(F.col("cohort_encoder")), "encoder_mismatch"), F.when(~F.col("reversal_gate_passed") & F.col("has_reversal"), "reversal_present_after_a4_fail")))
-    return samples.select("sample_id", errors.alias("errors"))
+    return samples.select(*keep, "sample_id", errors.alias("errors"))
 
 
 def robustness(hits: DataFrame) -> DataFrame:
