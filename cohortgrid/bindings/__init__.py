@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["cleaning", "joining", "summaries", "testing", "scoring", "texts", "governing"]
+MODULES = ["cleaning", "joining", "summaries", "testing", "scoring", "texts", "governing", "reading", "streams", "modelling"]
 
 
 def load():

@@ -265,8 +265,8 @@ def _dense(df: DataFrame, features: Sequence[str]) -> DataFrame:
     kept = df.where(F.col("feature").isin(list(features)))
     means = kept.groupBy("feature").agg(F.avg("value").alias("m")).select(F.map_from_entries(F.collect_list(F.struct("feature", "m")))).scalar()
     m = kept.where(F.col("value").isNotNull()).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_m"))
-    vec = F.transform(F.array(*[F.lit(f) for f in features]), lambda f: F.coalesce(F.try_element_at(F.col("_m"), f), F.try_element_at(means, f), F.lit(0.0)))
-    return m.select("sample_id", array_to_vector(vec).alias("_raw"))
+    vec = F.transform(F.array(*[F.lit(f) for f in features]), lambda f: F.coalesce(F.try_element_at(F.col("_m"), f), F.try_element_at(F.col("_means"), f), F.lit(0.0)))
+    return m.withColumn("_means", means).select("sample_id", array_to_vector(vec).alias("_raw"))
 
 
 def score_profiles(profiles: DataFrame, model: DataFrame, intercepts: DataFrame, minimum_coverage: float = 0.6, high: float = 0.55, moderate: float = 0.40, abstain: float = 0.25) -> DataFrame:

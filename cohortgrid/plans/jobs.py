@@ -1,4 +1,4 @@
-"""End-to-end jobs composed from the operators."""
+"""End-to-end jobs composed from the operators. Each takes tables keyed by sample, profile or cluster."""
 
 from __future__ import annotations
 
@@ -7,11 +7,151 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortgrid.functions.cleaning import config_key
 from cohortgrid.operators import aggregates as A
-from cohortgrid.operators import signatures as G
+from cohortgrid.operators import documents as D
+from cohortgrid.operators import evaluation as V
+from cohortgrid.operators import governance as G
+from cohortgrid.operators import joins as J
+from cohortgrid.operators import ml as ML
+from cohortgrid.operators import signatures as S
+from cohortgrid.operators import stats as T
+from cohortgrid.operators import survival as K
+from cohortgrid.operators import windows as W
+from cohortgrid.operators.scans import top_k
+from cohortgrid.session import cut_lineage
 
 
 def reversal_lists(arm_rows: DataFrame, perturbations: DataFrame, meta: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Compound lists reversing each key's arms: signature scores rolled up per compound and ranked within the key."""
-    scores = G.set_difference(arm_rows, perturbations, keys).join(meta, "sig_id")
+    scores = S.set_difference(arm_rows, perturbations, keys).join(meta, "sig_id")
     return A.compound_rollup(scores, keys)
+
+
+def profile_matrix(measurements: DataFrame, family: DataFrame, clusters: Sequence[int], quotas: dict[str, int]) -> DataFrame:
+    """One-vs-rest tests with q, strongest rows per family, as a feature by cluster matrix."""
+    tests = T.with_q_where_tested(T.welch_one_vs_rest(measurements))
+    return A.effect_matrix(tests.drop("family").join(family, "feature"), clusters, quotas)
+
+
+def feature_profiles(activity: DataFrame, expression: DataFrame, family_of: dict[str, str] | None = None) -> DataFrame:
+    """Every activity by rank test and every non-constant feature by Welch test, q within family.
+
+    `activity` is (sample_id, cluster, family, feature, value); `expression` is (sample_id, cluster, feature, value).
+    """
+    ranks = None
+    for name in (family_of or {"pathway": "pathway", "tf": "tf"}).values():
+        part = T.mann_whitney(activity.where(F.col("family") == name), name).select("feature", "family", "cluster", "effect", F.col("z").alias("statistic"), "p")
+        ranks = part if ranks is None else ranks.unionByName(part)
+    varying = expression.groupBy("feature").agg((F.max("value") > F.min("value")).alias("_v")).where("_v").select("feature")
+    genes = T.welch_one_vs_rest(expression.join(varying, "feature", "left_semi")).select("feature", "family", "cluster", "effect", F.col("t").alias("statistic"), "p")
+    return T.bh_q(ranks.unionByName(genes), ["family"], "p", ["feature", "cluster"])
+
+
+def cluster_reversal(measurements: DataFrame, pairs: DataFrame, perturbations: DataFrame, meta: DataFrame, roles: DataFrame, role_lists: dict[str, Sequence[str]], n_side: int = 150, top: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Reversal candidates per cluster against its normals, and the known-answer control.
+
+    Signatures vs normal, their strongest features, correlation with every perturbation row, median per
+    drug over at least two rows, best drugs per cluster.
+    """
+    sig = T.cluster_vs_normal(measurements, pairs).select("cluster", "feature", F.col("log2fc").alias("effect"))
+    q = S.query_signature(sig, ["cluster"], "effect", n_side)
+    scores = S.connectivity(q, perturbations, ["cluster"]).join(meta, "sig_id")
+    med = A.exact_quantiles(scores, ["cluster", "drug"], "reversal_score", {"reversal_score": 0.5}, count="n_signatures").where(F.col("n_signatures") >= 2)
+    ranked = top_k(med, ["cluster"], [F.round("reversal_score", 12).desc(), F.col("drug")], top)
+    return ranked, G.known_answers(ranked.select("cluster", F.col("drug").alias("canonical")), roles, role_lists)
+
+
+def assemble_cohort(vectors: DataFrame, follow_up: DataFrame, ks: Sequence[int], dim: int = 16, n_boot: int = 50, seed: int = 0) -> dict[str, DataFrame]:
+    """Latent, selection table, chosen k, all configurations, survival of the registered one.
+
+    `vectors` is (id, vec), `follow_up` is (id, time, event). Structure is chosen before any outcome is
+    joined.
+    """
+    spark = vectors.sparkSession
+    proj = ML.fit_projection(vectors, dim)
+    latent = cut_lineage(proj.apply(vectors).select("id", "latent"))
+    rows, configs = [], None
+    for k in ks:
+        labels, bic = ML.gaussian_mixture(latent, k, seed=seed)
+        labels = cut_lineage(labels)
+        sil = V.silhouette(latent.join(labels.select("id", "cluster"), "id"), "latent").first()["silhouette"]
+        stab = ML.bootstrap_stability(latent, labels, k, n_boot=n_boot, seed=seed).first()["stability"]
+        rows.append((k, float(bic), float(sil), float(stab)))
+        parts = [("gmm", "full", labels)]
+        for cov in ("diag", "tied"):
+            parts.append(("gmm", cov, ML.constrained_mixture(latent, k, cov, seed=seed)[0]))
+        parts.append(("kmeans", None, ML.kmeans(latent, k, seed=seed)))
+        for method, cov, a in parts:
+            one = a.select("id", "cluster", F.lit(method).alias("method"), F.lit(cov).cast("string").alias("covariance_type"), F.lit(k).alias("k"))
+            configs = one if configs is None else configs.unionByName(one)
+    selection = spark.createDataFrame(rows, "k int, bic double, silhouette double, stability double")
+    chosen = V.choose_k(selection)
+    configs = cut_lineage(configs.withColumn("config_id", config_key(F.col("method"), F.col("covariance_type"), F.col("k"))))
+    surv = follow_up.join(configs.select("id", "config_id", F.col("cluster").alias("grp")), "id")
+    tests = K.sensitivity_logrank(surv, "config_id", list(range(max(ks))))
+    return {"latent": latent, "selection": selection, "chosen": chosen, "assignments": configs, "logrank": tests}
+
+
+def transfer_test(z_target: DataFrame, centroids: DataFrame, reference: DataFrame, subtypes: DataFrame, follow_up: DataFrame, groups: Sequence[int], vocabulary: Sequence, n_perm: int = 1000, seed: int = 0) -> DataFrame:
+    """External transfer gate: degeneracy guard, composition agreement, outcome separation, negative control; one row."""
+    called = cut_lineage(T.assign_best(T.correlate_to_centroids(z_target, centroids)).select("sample_id", "cluster"))
+    ref = A.composition(reference, groups, vocabulary)
+    agree = T.matrix_agreement(ref, A.composition(called.join(subtypes, "sample_id"), groups, vocabulary))
+    perm = T.shuffled(called, "sample_id", "cluster", n_perm, seed).join(subtypes, "sample_id").where(F.col("cluster").isin(list(groups)) & F.col("subtype").isin(list(vocabulary)))
+    cells = perm.groupBy("perm", "cluster", "subtype").agg(F.count(F.lit(1)).alias("_n"))
+    total = cells.groupBy("perm", "cluster").agg(F.sum("_n").alias("_t"))
+    share = cells.join(total, ["perm", "cluster"]).select("perm", "cluster", "subtype", (F.col("_n") / F.col("_t")).alias("share"))
+    null_r = T.matrix_agreement(ref, share, keys=["perm"]).select("perm", F.col("r").alias("statistic"))
+    comp = T.null_summary(null_r, agree.select(F.col("r").alias("statistic"))).select(F.col("observed").alias("composition_r"), F.col("p").alias("composition_p"))
+    s = follow_up.join(called.withColumnRenamed("cluster", "grp"), "sample_id")
+    obs = K.logrank(s, [], groups)
+    perm_s = T.shuffled(called, "sample_id", "cluster", n_perm, seed + 1).withColumnRenamed("cluster", "grp").join(follow_up, "sample_id")
+    null_s = K.logrank(perm_s, ["perm"], groups).select("perm", "statistic")
+    ctrl = T.null_summary(null_s, obs.select("statistic")).select(F.col("observed").alias("statistic"), F.col("null_p95"), F.col("exceeds_p95").alias("control_passed"))
+    deg = A.degeneracy(called).agg(F.max("largest_share").alias("largest_share"), F.bool_or("degenerate").alias("degenerate"))
+    one = F.lit(1).alias("_o")
+    out = agree.select("n_agree", one).join(comp.select("*", one), "_o").join(ctrl.select("*", one), "_o").join(obs.select(F.col("p").alias("logrank_p"), "n", "n_events", one), "_o").join(deg.select("*", one), "_o").drop("_o")
+    primary = (F.col("n_agree") >= 2) & (F.col("composition_r") > 0.5) & (F.col("composition_p") < 0.05)
+    return out.withColumn("primary_passed", primary).withColumn("passed", primary & (F.col("logrank_p") < 0.05) & F.col("control_passed") & ~F.col("degenerate"))
+
+
+def analyse_profiles(assignment: DataFrame, z: DataFrame, centroids: DataFrame, cluster_lists: DataFrame, perturbations: DataFrame, meta: DataFrame, n_side: int = 150) -> DataFrame:
+    """Both lists and their nominations for a table of profiles: one row per (profile, compound).
+
+    List 1 is the profile's cluster list; list 2 reverses the profile's residual. Scoring one profile or
+    a million is the same job.
+    """
+    res = S.residual(z, assignment, centroids)
+    mine = S.arms(res, ["profile_id"], "residual", n_side, n_side)
+    list2 = reversal_lists(mine, perturbations, meta, ["profile_id"]).select("profile_id", "canonical", F.col("percentile").alias("list2_percentile"), F.col("rank").alias("list2_rank"), "n_cell_lines", "consistency", "targets")
+    list1 = assignment.select("profile_id", "cluster").join(cluster_lists.select("cluster", "canonical", F.col("percentile").alias("list1_percentile"), F.col("rank").alias("list1_rank")), "cluster")
+    d = list1.join(list2, ["profile_id", "canonical"])
+    d = G.robustness(d.withColumn("weaker_percentile", F.least("list1_percentile", "list2_percentile")).withColumn("rank_product", F.sqrt(F.col("list1_percentile") * F.col("list2_percentile"))))
+    order = [-F.round("weaker_percentile", 12), -F.round("rank_product", 12), F.col("canonical")]
+    return W.ranked(d, ["profile_id"], order, "nomination_rank")
+
+
+def refresh_derived(profiles: DataFrame, previous: DataFrame, clusters: Sequence[int], quotas: dict[str, int]) -> tuple[DataFrame, DataFrame]:
+    """Takeaways recomputed from current profiles, and the rows that changed against the previous ones."""
+    matrix = A.effect_matrix(profiles, clusters, quotas)
+    kept = profiles.join(matrix.select("feature", "family"), ["feature", "family"], "left_semi")
+    now = D.cluster_takeaways(kept)
+    gone = previous.exceptAll(now).withColumn("change", F.lit("was"))
+    return now, gone.unionByName(now.exceptAll(previous).withColumn("change", F.lit("now")))
+
+
+def enrich_neighbours(samples: DataFrame, lines: DataFrame, k: int = 5, dim: int = 10, n_axes: int = 5) -> DataFrame:
+    """Joint projection of samples and lines, nearest lines per sample, fingerprints on a shared scale, subtype match.
+
+    `samples` is (id, vec, subtype), `lines` is (id, vec, subtype).
+    """
+    both = samples.select("id", "vec").unionByName(lines.select("id", "vec"))
+    proj = ML.fit_projection(both, dim)
+    a = cut_lineage(proj.apply(samples).select("id", F.col("latent").alias("vec"), "subtype"))
+    b = cut_lineage(proj.apply(lines).select("id", F.col("latent").alias("vec"), "subtype"))
+    near = J.nearest_references(a, b, k)
+    j = near.join(a.select(F.col("id").alias("query_id"), F.col("vec").alias("_a"), F.col("subtype").alias("sample_subtype")), "query_id").join(
+        b.select(F.col("id").alias("ref_id"), F.col("vec").alias("_b"), F.col("subtype").alias("line_subtype")), "ref_id")
+    f = S.fingerprints(j, "_a", "_b", n_axes, shared_by=["query_id"])
+    return f.select("query_id", "ref_id", "similarity", "rank", "fingerprint", (F.col("sample_subtype") == F.col("line_subtype")).alias("subtype_match"))

@@ -28,6 +28,8 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     spark = df.sparkSession
     import uuid
 
+    # the key-value store on disk takes any amount of state and the several tables of custom operators
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     base = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if mode == "append":
         q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
