@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortgrid.functions import cleaning as C
-from cohortgrid.operators.scans import exact_quantiles, keep_first, ranked, top_k
+from cohortgrid.operators.scans import attach_row, exact_quantiles, keep_first, ranked, top_k
 
 
 def collapse_mean(df: DataFrame, keys: Sequence[str] = ("sample_id", "feature")) -> DataFrame:
@@ -153,11 +153,10 @@ def set_variation(members: DataFrame, max_sets: int = 4000) -> DataFrame:
     size = sizes.agg(F.count(F.lit(1)).alias("n_sets"), F.avg("size").alias("size_mean"), F.min("size").alias("size_min"), F.max("size").alias("size_max"))
     use = m.groupBy("member").agg(F.count(F.lit(1)).alias("k")).agg(
         F.count(F.lit(1)).alias("union_size"), F.count_if(F.col("k") == n_sets).alias("core_size"), F.count_if(F.col("k") == 1).alias("singletons"))
-    one = F.lit(1).alias("_one")
-    out = size.select("*", one)
+    out = size
     for part in (pairs, med, use):
-        out = out.join(part.select("*", one), "_one")
-    return out.drop("_one").withColumn("informative", (F.col("n_sets") >= 2) & (F.col("jaccard_mean") < 0.8))
+        out = attach_row(out, part)
+    return out.withColumn("informative", (F.col("n_sets") >= 2) & (F.col("jaccard_mean") < 0.8))
 
 
 def essentiality_summary(scores: DataFrame, chosen: DataFrame, threshold: float = -0.5, pan_share: float = 0.5, **kw) -> DataFrame:
@@ -169,7 +168,7 @@ def essentiality_summary(scores: DataFrame, chosen: DataFrame, threshold: float
     per = per.groupBy("sample_id").agg(F.count_if(F.col("_pan").isNull() & F.col("_pos")).alias("positives"))
     med = exact_quantiles(per, [], "positives", {"median": 0.5}, **kw)
     ends = per.agg(F.count(F.lit(1)).alias("n_entities"), F.min("positives").alias("minimum"), F.max("positives").alias("maximum"))
-    return ends.select("*", F.lit(1).alias("_o")).join(med.select("*", F.lit(1).alias("_o")), "_o").drop("_o").withColumn("n_pan", n_pan).withColumn("degenerate", F.col("minimum") < 10)
+    return attach_row(ends, med).withColumn("n_pan", n_pan).withColumn("degenerate", F.col("minimum") < 10)
 
 
 def completeness(activity: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortgrid.operators.scans import Scan, fits_one_task, keep_first, ranked, running
+from cohortgrid.operators.scans import Scan, attach_row, fits_one_task, keep_first, ranked, running
 from cohortgrid.operators.stats import rank_sums
 
 BIC_WINDOW = 10.0
@@ -39,8 +39,7 @@ def binary_metrics(df: DataFrame, p: str, label: str, keys: Sequence[str] = (),
     steps = d.groupBy(*k, p).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_tp"))
     r = running(steps, k, [-F.col(p)], {"_cn": Scan("sum", F.col("_n")), "_ctp": Scan("sum", F.col("_tp"))}, {"_pos": F.col("_tp")}, **kw)
     ap = r.groupBy(*k).agg(F.sum(F.col("_tp") / F.col("_pos") * F.col("_ctp") / F.col("_cn")).alias("auprc"))
-    out = base.join(ap, k)
-    return out if keys else out.drop("_k")
+    return base.join(ap, k) if keys else attach_row(base.drop("_k"), ap.drop("_k"))
 
 
 def confusion(df: DataFrame, truth: str, predicted: str, labels: Sequence, keys: Sequence[str] = ()) -> DataFrame:
@@ -76,7 +75,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> Da
     s = cells.groupBy(*k).agg(F.sum(pairs(F.col("_n"))).alias("_ij"), F.sum("_n").alias("n"))
     sa = cells.groupBy(*k, a).agg(F.sum("_n").alias("_n")).groupBy(*k).agg(F.sum(pairs(F.col("_n"))).alias("_a"))
     sb = cells.groupBy(*k, b).agg(F.sum("_n").alias("_n")).groupBy(*k).agg(F.sum(pairs(F.col("_n"))).alias("_b"))
-    j = s.join(sa, k).join(sb, k)
+    j = s.join(sa, k).join(sb, k) if keys else attach_row(attach_row(s, sa.drop("_k")), sb.drop("_k"))
     expected = F.col("_a") * F.col("_b") / pairs(F.col("n"))
     top = (F.col("_a") + F.col("_b")) / 2
     out = j.select(*k, F.when(top == expected, 1.0).otherwise((F.col("_ij") - expected) / (top - expected)).alias("ari"), "n")

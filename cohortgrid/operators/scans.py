@@ -216,6 +216,11 @@ def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], count: s
     return sizes.join(wide, list(keys), "left")
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table to every row, as a scalar subquery rather than a join."""
+    return df.withColumn("_row", one_row.select(F.struct(*one_row.columns)).scalar()).select(*df.columns, "_row.*")
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row per key in a stated order. Spark limits each group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortgrid.functions.tails import t_pvalue, z_pvalue
-from cohortgrid.operators.scans import Scan, average_ranks, bh_q, exact_quantiles, keep_first, ranked, running
+from cohortgrid.operators.scans import Scan, attach_row, average_ranks, bh_q, exact_quantiles, keep_first, ranked, running
 
 
 def _finite(df: DataFrame, column: str) -> DataFrame:
@@ -199,7 +199,7 @@ def target_sensitivity(screen: DataFrame, activity: DataFrame, minimum: int = 20
     j = screen.join(hit, "row_id").withColumn("_neg", -F.col("response"))
     rho = spearman(j, "score", "_neg", (), minimum, **kw)
     extra = j.agg(F.count_distinct("sample_id").alias("n_lines"), F.avg((F.col("score") > 0).cast("double")).alias("any_active"))
-    return rho.withColumn("_o", F.lit(1)).join(extra.withColumn("_o", F.lit(1)), "_o").drop("_o")
+    return attach_row(rho, extra)
 
 
 def shuffled(df: DataFrame, row: str, column: str, n: int, seed: int = 0, keep_order: Sequence[str] = (), **kw) -> DataFrame:
@@ -225,7 +225,7 @@ def spearman_null(pairs: DataFrame, row: str, x: str, y: str, n_perm: int, seed:
     null = shuffled(ranks, row, "_ry", n_perm, seed, **kw).join(ranks.select(row, "_rx"), row).groupBy("perm").agg(F.corr("_rx", "_ry").alias("null"))
     rho = obs.select("rho").scalar()
     s = null.agg(F.avg("null").alias("null_mean"), F.stddev_pop("null").alias("null_sd"), F.avg((F.abs("null") >= F.abs(rho)).cast("double")).alias("p"))
-    return s.withColumn("_o", F.lit(1)).join(obs.withColumn("_o", F.lit(1)), "_o").drop("_o")
+    return attach_row(s, obs)
 
 
 def null_summary(null: DataFrame, observed: DataFrame, value: str = "statistic", plus_one: bool = True, **kw) -> DataFrame:
@@ -235,8 +235,7 @@ def null_summary(null: DataFrame, observed: DataFrame, value: str = "statistic",
     s = null.where(F.col(value).isNotNull()).agg(
         F.count(F.lit(1)).alias("n_null"), F.count_if(F.col(value) >= obs).alias("n_ge"), F.max(value).alias("null_max"), F.avg(value).alias("null_mean"))
     q = exact_quantiles(null, [], value, {"null_median": 0.5, "null_p95": 0.95}, **kw)
-    j = s.withColumn("_o", F.lit(1)).join(q.withColumn("_o", F.lit(1)), "_o").drop("_o")
-    return j.withColumn("observed", obs).withColumn("p", (F.col("n_ge") + add) / (F.col("n_null") + add)).withColumn("exceeds_p95", F.col("observed") > F.col("null_p95"))
+    return attach_row(s, q).withColumn("observed", obs).withColumn("p", (F.col("n_ge") + add) / (F.col("n_null") + add)).withColumn("exceeds_p95", F.col("observed") > F.col("null_p95"))
 
 
 def matrix_agreement(a: DataFrame, b: DataFrame, group: str = "cluster", label: str = "subtype", value: str = "share", keys: Sequence[str] = ()) -> DataFrame:
@@ -248,7 +247,7 @@ def matrix_agreement(a: DataFrame, b: DataFrame, group: str = "cluster", label:
     r = j.groupBy(*k).agg(F.corr("_a", "_b").alias("r"))
     if k:
         return r.join(agree, k)
-    return r.withColumn("_o", F.lit(1)).join(agree.withColumn("_o", F.lit(1)), "_o").drop("_o")
+    return attach_row(r, agree)
 
 
 def direction_check(signatures: DataFrame, genes: Sequence[str], value: str = "log2fc", group: str = "cluster") -> DataFrame:

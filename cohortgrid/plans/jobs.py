@@ -18,7 +18,7 @@ from cohortgrid.operators import signatures as S
 from cohortgrid.operators import stats as T
 from cohortgrid.operators import survival as K
 from cohortgrid.operators import windows as W
-from cohortgrid.operators.scans import top_k
+from cohortgrid.operators.scans import attach_row, top_k
 from cohortgrid.session import cut_lineage
 
 
@@ -110,8 +110,9 @@ def transfer_test(z_target: DataFrame, centroids: DataFrame, reference: DataFram
     null_s = K.logrank(perm_s, ["perm"], groups).select("perm", "statistic")
     ctrl = T.null_summary(null_s, obs.select("statistic")).select(F.col("observed").alias("statistic"), F.col("null_p95"), F.col("exceeds_p95").alias("control_passed"))
     deg = A.degeneracy(called).agg(F.max("largest_share").alias("largest_share"), F.bool_or("degenerate").alias("degenerate"))
-    one = F.lit(1).alias("_o")
-    out = agree.select("n_agree", one).join(comp.select("*", one), "_o").join(ctrl.select("*", one), "_o").join(obs.select(F.col("p").alias("logrank_p"), "n", "n_events", one), "_o").join(deg.select("*", one), "_o").drop("_o")
+    out = agree.select("n_agree")
+    for part in (comp, ctrl, obs.select(F.col("p").alias("logrank_p"), "n", "n_events"), deg):
+        out = attach_row(out, part)
     primary = (F.col("n_agree") >= 2) & (F.col("composition_r") > 0.5) & (F.col("composition_p") < 0.05)
     return out.withColumn("primary_passed", primary).withColumn("passed", primary & (F.col("logrank_p") < 0.05) & F.col("control_passed") & ~F.col("degenerate"))
 
