@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortgrid.functions import cleaning as C
 from cohortgrid.operators.scans import attach_row, exact_quantiles, keep_first, ranked, top_k
+from cohortgrid.session import cut_lineage
 
 
 def collapse_mean(df: DataFrame, keys: Sequence[str] = ("sample_id", "feature")) -> DataFrame:
@@ -119,42 +120,78 @@ def significant_counts(profiles: DataFrame, family: str, q: float = 0.05) -> Dat
     return per.withColumn("minimum", per.select(F.min("n_significant")).scalar())
 
 
-def set_variation(members: DataFrame, max_sets: int = 4000) -> DataFrame:
-    """Sizes, pairwise Jaccard summary, union, core and singletons over (set_id, member).
+SET_BLOCK = 2_048
+_TILE_SALTS = 16
 
-    Sets are a dictionary (checked against `max_sets`); members may be any number. Each task counts
-    the co-occurrences of its own members as one matrix product and hands on one row per pair of sets.
+
+def _co_occurrence(coded: DataFrame, n_sets: int) -> DataFrame:
+    """(i, j, n): members shared by each pair of sets i < j that share any, from (member, sets ARRAY of positions).
+
+    Pairs of set blocks are tiles. A task meets its rows tile by tile, counts each tile as a matrix
+    product in memory of fixed size, and hands on one row per pair of sets, not per member.
     """
-    m = members.select("set_id", "member").distinct()
-    sizes = m.groupBy("set_id").agg(F.count(F.lit(1)).alias("size"))
-    n_sets = sizes.count()
-    if n_sets > max_sets:
-        raise ValueError(f"{n_sets} sets; pairwise comparison is meant for at most {max_sets}")
-    order = sizes.withColumn("idx", (F.row_number().over(Window.orderBy("set_id")) - 1).cast("int"))
-    coded = m.join(order.select("set_id", "idx"), "set_id").groupBy("member").agg(F.sort_array(F.collect_list("idx")).alias("sets"))
+    blocks = -(-n_sets // SET_BLOCK)
+
+    def part(b: Column) -> Column:
+        return F.filter("sets", lambda x: F.floor(x / SET_BLOCK) == b)
+
+    have = F.array_sort(F.array_distinct(F.transform("sets", lambda x: F.floor(x / SET_BLOCK).cast("int"))))
+    t = coded.withColumn("bi", F.explode(have)).withColumn("_have", have)
+    t = t.withColumn("bj", F.explode(F.filter("_have", lambda x: x >= F.col("bi")))).select("bi", "bj", part(F.col("bi")).alias("a"), part(F.col("bj")).alias("b"), F.pmod(F.xxhash64("member"), F.lit(_TILE_SALTS)).alias("salt"))
+    if blocks > 1:
+        t = t.repartition("bi", "bj", "salt").sortWithinPartitions("bi", "bj")
 
     def count(batches):
-        acc = np.zeros((n_sets, n_sets), dtype=np.int64)
+        tile, acc = None, None
+
+        def done():
+            i, j = np.nonzero(acc)
+            i, j, n = i + tile[0] * SET_BLOCK, j + tile[1] * SET_BLOCK, acc[i, j]
+            keep = i < j
+            return pd.DataFrame({"i": i[keep].astype(np.int32), "j": j[keep].astype(np.int32), "n": n[keep].astype(np.int64)})
+
         for b in batches:
-            inc = np.zeros((len(b), n_sets), dtype=np.float32)
-            for r, s in enumerate(b["sets"]):
-                inc[r, s] = 1.0
-            acc += np.rint(inc.T @ inc).astype(np.int64)
-        i, j = np.triu_indices(n_sets, 1)
-        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "n": acc[i, j]})
-
-    inter = coded.select("sets").mapInPandas(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+            for key, rows in b.groupby(["bi", "bj"], sort=True):
+                if key != tile:
+                    if tile is not None:
+                        yield done()
+                    tile, acc = key, np.zeros((SET_BLOCK, SET_BLOCK))
+                for start in range(0, len(rows), 1_024):
+                    cut = rows.iloc[start:start + 1_024]
+                    left, right = (np.zeros((len(cut), SET_BLOCK), dtype=np.float32) for _ in range(2))
+                    for r, (x, y) in enumerate(zip(cut["a"], cut["b"])):
+                        left[r, np.asarray(x) - key[0] * SET_BLOCK] = 1.0
+                        right[r, np.asarray(y) - key[1] * SET_BLOCK] = 1.0
+                    acc += left.T @ right
+        if tile is not None:
+            yield done()
+
+    return t.drop("salt").mapInPandas(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
+
+
+def set_variation(members: DataFrame) -> DataFrame:
+    """Sizes, pairwise Jaccard summary, union, core and singletons over (set_id, member); one row.
+
+    Pairs of sets that share nothing are only counted, not listed.
+    """
+    m = members.select("set_id", "member").distinct()
+    order = ranked(m.groupBy("set_id").agg(F.count(F.lit(1)).alias("size")), [], [F.col("set_id")], "idx")
+    order = cut_lineage(order.select("set_id", "size", (F.col("idx") - 1).cast("int").alias("idx")))
+    n_sets = order.count()
+    coded = m.join(order.select("set_id", "idx"), "set_id").groupBy("member").agg(F.collect_list("idx").alias("sets"))
+    inter = _co_occurrence(coded, n_sets)
     a = order.select(F.col("idx").alias("i"), F.col("size").alias("si"))
     b = order.select(F.col("idx").alias("j"), F.col("size").alias("sj"))
     jac = inter.join(a, "i").join(b, "j").select((F.col("n") / (F.col("si") + F.col("sj") - F.col("n"))).alias("jaccard"))
-    med = exact_quantiles(jac, [], "jaccard", {"jaccard_median": 0.5})
-    pairs = jac.agg(F.avg("jaccard").alias("jaccard_mean"), F.min("jaccard").alias("jaccard_min"), F.max("jaccard").alias("jaccard_max"),
-                    F.avg((F.col("jaccard") > 0.8).cast("double")).alias("share_over_08"))
-    size = sizes.agg(F.count(F.lit(1)).alias("n_sets"), F.avg("size").alias("size_mean"), F.min("size").alias("size_min"), F.max("size").alias("size_max"))
+    counted = cut_lineage(jac.groupBy("jaccard").agg(F.count(F.lit(1)).alias("w")))
+    apart = counted.agg(F.lit(0.0).alias("jaccard"), (F.lit(n_sets * (n_sets - 1) // 2) - F.coalesce(F.sum("w"), F.lit(0))).cast("long").alias("w"))
+    every = counted.unionByName(apart).where(F.col("w") > 0)
+    w, j = F.col("w"), F.col("jaccard")
+    pairs = every.agg((F.sum(w * j) / F.sum(w)).alias("jaccard_mean"), F.min(j).alias("jaccard_min"), F.max(j).alias("jaccard_max"), (F.sum(F.when(j > 0.8, w).otherwise(0)) / F.sum(w)).alias("share_over_08"))
+    out = order.agg(F.count(F.lit(1)).alias("n_sets"), F.avg("size").alias("size_mean"), F.min("size").alias("size_min"), F.max("size").alias("size_max"))
     use = m.groupBy("member").agg(F.count(F.lit(1)).alias("k")).agg(
         F.count(F.lit(1)).alias("union_size"), F.count_if(F.col("k") == n_sets).alias("core_size"), F.count_if(F.col("k") == 1).alias("singletons"))
-    out = size
-    for part in (pairs, med, use):
+    for part in (pairs, exact_quantiles(every, [], "jaccard", {"jaccard_median": 0.5}, weight="w"), use):
         out = attach_row(out, part)
     return out.withColumn("informative", (F.col("n_sets") >= 2) & (F.col("jaccard_mean") < 0.8))
 

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortgrid.operators.scans import Scan, attach_row, fits_one_task, keep_first, ranked, running
+from cohortgrid.operators.blocks import dense, meet
+from cohortgrid.operators.scans import Scan, attach_row, keep_first, ranked, running
 from cohortgrid.operators.stats import rank_sums
 
 BIC_WINDOW = 10.0
@@ -82,45 +83,24 @@ def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> Da
     return out if keys else out.drop("_k")
 
 
-BLOCK_VALUES = 500_000
-_SALTS = 64
-
-
 def silhouette(df: DataFrame, vec: str = "vec", label: str = "cluster", id_col: str = "id") -> DataFrame:
     """Mean Euclidean silhouette, exact.
 
-    Points are packed into blocks of bounded size; each point meets each block and hands on one sum
-    of distances per cluster, never the distances themselves.
+    See `meet`: each meeting of points hands on one sum of distances per point and cluster, never the
+    distances themselves.
     """
-    dim, n = df.select(F.max(F.size(vec)), F.count(F.lit(1))).first()
-    labels = [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
-    blocks = max(1, -(-int(n) * int(dim) // BLOCK_VALUES))
-    salts = 1 if fits_one_task(df) else _SALTS
-    pts = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"), F.col(label).alias("label"))
-    packed = pts.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("vec", "label")).alias("pts"))
-    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = pts.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(salts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     t_id, t_label = dict(df.dtypes)[id_col], dict(df.dtypes)[label]
+    pts = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"), F.col(label).alias("label"))
+
+    def sums(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        q, m, lab = dense(part["vec"]), dense(block["vec"]), block["label"].to_numpy()
+        dist = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * q @ m.T, 0.0))
+        dist[part["id"].to_numpy()[:, None] == block["id"].to_numpy()[None, :]] = 0.0
+        return pd.concat([
+            pd.DataFrame({"id": part["id"].to_numpy(), "label": part["label"].to_numpy(), "other": x, "dist": dist[:, lab == x].sum(1), "cnt": int((lab == x).sum())})
+            for x in np.unique(lab)], ignore_index=True)
 
-    def sums(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or r.empty:
-            return pd.DataFrame({"id": [], "label": [], "other": [], "dist": [], "cnt": []})
-        rows = r["pts"].iloc[0]
-        mat = np.array([x["vec"] for x in rows], dtype=float)
-        lab = np.array([x["label"] for x in rows])
-        out = []
-        for start in range(0, len(q), 2048):
-            part = q.iloc[start:start + 2048]
-            qm = np.array(part["vec"].tolist(), dtype=float)
-            d2 = (qm * qm).sum(1)[:, None] + (mat * mat).sum(1)[None, :] - 2 * qm @ mat.T
-            dist = np.sqrt(np.maximum(d2, 0.0))
-            for x in labels:
-                at = lab == x
-                if at.any():
-                    out.append(pd.DataFrame({"id": part["id"].to_numpy(), "label": part["label"].to_numpy(), "other": x, "dist": dist[:, at].sum(1), "cnt": int(at.sum())}))
-        return pd.concat(out, ignore_index=True)
-
-    met = left.groupBy("block", "salt").cogroup(packed.groupBy("block", "salt")).applyInPandas(sums, f"id {t_id}, label {t_label}, other {t_label}, dist double, cnt long")
+    met = meet(pts, pts, sums, f"id {t_id}, label {t_label}, other {t_label}, dist double, cnt long")
     per = met.groupBy("id", "label", "other").agg(F.sum("dist").alias("d"), F.sum("cnt").alias("c"))
     own = F.max(F.when(F.col("label") == F.col("other"), F.when(F.col("c") > 1, F.col("d") / (F.col("c") - 1))))
     near = F.min(F.when(F.col("label") != F.col("other"), F.col("d") / F.col("c")))

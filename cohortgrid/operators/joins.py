@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cohortgrid.functions import cleaning as C
 from cohortgrid.functions.vocabulary import CATEGORY_ORDER
+from cohortgrid.operators.blocks import meet, unit_rows
 from cohortgrid.operators.scans import Scan, exact_quantiles, keep_first, medians, ranked, running, top_k
 
 
@@ -163,63 +164,26 @@ def comparator_table(comparators: DataFrame, list1: DataFrame, list2: DataFrame,
     return out.withColumn("position", F.row_number().over(w)).drop("_order")
 
 
-BLOCK_VALUES = 2_000_000
-_SALTS = 64
-
-
 def nearest_references(queries: DataFrame, references: DataFrame, k: int = 5, id_col: str = "id", vec: str = "vec") -> DataFrame:
-    """The k references with the highest cosine per query: (query_id, ref_id, similarity, rank).
+    """The k references with the highest cosine per query: (query_id, ref_id, similarity, rank), exact.
 
-    References are packed into blocks of bounded size. Every query meets every block, because the
-    answer is exact, but each meeting hands on k rows at most, and queries are spread over salts so
-    that no block becomes one task. Within a task a block is one matrix product.
+    See `meet`: every query is compared with every reference as matrix products, and each meeting hands
+    on k rows at most.
     """
-    dim, n = references.select(F.max(F.size(vec)), F.count(F.lit(1))).first()
-    if not n:
-        raise ValueError("no reference rows")
-    blocks = max(1, -(-int(n) * int(dim) // BLOCK_VALUES))
-    many = not _is_small(queries)
-    salts = _SALTS if many else 1
-    packed = references.groupBy(F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("block")).agg(
-        F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"))).alias("refs"))
-    packed = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    left = queries.select(F.col(id_col).alias("query_id"), F.col(vec).cast("array<double>").alias("query_vec"),
-                          F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("salt"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    ref_type = dict(references.dtypes)[id_col]
-    query_type = dict(queries.dtypes)[id_col]
-
-    def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], "ref_id": [], "similarity": []})
-        if q.empty or r.empty:
-            return empty
-        refs = r["refs"].iloc[0]
-        ids = np.array([x["id"] for x in refs])
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        mat = np.array([refs[i]["vec"] for i in order], dtype=float)
-        mat = mat / np.maximum(np.linalg.norm(mat, axis=1, keepdims=True), 1e-300)
-        out = []
-        for start in range(0, len(q), 4096):
-            part = q.iloc[start:start + 4096]
-            qm = np.array(part["query_vec"].tolist(), dtype=float)
-            qm = qm / np.maximum(np.linalg.norm(qm, axis=1, keepdims=True), 1e-300)
-            sim = qm @ mat.T
-            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), top.shape[1])
-            cols = top.ravel()
-            out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[rows], "ref_id": ids[cols], "similarity": sim[rows, cols]}))
-        return pd.concat(out, ignore_index=True)
-
-    best = left.groupBy("block", "salt").cogroup(packed.groupBy("block", "salt")).applyInPandas(
-        score, f"query_id {query_type}, ref_id {ref_type}, similarity double")
-    return top_k(best, ["query_id"], [F.col("similarity").desc(), F.col("ref_id")], k)
-
-
-def _is_small(df: DataFrame) -> bool:
-    from cohortgrid.operators.scans import fits_one_task
-
-    return fits_one_task(df)
+    ref_type, query_type = dict(references.dtypes)[id_col], dict(queries.dtypes)[id_col]
+    q = queries.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    r = references.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+
+    def score(part: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
+        refs = refs.sort_values("id", kind="stable")
+        ids, mat, qm = refs["id"].to_numpy(), unit_rows(refs["vec"]), unit_rows(part["vec"])
+        sim = qm @ mat.T
+        top = np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :k]
+        rows, cols = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
+        return pd.DataFrame({"query_id": part["id"].to_numpy()[rows], "ref_id": ids[cols], "similarity": sim[rows, cols]})
+
+    best = meet(q, r, score, f"query_id {query_type}, ref_id {ref_type}, similarity double")
+    return top_k(best, ["query_id"], [F.round("similarity", 12).desc(), F.col("ref_id")], k)
 
 
 def interpolate_at(rows: DataFrame, knots: DataFrame, x: str, keys: Sequence[str] = (), **kw) -> DataFrame:

@@ -169,23 +169,48 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: st
     return running(df, keys, order, {rank: Scan("sum", one)}, {total: one} if total else None, **kw)
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weights: dict[str, Column] | None = None, **kw) -> DataFrame:
-    """One row per (key, distinct value): number of ties, tie-averaged rank, rows in the group.
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """Rows per (key, distinct value), counted before the shuffle; `weight` stands for that many rows."""
+    ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    n = F.sum(F.col(weight).cast("long")) if weight else F.count(F.lit(1))
+    return ok.groupBy(*keys, value).agg(n.alias("n_ties"))
 
-    `weights` are further columns to aggregate per distinct value.
-    """
-    d = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("n_ties"), *[c.alias(n) for n, c in (weights or {}).items()])
-    )
+
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, **kw) -> DataFrame:
+    """One row per (key, distinct value): number of ties, tie-averaged rank, rows in the group."""
+    return _ranks(value_counts(df, keys, value), keys, value, **kw)
+
+
+def _ranks(d: DataFrame, keys: Sequence[str], value: str, **kw) -> DataFrame:
     r = running(d, keys, [F.col(value)], {"n_upto": Scan("sum", F.col("n_ties"))}, {"n_group": F.col("n_ties")}, **kw)
     return r.withColumn("avg_rank", F.col("n_upto") - (F.col("n_ties") - 1) / 2.0)
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count: str | None = None, **kw) -> DataFrame:
-    """Exact linearly interpolated quantiles per key; no group is gathered in one place."""
-    r = average_ranks(df, keys, value, **kw)
+def _built_in(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count: str | None, weight: Column) -> DataFrame:
+    ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    q = F.percentile(F.col(value).cast("double"), [float(p) for p in probs.values()], weight).alias("_q")
+    g = ok.groupBy(*keys).agg(q, F.sum(weight).alias("_n"))
+    return g.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)], *([F.col("_n").alias(count)] if count else []))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count: str | None = None, weight: str | None = None, rows_per_bucket: int | None = None) -> DataFrame:
+    """Exact linearly interpolated quantiles per key; `weight` stands for that many equal rows.
+
+    The built-in aggregate keeps all distinct values of a group in one task, so it is used only for
+    inputs known to fit one. Others are counted per distinct value, written once, and read off the
+    cumulative counts without gathering a group anywhere.
+    """
+    unit = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    if rows_per_bucket is None:
+        if fits_one_task(df):
+            return _built_in(df, keys, value, probs, count, unit)
+        d = cut_lineage(value_counts(df, keys, value, weight))
+        if fits_one_task(d):
+            return _built_in(d, keys, value, probs, count, F.col("n_ties"))
+        rows_per_bucket = ROWS_PER_BUCKET
+    else:
+        d = value_counts(df, keys, value, weight)
+    r = _ranks(d, keys, value, rows_per_bucket=rows_per_bucket)
     picks = []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("n_group") - 1)
@@ -206,6 +231,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], count: str | None = None, **kw) -> DataFrame:
     """Exact medians of several columns: the columns become rows, so one pass serves all of them."""
+    if "rows_per_bucket" not in kw and fits_one_task(df):
+        mids = [F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), 0.5).alias(c) for c in columns]
+        return df.groupBy(*keys).agg(*([F.count(F.lit(1)).alias(count)] if count else []), *mids)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in columns])).alias("_p")
     stacked = df.select(*keys, pairs).select(*keys, "_p.*")
     q = exact_quantiles(stacked, [*keys, "_col"], "_val", {"_med": 0.5}, **kw)
@@ -233,7 +261,7 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
         out = ranked(df, keys, order, rank)
         return out.where(F.col(rank) <= k)
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w).cast("long")).where(F.col(rank) <= k)
+    return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
 def bh_q(df: DataFrame, keys: Sequence[str], p: str, ties: Sequence[str], q: str = "q", **kw) -> DataFrame:

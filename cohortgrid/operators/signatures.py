@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -346,7 +346,8 @@ def fingerprints(pairs: DataFrame, a: str, b: str, n_axes: int = 5, shared_by: S
     cut = F.zip_with(F.slice(a, 1, n_axes), F.slice(b, 1, n_axes), lambda x, y: F.coalesce(x * y, F.lit(0.0)))
     d = pairs.withColumn("_c", cut).withColumn("_peak", F.array_max(F.transform("_c", lambda x: F.abs(x))))
     if shared_by:
-        d = d.withColumn("_peak", F.max("_peak").over(Window.partitionBy(*shared_by)))
+        top = d.groupBy(*shared_by).agg(F.max("_peak").alias("_peak"))
+        d = d.drop("_peak").join(top, list(shared_by))
     peak = F.when(F.coalesce("_peak", F.lit(0.0)) > 0, F.col("_peak")).otherwise(1.0)
     scaled = F.transform("_c", lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x / peak)))
     padded = F.slice(F.concat(scaled, F.array_repeat(F.lit(0.0), n_axes)), 1, n_axes)

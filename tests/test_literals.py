@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cohortgrid.functions import cleaning as C
 from cohortgrid.functions import text as X
 from cohortgrid.operators import aggregates as A
+from cohortgrid.operators import blocks as B
 from cohortgrid.operators import evaluation as V
 from cohortgrid.operators import governance as G
 from cohortgrid.operators import joins as J
@@ -205,11 +206,13 @@ def test_inverse_normal_centre_and_order(spark):
     assert z == sorted(z) and z[2] == pytest.approx(0.0, abs=1e-12) and z[0] == pytest.approx(-z[4])
 
 
-def test_nearest_references_with_many_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("shared", [10_000, 1])
+def test_nearest_references_shared_and_tiled(spark, monkeypatch, shared):
     rng = np.random.default_rng(2)
     q, r = rng.normal(size=(30, 6)), rng.normal(size=(50, 6))
     mk = lambda m: spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "id int, vec array<double>")
-    monkeypatch.setattr(J, "BLOCK_VALUES", 60)
+    monkeypatch.setattr(B, "SHARED_VALUES", shared)
+    monkeypatch.setattr(B, "TILE_VALUES", 60)
     got = J.nearest_references(mk(q), mk(r), 3).toPandas().sort_values(["query_id", "rank"])
     sim = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ (r / np.linalg.norm(r, axis=1, keepdims=True)).T
     want = np.argsort(-sim, axis=1)[:, :3].ravel()
@@ -230,3 +233,30 @@ def test_numbers_are_grounded_at_the_quoted_precision(spark):
     texts = spark.createDataFrame([(1, 1, "p = 0.038, share 62%, n = 1082, made up 0.0021 and 77")], "text_id int, context_id int, text string")
     ctx = spark.createDataFrame([(1, 0.03797, None), (1, 0.62, None), (1, 1082.0, None), (1, 0.002, None)], "context_id int, value double, label string")
     assert unsupported_numbers(texts, ctx).first()["unsupported_numbers"] == ["0.0021", "77"]
+
+
+@pytest.mark.parametrize("shared", [10_000, 1])
+def test_silhouette_shared_and_tiled(spark, monkeypatch, shared):
+    rng = np.random.default_rng(8)
+    x, lab = rng.normal(size=(60, 3)), rng.integers(0, 3, 60)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    want = []
+    for i in range(60):
+        a = d[i, lab == lab[i]].sum() / ((lab == lab[i]).sum() - 1)
+        b = min(d[i, lab == g].mean() for g in range(3) if g != lab[i])
+        want.append((b - a) / max(a, b))
+    monkeypatch.setattr(B, "SHARED_VALUES", shared)
+    monkeypatch.setattr(B, "TILE_VALUES", 50)
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(g)) for i, (r, g) in enumerate(zip(x, lab))], "id int, vec array<double>, cluster int")
+    assert V.silhouette(df).first()["silhouette"] == pytest.approx(np.mean(want))
+
+
+@pytest.mark.parametrize("block", [2048, 4])
+def test_set_variation_in_one_and_many_tiles(spark, monkeypatch, block):
+    rng = np.random.default_rng(9)
+    sets = {i: set(rng.choice(40, size=rng.integers(1, 15), replace=False).tolist()) for i in range(18)}
+    js = [len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(18) for j in range(i + 1, 18)]
+    monkeypatch.setattr(A, "SET_BLOCK", block)
+    r = A.set_variation(spark.createDataFrame([(i, int(m)) for i, s in sets.items() for m in s], "set_id int, member int")).first()
+    assert r["jaccard_mean"] == pytest.approx(np.mean(js)) and r["jaccard_median"] == pytest.approx(np.median(js))
+    assert r["jaccard_min"] == pytest.approx(min(js)) and r["jaccard_max"] == pytest.approx(max(js))
