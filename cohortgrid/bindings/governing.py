@@ -130,8 +130,8 @@ def _(spark, folder):
 
 
 @query("gov_08_registry", """
-WITH seed AS (SELECT lower(p_name) AS c, min(p_type) AS et, 'investigational' AS st, 'exploratory_only' AS ac FROM part WHERE p_size > 20 GROUP BY 1), ex AS (SELECT lower(p_name) AS c, max(p_size / 10.0::DOUBLE) AS mp, bool_or(p_retailprice > 2850) AS w, array_to_string(list_sort(list(DISTINCT 'CH' || (p_partkey % 7))), ';') AS ch FROM part WHERE p_size <= 25 GROUP BY 1), off AS (SELECT DISTINCT lower(p_name) AS c FROM part WHERE p_partkey % 300 = 5),
-ap AS (SELECT c, et, rv FROM (SELECT lower(p_name) AS c, p_type AS et, 'r' || p_partkey AS rv, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey DESC) AS rn FROM part WHERE p_partkey % 40 = 3) WHERE rn = 1 UNION ALL SELECT 'brand new', 'approved_drug', 'rx'),
+WITH seed AS (SELECT lower(p_name) AS c, min(p_type) AS et, 'investigational' AS st, 'exploratory_only' AS ac FROM part WHERE p_size > 20 GROUP BY 1), ex AS (SELECT lower(p_name) AS c, max(p_size / 10.0::DOUBLE) AS mp, bool_or(p_retailprice > 2850) AS w, array_to_string(list_sort(list(DISTINCT 'CH' || (p_partkey % 7))), ';') AS ch FROM part WHERE p_size <= 25 GROUP BY 1), off AS (SELECT DISTINCT lower(p_name) AS c FROM part WHERE p_retailprice < 902),
+ap AS (SELECT c, et, rv FROM (SELECT lower(p_name) AS c, p_type AS et, 'r' || p_partkey AS rv, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey DESC) AS rn FROM part WHERE p_size = 7) WHERE rn = 1 UNION ALL SELECT 'brand new', 'approved_drug', 'rx'),
 ids AS (SELECT lower(p_name) AS c, array_to_string(list_sort(list(DISTINCT 'P' || (p_partkey % 50)) FILTER (WHERE p_partkey % 9 > 0)), ';') AS pt, array_to_string(list_sort(list(DISTINCT CASE WHEN p_partkey % 5 = 0 THEN 'nan' ELSE 'K' || (p_partkey % 60) END) FILTER (WHERE p_partkey % 5 > 0)), ';') AS ik FROM part GROUP BY 1),
 b AS (SELECT seed.c, CASE WHEN coalesce(w, false) THEN 'withdrawn' ELSE seed.et END AS et, CASE WHEN coalesce(w, false) THEN 'withdrawn' ELSE st END AS st, CASE WHEN coalesce(w, false) THEN 'technical_excluded' ELSE ac END AS ac, coalesce(w, false) OR off.c IS NOT NULL AS wd, mp, ch FROM seed LEFT JOIN ex ON ex.c = seed.c LEFT JOIN off ON off.c = seed.c)
 SELECT coalesce(b.c, ap.c) AS canonical, coalesce(ap.et, b.et) AS entity_type, CASE WHEN ap.c IS NOT NULL THEN 'approved_oncology' ELSE b.st END AS human_development_status, CASE WHEN ap.c IS NOT NULL THEN 'default_visible' ELSE b.ac END AS display_action, coalesce(wd, false) AS withdrawn_or_discontinued, mp AS max_clinical_phase, coalesce(ch, '') AS chembl_ids, coalesce(pt, '') AS lincs_pert_ids, coalesce(ik, '') AS inchi_keys, rv AS reviewed_by
@@ -141,8 +141,8 @@ def _(spark, folder):
     k = F.col("p_partkey")
     seed = p.where(F.col("p_size") > 20).groupBy(F.lower("p_name").alias("canonical")).agg(F.min("p_type").alias("entity_type")).select("canonical", "entity_type", F.lit("investigational").alias("human_development_status"), F.lit("exploratory_only").alias("display_action"))
     ext = p.where(F.col("p_size") <= 25).select(F.upper("p_name").alias("name"), (F.col("p_size") / 10.0).alias("max_phase"), (F.col("p_retailprice") > 2850).alias("withdrawn"), F.concat(F.lit("CH"), (k % 7).cast("string")).alias("chembl_id"))
-    off = p.where(k % 300 == 5).select(F.col("p_name").alias("name"))
-    ap = p.where(k % 40 == 3).select(F.col("p_name").alias("canonical"), F.col("p_type").alias("entity_type"), F.lit("approved_oncology").alias("human_development_status"), F.lit("default_visible").alias("display_action"), F.concat(F.lit("r"), k.cast("string")).alias("reviewer"), k.alias("reviewed_at"))
+    off = p.where(F.col("p_retailprice") < 902).select(F.col("p_name").alias("name"))
+    ap = p.where(F.col("p_size") == 7).select(F.col("p_name").alias("canonical"), F.col("p_type").alias("entity_type"), F.lit("approved_oncology").alias("human_development_status"), F.lit("default_visible").alias("display_action"), F.concat(F.lit("r"), k.cast("string")).alias("reviewer"), k.alias("reviewed_at"))
     new = p.where(k == 0).select(F.lit("Brand New").alias("canonical"), F.lit("approved_drug").alias("entity_type"), F.lit("approved_oncology").alias("human_development_status"), F.lit("default_visible").alias("display_action"), F.lit("rx").alias("reviewer"), k.alias("reviewed_at"))
     ids = p.select(F.col("p_name").alias("name"), F.when(k % 9 > 0, F.concat(F.lit("P"), (k % 50).cast("string"))).otherwise("").alias("pert_id"), F.when(k % 5 == 0, "nan").otherwise(F.concat(F.lit("K"), (k % 60).cast("string"))).alias("inchi_key"))
     out = G.build_registry(seed, ext, off, ap.unionByName(new), ids)
@@ -163,36 +163,37 @@ def _(spark, folder):
 
 
 @query("gov_10_strongest_tier", """
-WITH e AS (SELECT 'g' || lpad(CAST(l_partkey % 70 AS VARCHAR), 2, '0') AS symbol, CASE l_returnflag WHEN 'A' THEN 'established' WHEN 'R' THEN 'investigational' ELSE 'not_established' END AS tier, l_linestatus AS source, l_orderkey * 100 + l_linenumber AS position, l_extendedprice FROM lineitem WHERE l_quantity > 48), s AS (SELECT symbol, tier, source FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE tier WHEN 'established' THEN 2 WHEN 'investigational' THEN 1 ELSE 0 END DESC, position, l_extendedprice) AS rn FROM e) WHERE rn = 1),
+WITH e AS (SELECT 'g' || lpad(CAST(l_partkey % 70 AS VARCHAR), 2, '0') AS symbol, CASE WHEN l_returnflag = 'A' AND l_quantity > 49 AND l_discount > 0.08 THEN 'established' WHEN l_returnflag = 'R' AND l_quantity > 49 THEN 'investigational' ELSE 'not_established' END AS tier, l_linestatus AS source, l_orderkey * 100 + l_linenumber AS position, l_extendedprice FROM lineitem), s AS (SELECT symbol, tier, source FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY CASE tier WHEN 'established' THEN 2 WHEN 'investigational' THEN 1 ELSE 0 END DESC, position, l_extendedprice) AS rn FROM e) WHERE rn = 1),
 f AS (SELECT DISTINCT 'g' || lpad(CAST(pos AS VARCHAR), 2, '0') AS feature FROM (SELECT generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings))
 SELECT feature, coalesce(tier, 'not_established') AS evidence_tier, source AS evidence_source FROM f LEFT JOIN s ON s.symbol = f.feature""")
 def _(spark, folder):
     from cohortgrid.bindings.testing import features
 
-    li = table(spark, folder, "lineitem").where(F.col("l_quantity") > 48)
-    tier = F.when(F.col("l_returnflag") == "A", "established").when(F.col("l_returnflag") == "R", "investigational").otherwise("not_established")
+    li = table(spark, folder, "lineitem")
+    top = F.col("l_quantity") > 49
+    tier = F.when((F.col("l_returnflag") == "A") & top & (F.col("l_discount") > 0.08), "established").when((F.col("l_returnflag") == "R") & top, "investigational").otherwise("not_established")
     e = li.select(F.concat(F.lit("g"), F.lpad((F.col("l_partkey") % 70).cast("string"), 2, "0")).alias("symbol"), tier.alias("tier"), F.col("l_linestatus").alias("source"), F.lit("gene").alias("kind"),
                   F.struct((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("a"), F.col("l_extendedprice").alias("b")).alias("position"))
     return G.tier_features(features(spark, folder), G.strongest_tier(e))
 
 
 @query("gov_10_compound_tiers", """
-WITH ph AS (SELECT c, phase FROM (SELECT lower(p_name) AS c, p_type AS phase, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS rn FROM part WHERE p_size > 35) WHERE rn = 1), soc AS (SELECT DISTINCT lower(p_name) AS c FROM part WHERE p_partkey % 90 = 1)
+WITH ph AS (SELECT c, phase FROM (SELECT lower(p_name) AS c, p_type AS phase, row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) AS rn FROM part WHERE p_size > 35) WHERE rn = 1), soc AS (SELECT DISTINCT lower(p_name) AS c FROM part WHERE p_retailprice < 905)
 SELECT p_partkey, lower(p_name) AS canonical, CASE WHEN lower(p_name) IN (SELECT c FROM soc) THEN 'standard_of_care' WHEN phase = 'ECONOMY' THEN 'repurposing' WHEN phase = 'PROMO' THEN 'investigational' ELSE 'unresolved' END AS evidence_tier, CASE WHEN lower(p_name) IN (SELECT c FROM soc) THEN 'curated_list' WHEN phase IN ('ECONOMY', 'PROMO') THEN 'development_phase' ELSE 'no_status_found' END AS evidence_reason FROM part LEFT JOIN ph ON ph.c = lower(p_name)""")
 def _(spark, folder):
     p = table(spark, folder, "part")
-    cur = p.where(F.col("p_partkey") % 90 == 1).select(F.col("p_name").alias("drug"))
+    cur = p.where(F.col("p_retailprice") < 905).select(F.col("p_name").alias("drug"))
     ph = p.where(F.col("p_size") > 35).select(F.col("p_name").alias("name"), F.col("p_type").alias("phase"), F.col("p_partkey").alias("position"))
     return G.tier_compounds(p.select("p_partkey", F.col("p_name").alias("drug")), cur, ph, {"economy": "repurposing", "promo": "investigational"}).select("p_partkey", "canonical", "evidence_tier", "evidence_reason")
 
 
 @query("gov_11_known_answers", f"""
-WITH {LISTS}, r AS (SELECT l_suppkey % 5 AS cluster, lower(canonical) AS canonical FROM d WHERE l_discount > 0.09 AND l_quantity > 45), ro AS (SELECT unnest([0,1,2,3,4]) AS cluster, unnest(['er_high','her2_amplified','er_high','other','basal']) AS role), wl AS (SELECT 'er_high' AS role, unnest(['old gear 1', 'small ring 5', 'blue anvil 7', 'nothing']) AS c UNION ALL SELECT 'her2_amplified', unnest(['absent one', 'red widget 99']))
+WITH {LISTS}, r AS (SELECT l_suppkey % 5 AS cluster, lower(canonical) AS canonical FROM d), ro AS (SELECT unnest([0,1,2,3,4]) AS cluster, unnest(['er_high','her2_amplified','er_high','other','basal']) AS role), wl AS (SELECT 'er_high' AS role, unnest(['old gear 1', 'small ring 5', 'blue anvil 7', 'nothing']) AS c UNION ALL SELECT 'her2_amplified', unnest(['absent one', 'red widget 99']))
 SELECT cluster, role, coalesce((SELECT array_to_string(list_sort(list(DISTINCT c)), ';') FROM wl WHERE wl.role = ro.role AND c IN (SELECT canonical FROM r WHERE r.cluster = ro.cluster)), '') AS hits, role NOT IN (SELECT role FROM wl) OR EXISTS (SELECT 1 FROM wl WHERE wl.role = ro.role AND c IN (SELECT canonical FROM r WHERE r.cluster = ro.cluster)) AS passed FROM ro""")
 def _(spark, folder):
     from cohortgrid.bindings.tables import drug_rows
 
-    d = drug_rows(spark, folder).where((F.col("l_discount") > 0.09) & (F.col("l_quantity") > 45))
+    d = drug_rows(spark, folder)
     roles = table(spark, folder, "region").select(F.col("r_regionkey").cast("long").alias("cluster"), pick(["er_high", "her2_amplified", "er_high", "other", "basal"], F.col("r_regionkey")).alias("role"))
     lists = {"er_high": ["old gear 1", "small ring 5", "blue anvil 7", "nothing"], "her2_amplified": ["absent one", "red widget 99"]}
     out = G.known_answers(d.select((F.col("l_suppkey") % 5).alias("cluster"), "canonical"), roles, lists)

@@ -149,7 +149,7 @@ def _(spark, folder):
 WITH {LISTS}, ref AS (SELECT canonical, drug, rank AS drug_rank, percentile FROM (SELECT *, row_number() OVER (ORDER BY reversal_score DESC, canonical) AS rank, 1.0 - (row_number() OVER (ORDER BY reversal_score DESC, canonical) - 1.0) / greatest(count(*) OVER () - 1, 1) AS percentile
    FROM (SELECT canonical, canonical AS drug, round(avg(l_discount * l_quantity), 9) AS reversal_score FROM d WHERE l_returnflag = 'N' GROUP BY 1))),
 cat AS (SELECT canonical, ['Chemotherapy','PARP inhibitor','Endocrine therapy','CDK4/6 inhibitor','PI3K/AKT/mTOR inhibitor','HER2-targeted small molecule'][CAST(p % 6 AS INTEGER) + 1] AS category, p % 6 AS o
-   FROM (SELECT lower(concat(p_name, ' ', p_partkey % 50)) AS canonical, min(p_partkey) AS p FROM part GROUP BY 1) WHERE p % 7 = 0),
+   FROM (SELECT lower(concat(p_name, ' ', p_partkey % 50)) AS canonical, min(p_partkey) AS p FROM part GROUP BY 1 HAVING min(p_type) = 'ECONOMY')),
 j AS (SELECT coalesce(a.drug, b.drug, r.drug) AS drug, c.canonical, category, coalesce(a.rank, r.drug_rank) AS list1_rank, b.rank AS list2_rank, coalesce(a.percentile, r.percentile) AS list1_percentile, b.percentile AS list2_percentile,
   CASE WHEN a.rank IS NOT NULL AND b.rank IS NOT NULL THEN least(a.percentile, b.percentile) END AS dual, a.rank IS NOT NULL AND b.rank IS NOT NULL AS present_in_both_lists, o
   FROM cat c LEFT JOIN l1 a USING (canonical) LEFT JOIN l2 b ON b.canonical = c.canonical LEFT JOIN ref r ON r.canonical = c.canonical WHERE coalesce(a.rank, b.rank, r.drug_rank) IS NOT NULL)
@@ -166,7 +166,7 @@ def _(spark, folder):
 def comparators(spark, folder):
     p = table(spark, folder, "part")
     name = F.lower(F.concat(F.col("p_name"), F.lit(" "), (F.col("p_partkey") % 50).cast("string")))
-    c = p.groupBy(name.alias("canonical")).agg(F.min("p_partkey").alias("_p")).where(F.col("_p") % 7 == 0)
+    c = p.groupBy(name.alias("canonical")).agg(F.min("p_partkey").alias("_p"), F.min("p_type").alias("_t")).where(F.col("_t") == "ECONOMY")
     return c.select("canonical", F.element_at(F.array(*[F.lit(x) for x in CATEGORY_ORDER]), (F.col("_p") % 6 + 1).cast("int")).alias("category"))
 
 
@@ -225,13 +225,13 @@ SCREEN = """sc AS (SELECT s_suppkey, s_name AS line_name, lower(p_name) AS canon
 
 
 @query("jn_16_screen_curves", f"""
-WITH {SCREEN}, w AS (SELECT DISTINCT lower(p_name) AS canonical FROM part WHERE p_partkey % 3 = 0), pk AS (SELECT lower(p_name) AS canonical, min(p_retailprice) AS cmax_nm FROM part GROUP BY 1)
+WITH {SCREEN}, w AS (SELECT DISTINCT lower(p_name) AS canonical FROM part WHERE p_size > 20), pk AS (SELECT lower(p_name) AS canonical, min(p_retailprice) AS cmax_nm FROM part GROUP BY 1)
 SELECT line_name AS line_id, canonical, round(exp(median(ln_ic50)) * 1000, 4) AS ic50_nm, round(median(min_conc) * 1000, 6) AS min_conc_nm, round(median(max_conc) * 1000, 6) AS max_conc_nm, round(median(auc), 6) AS auc, any_value(cmax_nm) AS cmax_nm
 FROM sc JOIN w USING (canonical) LEFT JOIN pk USING (canonical) GROUP BY 1, 2""")
 def _(spark, folder):
     p = table(spark, folder, "part")
     near = table(spark, folder, "supplier").select(F.col("s_name").alias("line_id"))
-    out = J.attach_screen(near, screen(spark, folder), p.where(F.col("p_partkey") % 3 == 0).select(F.col("p_name").alias("drug")),
+    out = J.attach_screen(near, screen(spark, folder), p.where(F.col("p_size") > 20).select(F.col("p_name").alias("drug")),
                           p.select(F.col("p_name").alias("drug_name"), F.col("p_retailprice").alias("cmax_nm")))
     return out.select("line_id", "canonical", r6("ic50_nm", 4).alias("ic50_nm"), r6("min_conc_nm").alias("min_conc_nm"), r6("max_conc_nm").alias("max_conc_nm"), r6("auc").alias("auc"), "cmax_nm")
 

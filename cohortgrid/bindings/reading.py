@@ -185,7 +185,7 @@ def _(spark, folder):
 @query("src_12_extract_signatures", """
 WITH s AS (SELECT vec_id, ['MCF7','T47D','HELA'][CAST(label % 3 AS INTEGER) + 1] AS cell, lower(['Taxol','Tykerb','Other','None'][CAST(vec_id % 4 AS INTEGER) + 1]) AS nm FROM embeddings WHERE label % 4 <> 1 AND label % 3 <> 2), x AS (SELECT vec_id, unnest(embedding) AS raw, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
 tg AS (SELECT nm, array_to_string(list_sort(list(DISTINCT t)), ';') AS targets FROM (SELECT ['taxol','tykerb','other'][CAST(p_partkey % 3 AS INTEGER) + 1] AS nm, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END AS t FROM part WHERE p_size > 45) WHERE t IS NOT NULL GROUP BY 1)
-SELECT s.vec_id AS sig_id, cell AS cell_id, coalesce(targets, '') AS targets, count(*) AS n_features, round(sum(raw::DOUBLE), 6) AS total FROM s JOIN x USING (vec_id) LEFT JOIN tg USING (nm) WHERE pos % 3 = 0 AND pos < 60 GROUP BY 1, 2, 3""")
+SELECT s.vec_id AS sig_id, cell AS cell_id, coalesce(targets, '') AS targets, count(*) AS n_features, round(sum(raw::DOUBLE), 6) AS total FROM s JOIN x USING (vec_id) LEFT JOIN tg USING (nm) WHERE pos BETWEEN 10 AND 45 GROUP BY 1, 2, 3""")
 def _(spark, folder):
     path = scratch(spark, "signatures")
     e = table(spark, folder, "embeddings")
@@ -195,7 +195,7 @@ def _(spark, folder):
     comp = p.select(pick(["taxol", "TYKERB", "other"], F.col("p_partkey")).alias("cmap_name"), F.when(F.col("p_partkey") % 7 == 0, '""').otherwise(F.col("p_brand")).alias("target"))
     pos = e.select(F.posexplode("embedding").alias("gene_id", "_v")).select("gene_id").distinct()
     ids = pos.select("gene_id", F.concat(F.lit("sym"), F.col("gene_id").cast("string")).alias("feature"))
-    m, meta = R.extract_signatures(matrix, info, comp, ids, ["MCF7", "T47D"], ids.where((F.col("gene_id") % 3 == 0) & (F.col("gene_id") < 60)))
+    m, meta = R.extract_signatures(matrix, info, comp, ids, ["MCF7", "T47D"], ids.where(F.col("gene_id").between(10, 45)))
     m.write.parquet(path)
     back = spark.read.parquet(path)
     return back.join(meta, "sig_id").groupBy("sig_id", "cell_id", F.coalesce("targets", F.lit("")).alias("targets")).agg(F.count(F.lit(1)).alias("n_features"), r6(F.sum(F.col("value").cast("double"))).alias("total"))

@@ -230,12 +230,12 @@ def _(spark, folder):
 
 
 @query("sig_13_pair_priority", f"""
-WITH {PRI}, pa AS (SELECT 'Brand#' || least(l_partkey % 25 + 1, l_suppkey % 25 + 1) AS drug_a, 'Brand#' || greatest(l_partkey % 25 + 1, l_suppkey % 25 + 1) AS drug_b, round(avg(l_discount), 9) AS al FROM lineitem WHERE l_partkey % 25 <> l_suppkey % 25 AND l_returnflag = 'R' AND l_tax > 0.07 GROUP BY 1, 2),
+WITH {PRI}, pa AS (SELECT 'Brand#' || least(l_partkey % 25 + 1, l_suppkey % 25 + 1) AS drug_a, 'Brand#' || greatest(l_partkey % 25 + 1, l_suppkey % 25 + 1) AS drug_b, round(avg(l_discount), 9) AS al FROM lineitem WHERE l_partkey % 25 <> l_suppkey % 25 GROUP BY 1, 2),
 j AS (SELECT x.profile_id, drug_a, drug_b, sqrt(x.priority * y.priority) AS comp, round(0.55 * sqrt(x.priority * y.priority) + 0.35 * al + 0.10 * (x.dsup + y.dsup) / 2, 12) AS priority FROM pa JOIN pri x ON x.drug = drug_a JOIN pri y ON y.drug = drug_b AND y.profile_id = x.profile_id WHERE x.priority IS NOT NULL AND y.priority IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY priority DESC, drug_a, drug_b) AS rank FROM j)
 SELECT profile_id, count(*) AS n_pairs, round(sum(comp), 4) AS component, round(sum(priority), 4) AS priority, max(drug_a) FILTER (WHERE rank = 1) AS best_a, max(drug_b) FILTER (WHERE rank = 1) AS best_b FROM k GROUP BY 1""")
 def _(spark, folder):
-    li = table(spark, folder, "lineitem").where((F.col("l_partkey") % 25 != F.col("l_suppkey") % 25) & (F.col("l_returnflag") == "R") & (F.col("l_tax") > 0.07))
+    li = table(spark, folder, "lineitem").where(F.col("l_partkey") % 25 != F.col("l_suppkey") % 25)
     a, b = F.col("l_partkey") % 25 + 1, F.col("l_suppkey") % 25 + 1
     pairs = li.groupBy(F.concat(F.lit("Brand#"), F.least(a, b).cast("string")).alias("drug_a"), F.concat(F.lit("Brand#"), F.greatest(a, b).cast("string")).alias("drug_b")).agg(F.round(F.avg("l_discount"), 9).alias("aligned_support"))
     out = G.pair_priority(pairs, priorities(spark, folder))
@@ -258,7 +258,7 @@ def _(spark, folder):
 
 
 @query("sig_14_concordance_class", f"""
-WITH {LISTS}, cat AS (SELECT canonical FROM (SELECT lower(concat(p_name, ' ', p_partkey % 50)) AS canonical, min(p_partkey) AS p FROM part GROUP BY 1) WHERE p % 7 = 0), pr AS (SELECT lower(concat(p_name, ' ', p_partkey % 50)) AS canonical, round(avg(p_size) / 50, 9) AS pp FROM part GROUP BY 1)
+WITH {LISTS}, cat AS (SELECT lower(concat(p_name, ' ', p_partkey % 50)) AS canonical FROM part GROUP BY 1 HAVING min(p_type) = 'ECONOMY'), pr AS (SELECT lower(concat(p_name, ' ', p_partkey % 50)) AS canonical, round(avg(p_size) / 50, 9) AS pp FROM part GROUP BY 1)
 SELECT c.canonical, CASE WHEN least(a.percentile, b.percentile) >= 0.75 AND a.percentile IS NOT NULL AND b.percentile IS NOT NULL THEN CASE WHEN pp >= 0.75 THEN 'concordant_high' ELSE 'expression_only' END WHEN pp >= 0.75 THEN 'predictor_only' ELSE 'low_or_uncertain' END AS evidence_concordance
 FROM cat c LEFT JOIN l1 a ON a.canonical = c.canonical LEFT JOIN l2 b ON b.canonical = c.canonical LEFT JOIN pr ON pr.canonical = c.canonical""")
 def _(spark, folder):

@@ -15,12 +15,14 @@ def stream(spark, folder):
     """The events table as a stream: its rows are written once as a few files in event-time order."""
     from cohortgrid.bindings.reading import scratch
 
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     path = scratch(spark, "events")
     table(spark, folder, "events").repartitionByRange(4, "ts").write.parquet(path)
     return B.read_stream(spark, path, EVENTS, files_per_trigger=2)
 
 
 def batch(spark, folder):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -130,7 +130,7 @@ def _co_occurrence(coded: DataFrame, n_sets: int) -> DataFrame:
     Pairs of set blocks are tiles. A task meets its rows tile by tile, counts each tile as a matrix
     product in memory of fixed size, and hands on one row per pair of sets, not per member.
     """
-    blocks = -(-n_sets // SET_BLOCK)
+    blocks, width = -(-n_sets // SET_BLOCK), min(SET_BLOCK, n_sets)
 
     def part(b: Column) -> Column:
         return F.filter("sets", lambda x: F.floor(x / SET_BLOCK) == b)
@@ -144,7 +144,7 @@ def _co_occurrence(coded: DataFrame, n_sets: int) -> DataFrame:
     def count(batches):
         tile, acc = None, None
 
-        def done():
+        def done(tile, acc):
             i, j = np.nonzero(acc)
             i, j, n = i + tile[0] * SET_BLOCK, j + tile[1] * SET_BLOCK, acc[i, j]
             keep = i < j
@@ -154,17 +154,17 @@ def _co_occurrence(coded: DataFrame, n_sets: int) -> DataFrame:
             for key, rows in b.groupby(["bi", "bj"], sort=True):
                 if key != tile:
                     if tile is not None:
-                        yield done()
-                    tile, acc = key, np.zeros((SET_BLOCK, SET_BLOCK))
+                        yield done(tile, acc)
+                    tile, acc = key, np.zeros((width, width))
                 for start in range(0, len(rows), 1_024):
                     cut = rows.iloc[start:start + 1_024]
-                    left, right = (np.zeros((len(cut), SET_BLOCK), dtype=np.float32) for _ in range(2))
+                    left, right = (np.zeros((len(cut), width), dtype=np.float32) for _ in range(2))
                     for r, (x, y) in enumerate(zip(cut["a"], cut["b"])):
                         left[r, np.asarray(x) - key[0] * SET_BLOCK] = 1.0
                         right[r, np.asarray(y) - key[1] * SET_BLOCK] = 1.0
                     acc += left.T @ right
         if tile is not None:
-            yield done()
+            yield done(tile, acc)
 
     return t.drop("salt").mapInPandas(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n"))
 

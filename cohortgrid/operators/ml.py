@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortgrid.operators.scans import exact_quantiles, keep_first, ranked, top_k
+from cohortgrid.session import cut_lineage
 
 
 def _vectors(df: DataFrame, vec: str) -> DataFrame:
@@ -116,7 +117,7 @@ def constrained_mixture(df: DataFrame, k: int, covariance: str, vec: str = "late
     if covariance not in ("diag", "tied"):
         raise ValueError("covariance must be diag or tied")
     tied = covariance == "tied"
-    data = df.select(id_col, F.col(vec).cast("array<double>").alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    data = cut_lineage(df.select(id_col, F.col(vec).cast("array<double>").alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
     start = kmeans(data, k, "x", id_col, seed)
     d = len(data.first()["x"])
     first = data.join(start.select(id_col, "cluster"), id_col).groupBy("cluster").agg(
@@ -164,6 +165,7 @@ def constrained_mixture(df: DataFrame, k: int, covariance: str, vec: str = "late
             break
         last = loglik
     w, m, c = weights, means, cov
+    data.unpersist()
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def member(x: pd.Series) -> pd.Series:
@@ -179,7 +181,7 @@ def bootstrap_stability(df: DataFrame, base: DataFrame, k: int, n_boot: int = 50
     """Mean adjusted Rand index between base labels and refits on hash subsamples; one row."""
     from cohortgrid.operators.evaluation import adjusted_rand
 
-    data = df.select(id_col, vec).persist(StorageLevel.MEMORY_AND_DISK)
+    data = cut_lineage(df.select(id_col, vec))
     every = None
     for b in range(n_boot):
         keep = data.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed * 1000 + b)), F.lit(1000)) < int(fraction * 1000))
