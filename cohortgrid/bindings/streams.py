@@ -12,13 +12,13 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 
 def stream(spark, folder):
-    """The events table as a stream: its rows are written once as a few files in event-time order."""
+    """The events table as a stream of files, all present at the start, so their order does not matter."""
     from cohortgrid.bindings.reading import scratch
 
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     path = scratch(spark, "events")
-    table(spark, folder, "events").repartitionByRange(4, "ts").write.parquet(path)
-    return B.read_stream(spark, path, EVENTS, files_per_trigger=2)
+    table(spark, folder, "events").write.parquet(path)
+    return B.read_stream(spark, path, EVENTS)
 
 
 def batch(spark, folder):

@@ -147,6 +147,11 @@ def scan_placed(placed: DataFrame, keys: Sequence[str], scans: dict[str, Scan],
     return out.drop(*[x for _, _, v, c in both for x in (v, c)])
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """Between two scans: a range-split result is written once, since the next scan reads it twice."""
+    return cut_lineage(df) if "_b" in df.columns else df
+
+
 def clean(df: DataFrame) -> DataFrame:
     return df.drop("_o", "_b", "_whole")
 
@@ -269,6 +274,6 @@ def bh_q(df: DataFrame, keys: Sequence[str], p: str, ties: Sequence[str], q: str
     placed = place(df, keys, [F.col(p), *[F.col(c) for c in ties]], kw.get("rows_per_bucket"))
     one = F.lit(1).cast("long")
     r = scan_placed(placed, keys, {"_rank": Scan("sum", one)}, {"_tests": one})
-    r = r.withColumn("_raw", F.col(p) * F.col("_tests") / F.col("_rank"))
+    r = settled(r.withColumn("_raw", F.col(p) * F.col("_tests") / F.col("_rank")))
     r = scan_placed(r, keys, {q: Scan("min", F.col("_raw"), back=True)})
     return clean(r.withColumn(q, F.least(F.col(q), F.lit(1.0)))).drop("_rank", "_tests", "_raw")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cohortgrid.functions.tails import chi2_pvalue
-from cohortgrid.operators.scans import Scan, bh_q, clean, place, running, scan_placed
+from cohortgrid.operators.scans import Scan, bh_q, clean, place, running, scan_placed, settled
 
 
 def kaplan_meier(rows: DataFrame, keys: Sequence[str], time: str = "time", event: str = "event", **kw) -> DataFrame:
@@ -23,7 +23,7 @@ def kaplan_meier(rows: DataFrame, keys: Sequence[str], time: str = "time", event
     n, k = F.col("at_risk").cast("double"), F.col("events").cast("double")
     s = s.withColumn("_log", F.when((k > 0) & (k < n), F.log1p(-k / n)).otherwise(0.0)).withColumn("_dead", (k >= n).cast("int"))
     s = s.withColumn("_var", F.when((k > 0) & (k < n), k / (n * (n - k))).otherwise(0.0))
-    s = scan_placed(s, keys, {"_cum": Scan("sum", F.col("_log")), "_cdead": Scan("max", F.col("_dead")), "_cvar": Scan("sum", F.col("_var"))})
+    s = scan_placed(settled(s), keys, {"_cum": Scan("sum", F.col("_log")), "_cdead": Scan("max", F.col("_dead")), "_cvar": Scan("sum", F.col("_var"))})
     s = clean(s).withColumn("survival", F.when(F.col("_cdead") > 0, 0.0).otherwise(F.exp("_cum")))
     se = F.col("survival") * F.sqrt("_cvar")
     return s.select(*keys, time, "at_risk", "events", "survival", F.greatest(F.lit(0.0), F.col("survival") - 1.96 * se).alias("lower"),
@@ -105,7 +105,7 @@ def ipcw(rows: DataFrame, row: str, time: str = "time", event: str = "event", ke
     cens = 1 - F.coalesce(F.col(event), F.lit(0))
     s = s.withColumn("_log", F.when((cens > 0) & (F.col("_risk") > 1), F.log1p(-1.0 / F.col("_risk"))).otherwise(0.0))
     s = s.withColumn("_zero", F.when((cens > 0) & (F.col("_risk") == 1), 1).otherwise(0))
-    s = clean(scan_placed(s, ks, {"_cum": Scan("sum", F.col("_log")), "_z": Scan("max", F.col("_zero"))}))
+    s = clean(scan_placed(settled(s), ks, {"_cum": Scan("sum", F.col("_log")), "_z": Scan("max", F.col("_zero"))}))
     g = F.when(F.col("_z") > 0, 0.0).otherwise(F.exp("_cum"))
     at = s.groupBy(*ks, time).agg(F.min(g).alias("_g"))
     out = rows.join(at, [*ks, time])

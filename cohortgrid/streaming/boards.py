@@ -110,7 +110,7 @@ class StageTimer(StatefulProcessor):
         for ts, phase in zip(got["ts"], got["phase"]):
             if phase == "start":
                 started = ts
-            elif started is not None:
+            elif started is not None and pd.Timestamp(ts) >= pd.Timestamp(started):
                 out.append((key[0], key[1], started, ts, (pd.Timestamp(ts) - pd.Timestamp(started)).total_seconds(), "done"))
                 started = None
         for t in list(self._handle.listTimers()):
