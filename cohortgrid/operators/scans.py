@@ -51,8 +51,17 @@ def _position(edges: Column, value: Column) -> Column:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of `df`; no job is run for it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's size estimate of `df`; no job is run for it.
+
+    The optimizer takes a join for the product of its sides, so plans that read little and generate no
+    rows are rated by twice what they read instead.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(plan.stats().sizeInBytes())
+    if size > PLAIN_BYTES and "Generate " not in plan.toString():
+        leaves = plan.collectLeaves()
+        size = min(size, 2 * sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())))
+    return size
 
 
 def fits_one_task(df: DataFrame) -> bool:
@@ -236,7 +245,14 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], count: str | None = None, **kw) -> DataFrame:
     """Exact medians of several columns: the columns become rows, so one pass serves all of them."""
-    if "rows_per_bucket" not in kw and fits_one_task(df):
+    small = False
+    if "rows_per_bucket" not in kw:
+        small = fits_one_task(df)
+        if not small:
+            df = cut_lineage(df.select(*keys, *columns))
+            small = fits_one_task(df)
+            kw["rows_per_bucket"] = ROWS_PER_BUCKET
+    if small:
         mids = [F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), 0.5).alias(c) for c in columns]
         return df.groupBy(*keys).agg(*([F.count(F.lit(1)).alias(count)] if count else []), *mids)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in columns])).alias("_p")
