@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgrid.llm import simhash
+from cohortgrid.llm import bpe, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +30,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_simhash_near_duplicates")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query("op9_bpe_round_trip")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
