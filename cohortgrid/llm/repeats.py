@@ -154,18 +154,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
     return alone.union(equal).union(edges)
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, part, n_words, n_removed, kept: one row per row of `docs`; part tells texts of one id apart.
-
-    Words are runs without ASCII white space, unchanged, of whole texts. A word goes if a window
-    of `window` words that covers it also starts in a document with a smaller doc_id; windows are
-    judged on the input. kept: the other words joined by one space. Null: no words. Repeats within
-    one document, or between rows of one id, stay. Rows without an id neither lose nor take words.
-    Repeated rows come back as often as given. An empty table gives an empty result.
-    """
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("part"), text.alias("text"))
-    spans = repeated_spans(rows, window, gram).groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+def _cutter(window: int):
+    """(text, spans) to the words' number, the number removed and the words kept."""
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
@@ -182,10 +172,45 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, id_col:
             out.append((n, gone, b" ".join(words).decode("utf-8", "surrogatepass")))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
 
+    return cut
+
+
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, part, n_words, n_removed, kept: one row per row of `docs`; part tells texts of one id apart.
+
+    Words are runs without ASCII white space, unchanged, of whole texts. A word goes if a window
+    of `window` words that covers it also starts in a document with a smaller doc_id; windows are
+    judged on the input. kept: the other words joined by one space. Null: no words. Repeats within
+    one document, or between rows of one id, stay. Rows without an id neither lose nor take words.
+    Repeated rows come back as often as given. An empty table gives an empty result.
+    """
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.hash(text).alias("part"), text.alias("text"))
+    spans = repeated_spans(rows, window, gram).groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+
     joined = rows.join(spans, ["doc_id", "part"], "left")
-    return joined.select("doc_id", "part", cut("text", "spans").alias("c")).select("doc_id", "part", "c.n_words", "c.n_removed", "c.kept")
+    return joined.select("doc_id", "part", _cutter(window)("text", "spans").alias("c")).select("doc_id", "part", "c.n_words", "c.n_removed", "c.kept")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
+    """`docs`, all columns, with repeated passages cut out of text.
+
+    A document that loses words gets the other words, joined by one space, as text and their
+    length as n_chars (where there is such a column); one that loses all goes; every other row,
+    null and empty texts included, stays as it is. Which words go is as in remove_repeats.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*others).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("part"), text.alias("text"))
+    spans = repeated_spans(rows.select("doc_id", "part", "text"), window).groupBy("doc_id", "part").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    cut = F.col("spans").isNotNull()
+    joined = rows.join(spans, ["doc_id", "part"], "left").select("row", "text", cut.alias("cut"), _cutter(window)(F.when(cut, F.col("text")), "spans").alias("c"))
+    new = {"text": F.when(F.col("cut"), F.col("c.kept")).otherwise(F.col("text"))}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(F.col("cut"), F.char_length("c.kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return joined.where("NOT cut OR c.n_words > c.n_removed").select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
