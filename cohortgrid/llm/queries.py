@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgrid.llm import bpe, contamination, language, order_minhash, repeats, sharding, simhash, toxicity
+from cohortgrid.llm import bpe, contamination, language, order_minhash, repeats, sharding, simhash, toxicity, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,6 +78,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.digests(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@query("op8_unigram_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query("op9_bpe_round_trip")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
