@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgrid.llm import bpe, contamination, language, order_minhash, repeats, sharding, simhash, toxicity, unigram
+from cohortgrid.llm import bpe, contamination, language, licences, order_minhash, repeats, sharding, simhash, toxicity, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,6 +42,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digests(documents(spark, sf_dir))
 
 
+@query("op4_license_scans", licences.scan_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(documents(spark, sf_dir))
+
+
 @query("op5_substring_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(documents(spark, sf_dir))
