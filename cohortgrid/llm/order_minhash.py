@@ -9,8 +9,8 @@ from cohortgrid.llm.shared import Written, keyed, let
 
 #: Words of a k-mer, bins of a fingerprint, k-mers chosen in a bin.
 K, BINS, CHOSEN = 3, 64, 2
-#: A word is cut into pieces of so many characters, so that text without blanks has k-mers too.
-PIECE = 12
+#: A longer word is cut into pieces of so many characters, so that text without blanks has k-mers too.
+PIECE = 24
 
 
 def _number(row: Column, at: Column, bits: Column) -> Column:
@@ -29,7 +29,9 @@ def _upper(packed: Column, bits: Column) -> Column:
 
 def _kmers(text: Column, k: int) -> Column:
     """Hashes of the k-mers of a text's pieces, in order; fewer than k pieces are one k-mer."""
-    pieces = F.regexp_extract_all(text, F.lit(rf"\S{{1,{PIECE}}}"), F.lit(0))
+    words = F.array_remove(F.split(text, r"\s+"), "")
+    cut = F.array_remove(F.split(F.regexp_replace(text, rf"(\S{{{PIECE}}})(?=\S)", "$1 "), r"\s+"), "")
+    pieces = let(words, lambda w: F.when(F.exists(w, lambda x: F.octet_length(x) > PIECE), cut).otherwise(w))
     run = lambda p: F.transform(F.slice(p, 1, F.size(p) - (k - 1)), lambda x, i: F.xxhash64(x, *[F.get(p, i + j) for j in range(1, k)]))
     return let(pieces, lambda p: F.when(F.size(p) >= k, run(p)).otherwise(F.array(F.xxhash64(text))))
 
