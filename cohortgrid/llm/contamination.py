@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from cohortgrid.llm.shared import Written, ascii_lower, keyed, let
 
-# Fixed value: words after A-Z became a-z are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+; here before that.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Fixed value: words after A-Z became a-z are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+; what parts them, before that.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: No word: in the index it stands after a document's last word, so that its place is their number.
+END = ""
 #: Index terms that are sent to every task (some 10 MB); more are joined by a shuffle.
 SHARED_TERMS = 200_000
 
 
 def raw_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    """Words in order, letters as they are; none for null."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -29,7 +32,8 @@ def _shared(df: DataFrame) -> DataFrame:
 
 
 def _tokens(rows: DataFrame) -> DataFrame:
-    return rows.select("*", F.posexplode("words").alias("pos", "raw")).withColumn("term", ascii_lower(F.col("raw")))
+    """One row a word, and one for the END of each document."""
+    return rows.select("*", F.posexplode_outer(F.array_append("words", F.lit(END))).alias("pos", "raw")).withColumn("term", ascii_lower(F.col("raw")))
 
 
 def phrase_pairs(items: DataFrame, frequencies: DataFrame, window: int) -> DataFrame:
@@ -66,7 +70,7 @@ def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """term, doc_id, text_hash, pos, before, after: the index, for the terms of `terms` (term, reach).
 
     before and after are the `reach` words on either side, nearest first, so that a phrase can be
-    checked without the text.
+    checked without the text. The END of a document is one of its terms.
     """
     hit = _tokens(rows).join(_shared(terms), "term")
     back = F.least("pos", "reach")
@@ -91,10 +95,11 @@ def build_index(docs: DataFrame, items: DataFrame, window: int) -> tuple[Written
     own = items.select("item_id", F.transform(raw_words(F.col("text").cast("string")), ascii_lower).alias("words")).where(F.size("words") > 0).distinct()
     known = Written(own)
     terms = known.df.select(F.explode("words").alias("term")).distinct()
-    seen = rows.select(F.explode("words").alias("raw")).select(ascii_lower(F.col("raw")).alias("term"))
+    seen = rows.select(F.explode_outer("words").alias("raw")).select(ascii_lower(F.col("raw")).alias("term"))
     frequencies = Written(seen.join(_shared(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     pairs = Written(phrase_pairs(known.df, frequencies.df, window))
     wanted = pairs.df.select(F.col("term0").alias("term"), (F.col("width") - 1).alias("reach")).union(pairs.df.where("term1 IS NOT NULL").select("term1", F.lit(0)))
+    wanted = wanted.union(docs.sparkSession.range(1).select(F.lit(END), F.lit(0)))
     index = Written(postings(rows, wanted.groupBy("term").agg(F.max("reach").alias("reach"))))
     known.drop()
     frequencies.drop()
@@ -121,6 +126,14 @@ def candidates(index: DataFrame, pairs: DataFrame, slop: int = 0) -> DataFrame:
     return both.union(first.where("q1 IS NULL"))
 
 
+def _runs(index: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, item_id, first, last: the candidates that hold a whole window around their rarest term."""
+    found = candidates(index, pairs)
+    left, right = _common(F.col("before"), F.col("item_before")), _common(F.col("after"), F.col("item_after"))
+    run = found.select("doc_id", "text_hash", "item_id", "width", "pos", left.alias("left"), right.alias("right"))
+    return run.where("left + right + 1 >= width").select("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last")).distinct()
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, text_hash, item_id, first, last: runs of document words that hold whole item windows.
 
@@ -128,10 +141,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = 10) -> DataF
     `window` words (of the whole item, if that is shorter) lies in such a run.
     """
     index, pairs = build_index(docs, items, window)
-    found = candidates(index.df, pairs.df)
-    left, right = _common(F.col("before"), F.col("item_before")), _common(F.col("after"), F.col("item_after"))
-    run = found.select("doc_id", "text_hash", "item_id", "width", "pos", left.alias("left"), right.alias("right"))
-    return run.where("left + right + 1 >= width").select("doc_id", "text_hash", "item_id", (F.col("pos") - F.col("left")).alias("first"), (F.col("pos") + F.col("right")).alias("last")).distinct()
+    return _runs(index.df, pairs.df)
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 2) -> DataFrame:
@@ -150,12 +160,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     ignored.
     """
     rows = keyed(docs, id_col, text_col)
-    matches = phrase_matches(rows, items.select(F.col("item_id").cast("string").alias("item_id"), "text"), window)
+    index, pairs = build_index(rows, items.select(F.col("item_id").cast("string").alias("item_id"), "text"), window)
+    matches = _runs(index.df, pairs.df)
     spans = matches.groupBy(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).agg(F.collect_set("item_id").alias("ids"), F.collect_set(F.struct("first", "last")).alias("spans"))
     covered = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
     hits = spans.select("d", "t", F.array_sort("ids").alias("ids"), covered.cast("long").alias("hit"))
-    n_words = F.size(raw_words(F.col("text"))).cast("long")
-    joined = rows.select("doc_id", "text_hash", n_words.alias("n_words")).join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
+    lengths = index.df.where(F.col("term") == END).select("doc_id", "text_hash", F.col("pos").cast("long").alias("n_words"))
+    joined = lengths.join(hits, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
     item_ids = F.coalesce("ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("hit", F.lit(0).cast("long"))
     return joined.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(item_ids).cast("long").alias("n_items"), item_ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
