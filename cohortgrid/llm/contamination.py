@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from cohortgrid.llm.shared import Written, ascii_lower, keyed, let
 
-# Fixed value: words after A-Z became a-z are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+; what parts them, before that.
-BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+# Fixed value: what parts words once A-Z became a-z.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: No word: in the index it stands after a document's last word, so that its place is their number.
 END = ""
 #: Index terms that are sent to every task (some 10 MB); more are joined by a shuffle.
 SHARED_TERMS = 200_000
 
 
-def raw_words(text: Column) -> Column:
-    """Words in order, letters as they are; none for null."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN), "")
+def words_of(text: Column) -> Column:
+    """Words in order, A-Z lower-cased; none for null."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -33,7 +33,7 @@ def _shared(df: DataFrame) -> DataFrame:
 
 def _tokens(rows: DataFrame) -> DataFrame:
     """One row a word, and one for the END of each document."""
-    return rows.select("*", F.posexplode_outer(F.array_append("words", F.lit(END))).alias("pos", "raw")).withColumn("term", ascii_lower(F.col("raw")))
+    return rows.select("*", F.posexplode_outer(F.array_append("words", F.lit(END))).alias("pos", "term"))
 
 
 def phrase_pairs(items: DataFrame, frequencies: DataFrame, window: int) -> DataFrame:
@@ -74,14 +74,13 @@ def postings(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """
     hit = _tokens(rows).join(_shared(terms), "term")
     back = F.least("pos", "reach")
-    lower = lambda words: F.transform(words, ascii_lower)
     return hit.select(
         "term",
         "doc_id",
         "text_hash",
         "pos",
-        lower(F.reverse(F.slice("words", F.col("pos") - back + 1, back))).alias("before"),
-        lower(F.slice("words", F.col("pos") + 2, F.col("reach"))).alias("after"),
+        F.reverse(F.slice("words", F.col("pos") - back + 1, back)).alias("before"),
+        F.slice("words", F.col("pos") + 2, F.col("reach")).alias("after"),
     )
 
 
@@ -91,11 +90,11 @@ def build_index(docs: DataFrame, items: DataFrame, window: int) -> tuple[Written
     `docs` has doc_id, text, text_hash; `items` has item_id, text. First the benchmark's terms are
     counted over the whole corpus; then every window's two rarest terms are indexed.
     """
-    rows = docs.select("doc_id", "text_hash", raw_words(F.col("text")).alias("words"))
-    own = items.select("item_id", F.transform(raw_words(F.col("text").cast("string")), ascii_lower).alias("words")).where(F.size("words") > 0).distinct()
+    rows = docs.select("doc_id", "text_hash", words_of(F.col("text")).alias("words"))
+    own = items.select("item_id", words_of(F.col("text").cast("string")).alias("words")).where(F.size("words") > 0).distinct()
     known = Written(own)
     terms = known.df.select(F.explode("words").alias("term")).distinct()
-    seen = rows.select(F.explode_outer("words").alias("raw")).select(ascii_lower(F.col("raw")).alias("term"))
+    seen = rows.select(F.explode_outer("words").alias("term"))
     frequencies = Written(seen.join(_shared(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")))
     pairs = Written(phrase_pairs(known.df, frequencies.df, window))
     wanted = pairs.df.select(F.col("term0").alias("term"), (F.col("width") - 1).alias("reach")).union(pairs.df.where("term1 IS NOT NULL").select("term1", F.lit(0)))
