@@ -23,8 +23,7 @@ def test_near_equal_bytes_and_groups_together(make):
     rows += [(3000 + i, "copy") for i in range(300)] + [(4000, None), (4001, ""), (4002, "é" * 30), (4002, "é" * 30)]
     got = sharding.digests(make(rows)).collect()
     totals = check(rows, got, 8)
-    largest = 300 * 5
-    assert max(totals) - min(totals) <= 2 * largest and all(r["law"] == "bytes" and r["grown_shard"] is None for r in got)
+    assert max(totals) - min(totals) <= 2 * 70 and all(r["law"] == "bytes" and r["grown_shard"] is None for r in got)
 
 
 def test_groups_larger_than_a_share(make):
