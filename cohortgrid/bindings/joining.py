@@ -117,7 +117,7 @@ WITH {LISTS}, u AS (SELECT * FROM (SELECT drug, canonical, 'list1_only' AS side,
  UNION ALL SELECT * FROM (SELECT drug, canonical, 'list2_only' AS side, percentile, row_number() OVER (ORDER BY percentile DESC, canonical) AS r FROM l2 WHERE percentile >= 0.8 AND canonical NOT IN (SELECT canonical FROM l1)) WHERE r <= 50)
 SELECT drug, canonical, side, round(percentile, 6) AS percentile FROM (SELECT * FROM u ORDER BY side, percentile DESC, canonical LIMIT 20)""")
 def _(spark, folder):
-    return J.near_consensus(*drug_lists(spark, folder)).withColumn("percentile", r6("percentile"))
+    return J.near_consensus(*drug_lists(spark, folder), per_side=50, total=20).withColumn("percentile", r6("percentile"))
 
 
 def pair_rows(spark, folder, flag):

@@ -184,14 +184,14 @@ def _(spark, folder):
 
 @query("src_12_extract_signatures", """
 WITH s AS (SELECT vec_id, ['MCF7','T47D','HELA'][CAST(label % 3 AS INTEGER) + 1] AS cell, lower(['Taxol','Tykerb','Other','None'][CAST(vec_id % 4 AS INTEGER) + 1]) AS nm FROM embeddings WHERE label % 4 <> 1 AND label % 3 <> 2), x AS (SELECT vec_id, unnest(embedding) AS raw, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
-tg AS (SELECT nm, array_to_string(list_sort(list(DISTINCT t)), ';') AS targets FROM (SELECT ['taxol','tykerb','other'][CAST(p_partkey % 3 AS INTEGER) + 1] AS nm, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END AS t FROM part WHERE p_size > 45) WHERE t IS NOT NULL GROUP BY 1)
+tg AS (SELECT nm, array_to_string(list_sort(list(DISTINCT t)), ';') AS targets FROM (SELECT ['taxol','tykerb','other'][CAST(p_partkey % 3 AS INTEGER) + 1] AS nm, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_brand END AS t FROM part) WHERE t IS NOT NULL GROUP BY 1)
 SELECT s.vec_id AS sig_id, cell AS cell_id, coalesce(targets, '') AS targets, count(*) AS n_features, round(sum(raw::DOUBLE), 6) AS total FROM s JOIN x USING (vec_id) LEFT JOIN tg USING (nm) WHERE pos BETWEEN 10 AND 45 GROUP BY 1, 2, 3""")
 def _(spark, folder):
     path = scratch(spark, "signatures")
     e = table(spark, folder, "embeddings")
     matrix = e.select(F.col("vec_id").alias("sig_id"), F.posexplode("embedding").alias("gene_id", "value"))
     info = e.select(F.col("vec_id").alias("sig_id"), F.when(F.col("label") % 4 == 1, "trt_sh").otherwise("trt_cp").alias("pert_type"), pick(["MCF-7", "T47 D", "HELA"], F.col("label")).alias("cell_iname"), pick(["Taxol", "Tykerb", "Other", "None"], F.col("vec_id")).alias("cmap_name"))
-    p = table(spark, folder, "part").where(F.col("p_size") > 45)
+    p = table(spark, folder, "part")
     comp = p.select(pick(["taxol", "TYKERB", "other"], F.col("p_partkey")).alias("cmap_name"), F.when(F.col("p_partkey") % 7 == 0, '""').otherwise(F.col("p_brand")).alias("target"))
     pos = e.select(F.posexplode("embedding").alias("gene_id", "_v")).select("gene_id").distinct()
     ids = pos.select("gene_id", F.concat(F.lit("sym"), F.col("gene_id").cast("string")).alias("feature"))
@@ -254,10 +254,8 @@ def _(spark, folder):
     keys = [r[0] for r in doc.select("schema").collect()]
     out = None
     for k in keys:
-        one = spark.read.schema("entries map<string, struct<tier: string, source: string, kind: string>>").json(f"{path}/schema={k}")
         part = R.read_evidence_set(spark, f"{path}/schema={k}")
         out = part if out is None else out.unionByName(part)
-        del one
     return out
 
 

@@ -160,7 +160,7 @@ def _(spark, folder):
     e = table(spark, folder, "events")
     items = F.transform(F.sequence(F.lit(0), F.when(F.col("user_id") % 10 == 0, 27).otherwise(F.col("user_id") % 4).cast("int")), lambda i: F.struct(i.alias("at")))
     doc = F.to_json(F.struct(F.col("event_type").alias("type"), F.from_json("props", "k long").alias("props"), items.alias("items")))
-    return D.flatten_json(e.select("event_id", doc.alias("js")), "event_id", "js")
+    return D.flatten_json(e.select("event_id", doc.alias("js")), "event_id", "js", list_prefix=25)
 
 
 CTX = """cx AS (SELECT source AS g, CAST(n_chars AS DOUBLE) AS v FROM documents UNION ALL SELECT source, n_chars / 100000.0::DOUBLE FROM documents), lb AS (SELECT DISTINCT source AS g, CAST(doc_id AS VARCHAR) AS token FROM documents)"""
@@ -268,7 +268,7 @@ def _(spark, folder):
     js = F.to_json(F.struct(
         F.when(i % 4 != 0, F.concat(F.lit("t"), i.cast("string"))).alias("title"), F.when(i % 2 == 0, when).alias("year"), F.when(i % 2 == 1, when).alias("date"), F.when(i % 3 == 0, F.concat(F.lit("PMC"), i.cast("string"))).alias("pmc_id"),
         F.when(i % 3 == 1, F.concat(F.lit("X"), i.cast("string"))).alias("pmc"), F.when(i % 5 < 2, F.col("text")).alias("abstract"), F.when(i % 5 == 2, F.col("text")).alias("excerpt"), F.when(i % 5 > 2, F.col("text")).alias("snippet")))
-    return D.parse_citation_records(d.select("doc_id", js.alias("js")), "js", ["doc_id"]).select("doc_id", "title", "year", "pmcid", "excerpt")
+    return D.parse_citation_records(d.select("doc_id", js.alias("js")), "js", ["doc_id"], excerpt=600).select("doc_id", "title", "year", "pmcid", "excerpt")
 
 
 @query("txt_18_cluster_takeaways", f"""
@@ -295,4 +295,4 @@ def _(spark, folder):
     i = F.col("doc_id")
     block = F.concat(F.lit("Found 1 paper\n\n  1. Study "), i.cast("string"), F.lit(" \nhttps://doi.org/10.1234/ab"), i.cast("string"), F.lit(".\n"), F.when(i % 2 == 0, F.concat(F.lit("PMID: "), (i + 10000).cast("string"))).otherwise("no id"),
                      F.when(i % 3 == 0, F.concat(F.lit(" pmc"), (i + 100000).cast("string"))).otherwise(""), F.lit('\n "quoted '), F.col("source"), F.lit('"\n\nDone: '), F.regexp_replace("text", r"\n\s*\n", "\n"))
-    return D.parse_citation_blocks(d.select("doc_id", block.alias("out")), "out", ["doc_id"])
+    return D.parse_citation_blocks(d.select("doc_id", block.alias("out")), "out", ["doc_id"], 300, 600)

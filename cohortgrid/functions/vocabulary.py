@@ -116,68 +116,18 @@ STRESS_DRUGS = ["tanespimycin", "geldanamycin", "17-aag", "17-dmag", "pu-h71", "
 ENDOCRINE_AGENTS = ["tamoxifen", "fulvestrant", "raloxifene"]
 HER2_AGENTS = ["lapatinib", "neratinib", "tucatinib", "trastuzumab"]
 SCORED_DRUGS = ["5-fluorouracil", "cisplatin", "docetaxel", "doxorubicin", "epirubicin", "gemcitabine", "paclitaxel"]
-COMPARATORS = {
-    "paclitaxel": "Chemotherapy",
-    "docetaxel": "Chemotherapy",
-    "doxorubicin": "Chemotherapy",
-    "epirubicin": "Chemotherapy",
-    "cyclophosphamide": "Chemotherapy",
-    "carboplatin": "Chemotherapy",
-    "cisplatin": "Chemotherapy",
-    "gemcitabine": "Chemotherapy",
-    "capecitabine": "Chemotherapy",
-    "5-fluorouracil": "Chemotherapy",
-    "olaparib": "PARP inhibitor",
-    "talazoparib": "PARP inhibitor",
-    "niraparib": "PARP inhibitor",
-    "rucaparib": "PARP inhibitor",
-    "veliparib": "PARP inhibitor",
-    "tamoxifen": "Endocrine therapy",
-    "letrozole": "Endocrine therapy",
-    "anastrozole": "Endocrine therapy",
-    "exemestane": "Endocrine therapy",
-    "fulvestrant": "Endocrine therapy",
-    "palbociclib": "CDK4/6 inhibitor",
-    "ribociclib": "CDK4/6 inhibitor",
-    "abemaciclib": "CDK4/6 inhibitor",
-    "alpelisib": "PI3K/AKT/mTOR inhibitor",
-    "capivasertib": "PI3K/AKT/mTOR inhibitor",
-    "everolimus": "PI3K/AKT/mTOR inhibitor",
-    "rapamycin": "PI3K/AKT/mTOR inhibitor",
-    "temsirolimus": "PI3K/AKT/mTOR inhibitor",
-    "lapatinib": "HER2-targeted small molecule",
-    "neratinib": "HER2-targeted small molecule",
-    "tucatinib": "HER2-targeted small molecule",
-}
 CATEGORY_ORDER = [
     "Chemotherapy", "PARP inhibitor", "Endocrine therapy", "CDK4/6 inhibitor",
     "PI3K/AKT/mTOR inhibitor", "HER2-targeted small molecule",
 ]
 
-# --- fixed values: gene sets -----------------------------------------------------------------------
-PROLIFERATION_GENES = ["MKI67", "CCNB1", "AURKA", "E2F1", "E2F2"]
-SUBTYPE_PANEL = [
-    "ACTR3B", "ANLN", "BAG1", "BCL2", "BIRC5", "BLVRA", "CCNB1", "CCNE1", "CDC20", "CDC6", "CDH3", "CENPF",
-    "CEP55", "CXXC5", "EGFR", "ERBB2", "ESR1", "EXO1", "FGFR4", "FOXA1", "FOXC1", "GPR160", "GRB7", "KIF2C",
-    "KRT14", "KRT17", "KRT5", "MAPT", "MDM2", "MELK", "MIA", "MKI67", "MLPH", "MMP11", "MYBL2", "MYC", "NAT1",
-    "NDC80", "NUF2", "ORC6", "PGR", "PHGDH", "PTTG1", "RRM2", "SFRP1", "SLC39A6", "TMEM45B", "TYMS", "UBE2C",
-    "UBE2T",
-]
+# --- fixed values: the pathway of a target ---------------------------------------------------------
 TARGET_PATHWAY = {
     "ESR1": "Estrogen", "EGFR": "EGFR", "ERBB2": "EGFR", "IGF1R": "PI3K", "PIK3CA": "PI3K", "AKT1": "PI3K",
     "MTOR": "PI3K", "PTEN": "PI3K", "KRAS": "MAPK", "BRAF": "MAPK", "MAP2K1": "MAPK", "MAPK1": "MAPK",
     "CCND1": "p53", "CDK4": "p53", "CDK6": "p53", "CDKN2A": "p53", "RB1": "p53", "E2F1": "p53", "MKI67": "p53",
     "CDKN1A": "p53",
 }
-LITERATURE_EDGES = [
-    ("ESR1", "CCND1", 1), ("ERBB2", "PIK3CA", 1), ("ERBB2", "KRAS", 1), ("EGFR", "KRAS", 1),
-    ("EGFR", "PIK3CA", 1), ("IGF1R", "PIK3CA", 1), ("IGF1R", "KRAS", 1), ("PIK3CA", "AKT1", 1),
-    ("AKT1", "MTOR", 1), ("PTEN", "AKT1", -1), ("KRAS", "BRAF", 1), ("BRAF", "MAP2K1", 1),
-    ("MAP2K1", "MAPK1", 1), ("MAPK1", "CCND1", 1), ("AKT1", "CCND1", 1), ("CCND1", "CDK4", 1),
-    ("CCND1", "CDK6", 1), ("CDK4", "RB1", -1), ("CDK6", "RB1", -1), ("CDKN2A", "CDK4", -1),
-    ("CDKN2A", "CDK6", -1), ("CDKN1A", "CDK4", -1), ("RB1", "E2F1", -1), ("E2F1", "MKI67", 1),
-    ("E2F1", "CCND1", 1), ("AKT1", "CDKN1A", -1), ("MAPK1", "E2F1", 1), ("MTOR", "E2F1", 1),
-]
 
 # --- fixed values: countries, coordinates (degrees) and tiers --------------------------------------
 HOME = ("ireland", 53.4129, -8.2439)

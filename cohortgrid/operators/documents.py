@@ -11,9 +11,6 @@ from cohortgrid.functions import text as X
 from cohortgrid.functions.vocabulary import BANNED_PHRASES, CONTEXT_DRUGS, COUNTRIES, HOME
 from cohortgrid.operators.scans import keep_first, ranked
 
-MAX_PLACES = 8
-
-
 # ---- citations ---------------------------------------------------------------------------------------
 def dedup_citations(citations: DataFrame, order: Sequence[Column]) -> DataFrame:
     """First citation per key with the sorted distinct queries of all its copies.
@@ -51,8 +48,12 @@ def rank_citations(citations: DataFrame, subject: str, terms: Sequence[str], thi
 CITATION_RECORD = "title string, year string, date string, doi string, pmid string, pmcid string, pmc_id string, pmc string, journal string, publisher string, source string, type string, article_type string, peer_reviewed boolean, full_text_available boolean, abstract string, excerpt string, snippet string"
 
 
-def parse_citation_records(raw: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
-    """JSON citation records with differing field names to one schema; the excerpt is a 600-character quote field."""
+def _shown(text: Column, length: int | None) -> Column:
+    return text if length is None else F.substring(text, 1, length)
+
+
+def parse_citation_records(raw: DataFrame, column: str, keep: Sequence[str] = (), excerpt: int | None = None) -> DataFrame:
+    """JSON citation records with differing field names to one schema; the excerpt is cut only where a length is given."""
     r = raw.select(*keep, F.from_json(column, CITATION_RECORD).alias("_r")).where(F.col("_r").isNotNull())
 
     def first(*names: str) -> Column:
@@ -62,11 +63,11 @@ def parse_citation_records(raw: DataFrame, column: str, keep: Sequence[str] = ()
         *keep, F.coalesce(first("title"), F.lit("(untitled)")).alias("title"), F.substring(first("year", "date"), 1, 4).try_cast("int").alias("year"), first("doi").alias("doi"),
         first("pmid").alias("pmid"), first("pmcid", "pmc_id", "pmc").alias("pmcid"), first("journal").alias("journal"), first("publisher").alias("publisher"), first("source").alias("source"),
         first("type", "article_type").alias("article_type"), F.col("_r.peer_reviewed").alias("peer_reviewed"), F.col("_r.full_text_available").alias("full_text_available"),
-        F.substring(first("abstract", "excerpt", "snippet"), 1, 600).alias("excerpt"))
+        _shown(first("abstract", "excerpt", "snippet"), excerpt).alias("excerpt"))
 
 
-def parse_citation_blocks(texts: DataFrame, column: str, keep: Sequence[str] = ()) -> DataFrame:
-    """Numbered text blocks to citations: title line, DOI, PMID, PMCID, first quoted line as excerpt."""
+def parse_citation_blocks(texts: DataFrame, column: str, keep: Sequence[str] = (), title_length: int | None = None, excerpt_length: int | None = None) -> DataFrame:
+    """Numbered text blocks to citations: title line, DOI, PMID, PMCID, first quoted line as excerpt, cut only where a length is given."""
     b = texts.select(*keep, F.posexplode(F.split(column, r"\n\n")).alias("block_no", "_b")).withColumn("_b", F.regexp_replace("_b", r"^\s+|\s+$", ""))
     b = b.withColumn("_lines", F.split("_b", r"\n"))
     title = F.regexp_extract(F.col("_lines")[0], r"^\s*\d+\.\s+(.+)$", 1)
@@ -76,10 +77,10 @@ def parse_citation_blocks(texts: DataFrame, column: str, keep: Sequence[str] = (
         v = F.regexp_extract("_b", pattern, group)
         return F.when(v != "", v)
 
-    quoted = F.filter(F.slice("_lines", 2, 10_000), lambda x: F.trim(x).startswith('"') & (F.length(F.trim(x)) > 2))
+    quoted = F.filter(F.slice("_lines", F.lit(2), F.size("_lines")), lambda x: F.trim(x).startswith('"') & (F.length(F.trim(x)) > 2))
     excerpt = F.regexp_replace(F.trim(F.get(quoted, 0)), '^"+|"+$', "")
-    return b.select(*keep, "block_no", F.substring(F.trim("_title"), 1, 300).alias("title"), F.regexp_replace(found(X.DOI, 0), r"[.,);\]]+$", "").alias("doi"),
-                    found(X.PMID, 1).alias("pmid"), F.upper(found(X.PMCID, 1)).alias("pmcid"), F.substring(F.coalesce(excerpt, F.col("_b")), 1, 600).alias("excerpt"))
+    return b.select(*keep, "block_no", _shown(F.trim("_title"), title_length).alias("title"), F.regexp_replace(found(X.DOI, 0), r"[.,);\]]+$", "").alias("doi"),
+                    found(X.PMID, 1).alias("pmid"), F.upper(found(X.PMCID, 1)).alias("pmcid"), _shown(F.coalesce(excerpt, F.col("_b")), excerpt_length).alias("excerpt"))
 
 
 # ---- studies -----------------------------------------------------------------------------------------
@@ -129,15 +130,20 @@ def group_studies(matches: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 
 # ---- nested documents ----------------------------------------------------------------------------------
-def flatten_json(df: DataFrame, key: str, column: str, list_prefix: int = 25, max_depth: int = 6) -> DataFrame:
-    """(key, path, value, kind) for every member of a JSON document, lists up to a prefix, to a fixed depth."""
+def flatten_json(df: DataFrame, key: str, column: str, list_prefix: int | None = None) -> DataFrame:
+    """(key, path, value, kind) for every member of a JSON document at any depth.
+
+    One round a level until a level has no members; `list_prefix` shortens lists where it is given.
+    """
     spark = df.sparkSession
     level = df.select(key, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where(F.col("v").isNotNull())
     out = None
-    for _ in range(max_depth):
+    while out is None or not level.isEmpty():
         e = spark.sql(f"SELECT d.`{key}`, d.path AS parent, t.pos, t.key AS name, t.value AS v FROM {{d}} d, LATERAL variant_explode(d.v) AS t", d=level)
         step = F.when(F.col("name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("parent") == "", F.col("name")).otherwise(F.concat(F.lit("."), F.col("name")))
-        e = e.where(F.col("name").isNotNull() | (F.col("pos") < list_prefix)).select(key, F.concat("parent", step).alias("path"), "v")
+        if list_prefix is not None:
+            e = e.where(F.col("name").isNotNull() | (F.col("pos") < list_prefix))
+        e = e.select(key, F.concat("parent", step).alias("path"), "v")
         e = e.withColumn("kind", F.schema_of_variant("v"))
         nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
         rows = e.select(key, "path", F.when(~nested, F.col("v").cast("string")).alias("value"), F.when(F.col("kind").startswith("OBJECT"), "object").when(F.col("kind").startswith("ARRAY"), "array").otherwise("value").alias("kind"))
@@ -151,17 +157,20 @@ def unsupported_numbers(texts: DataFrame, context: DataFrame, key: str = "text_i
     """Numbers in each text that no context value rounds to at the quoted precision: (key, numbers ARRAY).
 
     `context` is (group, value DOUBLE, label STRING). A value in [0, 1] also counts as a percentage, and
-    a label counts literally. Each value is rounded once per precision that occurs, so the match is an
-    equality on (group, precision, number).
+    a label counts literally. Each value is rounded once per precision that its group's texts quote, so
+    the match is an equality on (group, precision, number); halves are rounded away from zero.
     """
     tok = texts.select(key, group, F.explode(X.numbers(F.col(text))).alias("token"))
     places = F.length("token") - F.coalesce(F.nullif(F.instr("token", "."), F.lit(0)), F.length("token"))
-    tok = tok.withColumn("places", F.least(places, F.lit(MAX_PLACES))).withColumn("wanted", F.col("token").cast("double"))
+    tok = tok.withColumn("places", places).withColumn("wanted", F.col("token").cast("double"))
     asked = tok.select(group, "token", "places", "wanted").distinct()
     v = context.where(F.col("value").isNotNull()).select(group, "value").distinct()
     v = v.select(group, F.explode(F.when(F.col("value").between(0, 1), F.array(F.col("value"), F.col("value") * 100)).otherwise(F.array("value"))).alias("value"))
-    rounded = F.array(*[F.struct(F.lit(p).alias("places"), F.round("value", p).alias("wanted")) for p in range(MAX_PLACES + 1)])
-    v = v.select(group, F.inline(rounded)).distinct()
+    needed = asked.select(group, "places").distinct()
+    # As many values as there are precisions anywhere, not as there are rows.
+    every = sorted(r[0] for r in needed.select("places").distinct().collect())
+    wanted = F.coalesce(*[F.when(F.col("places") == p, F.round("value", p)) for p in every]) if every else F.lit(None).cast("double")
+    v = v.join(needed, group).select(group, "places", wanted.alias("wanted")).distinct()
     labels = context.where(F.col("label").isNotNull()).select(group, F.lower(F.trim("label")).alias("token")).distinct()
     open_ = asked.join(v, [group, "places", "wanted"], "left_anti").join(labels, [group, "token"], "left_anti").select(group, "token")
     bad = tok.join(open_, [group, "token"]).select(key, "token").distinct().groupBy(key).agg(F.array_sort(F.collect_list("token")).alias("unsupported_numbers"))

@@ -162,9 +162,10 @@ def build_registry(seed: DataFrame, external: DataFrame, discontinued: DataFrame
                     *[F.coalesce(c, empty).alias(c) for c in ("chembl_ids", "lincs_pert_ids", "inchi_keys")], "reviewed_by")
 
 
-def unresolved_queue(tables: DataFrame, registry: DataFrame, in_regimen: DataFrame, top: int = 500, **kw) -> DataFrame:
+def unresolved_queue(tables: DataFrame, registry: DataFrame, in_regimen: DataFrame, top: int | None = None, **kw) -> DataFrame:
     """Names in the top ranks of any cluster table that the registry does not know, or that are identifiers only."""
-    n = tables.where(F.col("drug_rank") <= top).groupBy(C.compound_name_short(F.col("drug")).alias("canonical")).agg(F.count(F.lit(1)).alias("frequency"))
+    ranks = tables if top is None else tables.where(F.col("drug_rank") <= top)
+    n = ranks.groupBy(C.compound_name_short(F.col("drug")).alias("canonical")).agg(F.count(F.lit(1)).alias("frequency"))
     known = registry.select("canonical").unionByName(registry.select(F.explode("synonyms").alias("canonical"))).distinct().withColumn("_known", F.lit(True))
     reg = in_regimen.select(C.compound_name_short(F.col("drug")).alias("canonical"), F.lit(True).alias("_in")).distinct()
     anon = C.is_anonymous(F.col("canonical"))

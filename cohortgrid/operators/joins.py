@@ -99,15 +99,16 @@ def dual_list(list1: DataFrame, list2: DataFrame) -> DataFrame:
     return a.join(b, "canonical")
 
 
-def near_consensus(list1: DataFrame, list2: DataFrame, floor: float = 0.8, per_side: int = 50, total: int = 20) -> DataFrame:
-    """Strong on one list and absent from the other, best first; the two limits are the report's size."""
+def near_consensus(list1: DataFrame, list2: DataFrame, floor: float = 0.8, per_side: int | None = None, total: int | None = None) -> DataFrame:
+    """Strong on one list and absent from the other, best first; the two limits are the report's size, if it has one."""
     def side(a, b, name):
         only = best_per_name(a).join(b.select("canonical"), "canonical", "left_anti").where(F.col("percentile") >= floor)
-        return top_k(only, [], [F.col("percentile").desc(), F.col("canonical")], per_side, "_r").select(
+        return top_k(only, [], [-F.col("percentile"), F.col("canonical")], per_side, "_r").select(
             "drug", "canonical", F.lit(name).alias("side"), "percentile")
 
     both = side(list1, list2, "list1_only").unionByName(side(list2, list1, "list2_only"))
-    return both.orderBy("side", F.col("percentile").desc(), "canonical").limit(total)
+    best = both.orderBy("side", F.col("percentile").desc(), "canonical")
+    return best if total is None else best.limit(total)
 
 
 def pair_key(a: Column, b: Column) -> list[Column]:
@@ -215,7 +216,7 @@ def induced_subgraph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return inside.select("source", "target", "sign").distinct()
 
 
-def two_layer_subgraph(edges: DataFrame, core: DataFrame, max_edges: int = 5000) -> DataFrame:
+def two_layer_subgraph(edges: DataFrame, core: DataFrame, max_edges: int | None = None) -> DataFrame:
     """Edges among the core and the sources that point into it; core edges first, then most referenced."""
     c = core.select("node").distinct()
     incoming = edges.join(c, F.col("target") == F.col("node"), "left_semi").select(F.col("source").alias("node"))
@@ -227,9 +228,7 @@ def two_layer_subgraph(edges: DataFrame, core: DataFrame, max_edges: int = 5000)
         .withColumn("in_core", F.col("_s").isNotNull() & F.col("_t").isNotNull())
     )
     one = marked.groupBy("source", "target", "sign").agg(F.max("n_references").alias("n_references"), F.max("in_core").alias("in_core"))
-    order = [F.col("in_core").desc(), F.col("n_references").desc(), F.col("source"), F.col("target"), F.col("sign")]
-    if max_edges > 1000:
-        order = [F.when(F.col("in_core"), 0).otherwise(1), -F.col("n_references"), F.col("source"), F.col("target"), F.col("sign")]
+    order = [F.when(F.col("in_core"), 0).otherwise(1), -F.col("n_references"), F.col("source"), F.col("target"), F.col("sign")]
     return top_k(one, [], order, max_edges, "position")
 
 

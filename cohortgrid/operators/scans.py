@@ -1,13 +1,10 @@
 """Ordered work inside groups that may hold any share of the rows.
 
-A plain window puts a whole group into one task, which is right only for inputs that fit one task.
-So the optimizer's size estimate of the input is looked at while the plan is built: below
-`spark.cohortgrid.plainWindowBytes` a plain window is used. Above it the input is written once to the
-shared folder, which gives its real size and saves recomputing it, and if that is still above the
-limit a group with more than `rows_per_bucket` rows is cut into value ranges first. The cut points are the group's own values whose hash falls on a
-fixed step, so they follow the data's distribution, are bounded in number, and come out the same on
-every recomputation. Each range is scanned on its own and the ranges are tied together by one total
-per range. Groups below the limit have a single range and cost one extra small aggregation.
+A plain window puts a whole group into one task. Here every input, whatever its size, is dealt by
+range over (keys, order) and written once to the shared folder with the number of the range each row
+fell in, so the ranges are the same however often they are read. Each range of a group is scanned on
+its own, and the ranges are tied together by one total per range. A group may lie in as many ranges
+as it needs; the number of ranges is the session's number of shuffle partitions.
 """
 
 from __future__ import annotations
@@ -20,12 +17,6 @@ from pyspark.sql import functions as F
 
 from cohortgrid.session import cut_lineage
 
-ROWS_PER_BUCKET = 500_000
-MAX_EDGES = 4_096
-_STRIDE = 64
-PLAIN_BYTES = 64 << 20
-
-
 @dataclass(frozen=True)
 class Scan:
     """One running value: `fn` is sum, min, max or last; `back` runs from the end of the order."""
@@ -39,87 +30,24 @@ def _keys(keys: Sequence[str]) -> list[str]:
     return list(keys) if keys else ["_whole"]
 
 
-def _position(edges: Column, value: Column) -> Column:
-    """Number of sorted edges <= value, looking at every 64th edge first and then at one stretch."""
-    last = F.floor((F.size(edges) - 1) / F.lit(_STRIDE)).cast("int")
-    coarse = F.transform(F.sequence(F.lit(0), last), lambda i: F.element_at(edges, i * _STRIDE + 1))
-    block = F.size(F.filter(coarse, lambda e: e <= value))
-    fine = F.slice(edges, (block - 1) * _STRIDE + 1, F.lit(_STRIDE))
-    return F.when(block == 0, F.lit(0)).otherwise(
-        (block - 1) * _STRIDE + F.size(F.filter(fine, lambda e: e <= value))
-    )
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of `df`; no job is run for it.
-
-    The optimizer takes a join for the product of its sides, so plans that read little and generate no
-    rows are rated by twice what they read instead.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    size = int(plan.stats().sizeInBytes())
-    if size > PLAIN_BYTES and "Generate " not in plan.toString():
-        leaves = plan.collectLeaves()
-        size = min(size, 2 * sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())))
-    return size
-
-
-def fits_one_task(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get("spark.cohortgrid.plainWindowBytes", str(PLAIN_BYTES)))
-    return estimated_bytes(df) <= limit
-
-
-def place(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows_per_bucket: int | None = None) -> DataFrame:
-    """Add `_o` (the order as one comparable struct) and `_b` (the value range the row falls in).
+def place(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ranges: int | None = None) -> DataFrame:
+    """Add `_o` (the order as one comparable struct) and `_b` (the range the row falls in).
 
     `order` must be unique within a key and ascending; negate a number to sort it downwards.
-    Without `rows_per_bucket`, inputs that fit one task get no ranges.
+    `ranges` is the number of ranges, by default that of the session's shuffle partitions.
     """
     d = df.withColumn("_o", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]))
     if not keys:
         d = d.withColumn("_whole", F.lit(0))
-    if rows_per_bucket is None:
-        if fits_one_task(d):
-            return d
-        d = cut_lineage(d)
-        if fits_one_task(d):
-            return d
-        rows_per_bucket = ROWS_PER_BUCKET
-    ks = _keys(keys)
-    hot = d.groupBy(*ks).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") > rows_per_bucket)
-    step = F.greatest(F.lit(rows_per_bucket), F.ceil(F.col("_m") / F.lit(MAX_EDGES))).cast("long")
-    edges = (
-        d.select(*ks, "_o")
-        .join(hot, ks)
-        .where(F.pmod(F.xxhash64("_o"), step) == 0)
-        .groupBy(*ks)
-        .agg(F.sort_array(F.collect_list("_o")).alias("_e"))
-    )
-    placed = d.join(edges, ks, "left")
-    bucket = F.when(F.col("_e").isNull(), F.lit(0)).otherwise(_position(F.col("_e"), F.col("_o")))
-    return placed.withColumn("_b", bucket.cast("int")).drop("_e")
-
-
-def _scan_plain(placed: DataFrame, ks: list[str], scans: dict[str, Scan], totals: dict[str, Column]) -> DataFrame:
-    made = []
-    for name, s in scans.items():
-        order = F.col("_o").desc() if s.back else F.col("_o").asc()
-        upto = Window.partitionBy(*ks).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        if s.fn == "last":
-            made.append(F.last(s.value, ignorenulls=True).over(upto).alias(name))
-        else:
-            made.append({"sum": F.sum, "min": F.min, "max": F.max}[s.fn](s.value).over(upto).alias(name))
-    for name, value in totals.items():
-        made.append(F.sum(value).over(Window.partitionBy(*ks)).alias(name))
-    return placed.select("*", *made)
+    by = [*_keys(keys), "_o"]
+    dealt = d.repartitionByRange(ranges, *by) if ranges else d.repartitionByRange(*by)
+    return cut_lineage(dealt.withColumn("_b", F.spark_partition_id()))
 
 
 def scan_placed(placed: DataFrame, keys: Sequence[str], scans: dict[str, Scan], totals: dict[str, Column] | None = None) -> DataFrame:
     """Running values over placed rows, plus group totals (sums) where asked for."""
     ks = _keys(keys)
     totals = totals or {}
-    if "_b" not in placed.columns:
-        return _scan_plain(placed, ks, scans, totals)
     own, carry, within, both = [], [], [], []
     for name, s in scans.items():
         t, c, v = f"_t_{name}", f"_c_{name}", f"_v_{name}"
@@ -156,11 +84,6 @@ def scan_placed(placed: DataFrame, keys: Sequence[str], scans: dict[str, Scan],
     return out.drop(*[x for _, _, v, c in both for x in (v, c)])
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Between two scans: a range-split result is written once, since the next scan reads it twice."""
-    return cut_lineage(df) if "_b" in df.columns else df
-
-
 def clean(df: DataFrame) -> DataFrame:
     return df.drop("_o", "_b", "_whole")
 
@@ -171,10 +94,10 @@ def running(
     order: Sequence[Column],
     scans: dict[str, Scan],
     totals: dict[str, Column] | None = None,
-    rows_per_bucket: int | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Running sums, minima, maxima or last values per key in a unique order."""
-    return clean(scan_placed(place(df, keys, order, rows_per_bucket), keys, scans, totals))
+    return clean(scan_placed(place(df, keys, order, ranges), keys, scans, totals))
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank", total: str | None = None, **kw) -> DataFrame:
@@ -183,9 +106,15 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: st
     return running(df, keys, order, {rank: Scan("sum", one)}, {total: one} if total else None, **kw)
 
 
+def finite(column: str | Column) -> Column:
+    """Neither null nor NaN nor infinite."""
+    x = (F.col(column) if isinstance(column, str) else column).cast("double")
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
     """Rows per (key, distinct value), counted before the shuffle; `weight` stands for that many rows."""
-    ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    ok = df.where(finite(value))
     n = F.sum(F.col(weight).cast("long")) if weight else F.count(F.lit(1))
     return ok.groupBy(*keys, value).agg(n.alias("n_ties"))
 
@@ -200,31 +129,14 @@ def _ranks(d: DataFrame, keys: Sequence[str], value: str, **kw) -> DataFrame:
     return r.withColumn("avg_rank", F.col("n_upto") - (F.col("n_ties") - 1) / 2.0)
 
 
-def _built_in(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count: str | None, weight: Column) -> DataFrame:
-    ok = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    q = F.percentile(F.col(value).cast("double"), [float(p) for p in probs.values()], weight).alias("_q")
-    g = ok.groupBy(*keys).agg(q, F.sum(weight).alias("_n"))
-    return g.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)], *([F.col("_n").alias(count)] if count else []))
-
-
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count: str | None = None, weight: str | None = None, rows_per_bucket: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], count: str | None = None, weight: str | None = None, ranges: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key; `weight` stands for that many equal rows.
 
-    The built-in aggregate keeps all distinct values of a group in one task, so it is used only for
-    inputs known to fit one. Others are counted per distinct value, written once, and read off the
-    cumulative counts without gathering a group anywhere.
+    Rows are counted per distinct value and the quantiles read off the cumulative counts, so no
+    group is gathered anywhere.
     """
-    unit = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
-    if rows_per_bucket is None:
-        if fits_one_task(df):
-            return _built_in(df, keys, value, probs, count, unit)
-        d = cut_lineage(value_counts(df, keys, value, weight))
-        if fits_one_task(d):
-            return _built_in(d, keys, value, probs, count, F.col("n_ties"))
-        rows_per_bucket = ROWS_PER_BUCKET
-    else:
-        d = value_counts(df, keys, value, weight)
-    r = _ranks(d, keys, value, rows_per_bucket=rows_per_bucket)
+    d = value_counts(df, keys, value, weight)
+    r = _ranks(d, keys, value, ranges=ranges)
     picks = []
     for name, p in probs.items():
         at = F.lit(float(p)) * (F.col("n_group") - 1)
@@ -245,16 +157,6 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
 
 def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], count: str | None = None, **kw) -> DataFrame:
     """Exact medians of several columns: the columns become rows, so one pass serves all of them."""
-    small = False
-    if "rows_per_bucket" not in kw:
-        small = fits_one_task(df)
-        if not small:
-            df = cut_lineage(df.select(*keys, *columns))
-            small = fits_one_task(df)
-            kw["rows_per_bucket"] = ROWS_PER_BUCKET
-    if small:
-        mids = [F.percentile(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), 0.5).alias(c) for c in columns]
-        return df.groupBy(*keys).agg(*([F.count(F.lit(1)).alias(count)] if count else []), *mids)
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in columns])).alias("_p")
     stacked = df.select(*keys, pairs).select(*keys, "_p.*")
     q = exact_quantiles(stacked, [*keys, "_col"], "_val", {"_med": 0.5}, **kw)
@@ -276,20 +178,18 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
-    """The k first rows per key. Up to 1000 Spark cuts every group to k rows before the shuffle."""
-    if k > 1000:
-        out = ranked(df, keys, order, rank)
-        return out.where(F.col(rank) <= k)
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None, rank: str = "rank") -> DataFrame:
+    """The k first rows per key; Spark cuts every group to k rows before the shuffle. None: all rows, ranked."""
+    if k is None:
+        return ranked(df, keys, order, rank)
     w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k).withColumn(rank, F.col(rank).cast("long"))
 
 
 def bh_q(df: DataFrame, keys: Sequence[str], p: str, ties: Sequence[str], q: str = "q", **kw) -> DataFrame:
     """Benjamini-Hochberg q over all tests sharing `keys`; `ties` make the order unique."""
-    placed = place(df, keys, [F.col(p), *[F.col(c) for c in ties]], kw.get("rows_per_bucket"))
+    placed = place(df, keys, [F.col(p), *[F.col(c) for c in ties]], kw.get("ranges"))
     one = F.lit(1).cast("long")
     r = scan_placed(placed, keys, {"_rank": Scan("sum", one)}, {"_tests": one})
-    r = settled(r.withColumn("_raw", F.col(p) * F.col("_tests") / F.col("_rank")))
-    r = scan_placed(r, keys, {q: Scan("min", F.col("_raw"), back=True)})
+    r = scan_placed(r.withColumn("_raw", F.col(p) * F.col("_tests") / F.col("_rank")), keys, {q: Scan("min", F.col("_raw"), back=True)})
     return clean(r.withColumn(q, F.least(F.col(q), F.lit(1.0)))).drop("_rank", "_tests", "_raw")

@@ -53,7 +53,7 @@ def harmonise(train: DataFrame, test: DataFrame, methods: dict[str, Callable[[Da
     return (*best, tried)
 
 
-def align_profiles(profiles: DataFrame, stats: DataFrame, show: int = 50) -> DataFrame:
+def align_profiles(profiles: DataFrame, stats: DataFrame) -> DataFrame:
     """z of each profile against reference mean and sd, with coverage of the reference features.
 
     Names are trimmed and upper-cased; non-finite values do not count as present. Coverage is one row
@@ -67,12 +67,18 @@ def align_profiles(profiles: DataFrame, stats: DataFrame, show: int = 50) -> Dat
     return j.select("profile_id", "feature", "value", z.alias("z")).withColumn("reference_size", n)
 
 
-def profile_coverage(aligned: DataFrame, stats: DataFrame, show: int = 50) -> DataFrame:
-    """Found features, coverage and the first missing features per profile."""
+def profile_coverage(aligned: DataFrame, stats: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    """Found features, coverage and all missing features per profile.
+
+    `profiles` (profile_id) adds those without any reference feature, with coverage 0.
+    """
     names = stats.select(F.array_sort(F.collect_set("feature"))).scalar()
     g = aligned.groupBy("profile_id").agg(F.count(F.lit(1)).alias("found"), F.max("reference_size").alias("requested"), F.collect_set("feature").alias("_have"))
-    return g.select("profile_id", "found", "requested", (F.col("found") / F.greatest(F.col("requested"), F.lit(1))).alias("coverage"),
-                    F.slice(F.array_except(names, F.col("_have")), 1, show).alias("missing"))
+    if profiles is not None:
+        none = F.array().cast("array<string>")
+        g = profiles.select("profile_id").distinct().join(g, "profile_id", "left").select("profile_id", F.coalesce("found", F.lit(0)).alias("found"), stats.select(F.count(F.lit(1))).scalar().alias("requested"), F.coalesce("_have", none).alias("_have"))
+    missing = F.array_except(names, F.col("_have"))
+    return g.select("profile_id", "found", "requested", (F.col("found") / F.greatest(F.col("requested"), F.lit(1))).alias("coverage"), missing.alias("missing"))
 
 
 def compartment_normalise(expr: DataFrame, shares: DataFrame | None, parts: Sequence[str] = ("Normal_Epithelial", "malignant"), floor: float = 0.05) -> DataFrame:
@@ -229,8 +235,8 @@ def pair_priority(pairs: DataFrame, priorities: DataFrame, **kw) -> DataFrame:
     return ranked(out, ["profile_id"], [-F.col("priority"), F.col("drug_a"), F.col("drug_b")], **kw)
 
 
-def overlap_pairs(pairs: DataFrame, allowed: DataFrame, percentiles: DataFrame, k: int = 10) -> DataFrame:
-    """Pairs with both drugs allowed: 0.60 sqrt(pa pb) + 0.40 aligned support, best k."""
+def overlap_pairs(pairs: DataFrame, allowed: DataFrame, percentiles: DataFrame, k: int | None = None) -> DataFrame:
+    """Pairs with both drugs allowed: 0.60 sqrt(pa pb) + 0.40 aligned support, best k where it is given."""
     from cohortgrid.operators.joins import pairs_within
 
     kept = pairs_within(pairs, allowed)
@@ -239,7 +245,7 @@ def overlap_pairs(pairs: DataFrame, allowed: DataFrame, percentiles: DataFrame,
     j = kept.join(a, "drug_a", "left").join(b, "drug_b", "left")
     comp = F.sqrt(F.greatest(F.coalesce("_pa", F.lit(0.0)), F.lit(0.0)) * F.greatest(F.coalesce("_pb", F.lit(0.0)), F.lit(0.0)))
     out = j.select("drug_a", "drug_b", comp.alias("component"), F.round(0.60 * comp + 0.40 * F.coalesce("aligned_support", F.lit(0.0)), 12).alias("priority"))
-    return top_k(out, [], [F.col("priority").desc(), F.col("drug_a"), F.col("drug_b")], k)
+    return top_k(out, [], [-F.col("priority"), F.col("drug_a"), F.col("drug_b")], k)
 
 
 def concordance_class(comparators: DataFrame, predictor: DataFrame, high: float = 0.75) -> DataFrame:
@@ -407,9 +413,8 @@ def pathway_candidates(activity: DataFrame, pk: DataFrame, threshold: float = 0.
 
 
 def cluster_detail(signatures: DataFrame, n: int = 20) -> DataFrame:
-    """Top up and down coefficients (5 to 50 each) with the number of features at fdr < 0.10."""
-    k = max(5, min(50, n))
-    rows = arms(signatures.withColumnRenamed("coef", "effect"), ["cluster"], "effect", k, k)
+    """The n top up and down coefficients each with the number of features at fdr < 0.10."""
+    rows = arms(signatures.withColumnRenamed("coef", "effect"), ["cluster"], "effect", n, n)
     sig = signatures.groupBy("cluster").agg(F.count_if(F.col("fdr") < 0.10).alias("n_significant"))
     return rows.join(sig, "cluster")
 

@@ -13,11 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortgrid.functions.tails import t_pvalue, z_pvalue
-from cohortgrid.operators.scans import Scan, attach_row, average_ranks, bh_q, exact_quantiles, keep_first, ranked, running
+from cohortgrid.operators.scans import Scan, attach_row, average_ranks, bh_q, exact_quantiles, finite, keep_first, ranked, running
 
 
 def _finite(df: DataFrame, column: str) -> DataFrame:
-    return df.where(F.col(column).isNotNull() & ~F.isnan(column))
+    return df.where(finite(column))
+
+
+def every_cell(df: DataFrame, keys: Sequence[str], group: str) -> DataFrame:
+    """Each key with every group of the table, so that a group without finite values is tested too."""
+    groups = df.where(F.col(group).isNotNull()).select(F.array_sort(F.collect_set(group))).scalar()
+    return df.select(*keys).distinct().select(*keys, F.explode(groups).alias(group))
 
 
 def rank_sums(df: DataFrame, keys: Sequence[str], value: str, group: str, **kw) -> DataFrame:
@@ -37,18 +43,21 @@ def rank_sums(df: DataFrame, keys: Sequence[str], value: str, group: str, **kw)
 def mann_whitney(df: DataFrame, family: str, group: str = "cluster", minimum: int = 3, **kw) -> DataFrame:
     """One-vs-rest Mann-Whitney per (feature, group) with Cliff's delta as effect, U and normal score z.
 
-    The normal tail has tie and continuity corrections. Under `minimum` rows on a side: effect 0, p 1.
+    The normal tail has tie and continuity corrections. Only finite values count. Under `minimum`
+    rows on a side, none included: effect 0, p 1.
     """
-    s = rank_sums(df, ["feature"], "value", group, **kw)
+    s = every_cell(df, ["feature"], group).join(rank_sums(df, ["feature"], "value", group, **kw), ["feature", group], "left")
+    w = Window.partitionBy("feature")
+    s = s.withColumns({c: F.coalesce(F.max(c).over(w), F.lit(0)) for c in ("n_all", "tie_term", "sum_all")} | {c: F.coalesce(c, F.lit(0)) for c in ("n_in", "rank_sum", "sum_in")})
     n1, n = F.col("n_in").cast("double"), F.col("n_all").cast("double")
     n2 = n - n1
     enough = (n1 >= minimum) & (n2 >= minimum)
     u = F.col("rank_sum") - n1 * (n1 + 1) / 2
-    var = n1 * n2 / 12 * ((n + 1) - F.col("tie_term") / (n * (n - 1)))
-    z = F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)) / F.sqrt(var)
+    var = n1 * n2 / 12 * ((n + 1) - F.try_divide(F.col("tie_term"), n * (n - 1)))
+    z = F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)) / F.sqrt(F.nullif(var, F.lit(0.0)))
     out = s.select("feature", F.lit(family).alias("family"), group, "n_in", (F.col("n_all") - F.col("n_in")).alias("n_out"),
-                   F.when(enough, 2 * u / (n1 * n2) - 1).otherwise(0.0).alias("effect"), (F.col("sum_in") / n1).alias("mean_in"),
-                   ((F.col("sum_all") - F.col("sum_in")) / n2).alias("mean_out"), u.alias("u"), F.when(enough & (var > 0), z).alias("z"))
+                   F.when(enough, F.try_divide(2 * u, n1 * n2) - 1).otherwise(0.0).alias("effect"), F.try_divide(F.col("sum_in"), n1).alias("mean_in"),
+                   F.try_divide(F.col("sum_all") - F.col("sum_in"), n2).alias("mean_out"), u.alias("u"), F.when(enough & (var > 0), z).alias("z"))
     return out.withColumn("p", F.coalesce(z_pvalue("z"), F.lit(1.0)))
 
 
@@ -73,9 +82,9 @@ def group_moments(df: DataFrame, keys: Sequence[str], group: str, value: str = "
 def welch(g: DataFrame) -> DataFrame:
     """Welch t and Satterthwaite df from (n, mean, m2) against (rest_n, rest_mean, rest_m2)."""
     n1, n2 = F.col("n").cast("double"), F.col("rest_n").cast("double")
-    v1, v2 = F.col("m2") / (n1 - 1) / n1, F.col("rest_m2") / (n2 - 1) / n2
+    v1, v2 = F.try_divide(F.col("m2"), (n1 - 1) * n1), F.try_divide(F.col("rest_m2"), (n2 - 1) * n2)
     se = F.sqrt(v1 + v2)
-    den = v1 * v1 / (n1 - 1) + v2 * v2 / (n2 - 1)
+    den = F.try_divide(v1 * v1, n1 - 1) + F.try_divide(v2 * v2, n2 - 1)
     df = F.when(den > 0, (v1 + v2) * (v1 + v2) / den).otherwise(n1 + n2 - 2)
     t = F.when(se > 0, (F.col("mean") - F.col("rest_mean")) / se)
     return g.withColumn("t", t).withColumn("df", df)
@@ -84,9 +93,12 @@ def welch(g: DataFrame) -> DataFrame:
 def welch_one_vs_rest(df: DataFrame, family: str = "gene", group: str = "cluster", minimum: int = 3) -> DataFrame:
     """Mean difference, Welch t, df and p of each group against the rest, per feature.
 
-    A zero standard error gives p 1 and no t, and such rows stay out of the q values.
+    A zero standard error gives p 1 and no t, and such rows stay out of the q values. Only finite
+    values count; under `minimum` rows on a side, none included: effect 0, p 1.
     """
-    g = welch(group_moments(df, ["feature"], group))
+    g = every_cell(df, ["feature"], group).join(welch(group_moments(df, ["feature"], group)), ["feature", group], "left")
+    everything = F.coalesce(F.max(F.col("n") + F.col("rest_n")).over(Window.partitionBy("feature")), F.lit(0))
+    g = g.withColumn("rest_n", F.coalesce("rest_n", everything)).withColumn("n", F.coalesce("n", F.lit(0)))
     enough = (F.col("n") >= minimum) & (F.col("rest_n") >= minimum)
     out = g.select("feature", F.lit(family).alias("family"), group, F.when(enough, F.col("mean") - F.col("rest_mean")).otherwise(0.0).alias("effect"),
                    F.when(enough, F.col("t")).alias("t"), F.when(enough, F.col("df")).alias("df"), F.col("n").alias("n_in"), F.col("rest_n").alias("n_out"))

@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from cohortgrid.functions.tails import chi2_pvalue
-from cohortgrid.operators.scans import Scan, bh_q, clean, place, running, scan_placed, settled
+from cohortgrid.operators.scans import Scan, bh_q, clean, finite, place, running, scan_placed
 
 
 def kaplan_meier(rows: DataFrame, keys: Sequence[str], time: str = "time", event: str = "event", **kw) -> DataFrame:
     """Curve steps per key: time, at_risk, events, survival, lower, upper (Greenwood, 1.96, clipped to [0, 1])."""
-    d = rows.where(F.col(time).isNotNull() & ~F.isnan(time)).groupBy(*keys, time).agg(
+    d = rows.where(finite(time)).groupBy(*keys, time).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(F.col(event) > 0).alias("events"))
-    placed = place(d, keys, [F.col(time)], kw.get("rows_per_bucket"))
+    placed = place(d, keys, [F.col(time)], kw.get("ranges"))
     s = scan_placed(placed, keys, {"at_risk": Scan("sum", F.col("_n"), back=True)})
     n, k = F.col("at_risk").cast("double"), F.col("events").cast("double")
     s = s.withColumn("_log", F.when((k > 0) & (k < n), F.log1p(-k / n)).otherwise(0.0)).withColumn("_dead", (k >= n).cast("int"))
     s = s.withColumn("_var", F.when((k > 0) & (k < n), k / (n * (n - k))).otherwise(0.0))
-    s = scan_placed(settled(s), keys, {"_cum": Scan("sum", F.col("_log")), "_cdead": Scan("max", F.col("_dead")), "_cvar": Scan("sum", F.col("_var"))})
+    s = scan_placed(s, keys, {"_cum": Scan("sum", F.col("_log")), "_cdead": Scan("max", F.col("_dead")), "_cvar": Scan("sum", F.col("_var"))})
     s = clean(s).withColumn("survival", F.when(F.col("_cdead") > 0, 0.0).otherwise(F.exp("_cum")))
     se = F.col("survival") * F.sqrt("_cvar")
     return s.select(*keys, time, "at_risk", "events", "survival", F.greatest(F.lit(0.0), F.col("survival") - 1.96 * se).alias("lower"),
@@ -52,7 +52,7 @@ def logrank_parts(rows: DataFrame, keys: Sequence[str], groups: Sequence, group:
     """
     ks = list(keys)
     ids = range(len(groups))
-    ok = rows.where(F.col(time).isNotNull() & ~F.isnan(time) & F.col(event).isNotNull() & F.col(group).isin(list(groups)))
+    ok = rows.where(finite(time) & F.col(event).isNotNull() & F.col(group).isin(list(groups)))
     d = ok.groupBy(*ks, time).agg(
         *[F.count_if(F.col(group) == g).alias(f"_n{i}") for i, g in enumerate(groups)],
         *[F.count_if((F.col(group) == g) & (F.col(event) > 0)).alias(f"_d{i}") for i, g in enumerate(groups)])
@@ -100,12 +100,12 @@ def ipcw(rows: DataFrame, row: str, time: str = "time", event: str = "event", ke
     of the same time, floored at 1e-3, and weights are clipped.
     """
     ks = list(keys)
-    placed = place(rows, ks, [F.col(time), F.col(row)], kw.get("rows_per_bucket"))
+    placed = place(rows, ks, [F.col(time), F.col(row)], kw.get("ranges"))
     s = scan_placed(placed, ks, {"_risk": Scan("sum", F.lit(1).cast("long"), back=True)})
     cens = 1 - F.coalesce(F.col(event), F.lit(0))
     s = s.withColumn("_log", F.when((cens > 0) & (F.col("_risk") > 1), F.log1p(-1.0 / F.col("_risk"))).otherwise(0.0))
     s = s.withColumn("_zero", F.when((cens > 0) & (F.col("_risk") == 1), 1).otherwise(0))
-    s = clean(scan_placed(settled(s), ks, {"_cum": Scan("sum", F.col("_log")), "_z": Scan("max", F.col("_zero"))}))
+    s = clean(scan_placed(s, ks, {"_cum": Scan("sum", F.col("_log")), "_z": Scan("max", F.col("_zero"))}))
     g = F.when(F.col("_z") > 0, 0.0).otherwise(F.exp("_cum"))
     at = s.groupBy(*ks, time).agg(F.min(g).alias("_g"))
     out = rows.join(at, [*ks, time])

@@ -53,7 +53,7 @@ def read_series_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Series-matrix header lines to one row per sample: accession, title and one column per characteristic key."""
     lines = spark.read.text(path).where(F.col("value").startswith("!Sample_")).select(F.split("value", "\t").alias("cells"))
     cell = F.trim(F.regexp_replace(F.trim("cell"), '^"|"$', ""))
-    rows = lines.select(F.col("cells")[0].alias("line"), F.posexplode(F.slice("cells", 2, 1_000_000)).alias("pos", "cell")).withColumn("cell", cell)
+    rows = lines.select(F.col("cells")[0].alias("line"), F.posexplode(F.slice("cells", F.lit(2), F.size("cells"))).alias("pos", "cell")).withColumn("cell", cell)
     plain = rows.where(F.col("line").isin("!Sample_geo_accession", "!Sample_title")).select("pos", F.when(F.col("line") == "!Sample_title", "title").otherwise("geo_accession").alias("key"), F.col("cell").alias("val"))
     ch = rows.where((F.col("line") == "!Sample_characteristics_ch1") & F.col("cell").contains(":"))
     at = F.instr("cell", ":")

@@ -90,8 +90,8 @@ def test_logrank_separates_shifted_groups(spark):
     assert (one["statistic"], one["df"], one["p"]) == (0.0, 0, 1.0)
 
 
-@pytest.mark.parametrize("rows_per_bucket", [None, 10])
-def test_logrank_matches_a_direct_loop(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [None, 40])
+def test_logrank_matches_a_direct_loop(spark, ranges):
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"id": range(300), "time": rng.integers(1, 60, 300).astype(float), "event": rng.integers(0, 2, 300), "grp": rng.integers(0, 4, 300)})
     o, e, v = np.zeros(4), np.zeros(4), np.zeros((4, 4))
@@ -105,15 +105,15 @@ def test_logrank_matches_a_direct_loop(spark, rows_per_bucket):
             v += d * (n - d) / (n - 1) * (np.diag(ni) / n - np.outer(ni, ni) / n ** 2)
     u = (o - e)[:3]
     want = u @ np.linalg.pinv(v[:3, :3]) @ u
-    got = K.logrank(spark.createDataFrame(pdf), [], [0, 1, 2, 3], rows_per_bucket=rows_per_bucket).first()
+    got = K.logrank(spark.createDataFrame(pdf), [], [0, 1, 2, 3], ranges=ranges).first()
     assert got["statistic"] == pytest.approx(want, rel=1e-9)
 
 
-@pytest.mark.parametrize("rows_per_bucket", [None, 15])
-def test_survival_curve_is_monotone_and_matches_a_loop(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [None, 30])
+def test_survival_curve_is_monotone_and_matches_a_loop(spark, ranges):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame({"id": range(400), "time": np.round(rng.exponential(10, 400), 1), "event": rng.integers(0, 2, 400), "g": rng.integers(0, 2, 400)})
-    got = K.kaplan_meier(spark.createDataFrame(pdf), ["g"], rows_per_bucket=rows_per_bucket).toPandas().sort_values(["g", "time"])
+    got = K.kaplan_meier(spark.createDataFrame(pdf), ["g"], ranges=ranges).toPandas().sort_values(["g", "time"])
     for g, part in pdf.groupby("g"):
         s, want = 1.0, []
         for t in np.unique(part.time):
@@ -124,11 +124,11 @@ def test_survival_curve_is_monotone_and_matches_a_loop(spark, rows_per_bucket):
         assert np.allclose(mine, want) and (np.diff(mine) <= 1e-12).all()
 
 
-@pytest.mark.parametrize("rows_per_bucket", [None, 15])
-def test_censored_rows_weigh_nothing(spark, rows_per_bucket):
+@pytest.mark.parametrize("ranges", [None, 30])
+def test_censored_rows_weigh_nothing(spark, ranges):
     rng = np.random.default_rng(6)
     pdf = pd.DataFrame({"id": range(200), "time": np.round(rng.exponential(10, 200), 1), "event": rng.integers(0, 2, 200)})
-    got = K.ipcw(spark.createDataFrame(pdf), "id", rows_per_bucket=rows_per_bucket).toPandas().set_index("id")
+    got = K.ipcw(spark.createDataFrame(pdf), "id", ranges=ranges).toPandas().set_index("id")
     s = pdf.sort_values(["time", "id"]).reset_index(drop=True)
     g = np.cumprod(1 - (1 - s.event) / np.arange(len(s), 0, -1))
     last = s.assign(g=g).groupby("time")["g"].last()
@@ -260,3 +260,39 @@ def test_set_variation_in_one_and_many_tiles(spark, monkeypatch, block):
     r = A.set_variation(spark.createDataFrame([(i, int(m)) for i, s in sets.items() for m in s], "set_id int, member int")).first()
     assert r["jaccard_mean"] == pytest.approx(np.mean(js)) and r["jaccard_median"] == pytest.approx(np.median(js))
     assert r["jaccard_min"] == pytest.approx(min(js)) and r["jaccard_max"] == pytest.approx(max(js))
+
+
+def test_infinite_values_and_empty_cells(spark):
+    """Only finite values count; a group without any is still a test with effect 0 and p 1."""
+    from cohortgrid.operators import stats as S
+
+    rows = [("f", c, float(v)) for c in (0, 1) for v in range(5 * c, 5 * c + 6)] + [("f", 0, float("inf")), ("f", 1, float("-inf")), ("f", 2, float("nan")), ("f", 2, None)]
+    df = spark.createDataFrame(rows, "feature string, cluster int, value double")
+    clean = df.where("cluster < 2 AND abs(value) < 100")
+    for test in (lambda d: S.mann_whitney(d, "gene"), S.welch_one_vs_rest):
+        got = {r["cluster"]: r.asDict() for r in test(df).collect()}
+        want = {r["cluster"]: r.asDict() for r in test(clean).collect()}
+        assert got[2]["effect"] == 0.0 and got[2]["p"] == 1.0 and (got[2]["n_in"], got[2]["n_out"]) == (0, 12)
+        for c in (0, 1):
+            assert all(got[c][k] == (pytest.approx(v, rel=1e-9) if isinstance(v, float) else v) for k, v in want[c].items())
+
+
+def test_nothing_is_cut_by_default(spark):
+    from cohortgrid.operators import documents as D
+    from cohortgrid.operators import signatures as G
+
+    deep = spark.createDataFrame([(1, '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":' + str(list(range(30))) + "}}}}}}}}")], "k int, js string")
+    paths = {r["path"] for r in D.flatten_json(deep, "k", "js").collect()}
+    assert "a.b.c.d.e.f.g.h" in paths and "a.b.c.d.e.f.g.h[29]" in paths
+    texts = spark.createDataFrame([(1, 1, "it is 0.123456789 here")], "text_id int, context_id int, text string")
+    context = spark.createDataFrame([(1, 0.123456789, None)], "context_id int, value double, label string")
+    assert D.unsupported_numbers(texts, context).first()["unsupported_numbers"] == []
+    long_ = "x" * 2000
+    record = spark.createDataFrame([('{"title":"t","abstract":"' + long_ + '"}',)], "js string")
+    assert D.parse_citation_records(record, "js").first()["excerpt"] == long_
+    coefs = spark.createDataFrame([(0, f"g{i}", float(i - 150), 0.01) for i in range(300)], "cluster int, feature string, coef double, fdr double")
+    assert G.cluster_detail(coefs, 100).count() == 200
+    stats = spark.createDataFrame([("A", 0.0, 1.0), ("B", 0.0, 1.0)], "feature string, mean double, sd double")
+    profiles = spark.createDataFrame([(1, "a", 1.0), (2, "zz", 1.0)], "profile_id int, feature string, value double")
+    cover = {r["profile_id"]: (r["found"], r["coverage"], r["missing"]) for r in G.profile_coverage(G.align_profiles(profiles, stats), stats, profiles).collect()}
+    assert cover == {1: (1, 0.5, ["B"]), 2: (0, 0.0, ["A", "B"])}

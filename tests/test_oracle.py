@@ -48,13 +48,13 @@ def test_answers_do_not_depend_on_partitions(spark, con, name):
 
 
 @pytest.mark.parametrize("name", ["sur_01_kaplan_meier", "sur_04_ipcw", "win_06_bh_q", "agg_05_median_ranking", "sta_02_cliffs_delta", "sig_12_priority"])
-def test_range_split_scans_match_sql(spark, con, name, monkeypatch):
-    """The same queries with every scan forced into value ranges, as large inputs are."""
-    from cohortgrid.operators import scans
-
-    monkeypatch.setattr(scans, "ROWS_PER_BUCKET", 500)
-    spark.conf.set("spark.cohortgrid.plainWindowBytes", "1")
+def test_scans_over_many_ranges_match_sql(spark, con, name):
+    """The same queries with every scan dealt into many ranges, as large inputs are."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         assert compare(entry.queries()[name](spark, FOLDER), con, entry.oracle_sql()[name]) is None
     finally:
-        spark.conf.unset("spark.cohortgrid.plainWindowBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
