@@ -86,7 +86,7 @@ def chunks(df):
 
 
 @query("str_06_chunk_progress", """
-SELECT 'job' || (user_id % 25) AS job, count(*) FILTER (WHERE event_type IN ('click', 'view')) AS started, count(*) FILTER (WHERE event_type NOT IN ('click', 'view')) AS done, round(least(1.0, count(*) FILTER (WHERE event_type NOT IN ('click', 'view')) / 60), 6) AS share FROM events GROUP BY 1""")
+SELECT 'job' || (user_id % 25) AS job, count(DISTINCT event_id % 60) FILTER (WHERE event_type IN ('click', 'view')) AS started, count(DISTINCT event_id % 60) FILTER (WHERE event_type NOT IN ('click', 'view')) AS done, round(count(DISTINCT event_id % 60) FILTER (WHERE event_type NOT IN ('click', 'view')) / 60, 6) AS share FROM events GROUP BY 1""")
 def _(spark, folder):
     s = chunks(stream(spark, folder))
     out = B.last_updates(B.run_available(B.chunk_progress(s), "chunks", "update"), ["job"])

@@ -1,6 +1,8 @@
 """Event-time boards: rate windows, first-seen, retention, live gates, stage durations and chunk progress.
 
-Each stream has a batch twin with the same cut-off, used by the tests. State is bounded by the watermark.
+Each stream has a batch twin with the same cut-off, used by the tests. State of windows, first-seen keys
+and open stages is bounded by the watermark; the gate board keeps one row a gate, and chunk progress the
+planned chunks of each job, for as long as the stream runs.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     table = f"{base}/out"
 
     def store(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(table)
+        # a batch that is replayed writes over what it wrote before
+        batch.write.mode("overwrite").parquet(f"{table}/_batch={number}")
 
     q = df.writeStream.outputMode(mode).foreachBatch(store).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -156,13 +159,15 @@ def stage_durations(events: DataFrame, limit_hours: int) -> DataFrame:
 
 # ---- chunk progress --------------------------------------------------------------------------------------
 def chunk_progress(events: DataFrame) -> DataFrame:
-    """Started and finished chunk events per job with the completion share; stream or batch.
+    """Started and finished chunks per job with the completion share; stream or batch.
 
-    Counts are of distinct chunks where a job reports each chunk once; repeats are kept apart by the
-    batch form below.
+    A chunk counts once, however often it is reported; a job's set holds its planned chunks at most.
     """
-    return events.groupBy("job").agg(F.count_if(F.col("status") == "chunk_start").alias("started"), F.count_if(F.col("status") == "chunk_done").alias("done"), F.max("n_chunks").alias("n_chunks")).withColumn(
-        "share", F.least(F.lit(1.0), F.col("done") / F.col("n_chunks")))
+    def chunks(status: str) -> F.Column:
+        return F.size(F.collect_set(F.when(F.col("status") == status, F.col("chunk")))).cast("long")
+
+    g = events.groupBy("job").agg(chunks("chunk_start").alias("started"), chunks("chunk_done").alias("done"), F.max("n_chunks").alias("n_chunks"))
+    return g.withColumn("share", F.col("done") / F.col("n_chunks"))
 
 
 def remaining_chunks(events: DataFrame) -> DataFrame:

@@ -59,3 +59,9 @@ def test_stage_durations_agree(spark, live_events, hours):
     table = boards.stage_durations(B.stages(B.batch(spark, FOLDER)), hours).where("state = 'done'").where(F.col("seconds") <= hours * 3600)
     short = live.where(F.col("seconds") <= hours * 3600)
     assert rows(short, "run_id", "started", "ended") == rows(table, "run_id", "started", "ended")
+
+
+def test_a_chunk_reported_again_counts_once(spark):
+    rows = [("j", "chunk_done", 1, 4)] * 4 + [("j", "chunk_start", 2, 4)]
+    got = boards.chunk_progress(spark.createDataFrame(rows, "job string, status string, chunk int, n_chunks int")).first()
+    assert (got["started"], got["done"], got["share"]) == (1, 1, 0.25)
