@@ -7,8 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortgrid.llm.shared import let
-
 # Sentences of public licence texts and notices, by identifier. Case, punctuation and
 # line ends don't matter.
 SENTENCES = {
@@ -87,13 +85,8 @@ NOISE = r"[^A-Za-z0-9\n]+"
 BREAK = r" ?\n[ \n]*"
 
 
-def normalised(sentence: str) -> str:
-    """A sentence as it is compared: ASCII letters and digits, lower case, one blank between words."""
-    return " ".join(re.findall("[a-z0-9]+", sentence.lower()))
-
-
 def parts(sentence: str) -> list[str]:
-    """A known sentence as the splitter gives it: a full stop inside it ends a part too."""
+    """A known sentence as the splitter gives it: lower case, one blank between words; a stop inside it ends a part too."""
     text = re.sub(NOISE, " ", re.sub(STOP, "\n", re.sub(WHITE + "+", " ", sentence) + " "))
     return [p for p in (x.strip().lower() for x in re.split(BREAK, text)) if p]
 
