@@ -204,7 +204,9 @@ def _(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", C.sample_verdict(F.col("l_quantity") / 100).alias("verdict"))
 
 
-@query("flt_20_samples")
+@query("flt_20_samples", """
+WITH r AS (SELECT *, row_number() OVER (ORDER BY h, o_orderkey) AS r1, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) AS r2, count(*) OVER (PARTITION BY o_orderpriority) AS n, count(*) OVER () AS al FROM (SELECT o_orderkey, o_orderpriority, md5(CAST(o_orderkey AS VARCHAR) || '|0') AS h FROM orders))
+SELECT o_orderkey, o_orderpriority, 'fixed' AS kind FROM r WHERE r1 <= 200 UNION ALL SELECT o_orderkey, o_orderpriority, 'stratified' FROM r WHERE r2 <= least(n, greatest(50, round(500 * n / al))) UNION ALL SELECT o_orderkey, o_orderpriority, 'group' FROM r WHERE r2 <= 80""")
 def _(spark, folder):
     o = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
     fixed = O.seeded_sample(o, 200, "o_orderkey").withColumn("kind", F.lit("fixed"))

@@ -418,7 +418,9 @@ def _(spark, folder):
     return V.choose_k(t)
 
 
-@query("evl_08_hold_out")
+@query("evl_08_hold_out", """
+WITH n AS (SELECT p_name, row_number() OVER (ORDER BY md5(p_name || '|0'), p_name) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT p_name FROM part))
+SELECT split, count(DISTINCT p_name) AS n_names, count(*) AS n_rows FROM (SELECT p_name, CASE WHEN r <= greatest(1, round(n * 0.3)) THEN 'test' ELSE 'train' END AS split FROM part JOIN n USING (p_name)) GROUP BY 1""")
 def _(spark, folder):
     p = table(spark, folder, "part").select("p_partkey", "p_name")
     return V.hold_out_names(p, "p_name").groupBy("split").agg(F.count_distinct("p_name").alias("n_names"), F.count(F.lit(1)).alias("n_rows"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortgrid.operators.blocks import dense, meet
+from cohortgrid.operators.filters import drawn
 from cohortgrid.operators.scans import Scan, attach_row, keep_first, ranked, running
 from cohortgrid.operators.stats import rank_sums
 
@@ -124,7 +125,7 @@ def choose_k(table: DataFrame, window: float = BIC_WINDOW, floor: float = STABIL
 
 def hold_out_names(rows: DataFrame, name: str, fraction: float = 0.3, seed: int = 0, **kw) -> DataFrame:
     """Split by name, not by row: every row of a name is on the same side. Under 4 names all are on both."""
-    names = rows.select(name).distinct().withColumn("_h", F.xxhash64(F.col(name), F.lit(seed)))
+    names = rows.select(name).distinct().withColumn("_h", drawn(name, seed))
     r = ranked(names, [], [F.col("_h"), F.col(name)], "_r", total="_n", **kw)
     test = F.col("_r") <= F.greatest(F.lit(1), F.round(F.col("_n") * fraction))
     side = F.when(F.col("_n") < 4, F.array(F.lit("train"), F.lit("test"))).when(test, F.array(F.lit("test"))).otherwise(F.array(F.lit("train")))

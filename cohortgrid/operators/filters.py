@@ -70,9 +70,14 @@ def quality_filter(df: DataFrame, predicate: Column, minimum: int = 100) -> Data
     return df.where((passing < minimum) | F.coalesce(predicate, F.lit(False)))
 
 
+def drawn(key: str, seed: int) -> Column:
+    """A fixed random order of keys: the MD5 of key and seed, which any engine has."""
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
+
+
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 0, **kw) -> DataFrame:
     """A fixed-size sample that only depends on the keys and the seed."""
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    hashed = df.withColumn("_h", drawn(key, seed))
     return ranked(hashed, [], [F.col("_h"), F.col(key)], "_r", **kw).where(F.col("_r") <= n).drop("_h", "_r")
 
 
@@ -81,14 +86,14 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, key: str, seed: int =
     total = df.select(F.count(F.lit(1))).scalar()
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
     quota = sizes.withColumn("_quota", F.least(F.col("_n"), F.greatest(F.lit(floor), F.round(n * F.col("_n") / total))).cast("long"))
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    hashed = df.withColumn("_h", drawn(key, seed))
     r = ranked(hashed, [stratum], [F.col("_h"), F.col(key)], "_r", **kw)
     return r.join(quota.select(stratum, "_quota"), stratum).where(F.col("_r") <= F.col("_quota")).drop("_h", "_r", "_quota")
 
 
 def group_sample(df: DataFrame, group: str, key: str, k: int = 80, seed: int = 0) -> DataFrame:
     """At most k rows per group, chosen by hash."""
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+    hashed = df.withColumn("_h", drawn(key, seed))
     from cohortgrid.operators.scans import top_k
 
     return top_k(hashed, [group], [F.col("_h"), F.col(key)], k, "_r").drop("_h", "_r")
