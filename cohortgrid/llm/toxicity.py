@@ -19,11 +19,11 @@ BEST = 3
 #: Word table, character n-gram table, sizes of the embeddings, of a state and of the attention.
 WORDS, GRAMS, WIDTH, STATE, ATTEND = 20_000, 1 << 15, 8, 8, 8
 #: Bounds of the training sample: documents with label 1 and 0, and characters of one.
-TOXIC, CLEAN, LONGEST = 1500, 3000, 20_000
+TOXIC, CLEAN, LONGEST = 1000, 2000, 20_000
 #: Distinct words whose inputs a Python worker keeps, and words of a text read at once.
 KEPT, PIECE = 1 << 18, 1 << 15
-#: Windows run through the network at once.
-BATCH = 2048
+#: Windows run through the network at once, in scoring and in a training step.
+BATCH, STEP = 2048, 192
 
 
 def tokens(text: str | None) -> list[str]:
@@ -57,6 +57,17 @@ def char_input(grams: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, n_
     return total / root, root
 
 
+def sums_by(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of `values` that share an index, for 0 to n - 1."""
+    out = np.zeros((n, values.shape[1]), np.float32)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        index = index[order]
+        first = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+        out[index[first]] = np.add.reduceat(values[order], first)
+    return out
+
+
 def window_starts(n: int) -> np.ndarray:
     """Overlapping windows over n words; the last ends with the text."""
     return np.array([*range(0, max(1, n - WINDOW), STRIDE), *([n - WINDOW] if n > WINDOW else [])])
@@ -178,18 +189,15 @@ class Network:
         at[ids >= 0] = local
         mask = (ids >= 0).T[..., None]
         g, d_gates, loss = self.gradients(table[at.T], mask, label)
-        d_table = np.zeros_like(table)
-        np.add.at(d_table, at.T[mask[..., 0]], d_gates[mask[..., 0]])
+        d_table = sums_by(at.T[mask[..., 0]], d_gates[mask[..., 0]], len(own))
         d_x = np.zeros_like(x)
         for i, d in enumerate(("ahead", "back")):
             part = d_table[:, 3 * STATE * i : 3 * STATE * (i + 1)]
             g[f"{d}_in"] = x.T @ part
             d_x += part @ self.p[f"{d}_in"].T
-        g["words"], g["grams"] = np.zeros_like(self.p["words"]), np.zeros_like(self.p["grams"])
-        np.add.at(g["words"], rows, d_x[:, :WIDTH])
-        d_chars = d_x[:, WIDTH:] / root
-        for word, bucket in grams:
-            np.add.at(g["grams"], bucket, d_chars[word])
+        g["words"] = sums_by(rows, d_x[:, :WIDTH], len(self.p["words"]))
+        word, bucket = (np.concatenate(x) for x in zip(*grams))
+        g["grams"] = sums_by(bucket, (d_x[:, WIDTH:] / root)[word], GRAMS)
         for name, grad in g.items():
             m, v = moments.setdefault(name, [np.zeros_like(grad), np.zeros_like(grad)])
             m += 0.1 * (grad - m)
@@ -237,9 +245,9 @@ def train(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 7) -> Netwo
         first = np.concatenate(([True], owner[order][1:] != owner[order][:-1]))
         rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
         chosen = rng.permutation(order[rank < (6 if epoch < 3 else BEST)])
-        for at in range(0, len(chosen), 128):
-            part, t = chosen[at : at + 128], t + 1
-            net.step(words, windows[part], labels[owner[part]], moments, 0.01 if epoch < 7 else 0.003, t)
+        for at in range(0, len(chosen), STEP):
+            part, t = chosen[at : at + STEP], t + 1
+            net.step(words, windows[part], labels[owner[part]], moments, 0.012 if epoch < 7 else 0.004, t)
     return net
 
 
