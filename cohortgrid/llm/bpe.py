@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortgrid.llm.shared import small_batches
+
 # Fixed value: the pattern of byte-level pre-tokenization.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Fixed value: the same pattern spelt out for text below U+0250, without the fractions and
@@ -23,8 +25,8 @@ LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 BLANK = "\t-\r \x85\xa0"
 LATIN_PATTERN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^{BLANK}{LATIN}0-9]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
 OTHER = "[^\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]"
-#: Entries of the piece cache of one Python worker (about 120 MB); beyond it pieces are worked out again.
-CACHE = 1 << 19
+#: Entries of the piece cache of one Python worker (about 30 MB); beyond it pieces are worked out again.
+CACHE = 1 << 17
 #: Bytes that a long piece is read ahead of the lookahead at once.
 STEP = 4096
 #: Pieces up to this many bytes are merged by scanning, longer ones with a heap.
@@ -213,6 +215,7 @@ def encode_decode(text: Column, spark: SparkSession, path: str) -> Column:
     ids are little-endian unsigned 32-bit integers, decoded is the text of those ids. Special
     tokens' strings in a text are those tokens. `path` is a tokenizers file.
     """
+    small_batches(spark)
     definition = _definition(spark, path)
 
     @F.pandas_udf("ids binary, decoded string")

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortgrid.llm.shared import small_batches
+
 UNKNOWN = "und"
 #: N-grams of a profile.
 TOP = 300
@@ -130,6 +132,7 @@ def identify(docs: DataFrame, top: int = TOP) -> DataFrame:
     a letter are `und` with score 0; so are all where no row has a language. Equal distances go to
     the first name. Rows without a doc_id are not learnt from and not held out.
     """
+    small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     held = _held_out(F.col("doc_id"))
     known = docs.where(~held & F.col("doc_id").isNotNull()).select(F.col("lang").cast("string").alias("lang"), text.alias("text"))

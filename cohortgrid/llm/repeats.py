@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortgrid.llm.shared import Written
+from cohortgrid.llm.shared import Written, small_batches
 
 #: Words of an anchor.
 GRAM = 8
@@ -134,6 +134,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
     context. All steps sum up before they shuffle; no pairs of documents are made. Runs of words
     are compared by hashes of 95 bits or more.
     """
+    small_batches(docs.sparkSession)
     seeds = Written(_seeds(docs, window, gram))
     by_anchor = seeds.df.groupBy("anchor").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), (F.min("context") != F.max("context")).alias("mixed"))
     shared = Written(by_anchor.where("least < most").select("anchor", "least", "mixed"))

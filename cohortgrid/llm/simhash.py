@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortgrid.llm.components import components
-from cohortgrid.llm.shared import Written
+from cohortgrid.llm.shared import Written, small_batches
 
 SEED = 42
 #: Fingerprints of one cell that one tile holds, on average.
@@ -166,6 +166,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
     `radius` bits; null ids are never chosen (a group of null ids only has null). Repeated rows
     come back as often as given. An empty table gives an empty result. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     kept = Written(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col).cast("string"), shingle).alias("fp")))
     least = Written(kept.df.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(least.df.select("fp"), radius))

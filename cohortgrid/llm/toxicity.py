@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortgrid.llm.shared import small_batches
+
 WORD = re.compile(r"[^\W_]+").findall
 #: Words of a window and between the starts of two windows.
 WINDOW, STRIDE = 24, 16
@@ -338,6 +340,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     windows. Null, empty and word-less texts score 0; so does every text when no label 1 is known.
     Rows without a doc_id are scored and not held out. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = sample(docs, labels)
     net = train(rows) if any(y for _, y in rows) else None
     sent = docs.sparkSession.sparkContext.broadcast(net)

@@ -11,12 +11,14 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortgrid.llm.shared import small_batches
+
 #: What stands for a blank.
 BLANK = "▁"
 #: By how much an unknown character scores below the lowest piece.
 UNKNOWN = 10.0
 #: Segments whose counts a Python worker keeps.
-CACHE = 1 << 19
+CACHE = 1 << 17
 
 
 class Counter:
@@ -102,6 +104,7 @@ def vocabulary(path: str) -> tuple[tuple[str, float], ...]:
 
 def token_count(text: Column, spark: SparkSession, path: str) -> Column:
     """Number of pieces of whole texts, as a long; null and empty texts have none."""
+    small_batches(spark)
     pieces = spark.sparkContext.broadcast(vocabulary(path))
 
     @F.pandas_udf("long")
