@@ -15,8 +15,8 @@ from cohortgrid.llm.shared import small_batches
 
 WORD = re.compile(r"[^\W_]+").findall
 #: Words of a window and between the starts of two windows.
-WINDOW, STRIDE = 24, 16
-#: Windows whose mean score is the document's: its highest ones.
+WINDOW, STRIDE = 24, 1
+#: Highest windows with which a document of label 0 is trained; one of label 1 is with its highest, which also is the score.
 BEST = 3
 #: Word table, character n-gram table, sizes of the embeddings, of a state and of the attention.
 WORDS, GRAMS, WIDTH, STATE, ATTEND = 20_000, 1 << 15, 8, 8, 8
@@ -208,6 +208,70 @@ class Network:
             self.p[name] -= (rate * fixed[0] / (np.sqrt(fixed[1]) + 1e-6)).astype(np.float32)
         return loss
 
+    def every_window(self, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Logits of the windows at each start of a run of WINDOW or more rows of `table`.
+
+        As `forward`, without masks: step t of BATCH neighbouring windows reads one slice, and
+        both directions run at once. tanh(x) is 1 - 2 / (1 + exp(2x)).
+        """
+        s, n = STATE, len(ids) - WINDOW + 1
+        sign = np.repeat(np.array([-1, 2], np.float32), [2 * s, s])
+        u = np.stack([(self.p[f"{d}_state"] * sign).T for d in ("ahead", "back")])
+        attend = np.ascontiguousarray(np.concatenate([2 * self.p["attend"], self.p["out"][:, None]], axis=1).T)
+        out = np.empty(n, np.float32)
+        with np.errstate(over="ignore"):
+            for a in range(0, n, BATCH):
+                b = min(BATCH, n - a)
+                gates = np.ascontiguousarray((table[ids[a : a + b + WINDOW - 1]] * np.tile(sign, 2)).T).reshape(2, 3 * s, -1)
+                h, q, hu = np.zeros((2, s, b), np.float32), np.empty((2, s, b), np.float32), np.zeros((2, 3 * s, b), np.float32)
+                states = np.empty((WINDOW, 2 * s, b), np.float32)
+                for t in range(WINDOW):
+                    places = t, WINDOW - 1 - t
+                    if t:
+                        np.matmul(u, h, out=hu)
+                    zr = hu[:, : 2 * s]
+                    for i, at in enumerate(places):
+                        zr[i] += gates[i, : 2 * s, at : at + b]
+                    np.exp(zr, out=zr)
+                    zr += 1
+                    np.reciprocal(zr, out=zr)
+                    np.multiply(zr[:, s:], hu[:, 2 * s :], out=q)
+                    for i, at in enumerate(places):
+                        q[i] += gates[i, 2 * s :, at : at + b]
+                    np.exp(q, out=q)
+                    q += 1
+                    np.divide(-2, q, out=q)
+                    q += 1
+                    h -= q
+                    h *= zr[:, :s]
+                    h += q
+                    for i, at in enumerate(places):
+                        states[at, s * i : s * (i + 1)] = h[i]
+                heard = np.matmul(attend, states)
+                e = heard[:, :-1]
+                np.exp(e, out=e)
+                e += 1
+                np.reciprocal(e, out=e)
+                weight = np.matmul(-2 * self.p["attend_to"], e)
+                weight = np.exp(weight - weight.max(axis=0))
+                out[a : a + b] = (weight * heard[:, -1]).sum(axis=0) / weight.sum(axis=0) + self.p["out_bias"][0]
+        return out
+
+    def text_logits(self, table: np.ndarray, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """Logits of all windows of each text, given as rows of `table`; texts run joined, windows over a joint are left out."""
+        out: list = [None] * len(texts)
+        long = [i for i, t in enumerate(texts) if len(t) >= WINDOW]
+        if long:
+            values, at = self.every_window(table, np.concatenate([texts[i] for i in long])), 0
+            for i in long:
+                out[i] = values[at : at + len(texts[i]) - WINDOW + 1]
+                at += len(texts[i])
+        short = [i for i, t in enumerate(texts) if len(t) < WINDOW]
+        if short:
+            for i, value in zip(short, self.logits(table, np.concatenate([windows_of(texts[i]) for i in short]))):
+                out[i] = value[None]
+        return out
+
     def logits(self, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Logits of windows of rows of `table` (-1: none)."""
         out = []
@@ -217,16 +281,11 @@ class Network:
         return np.concatenate(out)
 
 
-def pooled(logits: np.ndarray) -> float:
-    """The mean of the highest windows."""
-    return float(np.sort(logits)[-BEST:].mean())
-
-
 def train(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 7) -> Network:
     """A network from (text, label) rows: first on windows drawn from all, then on each document's highest.
 
-    A document's label is given to the windows that make its score; for label 0 that are those
-    most like label 1, so that one odd word in a long clean text doesn't count.
+    A document's label is given to its highest windows of all: with label 1 to the one that makes its
+    score, with label 0 to BEST, so that one odd word in a long clean text doesn't count.
     """
     rng = np.random.default_rng(seed)
     texts = [tokens(t) for t, _ in rows]
@@ -236,20 +295,26 @@ def train(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 7) -> Netwo
     net = Network(vocabulary, seed)
     words = sorted(seen)
     place = {w: i for i, w in enumerate(words)}
-    windows = [windows_of(np.array([place[w] for w in t], np.int64)) for t in texts]
-    owner = np.repeat(np.arange(len(rows)), [len(w) for w in windows])
+    ids = [np.array([place[w] for w in t], np.int64) for t in texts]
     if not len(rows) or not words:
         return net
-    windows, moments, t = np.concatenate(windows), {}, 0
+    # All texts in a row, short ones filled up with -1; starts of their windows.
+    filled = [np.concatenate([x, np.full(max(0, WINDOW - len(x)), -1)]) for x in ids]
+    stream = np.concatenate(filled)
+    ends = np.cumsum([len(x) for x in filled])
+    starts = np.concatenate([np.arange(e - len(x), e - WINDOW + 1) for x, e in zip(filled, ends)])
+    owner = np.repeat(np.arange(len(rows)), [len(x) - WINDOW + 1 for x in filled])
+    moments, t = {}, 0
     for epoch in range(epochs):
-        key = rng.random(len(owner)) if epoch < 3 else -net.logits(net.projected(words), windows)
+        key = rng.random(len(owner)) if epoch < 3 else -np.concatenate(net.text_logits(net.projected(words), ids))
         order = np.lexsort((key, owner))
         first = np.concatenate(([True], owner[order][1:] != owner[order][:-1]))
         rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-        chosen = rng.permutation(order[rank < (6 if epoch < 3 else BEST)])
+        most = 6 if epoch < 3 else np.where(labels[owner[order]] > 0, 1, BEST)
+        chosen = rng.permutation(order[rank < most])
         for at in range(0, len(chosen), STEP):
             part, t = chosen[at : at + STEP], t + 1
-            net.step(words, windows[part], labels[owner[part]], moments, 0.012 if epoch < 7 else 0.004, t)
+            net.step(words, stream[starts[part][:, None] + np.arange(WINDOW)], labels[owner[part]], moments, 0.012 if epoch < 7 else 0.004, t)
     return net
 
 
@@ -280,18 +345,16 @@ class Scorer:
     def scores(self, texts: list[str | None]) -> list[float]:
         """Scores of whole texts; 0 without words. Windows of many texts run together."""
         split = [tokens(t) for t in texts]
-        best: list[list[np.ndarray]] = [[] for _ in texts]
+        best = np.full(len(texts), -np.inf)
         waiting, owners = [], []
 
         def flush() -> None:
             if waiting:
-                values = self.net.logits(self.table, np.concatenate(waiting))
-                ends = np.cumsum([len(w) for w in waiting])
-                for owner, part in zip(owners, np.split(values, ends[:-1])):
-                    best[owner] = [np.sort(np.concatenate([*best[owner], part]))[-BEST:]]
+                np.maximum.at(best, owners, [x.max() for x in self.net.text_logits(self.table, waiting)])
                 waiting.clear()
                 owners.clear()
 
+        held = 0
         for i, words in enumerate(split):
             # Pieces of a long text overlap as its windows do.
             for at in range(0, max(1, len(words) - WINDOW + STRIDE), PIECE):
@@ -300,12 +363,14 @@ class Scorer:
                     continue
                 if len(self.place) + len(part) > KEPT:
                     flush()
-                waiting.append(windows_of(self.ids(part)))
+                waiting.append(self.ids(part))
                 owners.append(i)
-                if sum(map(len, waiting)) >= BATCH:
+                held += len(part)
+                if held >= PIECE:
                     flush()
+                    held = 0
         flush()
-        return [float(_sigmoid(np.float64(b[0].mean()))) if b else 0.0 for b in best]
+        return [float(_sigmoid(b)) if b > -np.inf else 0.0 for b in best]
 
 
 def _digits(doc_id: Column) -> Column:
@@ -335,9 +400,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of `docs`.
 
     `labels` has doc_id, toxic (0 or 1). The network is trained on a bounded sample of the rows
-    that aren't held out (crc32 of the doc_id's digits mod 5 is 0) and sees the text alone. All
-    overlapping windows of whole texts are scored; a document's score is that of its three highest
-    windows. Null, empty and word-less texts score 0; so does every text when no label 1 is known.
+    that aren't held out (crc32 of the doc_id's digits mod 5 is 0) and sees the text alone. The
+    windows at all starts in whole texts are scored; a document's score is that of its highest window. Null, empty and word-less texts score 0; so does every text when no label 1 is known.
     Rows without a doc_id are scored and not held out. Other columns are ignored.
     """
     small_batches(docs.sparkSession)

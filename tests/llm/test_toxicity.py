@@ -67,6 +67,23 @@ def test_pieces_score_as_whole_texts(net, monkeypatch):
     assert cut[1:] == pytest.approx(whole[1:], abs=1e-5) and cut[0] >= whole[0] - 1e-5
 
 
+def test_every_window_is_scored_as_by_itself(net):
+    table = net.projected(["a", "scum", "zorgan", "the"])
+    ids = np.random.default_rng(3).integers(0, 4, 90)
+    for n in (1, tx.WINDOW - 1, tx.WINDOW, tx.WINDOW + 1, 90):
+        starts = np.arange(max(1, n - tx.WINDOW + 1))
+        alone = ids[:n] if n >= tx.WINDOW else np.concatenate([ids[:n], np.full(tx.WINDOW - n, -1)])
+        expected = net.logits(table, alone[starts[:, None] + np.arange(tx.WINDOW)])
+        got = net.text_logits(table, [ids[:7], ids[:n], ids[5:60]])[1]
+        assert got == pytest.approx(expected, abs=1e-4)
+
+
+def test_one_short_toxic_passage_at_every_offset(net):
+    clean = " ".join(t for (_, t), (_, y) in zip(*corpus(60, seed=77)) if not y).split()[:300]
+    scores = tx.Scorer(net).scores([" ".join([*clean[:k], "idiot", *clean[k:]]) for k in range(len(clean) + 1)])
+    assert tx.Scorer(net).scores([" ".join(clean)])[0] < 0.5 and min(scores) >= 0.5
+
+
 def test_held_out_accuracy_of_the_query(make, spark):
     rows, labels = corpus()
     extra = [(9000, None), (9001, ""), (9002, "..."), (None, "scum idiot scum"), (1, rows[1][1])]
