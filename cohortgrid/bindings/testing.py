@@ -136,7 +136,7 @@ def _(spark, folder):
 @query("sta_09_spearman_null")
 def _(spark, folder):
     o = table(spark, folder, "customer").select("c_custkey", F.col("c_acctbal"), F.col("c_nationkey").cast("double").alias("y"))
-    return S_.spearman_null(o, "c_custkey", "c_acctbal", "y", 40, seed=3)
+    return S_.spearman_null(o, "c_custkey", "c_acctbal", "y", 1000, seed=3)
 
 
 @query("sta_10_composition_null")
@@ -147,12 +147,7 @@ def _(spark, folder):
     groups, vocabulary = [0, 1, 2], [0, 1, 2, 3, 4]
     ref = A.composition(sub.withColumnRenamed("truth", "cluster"), groups, vocabulary)
     obs = S_.matrix_agreement(ref, A.composition(called.join(sub, "sample_id"), groups, vocabulary)).select(F.col("r").alias("statistic"))
-    perm = S_.shuffled(called, "sample_id", "cluster", 60, seed=5).join(sub, "sample_id").where(F.col("cluster").isin(groups))
-    cells = perm.groupBy("perm", "cluster", "subtype").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
-    share = cells.withColumn("share", F.col("_n") / F.sum("_n").over(Window.partitionBy("perm", "cluster")))
-    null = S_.matrix_agreement(ref, share.select("perm", "cluster", "subtype", "share"), keys=["perm"]).select("perm", F.col("r").alias("statistic"))
+    null = S_.composition_null(ref, called, sub.select("sample_id", "subtype"), groups, vocabulary, 1000, seed=5)
     return S_.null_summary(null, obs)
 
 
@@ -161,20 +156,13 @@ def _(spark, folder):
     s = survival(spark, folder).select("id", "time", "event", "grp")
     groups = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
     obs = K.logrank(s, [], groups).select("statistic")
-    perm = S_.shuffled(s.select("id", "grp"), "id", "grp", 20, seed=11).join(s.select("id", "time", "event"), "id")
-    return S_.null_summary(K.logrank(perm, ["perm"], groups).select("perm", "statistic"), obs)
+    return S_.null_summary(K.logrank_null(s, groups, 1000, seed=11), obs)
 
 
 def draw_scores(spark, folder, draws):
-    """Correlation of every second-cohort sample with every first-cohort centroid, per feature draw.
-
-    Sums per (draw, sample, cluster) are taken straight after the feature join, so only one row per
-    such key is shuffled from each task.
-    """
+    """Correlation of every second-cohort sample with every first-cohort centroid, per feature draw."""
     z, c = transfer(spark, folder)
-    zz = z.select("sample_id", "feature", F.col("value").alias("_z"))
-    cc = c.select("cluster", "feature", F.col("value").alias("_c"))
-    return draws.join(cc, "feature").join(zz, "feature").groupBy("draw", "sample_id", "cluster").agg(F.corr("_z", "_c").alias("r"))
+    return S_.draw_correlations(z, c, draws)
 
 
 def features(spark, folder):
@@ -187,7 +175,7 @@ def _(spark, folder):
     panel = f.where(F.col("feature") < "g20")
     pool = f.where(F.col("feature") >= "g20")
     n = 20
-    draws = feature_draws(pool.withColumn("stratum", F.lit(0)), spark.createDataFrame([(0, n)], "stratum int, quota int"), 15, seed=1)
+    draws = feature_draws(pool.withColumn("stratum", F.lit(0)), spark.createDataFrame([(0, n)], "stratum int, quota int"), 200, seed=1)
     both = draws.unionByName(panel.select(F.lit(0).alias("draw"), "feature"))
     called = W.lead_margin(draw_scores(spark, folder, both), ["draw", "sample_id"], "r", "cluster")
     s = survival(spark, folder).select(F.col("id").alias("sample_id"), "time", "event")
@@ -208,11 +196,11 @@ def feature_draws(pool, quotas, n, seed):
 def _(spark, folder):
     m = measurements(spark, folder)
     mean = m.groupBy("feature").agg(F.avg("value").alias("mean"))
-    strata = W.quantile_bins(mean, "mean", 4, name="stratum")
+    strata = W.quantile_bins(mean, "mean", 10, name="stratum")
     panel = strata.where(F.pmod(F.xxhash64("feature"), F.lit(4)) == 0)
     pool = strata.join(panel.select("feature"), "feature", "left_anti")
     quotas = panel.groupBy("stratum").agg(F.count(F.lit(1)).alias("quota"))
-    both = feature_draws(pool, quotas, 15, seed=2).unionByName(panel.select(F.lit(0).alias("draw"), "feature"))
+    both = feature_draws(pool, quotas, 200, seed=2).unionByName(panel.select(F.lit(0).alias("draw"), "feature"))
     axis = draw_scores(spark, folder, both).groupBy("draw", "sample_id").agg((F.max(F.when(F.col("cluster") == 0, F.col("r"))) - F.max(F.when(F.col("cluster") == 1, F.col("r")))).alias("axis"))
     y = table(spark, folder, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") % 5 == 0).cast("int").alias("y"))
     a = V.auroc(axis.join(y, "sample_id"), "axis", "y", ["draw"]).select("draw", F.col("auroc").alias("statistic"))

@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from cohortgrid.functions.tails import chi2_pvalue
 from cohortgrid.operators.scans import Scan, bh_q, clean, finite, place, running, scan_placed
+from cohortgrid.operators.stats import shuffled_counts
 
 
 def kaplan_meier(rows: DataFrame, keys: Sequence[str], time: str = "time", event: str = "event", **kw) -> DataFrame:
@@ -51,11 +52,16 @@ def logrank_parts(rows: DataFrame, keys: Sequence[str], groups: Sequence, group:
     Everything after the first aggregation works on distinct times, with one column per group.
     """
     ks = list(keys)
-    ids = range(len(groups))
     ok = rows.where(finite(time) & F.col(event).isNotNull() & F.col(group).isin(list(groups)))
     d = ok.groupBy(*ks, time).agg(
         *[F.count_if(F.col(group) == g).alias(f"_n{i}") for i, g in enumerate(groups)],
         *[F.count_if((F.col(group) == g) & (F.col(event) > 0)).alias(f"_d{i}") for i, g in enumerate(groups)])
+    return _parts_of_counts(d, ks, len(groups), time, **kw)
+
+
+def _parts_of_counts(d: DataFrame, ks: list[str], n_groups: int, time: str, **kw) -> DataFrame:
+    """`logrank_parts` of rows and events per distinct time and group (_n0, _d0, ...)."""
+    ids = range(n_groups)
     s = running(d, ks, [F.col(time)], {f"_r{i}": Scan("sum", F.col(f"_n{i}"), back=True) for i in ids}, **kw)
     risk = sum((F.col(f"_r{i}") for i in ids), F.lit(0)).cast("double")
     died = sum((F.col(f"_d{i}") for i in ids), F.lit(0)).cast("double")
@@ -76,8 +82,11 @@ def logrank_parts(rows: DataFrame, keys: Sequence[str], groups: Sequence, group:
 
 def logrank(rows: DataFrame, keys: Sequence[str], groups: Sequence, **kw) -> DataFrame:
     """Log-rank statistic, df, p, n and events per key; fewer than two groups present gives 0, 0, 1."""
-    parts = logrank_parts(rows, keys, groups, **kw)
-    ids = range(len(groups))
+    return _logrank_of(logrank_parts(rows, keys, groups, **kw), keys, len(groups))
+
+
+def _logrank_of(parts: DataFrame, keys: Sequence[str], n_groups: int) -> DataFrame:
+    ids = range(n_groups)
     u = F.array(*[(F.col(f"observed_{i}") - F.col(f"expected_{i}")).cast("double") for i in ids])
     v = F.array(*[F.col(f"v_{min(i, j)}_{max(i, j)}").cast("double") for i in ids for j in ids])
     present = sum(((F.col(f"size_{i}") > 0).cast("int") for i in ids), F.lit(0))
@@ -87,6 +96,18 @@ def logrank(rows: DataFrame, keys: Sequence[str], groups: Sequence, **kw) -> Dat
     return out.select(*keys, "statistic", "df", "p", sum((F.col(f"size_{i}") for i in ids), F.lit(0)).alias("n"), sum((F.col(f"observed_{i}") for i in ids), F.lit(0)).alias("n_events"))
 
 
+def logrank_null(rows: DataFrame, groups: Sequence, n_perm: int, seed: int = 0, group: str = "grp", time: str = "time", event: str = "event", **kw) -> DataFrame:
+    """(perm, statistic) when the group is shuffled over all rows, drawn from the rows per time and event."""
+    ok = finite(time) & F.col(event).isNotNull()
+    cells = rows.groupBy(F.when(ok, F.col(time)).alias("_time"), F.when(ok, F.col(event) > 0).alias("_dead")).agg(F.count(F.lit(1)).alias("n"))
+    have = rows.agg(F.count(F.lit(1)), *[F.count_if(F.col(group) == g) for g in groups]).first()
+    drawn = shuffled_counts(cells, ["_time", "_dead"], [*have[1:], have[0] - sum(have[1:])], n_perm, seed).where(F.col("_time").isNotNull())
+    d = drawn.groupBy("perm", "_time").agg(
+        *[F.sum(F.col(f"_c{i}")).alias(f"_n{i}") for i in range(len(groups))],
+        *[F.sum(F.when(F.col("_dead"), F.col(f"_c{i}")).otherwise(0)).alias(f"_d{i}") for i in range(len(groups))])
+    return _logrank_of(_parts_of_counts(d, ["perm"], len(groups), "_time", **kw), ["perm"], len(groups)).select("perm", "statistic")
+
+
 def sensitivity_logrank(rows: DataFrame, config: str, groups: Sequence, **kw) -> DataFrame:
     """One log-rank per configuration with q over all of them; always exploratory."""
     t = logrank(rows, [config], groups, **kw)

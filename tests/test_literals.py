@@ -200,6 +200,45 @@ def test_shuffles_keep_the_values(spark):
     assert p.groupBy("perm").agg(F.count_distinct("id").alias("n")).where("n <> 100").count() == 0
 
 
+def test_shuffled_counts_keep_both_margins(spark, monkeypatch):
+    monkeypatch.setattr(T, "CHUNK", 3)
+    cells = spark.createDataFrame([(i, 4 + i) for i in range(10)], "c int, n long")
+    got = T.shuffled_counts(cells, ["c"], [40, 25, 20], 120, seed=1).toPandas()
+    assert len(got) == 1200 and (got[["_c0", "_c1", "_c2"]].sum(axis=1) == got["c"] + 4).all()
+    assert got.groupby("perm")[["_c0", "_c1", "_c2"]].sum().drop_duplicates().to_numpy().tolist() == [[40, 25, 20]]
+    one = got[got["c"] == 9]["_c0"]
+    # Mean and variance of the hypergeometric law, with room for 120 draws.
+    assert abs(one.mean() - 13 * 40 / 85) < 0.6 and 0.6 < one.var() / (13 * 40 / 85 * 45 / 85 * 72 / 84) < 1.6
+
+
+def test_nulls_from_counts_agree_with_shuffled_rows(spark):
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, float(rng.integers(60)), int(rng.integers(2)), int(rng.integers(3)), float(rng.integers(7))) for i in range(200)], "id int, time double, event int, grp int, y double")
+    fast = K.logrank_null(d, [0, 1], 300, seed=2).toPandas()["statistic"]
+    slow = K.logrank(T.shuffled(d.select("id", "grp"), "id", "grp", 300, seed=2).join(d.drop("grp"), "id"), ["perm"], [0, 1]).toPandas()["statistic"]
+    assert len(fast) == 300 and fast.mean() == pytest.approx(slow.mean(), rel=0.3) and fast.quantile(0.9) == pytest.approx(slow.quantile(0.9), rel=0.4)
+    r = T.spearman_null(d, "id", "time", "y", 300, seed=3).first()
+    assert abs(r["null_mean"]) < 0.02 and r["null_sd"] == pytest.approx(199**-0.5, rel=0.15)
+
+
+def test_draw_correlations_match_the_joined_rows(spark):
+    rng = np.random.default_rng(5)
+    z = spark.createDataFrame([(s, f"g{f}", float(rng.normal())) for s in range(12) for f in range(9) if (s + f) % 5], "sample_id long, feature string, value double")
+    c = spark.createDataFrame([(k, f"g{f}", float(rng.normal())) for k in range(3) for f in range(9) if f != k], "cluster long, feature string, value double")
+    draws = spark.createDataFrame([(d, f"g{f}") for d in range(6) for f in range(9) if (f * 7 + d) % 3], "draw int, feature string")
+    got = {(r["draw"], r["sample_id"], r["cluster"]): r["r"] for r in T.draw_correlations(z, c, draws).collect()}
+    j = draws.join(c.withColumnRenamed("value", "_c"), "feature").join(z.withColumnRenamed("value", "_z"), "feature")
+    expected = {(r["draw"], r["sample_id"], r["cluster"]): r["r"] for r in j.groupBy("draw", "sample_id", "cluster").agg(F.corr("_z", "_c").alias("r")).collect()}
+    assert got == pytest.approx(expected, abs=1e-9)
+
+
+@pytest.mark.parametrize("name, replicates", [("sta_10_composition_null", 1000), ("sta_11_random_sets", 200), ("sta_12_matched_sets", 200)])
+def test_registered_nulls_have_all_replicates(spark, folder, name, replicates):
+    from cohortgrid import bindings
+
+    assert bindings.load()[0][name](spark, folder).first()["n_null"] == replicates
+
+
 def test_inverse_normal_centre_and_order(spark):
     d = spark.createDataFrame([(1, f"g{i}", float(i)) for i in range(5)], "sample_id int, feature string, value double")
     z = [r["value"] for r in S.inverse_normal(d).orderBy("feature").collect()]
