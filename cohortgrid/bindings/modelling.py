@@ -238,7 +238,7 @@ def _(spark, folder):
     sub = e.select(F.col("vec_id").alias("sample_id"), (F.col("label") % 5).alias("subtype"))
     ref = e.where(F.col("vec_id") % 2 == 0).select((F.col("label") % 4).alias("cluster"), (F.col("label") % 5).alias("subtype"))
     s = survival(spark, folder).select(F.col("id").alias("sample_id"), "time", "event")
-    return P.transfer_test(z, c, ref, sub, s, [0, 1, 2, 3], [0, 1, 2, 3, 4], n_perm=40)
+    return P.transfer_test(z, c, ref, sub, s, [0, 1, 2, 3], [0, 1, 2, 3, 4])
 
 
 @query("job_05_analyse_profiles", f"""

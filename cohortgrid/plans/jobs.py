@@ -98,16 +98,12 @@ def transfer_test(z_target: DataFrame, centroids: DataFrame, reference: DataFram
     called = cut_lineage(T.assign_best(T.correlate_to_centroids(z_target, centroids)).select("sample_id", "cluster"))
     ref = A.composition(reference, groups, vocabulary)
     agree = T.matrix_agreement(ref, A.composition(called.join(subtypes, "sample_id"), groups, vocabulary))
-    perm = T.shuffled(called, "sample_id", "cluster", n_perm, seed).join(subtypes, "sample_id").where(F.col("cluster").isin(list(groups)) & F.col("subtype").isin(list(vocabulary)))
-    cells = perm.groupBy("perm", "cluster", "subtype").agg(F.count(F.lit(1)).alias("_n"))
-    total = cells.groupBy("perm", "cluster").agg(F.sum("_n").alias("_t"))
-    share = cells.join(total, ["perm", "cluster"]).select("perm", "cluster", "subtype", (F.col("_n") / F.col("_t")).alias("share"))
-    null_r = T.matrix_agreement(ref, share, keys=["perm"]).select("perm", F.col("r").alias("statistic"))
+    null_r = T.composition_null(ref, called, subtypes.select("sample_id", "subtype"), groups, vocabulary, n_perm, seed)
     comp = T.null_summary(null_r, agree.select(F.col("r").alias("statistic"))).select(F.col("observed").alias("composition_r"), F.col("p").alias("composition_p"))
     s = follow_up.join(called.withColumnRenamed("cluster", "grp"), "sample_id")
     obs = K.logrank(s, [], groups)
-    perm_s = T.shuffled(called, "sample_id", "cluster", n_perm, seed + 1).withColumnRenamed("cluster", "grp").join(follow_up, "sample_id")
-    null_s = K.logrank(perm_s, ["perm"], groups).select("perm", "statistic")
+    followed = called.withColumnRenamed("cluster", "grp").join(follow_up, "sample_id", "left")
+    null_s = K.logrank_null(followed, groups, n_perm, seed + 1)
     ctrl = T.null_summary(null_s, obs.select("statistic")).select(F.col("observed").alias("statistic"), F.col("null_p95"), F.col("exceeds_p95").alias("control_passed"))
     deg = A.degeneracy(called).agg(F.max("largest_share").alias("largest_share"), F.bool_or("degenerate").alias("degenerate"))
     out = agree.select("n_agree")

@@ -239,6 +239,13 @@ def test_registered_nulls_have_all_replicates(spark, folder, name, replicates):
     assert bindings.load()[0][name](spark, folder).first()["n_null"] == replicates
 
 
+def test_transfer_job_has_1000_shuffles(spark, folder):
+    from cohortgrid import bindings
+
+    p = bindings.load()[0]["job_04_transfer_test"](spark, folder).first()["composition_p"] * 1001
+    assert p == pytest.approx(round(p), abs=1e-6)
+
+
 def test_inverse_normal_centre_and_order(spark):
     d = spark.createDataFrame([(1, f"g{i}", float(i)) for i in range(5)], "sample_id int, feature string, value double")
     z = [r["value"] for r in S.inverse_normal(d).orderBy("feature").collect()]
