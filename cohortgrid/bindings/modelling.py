@@ -42,15 +42,19 @@ def assigned(a, tag):
 
 @query("mlm_02_gaussian_mixture")
 def _(spark, folder):
-    a, b = ML.gaussian_mixture(latent(spark, folder), 3)
-    return assigned(a, "full").withColumn("bic", F.lit(float(b)))
+    x, out = latent(spark, folder), None
+    for k in range(2, 9):
+        a, b = ML.gaussian_mixture(x, k)
+        part = assigned(a, f"full_{k}").withColumn("bic", F.lit(float(b)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("mlm_03_constrained_mixture")
 def _(spark, folder):
     x = latent(spark, folder)
-    a, b = ML.constrained_mixture(x, 3, "diag", max_iter=8)
-    c, d = ML.constrained_mixture(x, 3, "tied", max_iter=8)
+    a, b = ML.constrained_mixture(x, 3, "diag", max_iter=1000)
+    c, d = ML.constrained_mixture(x, 3, "tied", max_iter=1000)
     return assigned(a, "diag").withColumn("bic", F.lit(float(b))).unionByName(assigned(c, "tied").withColumn("bic", F.lit(float(d))))
 
 
@@ -86,12 +90,12 @@ def _(spark, folder):
 def _(spark, folder):
     m = measurements(spark, folder).select("sample_id", "feature", "value")
     labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") % 4).alias("cluster"))
-    folds = ML.stratified_folds(labels, 3)
-    feats = ML.top_variance_features(m, 40)
+    folds = ML.stratified_folds(labels, 5)
+    feats = ML.top_variance_features(m, 1500)
     out = None
-    for f in range(3):
+    for f in range(5):
         train = folds.where(F.col("fold") != f)
-        model, scaler = ML.elastic_net_fit(m, train.select("sample_id", "cluster"), feats, max_iter=20)
+        model, scaler = ML.elastic_net_fit(m, train.select("sample_id", "cluster"), feats, max_iter=2000)
         test = folds.where(F.col("fold") == f)
         p = ML.elastic_net_predict(m.join(test.select("sample_id"), "sample_id", "left_semi"), feats, model, scaler).join(test, "sample_id")
         out = p if out is None else out.unionByName(p)

@@ -246,6 +246,14 @@ def test_transfer_job_has_1000_shuffles(spark, folder):
     assert p == pytest.approx(round(p), abs=1e-6)
 
 
+def test_registered_models_do_the_whole_job(spark, folder):
+    from cohortgrid import bindings
+
+    q = bindings.load()[0]
+    assert {r["config"] for r in q["mlm_02_gaussian_mixture"](spark, folder).select("config").distinct().collect()} == {f"full_{k}" for k in range(2, 9)}
+    assert sorted(r["fold"] for r in q["mlm_07_elastic_net"](spark, folder).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_inverse_normal_centre_and_order(spark):
     d = spark.createDataFrame([(1, f"g{i}", float(i)) for i in range(5)], "sample_id int, feature string, value double")
     z = [r["value"] for r in S.inverse_normal(d).orderBy("feature").collect()]
