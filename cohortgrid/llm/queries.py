@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortgrid.llm import bpe, contamination, language, licences, order_minhash, repeats, sharding, simhash, toxicity, unigram
+from cohortgrid.llm import bpe, contamination, language, licences, lines, order_minhash, repeats, sharding, simhash, toxicity, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -96,3 +96,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op13_line_dedup", lines.lines_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(documents(spark, sf_dir))
