@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,33 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def hash_number(seed: int, key: Column, group: int = 0) -> Column:
+    """The given 8-digit group of the hex sha256 of `seed:key` as an unsigned number; a null key counts as empty text."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))).cast("binary"), 256)
+    return F.conv(F.substring(digest, 8 * group + 1, 8), 16, 10).cast("long")
+
+
+#: Bytes of text worked on at once in a Python worker; a longer text stands alone.
+BLOCK_BYTES = 1 << 20
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, and where each begins and ends in them; a null text is empty."""
+    whole = texts.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = whole.buffers()
+    at = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
+
+
+def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts of BLOCK_BYTES together, or one longer text."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + BLOCK_BYTES, "right")) - 1)
+        yield a, min(b, n)
+        a = b
+
+
 class Written:
     """A table in the folder named by spark.checkpoint.dir, which can be removed again."""
 
