@@ -39,9 +39,12 @@ def shared_lines(rows: DataFrame, min_docs: int, min_chars: int) -> Written:
     often.drop()
     by_doc = held.df.select("h", "h2", "doc_id").distinct()
     last = by_doc.groupBy("h", "h2").agg(F.count(F.lit(1)).alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= min_docs)
-    gone = held.df.join(last, ["h", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # Written first: a join of two plain shuffles is one whose hot keys Spark splits.
+    keepers = Written(last.select("h", "h2", "keeper"))
+    gone = held.df.join(keepers.df, ["h", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     dropped = Written(gone.select("doc_id", "text_hash", "pos"))
     held.drop()
+    keepers.drop()
     return dropped
 
 
