@@ -28,6 +28,8 @@ IN_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 #: The lowest 0 to 8 bytes of a number.
 BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: The primes of XXH64. Fixed values.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
 
 
 class Words:
@@ -49,16 +51,15 @@ class Words:
         self.begin, self.end = place[first], place[last] + 1
         self.text = np.searchsorted(offsets, np.flatnonzero(first), "right") - 1
 
-    def features(self, carried: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin, end and text of all runs of 1 to LONGEST words; those that end in the first `carried` words are left out."""
-        begins, ends, texts = [], [], []
+    def features(self, carried: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """First and last word of all runs of 1 to LONGEST words; those that end in the first `carried` words are left out."""
+        firsts, lasts = [], []
         for n in range(1, LONGEST + 1):
             last = np.arange(max(carried, n - 1), len(self.begin))
             last = last[self.text[last] == self.text[last - n + 1]]
-            begins.append(self.begin[last - n + 1])
-            ends.append(self.end[last])
-            texts.append(self.text[last])
-        return tuple(np.concatenate(x) for x in (begins, ends, texts))
+            firsts.append(last - n + 1)
+            lasts.append(last)
+        return np.concatenate(firsts), np.concatenate(lasts)
 
 
 def _pieces(text: np.ndarray) -> Iterator[tuple[Words, int]]:
@@ -91,24 +92,85 @@ def parts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, Wor
                 yield a, 1, words, carried
 
 
+class Bytes:
+    """The bytes of some texts, with the eight from each place on as one number."""
+
+    def __init__(self, data: np.ndarray):
+        self.whole = data.tobytes()
+        self.data = data
+        self.eight = np.ndarray((len(data) + 1,), "<u8", self.whole + bytes(8), strides=(1,))
+
+    def xxh64(self, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """XXH64 (seed 0) of many spans: those under 32 bytes together, the longer ones by the library."""
+        acc = length.astype(np.uint64) + P5
+        for i in range(3):
+            on = np.flatnonzero(length >= 8 * (i + 1))
+            mixed = _turn(self.eight[begin[on] + 8 * i] * P2, 31) * P1
+            acc[on] = _turn(acc[on] ^ mixed, 27) * P1 + P4
+        at, left = begin + (length & ~7), length & 7
+        on = np.flatnonzero(left >= 4)
+        acc[on] = _turn(acc[on] ^ (self.eight[at[on]] & BYTES[4]) * P1, 23) * P2 + P3
+        at, left = at + (left & 4), left & 3
+        for i in range(3):
+            on = np.flatnonzero(left > i)
+            acc[on] = _turn(acc[on] ^ self.data[at[on] + i].astype(np.uint64) * P5, 11) * P1
+        for shift, factor in ((33, P2), (29, P3)):
+            acc = (acc ^ (acc >> np.uint64(shift))) * factor
+        acc ^= acc >> np.uint64(32)
+        for i in np.flatnonzero(length >= 32).tolist():
+            acc[i] = xxh64_intdigest(self.whole[begin[i] : begin[i] + length[i]])
+        return acc
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def _crc_shifts(most: int) -> np.ndarray:
+    """[n, k, b]: what byte k of a CRC-32, if b, becomes when n zero bytes follow."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, step >> 1 ^ np.uint32(0xEDB88320), step >> 1).astype(np.uint32)
+    out = np.empty((most + 1, 4, 256), np.uint32)
+    out[0] = np.arange(256, dtype=np.uint32) << np.arange(0, 32, 8, dtype=np.uint32)[:, None]
+    for n in range(most):
+        out[n + 1] = out[n] >> np.uint32(8) ^ step[out[n] & np.uint32(255)]
+    return out
+
+
+def joined_crc(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """CRC-32 of two byte strings in a row, from theirs and the length of the second."""
+    out, left = first, length
+    while True:
+        n = np.minimum(left, len(SHIFTS) - 1)
+        out = SHIFTS[n, 0, out & 255] ^ SHIFTS[n, 1, out >> 8 & 255] ^ SHIFTS[n, 2, out >> 16 & 255] ^ SHIFTS[n, 3, out >> 24]
+        left = left - n
+        if not left.any():
+            return out ^ second
+
+
+#: Shifts by up to so many bytes at once, and the CRC-32 of a space.
+SHIFTS, SPACE = _crc_shifts(64), crc32(b" ")
+
+
 class Interned:
-    """An open-addressed table of byte strings. `slot` holds the place of each string; `bucket` and `count` are by place."""
-
-    def __init__(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, buckets: int):
-        self.begin, self.end = begin, end
-        whole = data.tobytes()
-        #: The eight bytes from each place on.
-        self.lanes = np.ndarray((len(data) + 1,), "<u8", whole + bytes(8), strides=(1,))
-        spans = list(zip(begin.tolist(), end.tolist()))
-        self.key = np.array([xxh64_intdigest(whole[a:b]) for a, b in spans], np.uint64)
-        n = len(begin)
+    """An open-addressed table of the features of some words. `slot` holds each occurrence's place; `bucket` and `count` are by place."""
+
+    def __init__(self, words: Words, carried: int, buckets: int):
+        bytes_ = Bytes(words.bytes)
+        self.eight = bytes_.eight
+        self.first, self.last = words.features(carried)
+        self.text = words.text[self.last]
+        self.begin = words.begin[self.first]
+        self.length = words.end[self.last] - self.begin
+        self.key = bytes_.xxh64(self.begin, self.length)
+        n = len(self.begin)
         size = 1 << max(1, (2 * n - 1).bit_length())
-        self.owner = np.full(size, -1, np.int64)
-        self.slot = np.empty(n, np.int64)
-        at = (self.key & np.uint64(size - 1)).astype(np.int64)
-        left = np.arange(n)
+        self.owner = np.full(size, -1, np.int32)
+        self.slot = np.empty(n, np.int32)
+        at, left = (self.key & np.uint64(size - 1)).astype(np.int32), np.arange(n, dtype=np.int32)
         while len(left):
-            free = self.owner[at] < 0
+            free = np.flatnonzero(self.owner[at] < 0)
             self.owner[at[free]] = left[free]  # one of those that want a free place gets it
             same = self._equal(self.owner[at], left)
             self.slot[left[same]] = at[same]
@@ -116,19 +178,41 @@ class Interned:
         self.count = np.bincount(self.slot, minlength=size)
         self.bucket = np.zeros(size, np.int64)
         used = np.flatnonzero(self.owner >= 0)
-        self.bucket[used] = [crc32(whole[a:b]) % buckets for a, b in (spans[i] for i in self.owner[used].tolist())]
+        self.bucket[used] = self._crc(words, bytes_.whole, self.owner[used]) % buckets
+
+    def _crc(self, words: Words, whole: bytes, owner: np.ndarray) -> np.ndarray:
+        """CRC-32 of the strings numbered `owner`: the words' own, joined to those of the runs."""
+        # Single words are the first features; each distinct one is its slot's owner once. Carried words are in runs alone.
+        crc = np.empty(len(words.begin), np.uint32)
+        carried = len(words.begin) - np.searchsorted(self.last - self.first, 1)
+        one = self.owner[self.slot[: len(crc) - carried]]
+        own = np.flatnonzero(one == np.arange(len(one)))
+        single = np.empty(len(one), np.uint32)
+        single[own] = [crc32(whole[a:b]) for a, b in zip(words.begin[carried + own].tolist(), words.end[carried + own].tolist())]
+        crc[carried:] = single[one]
+        crc[:carried] = [crc32(whole[a:b]) for a, b in zip(words.begin[:carried].tolist(), words.end[:carried].tolist())]
+        first, last = self.first[owner], self.last[owner]
+        out = crc[last]
+        length = (words.end - words.begin)[last]
+        for back in range(1, LONGEST):
+            on = np.flatnonzero(last - first >= back)
+            word = last[on] - back
+            spaced = joined_crc(crc[word], np.uint32(SPACE), np.ones(len(on), np.int64))
+            out[on] = joined_crc(spaced, out[on], length[on])
+            length[on] += (words.end - words.begin)[word] + 1
+        return out
 
     def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the strings numbered a and b are the same: the hashes, then the lengths, then every byte, eight at once."""
         same = a == b
         ask = np.flatnonzero(~same & (self.key[a] == self.key[b]))
-        left = self.end[a[ask]] - self.begin[a[ask]]
-        fits = left == self.end[b[ask]] - self.begin[b[ask]]
+        left = self.length[a[ask]]
+        fits = left == self.length[b[ask]]
         ask, left = ask[fits], left[fits]
         same[ask] = True
         x, y = self.begin[a[ask]], self.begin[b[ask]]
         while len(ask):
-            differs = ((self.lanes[x] ^ self.lanes[y]) & BYTES[np.minimum(left, 8)]) != 0
+            differs = ((self.eight[x] ^ self.eight[y]) & BYTES[np.minimum(left, 8)]) != 0
             same[ask[differs]] = False
             more = ~differs & (left > 8)
             ask, left, x, y = ask[more], left[more] - 8, x[more] + 8, y[more] + 8
@@ -142,8 +226,7 @@ def bucket_counter(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         n = np.zeros(buckets, np.int64)
         for batch in batches:
             for _, _, words, carried in parts(*text_bytes(batch.column(0))):
-                begin, end, _ = words.features(carried)
-                table = Interned(words.bytes, begin, end, buckets)
+                table = Interned(words, carried, buckets)
                 used = np.flatnonzero(table.count)
                 np.add.at(n, table.bucket[used], table.count[used])
         met = np.flatnonzero(n)
@@ -158,13 +241,12 @@ def weigher(gains: np.ndarray) -> Callable[[pa.Array], pa.Array]:
     def run(texts: pa.Array) -> pa.Array:
         out = np.zeros((3, len(texts)), np.int64)
         for first, n, words, carried in parts(*text_bytes(texts)):
-            begin, end, text = words.features(carried)
-            table = Interned(words.bytes, begin, end, len(gains))
+            table = Interned(words, carried, len(gains))
             gain = gains[table.bucket][table.slot]  # of each occurrence, by its slot
             out[0, first : first + n] += np.bincount(words.text[carried:], minlength=n)
-            out[1, first : first + n] += np.bincount(text, minlength=n)
+            out[1, first : first + n] += np.bincount(table.text, minlength=n)
             # Whole numbers far below 2**53, so the sums of doubles are exact.
-            out[2, first : first + n] += np.bincount(text, gain, minlength=n).astype(np.int64)
+            out[2, first : first + n] += np.bincount(table.text, gain, minlength=n).astype(np.int64)
         return pa.StructArray.from_arrays([pa.array(x) for x in out], names=["n_words", "n_features", "weight"])
 
     return run

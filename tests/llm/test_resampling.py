@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from cohortgrid.llm import resampling
 
@@ -71,7 +72,7 @@ def test_words_and_features_of_any_block_size(monkeypatch):
 
 
 def test_strings_of_one_hash_stay_apart(monkeypatch):
-    monkeypatch.setattr(resampling, "xxh64_intdigest", lambda b: 5)
+    monkeypatch.setattr(resampling.Bytes, "xxh64", lambda self, begin, length: np.full(len(begin), 5, np.uint64))
     texts = ["one two three one two four", "one two"]
     got = resampling.weigher(np.arange(10_000))(pa.array(texts)).to_pylist()
     assert [r["weight"] for r in got] == [sum(zlib.crc32(x.encode()) % 10_000 for x in features(t)) for t in texts]
@@ -79,12 +80,23 @@ def test_strings_of_one_hash_stay_apart(monkeypatch):
 
 def test_table_counts_and_slots():
     x = resampling.Words(np.frombuffer(b"a b a b a", np.uint8), np.array([0, 9]))
-    begin, end, _ = x.features()
-    table = resampling.Interned(x.bytes, begin, end, 10_000)
-    got = {bytes(x.bytes[begin[o] : end[o]]): (table.bucket[p], table.count[p]) for p, o in enumerate(table.owner) if o >= 0}
+    table = resampling.Interned(x, 0, 10_000)
+    got = {bytes(x.bytes[table.begin[o] :][: table.length[o]]): (table.bucket[p], table.count[p]) for p, o in enumerate(table.owner) if o >= 0}
     assert got == {f.encode(): (zlib.crc32(f.encode()) % 10_000, n) for f, n in Counter(features("a b a b a")).items()}
 
 
+def test_hashes_of_spans_of_any_length():
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 256, 500).astype(np.uint8)
+    begin = rng.integers(0, 300, 400)
+    length = rng.integers(0, 200, 400)
+    want = [xxhash.xxh64_intdigest(data[a : a + n].tobytes()) for a, n in zip(begin, length)]
+    assert resampling.Bytes(data).xxh64(begin, length).tolist() == want
+    first, second = rng.bytes(30), [rng.bytes(int(n)) for n in length]
+    got = resampling.joined_crc(np.full(400, zlib.crc32(first), np.uint32), np.array([zlib.crc32(x) for x in second], np.uint32), length)
+    assert got.tolist() == [zlib.crc32(first + x) for x in second]
+
+
 def test_very_long_text(make, spark):
     rng = random.Random(7)
     long = " ".join(rng.choice(["alpha", "beta", "Ωmega", "x" * 40]) for _ in range(300_000))
