@@ -10,6 +10,7 @@ from cohortgrid.bindings.summaries import profiles
 from cohortgrid.bindings.tables import M, measurements, pick, r6, survival, table
 from cohortgrid.bindings.testing import MW, TN, WELCH, transfer, tumour_normal, tumour_pairs
 from cohortgrid.operators import evaluation as V
+from cohortgrid.operators import mixtures as MX
 from cohortgrid.operators import ml as ML
 from cohortgrid.operators import signatures as G
 from cohortgrid.plans import jobs as P
@@ -36,31 +37,60 @@ def _(spark, folder):
     return ML.fit_projection(vectors(spark, folder), 4).loadings(spark, [f"g{i:02d}" for i in range(64)], 5)
 
 
-def assigned(a, tag):
-    return a.select("id", "cluster", F.array_max("membership").alias("top"), F.lit(tag).alias("config"))
+def mixtures(spark, folder, *kinds):
+    return MX.fit_all(latent(spark, folder), range(2, 9), kinds)
+
+
+def assigned(fits):
+    """id, cluster, top, config and bic of every row under every model."""
+    config = F.concat_ws("_", "kind", "k").alias("config")
+    return fits.assignments().join(fits.selection(), ["kind", "k"]).select("id", "cluster", F.array_max("membership").alias("top"), config, "bic")
+
+
+def invariants(fits):
+    """What holds for any fit: each row assigned once per model, memberships and weights that add up."""
+    held = fits.assignments().groupBy("kind", "k").agg(F.count(F.lit(1)).alias("n"), r6(F.sum(F.aggregate("membership", F.lit(0.0), lambda s, x: s + x)) / F.count(F.lit(1))).alias("membership"), F.count_if(F.size("membership") == F.col("k")).alias("n_whole"))
+    weight = fits.parameters().groupBy("kind", "k").agg(r6(F.sum("weight")).alias("weight"), F.count(F.lit(1)).alias("components"))
+    return held.join(weight, ["kind", "k"]).join(fits.selection().select("kind", "k", F.col("n").alias("n_fitted")), ["kind", "k"])
+
+
+def invariants_sql(*kinds):
+    return f"""
+SELECT kind, CAST(k AS INTEGER) AS k, count(*) AS n, 1.0::DOUBLE AS membership, count(*) AS n_whole, 1.0::DOUBLE AS weight, k AS components, count(*) AS n_fitted
+FROM embeddings, (SELECT unnest({list(kinds)}) AS kind), range(2, 9) AS r(k) WHERE embedding IS NOT NULL GROUP BY kind, k"""
 
 
 @query("mlm_02_gaussian_mixture")
 def _(spark, folder):
-    x, out = latent(spark, folder), None
-    for k in range(2, 9):
-        a, b = ML.gaussian_mixture(x, k)
-        part = assigned(a, f"full_{k}").withColumn("bic", F.lit(float(b)))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return assigned(mixtures(spark, folder, "full"))
+
+
+@query("mlm_02_invariants", invariants_sql("full"))
+def _(spark, folder):
+    return invariants(mixtures(spark, folder, "full"))
 
 
 @query("mlm_03_constrained_mixture")
 def _(spark, folder):
-    x = latent(spark, folder)
-    a, b = ML.constrained_mixture(x, 3, "diag", max_iter=1000)
-    c, d = ML.constrained_mixture(x, 3, "tied", max_iter=1000)
-    return assigned(a, "diag").withColumn("bic", F.lit(float(b))).unionByName(assigned(c, "tied").withColumn("bic", F.lit(float(d))))
+    return assigned(mixtures(spark, folder, "diag", "tied"))
+
+
+@query("mlm_03_invariants", invariants_sql("diag", "tied"))
+def _(spark, folder):
+    return invariants(mixtures(spark, folder, "diag", "tied"))
 
 
 @query("mlm_04_kmeans")
 def _(spark, folder):
-    return assigned(ML.kmeans(latent(spark, folder), 4), "kmeans")
+    return assigned(mixtures(spark, folder, "kmeans")).drop("bic")
+
+
+@query("mlm_04_one_hot", """
+SELECT CAST(k AS INTEGER) AS k, count(*) AS n, count(*) AS n_one_hot, k AS clusters FROM embeddings, range(2, 9) AS r(k) WHERE embedding IS NOT NULL GROUP BY k""")
+def _(spark, folder):
+    a = mixtures(spark, folder, "kmeans").assignments()
+    hot = (F.get("membership", F.col("cluster")) == 1.0) & (F.aggregate("membership", F.lit(0.0), lambda s, x: s + x) == 1.0)
+    return a.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(hot).alias("n_one_hot"), F.count_distinct("cluster").alias("clusters"))
 
 
 @query("mlm_05_nearest_centroid", f"""
@@ -188,9 +218,7 @@ def _(spark, folder):
 
 @query("evl_06_bootstrap_stability")
 def _(spark, folder):
-    x = latent(spark, folder, 4)
-    base, _ = ML.gaussian_mixture(x, 2, max_iter=30)
-    return ML.bootstrap_stability(x, base, 2, n_boot=3)
+    return MX.fit_all(latent(spark, folder, 16), range(2, 9), ("full",), n_boot=50).stability()
 
 
 # ---- jobs ---------------------------------------------------------------------------------------------
@@ -207,7 +235,7 @@ def _(spark, folder):
 @query("job_01_assemble_cohort")
 def _(spark, folder):
     s = survival(spark, folder).select("id", "time", "event")
-    out = P.assemble_cohort(vectors(spark, folder).select("id", "vec"), s, [2, 3], dim=4, n_boot=2)
+    out = P.assemble_cohort(vectors(spark, folder).select("id", "vec"), s)
     return out["logrank"].select("config_id", "statistic", "df", "p", "q", "n", "n_events")
 
 

@@ -28,17 +28,18 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
 
     When the right side holds at most `SHARED_VALUES` numbers (counted first) it is shared with all tasks
     and the left side streams past it with no shuffle. Beyond that both sides are cut into tiles of
-    bounded size and every pair of tiles is one group, so neither side is ever gathered whole.
+    bounded size, each by the length of its own vectors, and every pair of tiles is one group, so neither
+    side is ever gathered whole. A right side without rows gives no rows.
     """
     dim, n = right.select(F.max(F.size(vec)), F.count(F.lit(1))).first()
     if not n:
-        raise ValueError("the right side has no rows")
+        return left.sparkSession.createDataFrame([], schema)
 
     def in_batches(part: pd.DataFrame, block: pd.DataFrame):
         for start in range(0, len(part), _BATCH):
             yield fn(part.iloc[start:start + _BATCH], block)
 
-    if int(n) * int(dim) <= SHARED_VALUES:
+    if int(n) * max(1, int(dim)) <= SHARED_VALUES:
         shared = left.sparkSession.sparkContext.broadcast(right.toPandas())
 
         def stream(batches):
@@ -47,9 +48,9 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
 
         return left.mapInPandas(stream, schema)
 
-    per_tile = max(1, TILE_VALUES // int(dim))
-    right_tiles = -(-int(n) // per_tile)
-    left_tiles = max(1, -(-left.count() // per_tile))
+    left_dim, left_n = left.select(F.max(F.size(vec)), F.count(F.lit(1))).first()
+    right_tiles = -(-int(n) // max(1, TILE_VALUES // max(1, int(dim))))
+    left_tiles = max(1, -(-int(left_n) // max(1, TILE_VALUES // max(1, int(left_dim or 1)))))
 
     def tiled(df: DataFrame, own: str, tiles: int, other: str, others: int) -> DataFrame:
         at = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
@@ -57,11 +58,11 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
 
     a = tiled(left, "_i", left_tiles, "_j", right_tiles)
     b = tiled(right, "_j", right_tiles, "_i", left_tiles)
-    empty = [f.strip().split(" ")[0] for f in schema.split(",")]
+    empty = [f.strip().split(" ")[0].strip("`") for f in schema.split(",")]
 
     def tile(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if part.empty or block.empty:
-            return pd.DataFrame({c: [] for c in empty})
+            return pd.DataFrame({c: pd.Series(dtype=object) for c in empty})
         return pd.concat(list(in_batches(part, block)), ignore_index=True)
 
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(tile, schema)

@@ -65,11 +65,11 @@ def class_metrics(df: DataFrame, truth: str, predicted: str, keys: Sequence[str]
     return out if keys else out.drop("_k")
 
 
-def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adjusted Rand index of two labelings per key; identical trivial labelings give 1."""
+def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), count: str | None = None) -> DataFrame:
+    """Adjusted Rand index of two labelings per key; identical trivial labelings give 1. `count` stands for that many rows."""
     k = list(keys) or ["_k"]
     d = df if keys else df.withColumn("_k", F.lit(0))
-    cells = d.groupBy(*k, a, b).agg(F.count(F.lit(1)).alias("_n"))
+    cells = d.groupBy(*k, a, b).agg((F.sum(count) if count else F.count(F.lit(1))).alias("_n"))
 
     def pairs(c):
         return c.cast("double") * (c - 1) / 2
@@ -84,30 +84,39 @@ def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> Da
     return out if keys else out.drop("_k")
 
 
-def silhouette(df: DataFrame, vec: str = "vec", label: str = "cluster", id_col: str = "id") -> DataFrame:
-    """Mean Euclidean silhouette, exact.
+def silhouettes(df: DataFrame, labels: Sequence[str], vec: str = "vec", id_col: str = "id") -> DataFrame:
+    """labelling, silhouette, n: mean Euclidean silhouette of several labelings (columns of one type), exact.
 
-    See `meet`: each meeting of points hands on one sum of distances per point and cluster, never the
-    distances themselves.
+    See `meet`: the distances of two blocks are worked out once for all labelings, and each meeting of
+    points hands on one sum of them per point, labeling and cluster, never the distances themselves.
     """
-    t_id, t_label = dict(df.dtypes)[id_col], dict(df.dtypes)[label]
-    pts = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"), F.col(label).alias("label"))
+    kinds = dict(df.dtypes)
+    t_id, t_label = kinds[id_col], kinds[labels[0]]
+    pts = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"), *[F.col(c).alias(f"_l{i}") for i, c in enumerate(labels)])
 
     def sums(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        q, m, lab = dense(part["vec"]), dense(block["vec"]), block["label"].to_numpy()
+        q, m = dense(part["vec"]), dense(block["vec"])
         dist = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * q @ m.T, 0.0))
         dist[part["id"].to_numpy()[:, None] == block["id"].to_numpy()[None, :]] = 0.0
-        return pd.concat([
-            pd.DataFrame({"id": part["id"].to_numpy(), "label": part["label"].to_numpy(), "other": x, "dist": dist[:, lab == x].sum(1), "cnt": int((lab == x).sum())})
-            for x in np.unique(lab)], ignore_index=True)
-
-    met = meet(pts, pts, sums, f"id {t_id}, label {t_label}, other {t_label}, dist double, cnt long")
-    per = met.groupBy("id", "label", "other").agg(F.sum("dist").alias("d"), F.sum("cnt").alias("c"))
+        done = []
+        for i in range(len(labels)):
+            own, lab = part[f"_l{i}"].to_numpy(), block[f"_l{i}"].to_numpy()
+            done += [pd.DataFrame({"id": part["id"].to_numpy(), "at": i, "label": own, "other": x, "dist": dist[:, lab == x].sum(1), "cnt": int((lab == x).sum())}) for x in np.unique(lab)]
+        return pd.concat(done, ignore_index=True)
+
+    met = meet(pts, pts, sums, f"id {t_id}, at int, label {t_label}, other {t_label}, dist double, cnt long")
+    per = met.groupBy("id", "at", "label", "other").agg(F.sum("dist").alias("d"), F.sum("cnt").alias("c"))
     own = F.max(F.when(F.col("label") == F.col("other"), F.when(F.col("c") > 1, F.col("d") / (F.col("c") - 1))))
     near = F.min(F.when(F.col("label") != F.col("other"), F.col("d") / F.col("c")))
-    s = per.groupBy("id").agg(own.alias("a"), near.alias("b"))
-    value = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return s.agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n"))
+    s = per.groupBy("id", "at").agg(own.alias("a"), near.alias("b"))
+    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    name = F.element_at(F.array(*[F.lit(c) for c in labels]), F.col("at") + 1)
+    return s.groupBy("at").agg(F.avg(value).alias("silhouette"), F.count(F.lit(1)).alias("n")).select(name.alias("labelling"), "silhouette", "n")
+
+
+def silhouette(df: DataFrame, vec: str = "vec", label: str = "cluster", id_col: str = "id") -> DataFrame:
+    """Mean Euclidean silhouette of one labeling; see `silhouettes`."""
+    return silhouettes(df, [label], vec, id_col).drop("labelling")
 
 
 def choose_k(table: DataFrame, window: float = BIC_WINDOW, floor: float = STABILITY_FLOOR) -> DataFrame:

@@ -7,8 +7,6 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -18,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortgrid.operators.scans import exact_quantiles, keep_first, ranked, top_k
-from cohortgrid.session import cut_lineage
 
 
 def _vectors(df: DataFrame, vec: str) -> DataFrame:
@@ -67,130 +64,6 @@ def apply_directions(df: DataFrame, directions: np.ndarray, vec: str, out: str)
     return df.withColumn(out, F.transform(rows, lambda d: F.aggregate(F.zip_with(F.col(vec).cast("array<double>"), d, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)))
 
 
-# ---- clustering -------------------------------------------------------------------------------------
-def bic(loglik: float, n: int, d: int, k: int, covariance: str) -> float:
-    free = {"full": k * d * (d + 1) / 2, "diag": k * d, "tied": d * (d + 1) / 2}[covariance]
-    return -2.0 * loglik + (k - 1 + k * d + free) * math.log(n)
-
-
-def gaussian_mixture(df: DataFrame, k: int, vec: str = "latent", id_col: str = "id", seed: int = 0, max_iter: int = 60):
-    """Full covariance mixture: (assignments(id, cluster, membership), bic)."""
-    x = _vectors(df, vec).withColumnRenamed("_raw", "features")
-    model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(x)
-    s = model.summary
-    d = len(model.gaussiansDF.first()["mean"])
-    n = sum(s.clusterSizes)
-    out = model.transform(x).select(id_col, F.col("prediction").alias("cluster"), vector_to_array("probability").alias("membership"))
-    return out, bic(s.logLikelihood, n, d, k, "full")
-
-
-def kmeans(df: DataFrame, k: int, vec: str = "latent", id_col: str = "id", seed: int = 0) -> DataFrame:
-    """K-means assignments with one-hot membership."""
-    x = _vectors(df, vec).withColumnRenamed("_raw", "features")
-    out = KMeans(k=k, seed=seed).fit(x).transform(x)
-    hot = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (i == F.col("prediction")).cast("double"))
-    return out.select(id_col, F.col("prediction").alias("cluster"), hot.alias("membership"))
-
-
-def _log_density(x: np.ndarray, weights, means, cov, tied: bool) -> np.ndarray:
-    d = x.shape[1]
-    out = np.empty((len(x), len(weights)))
-    if tied:
-        chol = np.linalg.cholesky(cov)
-        inv = np.linalg.inv(chol)
-        half = np.log(np.diag(chol)).sum()
-        for j, m in enumerate(means):
-            y = (x - m) @ inv.T
-            out[:, j] = -0.5 * (y * y).sum(1) - half
-    else:
-        for j, m in enumerate(means):
-            out[:, j] = -0.5 * (((x - m) ** 2) / cov[j]).sum(1) - 0.5 * np.log(cov[j]).sum()
-    return out + np.log(np.maximum(weights, 1e-300)) - 0.5 * d * math.log(2 * math.pi)
-
-
-def constrained_mixture(df: DataFrame, k: int, covariance: str, vec: str = "latent", id_col: str = "id", seed: int = 0, max_iter: int = 25, tol: float = 1e-3):
-    """Diagonal or tied covariance mixture: (assignments, bic).
-
-    Each step is one pass that returns per task only the k x d sums the next parameters need; the
-    parameters live on the driver, so no lineage builds up.
-    """
-    if covariance not in ("diag", "tied"):
-        raise ValueError("covariance must be diag or tied")
-    tied = covariance == "tied"
-    data = cut_lineage(df.select(id_col, F.col(vec).cast("array<double>").alias("x"))).persist(StorageLevel.MEMORY_AND_DISK)
-    start = kmeans(data, k, "x", id_col, seed)
-    d = len(data.first()["x"])
-    first = data.join(start.select(id_col, "cluster"), id_col).groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("x")[i]) for i in range(d)]).alias("m"), F.array(*[F.var_pop(F.col("x")[i]) for i in range(d)]).alias("v")).orderBy("cluster").collect()
-    n = sum(r["n"] for r in first)
-    weights = np.array([r["n"] / n for r in first])
-    means = np.array([r["m"] for r in first])
-    var = np.maximum(np.array([r["v"] for r in first]), 1e-6)
-    cov = np.diag((weights[:, None] * var).sum(0)) if tied else var
-    kk = len(first)
-    width = kk + kk * d + (d * d if tied else kk * d) + 1
-    last = -math.inf
-    loglik = last
-    for _ in range(max_iter):
-        w, m, c = weights, means, cov
-
-        def step(batches, w=w, m=m, c=c):
-            acc = np.zeros(width)
-            for b in batches:
-                if len(b) == 0:
-                    continue
-                x = np.array(b["x"].tolist(), dtype=float)
-                lp = _log_density(x, w, m, c, tied)
-                top = lp.max(1, keepdims=True)
-                norm = top[:, 0] + np.log(np.exp(lp - top).sum(1))
-                r = np.exp(lp - norm[:, None])
-                second = x.T @ x if tied else r.T @ (x * x)
-                acc += np.concatenate([r.sum(0), (r.T @ x).ravel(), second.ravel(), [norm.sum()]])
-            yield pd.DataFrame({"i": np.arange(width), "v": acc})
-
-        rows = data.select("x").mapInPandas(step, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
-        s = np.zeros(width)
-        for r in rows:
-            s[r["i"]] = r["v"]
-        nk = np.maximum(s[:kk], 1e-10)
-        means = s[kk:kk + kk * d].reshape(kk, d) / nk[:, None]
-        second = s[kk + kk * d:-1]
-        if tied:
-            cov = (second.reshape(d, d) - (means.T * nk) @ means) / n + 1e-6 * np.eye(d)
-        else:
-            cov = np.maximum(second.reshape(kk, d) / nk[:, None] - means ** 2, 1e-6)
-        weights = nk / n
-        loglik = s[-1]
-        if abs(loglik - last) < tol * n:
-            break
-        last = loglik
-    w, m, c = weights, means, cov
-    data.unpersist()
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def member(x: pd.Series) -> pd.Series:
-        lp = _log_density(np.array(x.tolist(), dtype=float), w, m, c, tied)
-        r = np.exp(lp - lp.max(1, keepdims=True))
-        return pd.Series(list(r / r.sum(1, keepdims=True)))
-
-    out = data.withColumn("membership", member("x")).select(id_col, (F.array_position("membership", F.array_max("membership")) - 1).cast("int").alias("cluster"), "membership")
-    return out, bic(loglik, n, d, kk, covariance)
-
-
-def bootstrap_stability(df: DataFrame, base: DataFrame, k: int, n_boot: int = 50, fraction: float = 0.8, vec: str = "latent", id_col: str = "id", seed: int = 0) -> DataFrame:
-    """Mean adjusted Rand index between base labels and refits on hash subsamples; one row."""
-    from cohortgrid.operators.evaluation import adjusted_rand
-
-    data = cut_lineage(df.select(id_col, vec))
-    every = None
-    for b in range(n_boot):
-        keep = data.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed * 1000 + b)), F.lit(1000)) < int(fraction * 1000))
-        lab = gaussian_mixture(keep, k, vec, id_col, seed=b, max_iter=30)[0].select(id_col, F.lit(b).alias("rep"), F.col("cluster").alias("again"))
-        every = lab if every is None else every.unionByName(lab)
-    ari = adjusted_rand(every.join(base.select(id_col, "cluster"), id_col), "cluster", "again", ["rep"])
-    return ari.agg(F.avg("ari").alias("stability"), F.count(F.lit(1)).alias("n_boot"))
-
-
 # ---- classifiers ------------------------------------------------------------------------------------
 def nearest_centroid(train: DataFrame, labels: DataFrame, test: DataFrame, label: str, panel: Sequence[str] | None = None, minimum: int = 20) -> DataFrame:
     """Label of the closest class centroid (squared distance over shared features) per test sample.

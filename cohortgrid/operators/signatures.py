@@ -12,8 +12,10 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortgrid.functions.tails import normal_score, t_pvalue
 from cohortgrid.functions.vocabulary import TARGET_PATHWAY
-from cohortgrid.operators.scans import average_ranks, keep_first, medians, ranked, top_k
+from cohortgrid.operators.blocks import meet
+from cohortgrid.operators.scans import average_ranks, finite, keep_first, medians, ranked, top_k
 from cohortgrid.operators.windows import empirical_percentile, rank_percentile
+from cohortgrid.session import cut_lineage
 
 
 # ---- scaling ----------------------------------------------------------------------------------------
@@ -121,23 +123,103 @@ def arm_summary(arm_rows: DataFrame, keys: Sequence[str], minimum: int = 10) ->
     return g.withColumn("thin", (F.col("n_up") < minimum) | (F.col("n_down") < minimum))
 
 
+#: Numbers of a dense matrix, and query signatures, that a worker multiplies at once.
+DENSE_VALUES, QUERIES = 4_000_000, 256
+
+
+class Matrix:
+    """Rows of positions and values as a dense matrix, 0 where nothing is measured, and as a mask of what is.
+
+    Repeated positions of a row are averaged.
+    """
+
+    def __init__(self, rows: pd.DataFrame, width: int):
+        row = np.repeat(np.arange(len(rows)), [len(x) for x in rows["at"]])
+        at = np.concatenate([np.zeros(0, np.int64), *rows["at"]]).astype(np.int64)
+        count, self.values = np.zeros((len(rows), width)), np.zeros((len(rows), width))
+        np.add.at(count, (row, at), 1.0)
+        np.add.at(self.values, (row, at), np.concatenate([np.zeros(0), *rows["vec"]]))
+        self.values /= np.maximum(count, 1.0)
+        self.mask = (count > 0).astype(float)
+
+
+def _vectors(df: DataFrame, by: Sequence[str], value: str, places: DataFrame) -> DataFrame:
+    """One row per `by`: positions and values of the features in `places`, and a number to deal rows by."""
+    held = df.where(finite(value)).join(places, "feature").groupBy(*by).agg(F.collect_list(F.struct("at", F.col(value).cast("double").alias("vec"))).alias("_p"))
+    return held.select(*by, F.xxhash64(*by).alias("id"), F.col("_p.at").alias("at"), F.col("_p.vec").alias("vec"))
+
+
+def _taken(column: pd.Series, at: np.ndarray) -> pd.Series:
+    """Cells by position; texts as objects, which stay one piece when frames are put together."""
+    return pd.Series(column.to_numpy()[at], dtype=column.dtype if column.dtype.kind in "biuf" else object)
+
+
+def score_by_blocks(queries: DataFrame, value: str, perturbations: DataFrame, keys: Sequence[str], score: Callable[[Matrix, Matrix], tuple[dict[str, np.ndarray], np.ndarray]], columns: dict[str, str]) -> DataFrame:
+    """keys, sig_id and `columns` for every query and perturbation row that `score` keeps.
+
+    The features of the queries are numbered. A perturbation row becomes one vector over them, once,
+    whatever the number of queries; blocks of rows meet blocks of queries as matrix products (see
+    `meet`), so no row per query, perturbation and feature is ever made.
+    """
+    places = cut_lineage(ranked(queries.select("feature").distinct(), [], [F.col("feature")], "at").select("feature", (F.col("at") - 1).cast("int").alias("at")))
+    width = places.count()
+    asked = cut_lineage(_vectors(queries, keys, value, places))
+    measured = cut_lineage(_vectors(perturbations, ["sig_id"], "value", places))
+    rows_at_once = max(1, DENSE_VALUES // max(1, width))
+
+    def products(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        done = []
+        for i in range(0, len(part), rows_at_once):
+            rows = part.iloc[i : i + rows_at_once]
+            m = Matrix(rows, width)
+            for j in range(0, len(block), QUERIES):
+                asked_rows = block.iloc[j : j + QUERIES]
+                found, keep = score(m, Matrix(asked_rows, width))
+                r, q = np.nonzero(keep)
+                own = {k: _taken(asked_rows[k], q) for k in keys}
+                done.append(pd.DataFrame({**own, "sig_id": _taken(rows["sig_id"], r), **{c: x[r, q] for c, x in found.items()}}))
+        return pd.concat(done, ignore_index=True)
+
+    types = dict(asked.dtypes) | dict(measured.dtypes) | columns
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, "sig_id", *columns])
+    return meet(measured, asked, products, schema)
+
+
 def connectivity(signature: DataFrame, perturbations: DataFrame, keys: Sequence[str], minimum: int = 5) -> DataFrame:
     """Negative Pearson correlation of each query signature with every perturbation row on shared features.
 
-    `perturbations` is (sig_id, feature, value). Only query features are kept before the shuffle.
+    `perturbations` is (sig_id, feature, value); only finite values count. No score where fewer than
+    `minimum` features are shared or one side doesn't vary over them. See `score_by_blocks`.
     """
-    j = perturbations.join(signature.select(*keys, "feature", "effect"), "feature")
-    g = j.groupBy(*keys, "sig_id").agg(F.corr("effect", "value").alias("_r"), F.count(F.lit(1)).alias("n_shared"))
-    return g.where((F.col("n_shared") >= minimum) & F.col("_r").isNotNull()).select(*keys, "sig_id", (-F.col("_r")).alias("reversal_score"), "n_shared")
+
+    def correlate(m: Matrix, q: Matrix):
+        # Centred by each row's own mean first, so that the sums below don't cancel.
+        y = m.mask * (m.values - (m.values.sum(1) / np.maximum(m.mask.sum(1), 1))[:, None])
+        x = q.mask * (q.values - (q.values.sum(1) / np.maximum(q.mask.sum(1), 1))[:, None])
+        n = m.mask @ q.mask.T
+        sx, sxx, sy, syy = m.mask @ x.T, m.mask @ (x * x).T, y @ q.mask.T, (y * y) @ q.mask.T
+        vx, vy, safe = sxx - sx * sx / np.maximum(n, 1), syy - sy * sy / np.maximum(n, 1), np.maximum(n, 1)
+        varies = (vx > 1e-12 * np.maximum(sxx, 1e-300)) & (vy > 1e-12 * np.maximum(syy, 1e-300))
+        r = np.divide(y @ x.T - sx * sy / safe, np.sqrt(np.where(varies, vx * vy, 1.0)))
+        return {"reversal_score": -np.clip(r, -1.0, 1.0), "n_shared": n.astype(np.int64)}, varies & (n >= minimum)
+
+    return score_by_blocks(signature, "effect", perturbations, keys, correlate, {"reversal_score": "double", "n_shared": "long"})
 
 
 def set_difference(arm_rows: DataFrame, perturbations: DataFrame, keys: Sequence[str], minimum: int = 5) -> DataFrame:
-    """-(mean of up features - mean of down features) per perturbation row, with at least `minimum` per side measured."""
-    j = perturbations.join(arm_rows.select(*keys, "feature", "direction"), "feature")
-    up, down = F.col("direction") == "up", F.col("direction") == "down"
-    g = j.groupBy(*keys, "sig_id").agg(F.avg(F.when(up, F.col("value"))).alias("_u"), F.avg(F.when(down, F.col("value"))).alias("_d"),
-                                       F.count_if(up).alias("n_up"), F.count_if(down).alias("n_down"))
-    return g.where((F.col("n_up") >= minimum) & (F.col("n_down") >= minimum)).select(*keys, "sig_id", (F.col("_d") - F.col("_u")).alias("reversal_score"))
+    """-(mean of up features - mean of down features) per perturbation row, with at least `minimum` per side measured.
+
+    Only finite values count. See `score_by_blocks`.
+    """
+
+    def differ(m: Matrix, q: Matrix):
+        up, down = (q.values > 0).astype(float), (q.values < 0).astype(float)
+        n_up, n_down = m.mask @ up.T, m.mask @ down.T
+        score = m.values @ down.T / np.maximum(n_down, 1) - m.values @ up.T / np.maximum(n_up, 1)
+        return {"reversal_score": score}, (n_up >= minimum) & (n_down >= minimum)
+
+    sides = arm_rows.where(F.col("direction").isin("up", "down")).withColumn("_side", F.when(F.col("direction") == "up", 1.0).otherwise(-1.0))
+    return score_by_blocks(sides, "_side", perturbations, keys, differ, {"reversal_score": "double"})
 
 
 def proxy_reversal(table: DataFrame, assignment: DataFrame, residual_arms: DataFrame, cluster_arms: DataFrame, blended: DataFrame | None = None, **kw) -> DataFrame:

@@ -13,6 +13,7 @@ from cohortgrid.operators import documents as D
 from cohortgrid.operators import evaluation as V
 from cohortgrid.operators import governance as G
 from cohortgrid.operators import joins as J
+from cohortgrid.operators import mixtures as M
 from cohortgrid.operators import ml as ML
 from cohortgrid.operators import signatures as S
 from cohortgrid.operators import stats as T
@@ -62,35 +63,29 @@ def cluster_reversal(measurements: DataFrame, pairs: DataFrame, perturbations: D
     return ranked, G.known_answers(ranked.select("cluster", F.col("drug").alias("canonical")), roles, role_lists)
 
 
-def assemble_cohort(vectors: DataFrame, follow_up: DataFrame, ks: Sequence[int], dim: int = 16, n_boot: int = 50, seed: int = 0) -> dict[str, DataFrame]:
-    """Latent, selection table, chosen k, all configurations, survival of the registered one.
+def assemble_cohort(vectors: DataFrame, follow_up: DataFrame, ks: Sequence[int] = tuple(range(2, 9)), dim: int = 16, n_boot: int = 50, seed: int = 0) -> dict[str, DataFrame]:
+    """Latent, selection table, chosen k, all configurations, their survival tests and curves of the chosen one.
 
     `vectors` is (id, vec), `follow_up` is (id, time, event). Structure is chosen before any outcome is
-    joined.
+    joined. All configurations and resamples are fitted side by side, and the silhouettes of all k
+    share one comparison of points.
     """
-    spark = vectors.sparkSession
     proj = ML.fit_projection(vectors, dim)
     latent = cut_lineage(proj.apply(vectors).select("id", "latent"))
-    rows, configs = [], None
-    for k in ks:
-        labels, bic = ML.gaussian_mixture(latent, k, seed=seed)
-        labels = cut_lineage(labels)
-        sil = V.silhouette(latent.join(labels.select("id", "cluster"), "id"), "latent").first()["silhouette"]
-        stab = ML.bootstrap_stability(latent, labels, k, n_boot=n_boot, seed=seed).first()["stability"]
-        rows.append((k, float(bic), float(sil), float(stab)))
-        parts = [("gmm", "full", labels)]
-        for cov in ("diag", "tied"):
-            parts.append(("gmm", cov, ML.constrained_mixture(latent, k, cov, seed=seed)[0]))
-        parts.append(("kmeans", None, ML.kmeans(latent, k, seed=seed)))
-        for method, cov, a in parts:
-            one = a.select("id", "cluster", F.lit(method).alias("method"), F.lit(cov).cast("string").alias("covariance_type"), F.lit(k).alias("k"))
-            configs = one if configs is None else configs.unionByName(one)
-    selection = spark.createDataFrame(rows, "k int, bic double, silhouette double, stability double")
-    chosen = V.choose_k(selection)
-    configs = cut_lineage(configs.withColumn("config_id", config_key(F.col("method"), F.col("covariance_type"), F.col("k"))))
-    surv = follow_up.join(configs.select("id", "config_id", F.col("cluster").alias("grp")), "id")
+    fits = M.fit_all(latent, ks, M.KINDS, n_boot, seed=seed)
+    method = F.when(F.col("kind") == "kmeans", "kmeans").otherwise("gmm")
+    covariance = F.when(F.col("kind") != "kmeans", F.col("kind"))
+    configs = cut_lineage(fits.assignments().withColumns({"method": method, "covariance_type": covariance}).withColumn("config_id", config_key(F.col("method"), F.col("covariance_type"), F.col("k"))))
+    wide = configs.where("kind = 'full'").groupBy("id").pivot("k", list(ks)).agg(F.first("cluster"))
+    sil = V.silhouettes(latent.join(wide, "id"), [str(k) for k in ks], "latent").select(F.col("labelling").cast("int").alias("k"), "silhouette")
+    full = F.col("kind") == "full"
+    selection = cut_lineage(fits.selection().where(full).select("k", "bic").join(sil, "k").join(fits.stability().where(full).select("k", "stability"), "k"))
+    chosen = cut_lineage(V.choose_k(selection))
+    surv = follow_up.join(configs.select("id", "config_id", "method", "covariance_type", "k", F.col("cluster").alias("grp")), "id")
     tests = K.sensitivity_logrank(surv, "config_id", list(range(max(ks))))
-    return {"latent": latent, "selection": selection, "chosen": chosen, "assignments": configs, "logrank": tests}
+    picked = surv.join(chosen.select("method", "covariance_type", F.col("best_k").alias("k")), ["method", "covariance_type", "k"], "left_semi")
+    curves = K.kaplan_meier(picked, ["grp"])
+    return {"latent": latent, "selection": selection, "chosen": chosen, "assignments": configs, "logrank": tests, "curves": curves}
 
 
 def transfer_test(z_target: DataFrame, centroids: DataFrame, reference: DataFrame, subtypes: DataFrame, follow_up: DataFrame, groups: Sequence[int], vocabulary: Sequence, n_perm: int = 1000, seed: int = 0) -> DataFrame:
