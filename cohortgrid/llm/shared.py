@@ -58,14 +58,15 @@ def hash_number(seed: int, key: Column, group: int = 0) -> Column:
 
 
 #: Bytes of text worked on at once in a Python worker; a longer text stands alone.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts, and where each begins and ends in them; a null text is empty."""
-    whole = texts.cast(pa.large_binary()).fill_null(b"")
+    whole = texts.fill_null("") if texts.null_count else texts
     _, offsets, data = whole.buffers()
-    at = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    wide = pa.types.is_large_string(whole.type)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64) if len(whole) else np.zeros(1, np.int64)
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), at
 
 
