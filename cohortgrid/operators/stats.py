@@ -15,13 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortgrid.functions.tails import t_pvalue, z_pvalue
+from cohortgrid.operators.draws import shuffled_counts, shuffled_products
 from cohortgrid.operators.scans import Scan, attach_row, average_ranks, bh_q, exact_quantiles, finite, keep_first, ranked, running
-
-
-#: Shuffles drawn at once, and cells of a chunk of them on average.
-BLOCK, CHUNK = 50, 4096
-#: Distinct ranks of one side up to which shuffles are dealt to chunks of the other side.
-FEW = 4096
+from cohortgrid.session import cut_lineage
 
 
 def _finite(df: DataFrame, column: str) -> DataFrame:
@@ -235,59 +231,6 @@ def shuffled(df: DataFrame, row: str, column: str, n: int, seed: int = 0, keep_o
     return mixed.join(base.select(row, "_pos"), "_pos").select("perm", row, column)
 
 
-def _dealt(rng: np.random.Generator, left: np.ndarray, size: int) -> np.ndarray:
-    """Group counts of `size` rows taken without replacement from `left` (one row per shuffle), which is lowered."""
-    out, need, total = np.zeros_like(left), np.full(len(left), size), left.sum(axis=1)
-    for g in range(left.shape[1] - 1):
-        total = total - left[:, g]
-        out[:, g] = rng.hypergeometric(left[:, g], total, need)
-        need = need - out[:, g]
-    out[:, -1] = need
-    left -= out
-    return out
-
-
-def _in_chunks(cells: DataFrame, keys: Sequence[str], count: str, n_perm: int) -> tuple[DataFrame, list[int]]:
-    """Cells with a chunk and a block of shuffles each, and the rows of each chunk."""
-    n = 1 + cells.count() // CHUNK
-    spread = cells.withColumn("_chunk", F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
-    rows = {r[0]: int(r[1]) for r in spread.groupBy("_chunk").agg(F.sum(count)).collect()}
-    blocks = F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // BLOCK))).alias("_block")
-    return spread.select("*", blocks), [rows.get(c, 0) for c in range(n)]
-
-
-def _chunk_share(sizes: Sequence[int], rows: Sequence[int], chunk: int, block: int, n_perm: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shuffles of a block, and the group counts that each of them deals to a chunk."""
-    perms = np.arange(block * BLOCK + 1, min(n_perm, (block + 1) * BLOCK) + 1)
-    rng, left = np.random.default_rng([seed, block]), np.tile(np.array(sizes, np.int64), (len(perms), 1))
-    for size in rows[:chunk]:
-        _dealt(rng, left, size)
-    return perms, _dealt(rng, left, rows[chunk])
-
-
-def shuffled_counts(cells: DataFrame, keys: Sequence[str], sizes: Sequence[int], n_perm: int, seed: int = 0, count: str = "n") -> DataFrame:
-    """Rows of each group per cell in n_perm shuffles of the groups over the rows: (perm, *keys, _c0, _c1, ...).
-
-    `cells` counts the rows per `keys`, `sizes` the rows per group (under 10^9 in all). The tables are drawn with both margins
-    fixed, as shuffling the rows would give them; no row is copied.
-    """
-    ks, sizes = list(keys), [int(x) for x in sizes]
-    spread, rows = _in_chunks(cells.select(*ks, count), ks, count, n_perm)
-
-    def draw(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk, block = int(key[0]), int(key[1])
-        pdf = pdf.sort_values(ks).reset_index(drop=True)
-        perms, left = _chunk_share(sizes, rows, chunk, block, n_perm, seed)
-        rng = np.random.default_rng([seed, block, chunk])
-        drawn = np.stack([_dealt(rng, left, int(n)) for n in pdf[count]])
-        out = pdf.loc[np.repeat(np.arange(len(pdf)), len(perms)), ks].reset_index(drop=True)
-        out.insert(0, "perm", np.tile(perms, len(pdf)))
-        return out.assign(**{f"_c{i}": drawn[..., i].ravel() for i in range(len(sizes))})
-
-    kinds = dict(spread.dtypes)
-    return spread.groupBy("_chunk", "_block").applyInPandas(draw, ", ".join(["perm long", *(f"`{k}` {kinds[k]}" for k in ks), *(f"_c{i} long" for i in range(len(sizes)))]))
-
-
 def composition_null(reference: DataFrame, called: DataFrame, subtypes: DataFrame, groups: Sequence, vocabulary: Sequence, n_perm: int, seed: int = 0) -> DataFrame:
     """(perm, statistic): agreement with `reference` when the called clusters are shuffled over the samples, from the margins."""
     cells = called.join(subtypes, "sample_id", "left").groupBy("subtype").agg(F.count(F.lit(1)).alias("n"))
@@ -347,41 +290,18 @@ def draw_correlations(samples: DataFrame, centroids: DataFrame, draws: DataFrame
     return whole.mapInPandas(score, f"draw int, sample_id {kind}, cluster {dict(centroids.dtypes)['cluster']}, r double")
 
 
-def _rank_null(ranks: DataFrame, many: str, few: str, n_perm: int, seed: int) -> DataFrame:
-    """(perm, null): correlation of `many` with shuffles of `few`, of which the distinct values go to the tasks."""
-    cells = ranks.groupBy(many).agg(F.count(F.lit(1)).alias("n"))
-    values = [(r[0], int(r[1])) for r in ranks.groupBy(few).agg(F.count(F.lit(1))).orderBy(few).collect()]
-    level, sizes = np.array([v for v, _ in values], float), [n for _, n in values]
-    total = sum(sizes)
-    mean = (total + 1) / 2  # of both sides' ranks
-    level = level - mean
-    spread, rows = _in_chunks(cells, [many], "n", n_perm)
-
-    def part(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        chunk, block = int(key[0]), int(key[1])
-        pdf = pdf.sort_values(many)
-        perms, dealt = _chunk_share(sizes, rows, chunk, block, n_perm, seed)
-        rng = np.random.default_rng([seed, block, chunk])
-        x = np.repeat(pdf[many].to_numpy(float) - mean, pdf["n"])
-        return pd.DataFrame({"perm": perms, "_xy": [float(x @ rng.permutation(np.repeat(level, d))) for d in dealt]})
-
-    sums = spread.groupBy("_chunk", "_block").applyInPandas(part, "perm long, _xy double").groupBy("perm").agg(F.sum("_xy").alias("_xy"))
-    across = F.lit(float(sum(n * v * v for v, n in zip(level, sizes)))) * cells.agg(F.sum(F.col("n") * (F.col(many) - mean) ** 2)).scalar()
-    return sums.select("perm", F.when(across > 0, F.col("_xy") / F.sqrt(across)).alias("null"))
-
-
 def spearman_null(pairs: DataFrame, row: str, x: str, y: str, n_perm: int, seed: int = 0, **kw) -> DataFrame:
-    """Observed rank correlation with null mean, deviation and two-sided share |null| >= |rho|."""
-    p = _finite(_finite(pairs, x), y).select(row, x, y)
+    """Observed rank correlation with null mean, deviation and two-sided share |null| >= |rho|.
+
+    The shuffles are drawn by position (see `shuffled_products`), the same at every size.
+    """
+    p = cut_lineage(_finite(_finite(pairs, x), y).select(row, x, y))
     obs = spearman(p, x, y, (), 10, **kw)
-    rx = average_ranks(p, [], x, **kw).select(x, F.col("avg_rank").alias("_rx"))
-    ry = average_ranks(p, [], y, **kw).select(y, F.col("avg_rank").alias("_ry"))
-    ranks = p.join(rx, x).join(ry, y).select(row, "_rx", "_ry")
-    fx, fy = rx.count(), ry.count()
-    if 0 < min(fx, fy) <= FEW:
-        null = _rank_null(ranks, *(("_rx", "_ry") if fy <= fx else ("_ry", "_rx")), n_perm, seed)
-    else:
-        null = shuffled(ranks, row, "_ry", n_perm, seed, **kw).join(ranks.select(row, "_rx"), row).groupBy("perm").agg(F.corr("_rx", "_ry").alias("null"))
+    middle = p.select((F.count(F.lit(1)) + 1) / 2).scalar()
+    ranks = lambda c: average_ranks(p, [], c, **kw).select((F.col("avg_rank") - middle).alias("value"), F.col("n_ties").alias("n"))
+    rx, ry = cut_lineage(ranks(x)), cut_lineage(ranks(y))
+    across = [r.select(F.sum(F.col("n") * F.col("value") ** 2)).scalar() for r in (rx, ry)]
+    null = shuffled_products(rx, ry, n_perm, seed).select(F.when((across[0] > 0) & (across[1] > 0), F.col("xy") / F.sqrt(across[0] * across[1])).alias("null"))
     rho = obs.select("rho").scalar()
     s = null.agg(F.avg("null").alias("null_mean"), F.stddev_pop("null").alias("null_sd"), F.avg((F.abs("null") >= F.abs(rho)).cast("double")).alias("p"))
     return attach_row(s, obs)

@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from cohortgrid.functions.tails import chi2_pvalue
 from cohortgrid.operators.scans import Scan, bh_q, clean, finite, place, running, scan_placed
-from cohortgrid.operators.stats import shuffled_counts
+from cohortgrid.operators.draws import shuffled_counts
 
 
 def kaplan_meier(rows: DataFrame, keys: Sequence[str], time: str = "time", event: str = "event", **kw) -> DataFrame:

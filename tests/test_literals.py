@@ -201,7 +201,7 @@ def test_shuffles_keep_the_values(spark):
 
 
 def test_shuffled_counts_keep_both_margins(spark, monkeypatch):
-    monkeypatch.setattr(T, "CHUNK", 3)
+    monkeypatch.setattr("cohortgrid.operators.draws.CHUNK", 3)
     cells = spark.createDataFrame([(i, 4 + i) for i in range(10)], "c int, n long")
     got = T.shuffled_counts(cells, ["c"], [40, 25, 20], 120, seed=1).toPandas()
     assert len(got) == 1200 and (got[["_c0", "_c1", "_c2"]].sum(axis=1) == got["c"] + 4).all()
