@@ -177,8 +177,13 @@ def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """`docs`, all columns, without the documents that hold a window of any item."""
-    text = F.col("text").cast("string")
+    """`docs`, all columns whatever their names, without the documents that hold a window of any item.
+
+    Null and empty texts stay, as do all texts where `items` is empty. Repeated rows stay or go
+    together; an empty table gives an empty result.
+    """
+    text = F.col("row.text").cast("string")
     matches = phrase_matches(keyed(docs, "doc_id", "text"), items.select(F.col("item_id").cast("string").alias("item_id"), "text"), window)
     bad = matches.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(bad, F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text) == F.col("_t")), "left_anti").select("row.*")

@@ -124,21 +124,22 @@ def predict(text: Column, profiles: Profiles) -> Column:
     return run(text)
 
 
+def profiles_of(docs: DataFrame, top: int = TOP) -> Profiles:
+    """Profiles of all rows with a lang and a doc_id that are not held out (crc32 of the doc_id's digits mod 4 is 2)."""
+    small_batches(docs.sparkSession)
+    known = docs.where(~_held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return Profiles(learn(known, top), top)
+
+
 def identify(docs: DataFrame, top: int = TOP) -> DataFrame:
     """`docs` with held_out, lang_pred and score in one struct column `_language`.
 
-    Profiles are learnt from all rows with a lang and a doc_id that are not held out (crc32 of the
-    doc_id's digits mod 4 is 2); prediction looks at the text alone. Null texts and texts without
-    a letter are `und` with score 0; so are all where no row has a language. Equal distances go to
-    the first name. Rows without a doc_id are not learnt from and not held out.
+    Profiles are learnt as in `profiles_of`; prediction looks at the text alone. Null texts and texts
+    without a letter are `und` with score 0; so are all where no row has a language. Equal distances go
+    to the first name. Rows without a doc_id are not learnt from and not held out.
     """
-    small_batches(docs.sparkSession)
-    text = F.col("text").cast("string")
-    held = _held_out(F.col("doc_id"))
-    known = docs.where(~held & F.col("doc_id").isNotNull()).select(F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    profiles = Profiles(learn(known, top), top)
-    answer = docs.select("*", predict(text, profiles).alias("_answer"))
-    return answer.withColumn("_language", F.struct(held.alias("held_out"), "_answer.lang_pred", "_answer.score")).drop("_answer")
+    answer = docs.select("*", predict(F.col("text").cast("string"), profiles_of(docs, top)).alias("_answer"))
+    return answer.withColumn("_language", F.struct(_held_out(F.col("doc_id")).alias("held_out"), "_answer.lang_pred", "_answer.score")).drop("_answer")
 
 
 def languages(docs: DataFrame, top: int = TOP) -> DataFrame:
@@ -147,5 +148,14 @@ def languages(docs: DataFrame, top: int = TOP) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, top: int = TOP) -> DataFrame:
-    """`docs`, all columns, without those whose language is `und`."""
-    return identify(docs, top).where(F.col("_language.lang_pred") != UNKNOWN).drop("_language")
+    """`docs`, all columns whatever their names, without the texts whose language can't be told.
+
+    Null texts and texts without a letter go. Where no language is learnt (no row has a lang, or all
+    that have are held out), every text with a letter stays. Repeated rows stay as often as given; an
+    empty table gives an empty result.
+    """
+    profiles = profiles_of(docs, top)
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.col("row.text").cast("string")
+    kept = predict(text, profiles)["lang_pred"] != UNKNOWN if profiles.names else F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    return row.where(kept).select("row.*")

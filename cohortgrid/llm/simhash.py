@@ -181,9 +181,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, id_col:
 def keep_one(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataFrame:
     """`docs` with one document of each near-duplicate group, the one with the smallest doc_id.
 
-    Every column of `docs` is kept. Rows that share a doc_id are one document. A row without a
-    doc_id can't be named by a group and stays.
+    Every column of `docs` is kept, whatever its name. Rows that share a doc_id are one document. A
+    row without a doc_id can't be named by a group and stays. Null and empty texts are near-duplicates
+    of each other; an empty table gives an empty result.
     """
     groups = near_duplicates(docs, radius, shingle)
     losers = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(losers, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return rows.join(losers, F.col("row.doc_id").cast("long") == F.col("_gone"), "left_anti").select("row.*")

@@ -72,3 +72,5 @@ def test_empty_and_clashing_columns(make, spark):
     assert contamination.digests(make([(1, "a b")]), none).head()["contaminated"] is False
     odd = spark.createDataFrame([(1, "a b", 1, "x"), (2, "c", 2, "y")], "doc_id long, text string, pos int, term string")
     assert [r["term"] for r in contamination.keep_clean(odd, bench).collect()] == ["y"]
+    named = spark.createDataFrame([(1, "a b", 1, "x", "v"), (2, "c", 2, "y", "w"), (None, None, 3, "z", "u")], "doc_id long, text string, _d int, _t string, row string")
+    assert sorted(contamination.keep_clean(named, bench).select("_d", "_t", "row").collect()) == [(2, "y", "w"), (3, "z", "u")]

@@ -84,3 +84,10 @@ def test_empty_and_no_languages(make, spark):
     assert [r["lang_pred"] for r in language.languages(make([(1, "abc", None)])).collect()] == ["und"]
     odd = spark.createDataFrame([(1, "abc abc", "en", "x"), (2, "12", "en", "y")], "doc_id long, text string, lang string, score string")
     assert [r["score"] for r in language.keep_known(odd).collect()] == ["x"]
+
+
+def test_stage_keeps_columns_of_any_name_and_texts_of_no_known_language(make, spark):
+    odd = spark.createDataFrame([(1, "abc abc", "en", "x", 5), (2, "12", "en", "y", 6)], "doc_id long, text string, lang string, _answer string, _language int")
+    assert [tuple(r) for r in language.keep_known(odd).collect()] == [(1, "abc abc", "en", "x", 5)]
+    rows = [(1, "der hund", None), (2, None, None), (3, "12 ² !", None), (4, "", None), (5, "Ω", None), (5, "Ω", None)]
+    assert sorted(r["doc_id"] for r in language.keep_known(make(rows)).collect()) == [1, 5, 5]

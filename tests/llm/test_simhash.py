@@ -77,3 +77,8 @@ def test_long_chain_of_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (None, 1), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 301)} | {901: 900}
+
+
+def test_stage_keeps_columns_of_any_name(spark):
+    odd = spark.createDataFrame([(1, "a b c", 7, "p"), (2, "a b c", 8, "q"), (3, "quite another text", 9, "r")], "doc_id long, text string, _gone int, row string")
+    assert sorted(tuple(r) for r in simhash.keep_one(odd).collect()) == [(1, "a b c", 7, "p"), (3, "quite another text", 9, "r")]
