@@ -9,8 +9,9 @@ from cohortgrid.llm.shared import Written, keyed, let
 
 #: Words of a k-mer, bins of a fingerprint, k-mers chosen in a bin.
 K, BINS, CHOSEN = 3, 64, 2
-#: A longer word is cut into pieces of so many characters, so that text without blanks has k-mers too.
-PIECE = 24
+#: A word of more bytes is cut into pieces, so that text without blanks has k-mers too: before a character
+#: wherever the hash of it and the two before it is divisible by EVERY.
+PIECE, EVERY = 24, 8
 
 
 def _number(row: Column, at: Column, bits: Column) -> Column:
@@ -27,11 +28,18 @@ def _upper(packed: Column, bits: Column) -> Column:
     return F.call_function("shiftright", packed, bits)
 
 
+def _cut(word: Column) -> Column:
+    """A long word with blanks between its pieces. The places depend on the characters around them alone."""
+    here = lambda c, x, i: (i > 0) & (F.pmod(F.xxhash64(F.get(c, i - 2), F.get(c, i - 1), x), F.lit(EVERY)) == 0)
+    return let(F.split(word, ""), lambda c: F.array_join(F.transform(c, lambda x, i: F.when(here(c, x, i), F.concat(F.lit(" "), x)).otherwise(x)), ""))
+
+
 def _kmers(text: Column, k: int) -> Column:
     """Hashes of the k-mers of a text's pieces, in order; fewer than k pieces are one k-mer."""
     words = F.array_remove(F.split(text, r"\s+"), "")
-    cut = F.array_remove(F.split(F.regexp_replace(text, rf"(\S{{{PIECE}}})(?=\S)", "$1 "), r"\s+"), "")
-    pieces = let(words, lambda w: F.when(F.exists(w, lambda x: F.octet_length(x) > PIECE), cut).otherwise(w))
+    long = lambda x: F.octet_length(x) > PIECE
+    cut = lambda w: F.split(F.array_join(F.transform(w, lambda x: F.when(long(x), _cut(x)).otherwise(x)), " "), " ")
+    pieces = let(words, lambda w: F.when(F.exists(w, long), cut(w)).otherwise(w))
     run = lambda p: F.transform(F.slice(p, 1, F.size(p) - (k - 1)), lambda x, i: F.xxhash64(x, *[F.get(p, i + j) for j in range(1, k)]))
     return let(pieces, lambda p: F.when(F.size(p) >= k, run(p)).otherwise(F.array(F.xxhash64(text))))
 
@@ -64,12 +72,14 @@ def _occurrences(order: Column, bits: Column) -> Column:
 
 
 def fingerprint(text: Column, k: int = K, bins: int = BINS) -> Column:
-    """array<int> of at most `bins` entries, each a bin and a hash of its chosen k-mers.
+    """array<int> of `bins` entries, each a bin and a hash of its chosen k-mers.
 
     k-mers are numbered by occurrence; the hash of (k-mer, number) names a bin and an order in it.
-    In each bin the two least are chosen and their k-mers hashed in the order of the text, so an
-    entry survives only where both stay and keep their order: moved, inserted and deleted text
-    costs likeness, as it does edit distance. `bins` is a power of two up to 64. Null: null.
+    Each bin chooses the two least from its start on; a bin of fewer goes on with those of the next
+    bins, the first after the last, so every entry has two k-mers at any length of text. They are
+    hashed in the order of the text, so an entry survives only where both stay and keep their order:
+    moved, inserted and deleted text costs likeness, as it does edit distance. `bins` is a power of
+    two up to 64. Null: null.
     """
     shift = 64 - (bins - 1).bit_length()
 
@@ -82,17 +92,22 @@ def fingerprint(text: Column, k: int = K, bins: int = BINS) -> Column:
         bin_of = lambda x: F.shiftrightunsigned(x, shift)
 
         def pick(r: Column) -> Column:
-            heads = F.filter(F.transform(r, lambda x, i: F.when((i == 0) | (bin_of(x) != bin_of(F.get(r, i - 1))), i)), lambda i: i.isNotNull())
+            new = lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(r, i - 1)))
+            heads = F.filter(F.transform(r, lambda x, i: F.when(new(x, i), F.struct(bin_of(x).alias("bin"), i.alias("at")))), lambda y: y.isNotNull())
 
-            def entry(i: Column) -> Column:
-                one, two = F.get(r, i), F.get(r, i + 1)
-                a = _position(one, bits)
-                b = F.when(bin_of(two) == bin_of(one), _position(two, bits))
+            def entry(number: Column, i: Column) -> Column:
+                a = _position(F.get(r, i), bits)
+                b = F.when(F.size(r) > 1, _position(F.get(r, F.pmod(i + 1, F.size(r))), bits))
                 mixed = F.xxhash64(F.get(h, F.least(a, b)), F.when(b.isNotNull(), F.get(h, F.greatest(a, b))))
                 low = F.shiftrightunsigned(mixed, 6).bitwiseAND(F.lit((1 << 26) - 1))
-                return (bin_of(one) * (1 << 26) + low - (1 << 31)).cast("int")
+                return (number * (1 << 26) + low - (1 << 31)).cast("int")
+
+            def start(begun: Column, number: Column) -> Column:
+                later = F.get(F.filter(begun, lambda y: y["bin"] >= number), F.lit(0))
+                return F.coalesce(later["at"], F.get(begun, F.lit(0))["at"])
 
-            return F.transform(heads, entry)
+            # Hashes are sorted as signed numbers, so that the bins of the second half stand first.
+            return let(F.sort_array(heads), lambda begun: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long")), lambda n: let(start(begun, n), lambda i: entry(n, i))))
 
         return let(ranked, pick)
 

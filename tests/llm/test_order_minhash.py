@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -73,3 +74,74 @@ def test_small_tables_and_clashing_columns(make, spark):
     assert one["near_next"] == 1.0
     odd = spark.createDataFrame([(1, "a", 1, "x"), (2, "b", 2, "y")], "doc_id long, text string, need int, own string")
     assert om.digests(odd).count() == 2
+
+
+def prints_of(make, texts):
+    df = make(list(enumerate(texts)))
+    return {r["doc_id"]: r["f"] for r in df.select("doc_id", om.fingerprint(F.col("text")).alias("f")).collect()}
+
+
+def near(a, b):
+    return len(set(a) & set(b)) / 64
+
+
+def test_two_kmers_in_every_bin_at_any_length(make):
+    for n in (5, 10, 40, 80, 160, 1000, 5000):
+        words = [f"w{i}" for i in range(n)]
+        quarter = n // 4
+        parts = [words[i * quarter : (i + 1) * quarter] for i in range(3)] + [words[3 * quarter :]]
+        texts = [words, words[n // 2 :] + words[: n // 2], sum(reversed(parts), []), words[: n // 2] + ["new"] + words[n // 2 :]]
+        p = prints_of(make, [" ".join(t) for t in texts])
+        assert all(len(x) == 64 for x in p.values())
+        # Moved halves and quarters lose the order of pairs that lie apart; one more word costs little in long texts.
+        assert near(p[0], p[1]) < 0.68 and near(p[0], p[2]) < 0.55, (n, near(p[0], p[1]), near(p[0], p[2]))
+        if n >= 40:
+            assert near(p[0], p[3]) > near(p[0], p[1]) and near(p[0], p[3]) > 0.55, (n, near(p[0], p[3]))
+
+
+def test_one_insertion_early_in_a_long_unspaced_text(make):
+    rng = random.Random(9)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "acgt", "日本語文字列中国"):
+        text = "".join(rng.choice(letters) for _ in range(5000))
+        p = prints_of(make, [text, text[:5] + "x" + text[5:], "".join(rng.choice(letters) for _ in range(5000))])
+        assert near(p[0], p[1]) > 0.9 and near(p[0], p[2]) < 0.2
+
+
+def test_brute_force_fingerprints(make, spark):
+    """Another way to the same entries: k-mers numbered by a dict, bins filled by going round a sorted list."""
+    rows = [(d, t) for d, t in corpus(7) if t and len(t) < 3000]
+    texts = sorted({t for _, t in rows if max(len(w.encode()) for w in t.split() or [""]) <= om.PIECE})
+    kmers = {}
+    for t in texts:
+        w = t.split()
+        kmers[t] = [w[i : i + 3] for i in range(len(w) - 2)] or [[t]]
+    flat = [(t, i, k, n) for t in texts for i, (k, n) in enumerate(zip(kmers[t], [kmers[t][:i].count(k) for i, k in enumerate(kmers[t])]))]
+    df = spark.createDataFrame(flat, "t string, i int, k array<string>, n int")
+    three = F.when(F.size("k") == 3, F.xxhash64(*[F.get("k", F.lit(j)) for j in range(3)])).otherwise(F.xxhash64(F.get("k", F.lit(0))))
+    held = {}
+    for r in df.select("t", "i", "n", three.alias("h")).collect():
+        held.setdefault(r["t"], []).append((r["i"], r["n"], r["h"]))
+    pairs, wanted = [], {}
+    for t, own in held.items():
+        bits = math.ceil(math.log2(len(own) + 1))
+        own.sort()
+        h = [x[2] for x in own]
+        low = (1 << bits) - 1
+        kept = spark_hashes(spark, own)
+        order = sorted(((g | low) - low + x[0], x[0]) for x, g in zip(own, kept))
+        bins = [(v >> 58) & 63 for v, _ in order]
+        for b in range(64):
+            firsts = sorted({bins[i]: i for i in reversed(range(len(order)))}.items())
+            start = next((i for own_bin, i in firsts if own_bin >= b), firsts[0][1])
+            one, two = order[start][1], order[(start + 1) % len(order)][1]
+            pairs.append((t, b, h[min(one, two)], h[max(one, two)] if len(order) > 1 else None))
+    mixed = spark.createDataFrame(pairs, "t string, b int, x long, y long").select("t", "b", F.xxhash64("x", "y").alias("m"))
+    for r in mixed.collect():
+        wanted.setdefault(r["t"], {})[r["b"]] = r["b"] * (1 << 26) + (((r["m"] % 2**64) >> 6) & ((1 << 26) - 1)) - (1 << 31)
+    got = {r["text"]: r["f"] for r in make(list(enumerate(texts))).select("text", om.fingerprint(F.col("text")).alias("f")).collect()}
+    assert all(got[t] == [wanted[t][b] for b in range(64)] for t in texts)
+
+
+def spark_hashes(spark, own):
+    df = spark.createDataFrame([(i, x[2], x[1]) for i, x in enumerate(own)], "i int, h long, n int")
+    return [r[0] for r in df.select(F.xxhash64("h", "n"), "i").orderBy("i").collect()]
