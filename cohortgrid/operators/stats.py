@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortgrid.functions.tails import t_pvalue, z_pvalue
+from cohortgrid.functions.tails import FEW_RANKS, rank_sum_pvalue, t_pvalue, z_pvalue
 from cohortgrid.operators.draws import shuffled_counts, shuffled_products
 from cohortgrid.operators.scans import Scan, attach_row, average_ranks, bh_q, exact_quantiles, finite, keep_first, ranked, running
 from cohortgrid.session import cut_lineage
@@ -47,8 +47,9 @@ def rank_sums(df: DataFrame, keys: Sequence[str], value: str, group: str, **kw)
 def mann_whitney(df: DataFrame, family: str, group: str = "cluster", minimum: int = 3, **kw) -> DataFrame:
     """One-vs-rest Mann-Whitney per (feature, group) with Cliff's delta as effect, U and normal score z.
 
-    The normal tail has tie and continuity corrections. Only finite values count. Under `minimum`
-    rows on a side, none included: effect 0, p 1.
+    p is exact where no values tie and a side has at most 8 rows; elsewhere it is the normal tail with
+    tie and continuity corrections. Only finite values count. Under `minimum` rows on a side, none
+    included: effect 0, p 1.
     """
     s = every_cell(df, ["feature"], group).join(rank_sums(df, ["feature"], "value", group, **kw), ["feature", group], "left")
     w = Window.partitionBy("feature")
@@ -61,8 +62,9 @@ def mann_whitney(df: DataFrame, family: str, group: str = "cluster", minimum: in
     z = F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)) / F.sqrt(F.nullif(var, F.lit(0.0)))
     out = s.select("feature", F.lit(family).alias("family"), group, "n_in", (F.col("n_all") - F.col("n_in")).alias("n_out"),
                    F.when(enough, F.try_divide(2 * u, n1 * n2) - 1).otherwise(0.0).alias("effect"), F.try_divide(F.col("sum_in"), n1).alias("mean_in"),
-                   F.try_divide(F.col("sum_all") - F.col("sum_in"), n2).alias("mean_out"), u.alias("u"), F.when(enough & (var > 0), z).alias("z"))
-    return out.withColumn("p", F.coalesce(z_pvalue("z"), F.lit(1.0)))
+                   F.try_divide(F.col("sum_all") - F.col("sum_in"), n2).alias("mean_out"), u.alias("u"), F.when(enough & (var > 0), z).alias("z"),
+                   F.when(enough & (F.col("tie_term") == 0) & (F.least(n1, n2) <= FEW_RANKS), u).alias("_u"))
+    return out.withColumn("p", F.coalesce(rank_sum_pvalue("n_in", "n_out", "_u"), z_pvalue("z"), F.lit(1.0))).drop("_u")
 
 
 def with_q(tests: DataFrame, group: str = "cluster", keys: Sequence[str] = ("family",), **kw) -> DataFrame:
