@@ -157,12 +157,37 @@ WITH e AS (SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 27 ELSE user_id % 4
 SELECT event_id, 'type' AS path, event_type AS value, 'value' AS kind FROM e UNION ALL SELECT event_id, 'props', NULL, 'object' FROM e UNION ALL SELECT event_id, 'props.k', CAST(k AS VARCHAR), 'value' FROM e UNION ALL SELECT event_id, 'items', NULL, 'array' FROM e
 UNION ALL SELECT event_id, 'items[' || i || ']', NULL, 'object' FROM e, range(25) t(i) WHERE i <= n UNION ALL SELECT event_id, 'items[' || i || '].at', CAST(i AS VARCHAR), 'value' FROM e, range(25) t(i) WHERE i <= n""")
 def _(spark, folder):
+    return flattened(spark, folder).drop("size")
+
+
+def flattened(spark, folder):
     e = table(spark, folder, "events")
     items = F.transform(F.sequence(F.lit(0), F.when(F.col("user_id") % 10 == 0, 27).otherwise(F.col("user_id") % 4).cast("int")), lambda i: F.struct(i.alias("at")))
     doc = F.to_json(F.struct(F.col("event_type").alias("type"), F.from_json("props", "k long").alias("props"), items.alias("items")))
     return D.flatten_json(e.select("event_id", doc.alias("js")), "event_id", "js", list_prefix=25)
 
 
+@query("txt_10_container_sizes", """
+WITH e AS (SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 27 ELSE user_id % 4 END AS n FROM events)
+SELECT event_id, 'props' AS path, 1 AS size FROM e UNION ALL SELECT event_id, 'items', n + 1 FROM e UNION ALL SELECT event_id, 'items[' || i || ']', 1 FROM e, range(25) t(i) WHERE i <= n""")
+def _(spark, folder):
+    return flattened(spark, folder).where(F.col("size").isNotNull()).select("event_id", "path", "size")
+
+
+@query("txt_11_container_counts", """
+WITH e AS (SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 27 ELSE user_id % 4 END AS n, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+t AS (SELECT event_id, n, k, n + 1 AS told, CAST(event_id % 900 + 130 AS BIGINT) AS made FROM e)
+SELECT event_id AS text_id, CASE WHEN made = coalesce(k, -1) THEN '' ELSE CAST(made AS VARCHAR) END AS numbers FROM t""")
+def _(spark, folder):
+    """Each event's text quotes the length of its own list, which its document vouches for, and a number that it seldom does."""
+    e = table(spark, folder, "events")
+    told = F.when(F.col("user_id") % 10 == 0, 28).otherwise(F.col("user_id") % 4 + 1)
+    text = F.concat(told.cast("string"), F.lit(" items and "), (F.col("event_id") % 900 + 130).cast("string"), F.lit(" more"))
+    texts = e.select(F.col("event_id").alias("text_id"), F.col("event_id").alias("context_id"), text.alias("text"))
+    context = D.json_context(flattened(spark, folder), "event_id").withColumnRenamed("event_id", "context_id")
+    return D.unsupported_numbers(texts, context).select("text_id", F.array_join("unsupported_numbers", ";").alias("numbers"))
+
+
 CTX = """cx AS (SELECT source AS g, CAST(n_chars AS DOUBLE) AS v FROM documents UNION ALL SELECT source, n_chars / 100000.0::DOUBLE FROM documents), lb AS (SELECT DISTINCT source AS g, CAST(doc_id AS VARCHAR) AS token FROM documents)"""
 TOK = """tk AS (SELECT DISTINCT doc_id, g, token FROM (SELECT doc_id, source AS g, unnest(regexp_extract_all(tx, '(^|[^A-Za-z0-9._-])(\\d+(\\.\\d+)?)', 2)) AS token FROM (SELECT doc_id, source, text || ' About ' || (n_chars % 977) || ' of ' || (doc_id + 12) || ' rows, ' || round(n_chars / 1000.0::DOUBLE, 1) || '%.' AS tx FROM documents)) WHERE token NOT IN ('0','1','2','3','4','5','6','7','8','9','10','100','0.05','0.5','95')),
 bad AS (SELECT * FROM tk WHERE NOT EXISTS (SELECT 1 FROM lb WHERE lb.g = tk.g AND lb.token = tk.token) AND NOT EXISTS (SELECT 1 FROM (SELECT g, v FROM cx UNION ALL SELECT g, v * 100 FROM cx WHERE v BETWEEN 0 AND 1) c WHERE c.g = tk.g AND round(c.v, CASE WHEN contains(token, '.') THEN CAST(length(token) - instr(token, '.') AS INTEGER) ELSE 0 END) = CAST(token AS DOUBLE)))"""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from cohortgrid.functions import text as X
 from cohortgrid.functions.vocabulary import BANNED_PHRASES, CONTEXT_DRUGS, COUNTRIES, HOME
 from cohortgrid.operators.scans import keep_first, ranked
 
+#: Rows of flattened documents that a task hands on at once.
+MEMBERS = 20_000
+
 # ---- citations ---------------------------------------------------------------------------------------
 def dedup_citations(citations: DataFrame, order: Sequence[Column]) -> DataFrame:
     """First citation per key with the sorted distinct queries of all its copies.
@@ -130,26 +135,67 @@ def group_studies(matches: DataFrame, order: Sequence[Column]) -> DataFrame:
 
 
 # ---- nested documents ----------------------------------------------------------------------------------
+class _Number(str):
+    """A number as the document spells it."""
+
+
+def _unknown(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
+def _members(text: str | None, list_prefix: int | None) -> Iterator[tuple[str, str | None, str, int | None]]:
+    """path, value, kind and size of all members of a JSON document, from one walk; none of what can't be parsed."""
+    try:
+        whole = json.loads(text, parse_float=_Number, parse_int=_Number, parse_constant=_unknown) if text is not None else None
+    except (ValueError, RecursionError):
+        return
+    waiting = [("", whole)]
+    while waiting:
+        parent, v = waiting.pop()
+        if isinstance(v, dict):
+            inside = [(f"{parent}.{k}" if parent else k, x) for k, x in v.items()]
+        else:
+            inside = [(f"{parent}[{i}]", x) for i, x in enumerate(v[:list_prefix])] if isinstance(v, list) else []
+        for path, x in inside:
+            if isinstance(x, (dict, list)):
+                yield path, None, "object" if isinstance(x, dict) else "array", len(x)
+                waiting.append((path, x))
+            else:
+                yield path, None if x is None else str(x).lower() if isinstance(x, bool) else str(x), "value", None
+
+
 def flatten_json(df: DataFrame, key: str, column: str, list_prefix: int | None = None) -> DataFrame:
-    """(key, path, value, kind) for every member of a JSON document at any depth.
+    """(key, path, value, kind, size) for every member of a JSON document at any depth, from one scan.
 
-    One round a level until a level has no members; `list_prefix` shortens lists where it is given.
+    `size` is the number of members of an object or array; `list_prefix` shortens lists where it is
+    given, but not their sizes. Documents that can't be parsed have no rows.
     """
-    spark = df.sparkSession
-    level = df.select(key, F.lit("").alias("path"), F.try_parse_json(column).alias("v")).where(F.col("v").isNotNull())
-    out = None
-    while out is None or not level.isEmpty():
-        e = spark.sql(f"SELECT d.`{key}`, d.path AS parent, t.pos, t.key AS name, t.value AS v FROM {{d}} d, LATERAL variant_explode(d.v) AS t", d=level)
-        step = F.when(F.col("name").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("parent") == "", F.col("name")).otherwise(F.concat(F.lit("."), F.col("name")))
-        if list_prefix is not None:
-            e = e.where(F.col("name").isNotNull() | (F.col("pos") < list_prefix))
-        e = e.select(key, F.concat("parent", step).alias("path"), "v")
-        e = e.withColumn("kind", F.schema_of_variant("v"))
-        nested = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
-        rows = e.select(key, "path", F.when(~nested, F.col("v").cast("string")).alias("value"), F.when(F.col("kind").startswith("OBJECT"), "object").when(F.col("kind").startswith("ARRAY"), "array").otherwise("value").alias("kind"))
-        out = rows if out is None else out.unionByName(rows)
-        level = e.where(nested).select(key, "path", "v")
-    return out
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                for row in _members(text, list_prefix):
+                    at.append(i)
+                    rows.append(row)
+                    if len(rows) == MEMBERS:
+                        yield packed(b, at, rows)
+                        at, rows = [], []
+            if rows:
+                yield packed(b, at, rows)
+
+    def packed(b: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        cells = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.string(), pa.int64()))]
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), *cells], names=[key, "path", "value", "kind", "size"])
+
+    return df.select(key, F.col(column).cast("string")).mapInArrow(walk, f"`{key}` {dict(df.dtypes)[key]}, path string, value string, kind string, size long")
+
+
+def json_context(flat: DataFrame, key: str) -> DataFrame:
+    """What a flattened document vouches for, as (key, value, label): its numbers, its texts, and how many members its parts have."""
+    number = F.when((F.col("kind") == "value") & F.col("value").rlike(r"^-?[0-9]"), F.expr("try_cast(value AS double)"))
+    label = F.when(F.col("kind") == "value", F.when(~F.col("value").isin("true", "false"), F.col("value"))).otherwise(F.col("size").cast("string"))
+    return flat.select(key, number.alias("value"), label.alias("label")).where(F.col("value").isNotNull() | F.col("label").isNotNull())
 
 
 # ---- grounding -----------------------------------------------------------------------------------------
