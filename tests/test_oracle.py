@@ -11,6 +11,7 @@ FOLDER = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
 SOME = (
     "src_09_pair_scores flt_07_compound_name flt_17_impute jn_05_registry_lookup jn_12_nearest_references jn_13_interpolate agg_04_compound_rollup agg_10_set_variation win_05_empirical_percentile win_06_bh_q"
     " set_04_signed_edges sta_01_mann_whitney sta_04_cluster_vs_normal sta_07_spearman sur_01_kaplan_meier sur_02_logrank sig_05_residual_arms sig_12_priority mlm_06_signature_classifier evl_04_adjusted_rand"
+    " sig_06_connectivity sig_07_set_difference mlm_02_invariants txt_10_container_sizes txt_11_container_counts"
     " txt_03_dedup txt_11_unsupported_numbers gov_06_nominations str_04_gate_board job_03_cluster_reversal"
 ).split()
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("COHORTGRID_ALL") else SOME
