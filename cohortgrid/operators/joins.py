@@ -236,13 +236,14 @@ def attach_screen(neighbours: DataFrame, screen: DataFrame, drugs: DataFrame, pk
     """Median curve parameters per (neighbour line, drug), joined on the entity key and the compound name.
 
     `screen` has line_name, drug_name, ln_ic50, min_conc, max_conc, auc; `pk` has drug_name, cmax_nm.
+    Only rows of the neighbours' lines and of the drugs asked for are summed up.
     """
+    n = neighbours.withColumn("entity", C.entity_key(F.col("line_id")))
     wanted = drugs.select(C.compound_name(F.col("drug")).alias("canonical")).distinct()
     s = screen.select(C.entity_key(F.col("line_name")).alias("entity"), C.compound_name(F.col("drug_name")).alias("canonical"),
-                      "ln_ic50", "min_conc", "max_conc", "auc").join(wanted, "canonical", "left_semi")
+                      "ln_ic50", "min_conc", "max_conc", "auc").join(wanted, "canonical", "left_semi").join(n.select("entity").distinct(), "entity", "left_semi")
     med = medians(s, ["entity", "canonical"], ["ln_ic50", "min_conc", "max_conc", "auc"])
     cmax = keep_first(pk.withColumn("canonical", C.compound_name(F.col("drug_name"))), ["canonical"], [F.col("cmax_nm").asc_nulls_last()]).select("canonical", "cmax_nm")
-    n = neighbours.withColumn("entity", C.entity_key(F.col("line_id")))
     return n.join(med, "entity").join(cmax, "canonical", "left").select(
         *neighbours.columns, "canonical", C.ln_um_to_nm(F.col("ln_ic50")).alias("ic50_nm"),
         (F.col("min_conc") * 1000.0).alias("min_conc_nm"), (F.col("max_conc") * 1000.0).alias("max_conc_nm"), "auc", "cmax_nm")
