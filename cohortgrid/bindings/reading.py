@@ -71,12 +71,7 @@ def _(spark, folder):
         row("!Sample_characteristics_ch1", lambda x: F.concat(q, F.lit("Tumor type: "), x["c_mktsegment"], q)), row("!Sample_characteristics_ch1", lambda x: F.concat(q, F.lit("age at diagnosis: "), x["bal"], q)),
         F.lit("!series_matrix_table_begin"))).alias("value"))
     lines.repartition("block").write.partitionBy("block").text(path)
-    blocks = [r[0] for r in parts.select("block").collect()]
-    out = None
-    for b in blocks:
-        one = R.read_series_metadata(spark, f"{path}/block={b}")
-        out = one if out is None else out.unionByName(one)
-    return out.drop("pos")
+    return R.read_series_metadata(spark, path, ["block"]).drop("block", "pos")
 
 
 @query("src_04_tagged_union", """

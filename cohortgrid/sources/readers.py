@@ -49,18 +49,23 @@ def read_gct(spark: SparkSession, path: str) -> DataFrame:
     return long.select("feature", "c.sample_id", C.number(F.col("c.raw")).alias("value")).groupBy("sample_id", "feature").agg(F.avg("value").alias("value"))
 
 
-def read_series_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Series-matrix header lines to one row per sample: accession, title and one column per characteristic key."""
-    lines = spark.read.text(path).where(F.col("value").startswith("!Sample_")).select(F.split("value", "\t").alias("cells"))
+def read_series_metadata(spark: SparkSession, path: str, series: Sequence[str] = ()) -> DataFrame:
+    """Series-matrix header lines to one row per sample: accession, title and one column per characteristic key.
+
+    `series` are the columns of a partitioned path that tell its series apart: any number of them is one
+    scan. Without them the path holds one series.
+    """
+    by = list(series)
+    lines = spark.read.text(path).where(F.col("value").startswith("!Sample_")).select(*by, F.split("value", "\t").alias("cells"))
     cell = F.trim(F.regexp_replace(F.trim("cell"), '^"|"$', ""))
-    rows = lines.select(F.col("cells")[0].alias("line"), F.posexplode(F.slice("cells", F.lit(2), F.size("cells"))).alias("pos", "cell")).withColumn("cell", cell)
-    plain = rows.where(F.col("line").isin("!Sample_geo_accession", "!Sample_title")).select("pos", F.when(F.col("line") == "!Sample_title", "title").otherwise("geo_accession").alias("key"), F.col("cell").alias("val"))
+    rows = lines.select(*by, F.col("cells")[0].alias("line"), F.posexplode(F.slice("cells", F.lit(2), F.size("cells"))).alias("pos", "cell")).withColumn("cell", cell)
+    plain = rows.where(F.col("line").isin("!Sample_geo_accession", "!Sample_title")).select(*by, "pos", F.when(F.col("line") == "!Sample_title", "title").otherwise("geo_accession").alias("key"), F.col("cell").alias("val"))
     ch = rows.where((F.col("line") == "!Sample_characteristics_ch1") & F.col("cell").contains(":"))
     at = F.instr("cell", ":")
-    ch = ch.select("pos", F.replace(F.lower(F.trim(F.substring(F.col("cell"), F.lit(1), at - 1))), F.lit(" "), F.lit("_")).alias("key"), F.trim(F.substring(F.col("cell"), at + 1, F.length("cell"))).alias("val"))
+    ch = ch.select(*by, "pos", F.replace(F.lower(F.trim(F.substring(F.col("cell"), F.lit(1), at - 1))), F.lit(" "), F.lit("_")).alias("key"), F.trim(F.substring(F.col("cell"), at + 1, F.length("cell"))).alias("val"))
     both = plain.unionByName(ch)
     keys = sorted(r[0] for r in both.select("key").distinct().collect())
-    return both.groupBy("pos").pivot("key", keys).agg(F.max("val"))
+    return both.groupBy(*by, "pos").pivot("key", keys).agg(F.max("val"))
 
 
 def read_tagged(spark: SparkSession, paths: Sequence[str], tags: dict[str, str], numeric: Sequence[str], tag: str = "platform") -> DataFrame:
