@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SHARED_VALUES = 8_000_000
+#: Numbers of a side that is shared with all tasks, numbers of a tile, and pairs that a worker compares at once.
+SHARED_VALUES = 2_000_000
 TILE_VALUES = 2_000_000
+PAIRS = 2_000_000
 _BATCH = 2_048
+#: Results of one part that are put together at once.
+_MERGED = 16
 
 
 def dense(column: pd.Series) -> np.ndarray:
@@ -23,9 +27,14 @@ def unit_rows(column: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, vec: str = "vec") -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, vec: str = "vec",
+         merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, at: str | None = None) -> DataFrame:
     """fn(part of left, block of right) for parts and blocks that together cover every combination.
 
+    A part and a block make `PAIRS` pairs at most, whatever the sizes of the sides. `merge` puts together
+    what one part found in several blocks. `at` is a column of left with places from 0 on: rows are then
+    dealt in that order, so that neighbours meet a block together.
+
     When the right side holds at most `SHARED_VALUES` numbers (counted first) it is shared with all tasks
     and the left side streams past it with no shuffle. Beyond that both sides are cut into tiles of
     bounded size, each by the length of its own vectors, and every pair of tiles is one group, so neither
@@ -36,8 +45,19 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
         return left.sparkSession.createDataFrame([], schema)
 
     def in_batches(part: pd.DataFrame, block: pd.DataFrame):
+        width = max(1, PAIRS // _BATCH)
         for start in range(0, len(part), _BATCH):
-            yield fn(part.iloc[start:start + _BATCH], block)
+            rows, found = part.iloc[start:start + _BATCH], []
+            for i in range(0, len(block), width):
+                done = fn(rows, block.iloc[i:i + width])
+                if not merge:
+                    yield done
+                    continue
+                found.append(done)
+                if len(found) == _MERGED:
+                    found = [merge(pd.concat(found, ignore_index=True))]
+            if found:
+                yield found[0] if len(found) == 1 else merge(pd.concat(found, ignore_index=True))
 
     if int(n) * max(1, int(dim)) <= SHARED_VALUES:
         shared = left.sparkSession.sparkContext.broadcast(right.toPandas())
@@ -46,23 +66,28 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
             for b in batches:
                 yield from in_batches(b, shared.value)
 
-        return left.mapInPandas(stream, schema)
+        # With a stated number, small parts aren't put together again: the work is in the pairs.
+        parts = 2 * left.sparkSession.sparkContext.defaultParallelism
+        dealt = left.repartitionByRange(parts, at).sortWithinPartitions(at) if at else left
+        return dealt.mapInPandas(stream, schema)
 
     left_dim, left_n = left.select(F.max(F.size(vec)), F.count(F.lit(1))).first()
     right_tiles = -(-int(n) // max(1, TILE_VALUES // max(1, int(dim))))
     left_tiles = max(1, -(-int(left_n) // max(1, TILE_VALUES // max(1, int(left_dim or 1)))))
 
-    def tiled(df: DataFrame, own: str, tiles: int, other: str, others: int) -> DataFrame:
-        at = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
-        return df.withColumn(own, at).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    def tiled(df: DataFrame, number: Column, own: str, other: str, others: int) -> DataFrame:
+        return df.withColumn(own, number).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def hashed(tiles: int) -> Column:
+        return F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
 
-    a = tiled(left, "_i", left_tiles, "_j", right_tiles)
-    b = tiled(right, "_j", right_tiles, "_i", left_tiles)
+    a = tiled(left, F.floor(F.col(at) * left_tiles / int(left_n)).cast("int") if at else hashed(left_tiles), "_i", "_j", right_tiles)
+    b = tiled(right, hashed(right_tiles), "_j", "_i", left_tiles)
     empty = [f.strip().split(" ")[0].strip("`") for f in schema.split(",")]
 
     def tile(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if part.empty or block.empty:
             return pd.DataFrame({c: pd.Series(dtype=object) for c in empty})
-        return pd.concat(list(in_batches(part, block)), ignore_index=True)
+        return pd.concat(list(in_batches(part.sort_values(at) if at else part, block)), ignore_index=True)
 
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(tile, schema)

@@ -100,11 +100,15 @@ def silhouettes(df: DataFrame, labels: Sequence[str], vec: str = "vec", id_col:
         dist[part["id"].to_numpy()[:, None] == block["id"].to_numpy()[None, :]] = 0.0
         done = []
         for i in range(len(labels)):
-            own, lab = part[f"_l{i}"].to_numpy(), block[f"_l{i}"].to_numpy()
-            done += [pd.DataFrame({"id": part["id"].to_numpy(), "at": i, "label": own, "other": x, "dist": dist[:, lab == x].sum(1), "cnt": int((lab == x).sum())}) for x in np.unique(lab)]
+            own, (seen, lab) = part[f"_l{i}"].to_numpy(), np.unique(block[f"_l{i}"].to_numpy(), return_inverse=True)
+            per_label, cnt = dist @ np.eye(len(seen))[lab], np.bincount(lab, minlength=len(seen))
+            done += [pd.DataFrame({"id": part["id"].to_numpy(), "at": i, "label": own, "other": x, "dist": per_label[:, j], "cnt": int(cnt[j])}) for j, x in enumerate(seen)]
         return pd.concat(done, ignore_index=True)
 
-    met = meet(pts, pts, sums, f"id {t_id}, at int, label {t_label}, other {t_label}, dist double, cnt long")
+    def added(found: pd.DataFrame) -> pd.DataFrame:
+        return found.groupby(["id", "at", "label", "other"], as_index=False, sort=False, dropna=False)[["dist", "cnt"]].sum()
+
+    met = meet(pts, pts, sums, f"id {t_id}, at int, label {t_label}, other {t_label}, dist double, cnt long", merge=added)
     per = met.groupBy("id", "at", "label", "other").agg(F.sum("dist").alias("d"), F.sum("cnt").alias("c"))
     own = F.max(F.when(F.col("label") == F.col("other"), F.when(F.col("c") > 1, F.col("d") / (F.col("c") - 1))))
     near = F.min(F.when(F.col("label") != F.col("other"), F.col("d") / F.col("c")))

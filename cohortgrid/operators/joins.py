@@ -179,11 +179,23 @@ def nearest_references(queries: DataFrame, references: DataFrame, k: int = 5, id
         refs = refs.sort_values("id", kind="stable")
         ids, mat, qm = refs["id"].to_numpy(), unit_rows(refs["vec"]), unit_rows(part["vec"])
         sim = qm @ mat.T
-        top = np.argsort(-np.round(sim, 12), axis=1, kind="stable")[:, :k]
-        rows, cols = np.repeat(np.arange(len(part)), top.shape[1]), top.ravel()
+        near = np.round(sim, 12)
+        near[np.isnan(near)] = -np.inf
+        if k < len(refs):
+            # Those above the k-th value, then the first of those equal to it, in the order of the ids.
+            least = np.partition(near, len(refs) - k, axis=1)[:, [len(refs) - k]]
+            above, equal = near > least, near == least
+            rows, cols = np.nonzero(above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(1, keepdims=True))))
+        else:
+            rows, cols = np.indices(near.shape).reshape(2, -1)
         return pd.DataFrame({"query_id": part["id"].to_numpy()[rows], "ref_id": ids[cols], "similarity": sim[rows, cols]})
 
-    best = meet(q, r, score, f"query_id {query_type}, ref_id {ref_type}, similarity double")
+    def nearest(found: pd.DataFrame) -> pd.DataFrame:
+        near = found["similarity"].round(12).fillna(-np.inf)
+        ordered = found.assign(_near=-near).sort_values(["query_id", "_near", "ref_id"], kind="stable")
+        return ordered[ordered.groupby("query_id", sort=False).cumcount() < k].drop(columns="_near")
+
+    best = meet(q, r, score, f"query_id {query_type}, ref_id {ref_type}, similarity double", merge=nearest)
     return top_k(best, ["query_id"], [F.round("similarity", 12).desc(), F.col("ref_id")], k)
 
 
