@@ -43,8 +43,13 @@ def compound_rollup(scores: DataFrame, keys: Sequence[str] = (), **kw) -> DataFr
         F.min("drug").alias("drug"), F.max("reversal_score").alias("reversal_score"), F.count("reversal_score").alias("n_signatures"),
         F.count_distinct("cell_id").alias("n_cell_lines"), F.avg((F.col("reversal_score") > 0).cast("double")).alias("consistency"))
     out = base.join(exact_quantiles(s, k, "reversal_score", {"median_score": 0.5}, **kw), k)
-    none = F.array().cast("array<string>")
-    if "targets" in scores.columns:
+    return _ranked_compounds(out, s, keys, **kw)
+
+
+def _ranked_compounds(out: DataFrame, s: DataFrame, keys: Sequence[str], **kw) -> DataFrame:
+    """Compounds with the targets of their signatures, ranked within the keys."""
+    k, none = [*keys, "canonical"], F.array().cast("array<string>")
+    if "targets" in s.columns:
         names = s.select(*k, F.explode(F.split("targets", ";")).alias("_t")).where(F.col("_t") != "").distinct()
         out = out.join(names.groupBy(*k).agg(F.array_sort(F.collect_list("_t")).alias("targets")), k, "left").withColumn("targets", F.coalesce("targets", none))
     else:
@@ -54,6 +59,16 @@ def compound_rollup(scores: DataFrame, keys: Sequence[str] = (), **kw) -> DataFr
     return rank_percentile(out, "reversal_score", ["canonical"], list(keys), **kw).withColumn("source", F.lit("compact_gctx"))
 
 
+def compound_rollup_counts(counts: DataFrame, keys: Sequence[str] = (), **kw) -> DataFrame:
+    """As `compound_rollup`, of rows that stand for several signatures (drug, cell_id, targets, best, n, n_positive); without the median."""
+    k = [*keys, "canonical"]
+    s = counts.withColumn("canonical", C.compound_name_short(F.col("drug")))
+    out = s.groupBy(*k).agg(
+        F.min("drug").alias("drug"), F.round(F.max("best"), 12).alias("reversal_score"), F.sum("n").alias("n_signatures"),
+        F.count_distinct("cell_id").alias("n_cell_lines"), (F.sum("n_positive") / F.sum("n")).alias("consistency"))
+    return _ranked_compounds(out, s, keys, **kw)
+
+
 def median_ranking(scores: DataFrame, minimum: int = 2, **kw) -> DataFrame:
     """Median score per drug over at least `minimum` signatures, ranked downwards; ties (12 digits) go by name."""
     med = exact_quantiles(scores, ["drug"], "reversal_score", {"reversal_score": 0.5}, count="n_signatures", **kw)

@@ -206,6 +206,23 @@ def connectivity(signature: DataFrame, perturbations: DataFrame, keys: Sequence[
     return score_by_blocks(signature, "effect", perturbations, keys, correlate, {"reversal_score": "double", "n_shared": "long"})
 
 
+def _sides(arm_rows: DataFrame) -> DataFrame:
+    return arm_rows.where(F.col("direction").isin("up", "down")).withColumn("_side", F.when(F.col("direction") == "up", 1.0).otherwise(-1.0))
+
+
+def _differ(m: Matrix, q: Matrix, minimum: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean of the down features less that of the up features, and where both sides have `minimum` of them."""
+    up, down = (q.values > 0).astype(float), (q.values < 0).astype(float)
+    if m.mask.all():
+        # Nothing is missing, so the sizes of the sides are those of the query.
+        n_up, n_down = up.sum(1), down.sum(1)
+        score = m.values @ (down / np.maximum(n_down, 1)[:, None]).T - m.values @ (up / np.maximum(n_up, 1)[:, None]).T
+        return score, np.broadcast_to((n_up >= minimum) & (n_down >= minimum), score.shape)
+    n_up, n_down = m.mask @ up.T, m.mask @ down.T
+    score = m.values @ down.T / np.maximum(n_down, 1) - m.values @ up.T / np.maximum(n_up, 1)
+    return score, (n_up >= minimum) & (n_down >= minimum)
+
+
 def set_difference(arm_rows: DataFrame, perturbations: DataFrame, keys: Sequence[str], minimum: int = 5) -> DataFrame:
     """-(mean of up features - mean of down features) per perturbation row, with at least `minimum` per side measured.
 
@@ -213,13 +230,49 @@ def set_difference(arm_rows: DataFrame, perturbations: DataFrame, keys: Sequence
     """
 
     def differ(m: Matrix, q: Matrix):
-        up, down = (q.values > 0).astype(float), (q.values < 0).astype(float)
-        n_up, n_down = m.mask @ up.T, m.mask @ down.T
-        score = m.values @ down.T / np.maximum(n_down, 1) - m.values @ up.T / np.maximum(n_up, 1)
-        return {"reversal_score": score}, (n_up >= minimum) & (n_down >= minimum)
+        score, keep = _differ(m, q, minimum)
+        return {"reversal_score": score}, keep
+
+    return score_by_blocks(_sides(arm_rows), "_side", perturbations, keys, differ, {"reversal_score": "double"})
+
+
+#: A score that rounds to a positive number of 12 digits.
+POSITIVE = 5e-13
+
+
+def set_difference_counts(arm_rows: DataFrame, perturbations: DataFrame, meta: DataFrame, keys: Sequence[str], minimum: int = 5) -> DataFrame:
+    """Scores of `set_difference` summed up where they are made: keys, the columns of `meta` without sig_id, best, n, n_positive.
+
+    One row per key and distinct row of `meta`, or a few where the perturbation rows of one lie in several
+    parts; no row per key and perturbation row is made. Perturbation rows are dealt in the order of `meta`.
+    """
+    kinds = [c for c in meta.columns if c != "sig_id"]
+    places = cut_lineage(ranked(arm_rows.select("feature").distinct(), [], [F.col("feature")], "at").select("feature", (F.col("at") - 1).cast("int").alias("at")))
+    width = places.count()
+    asked = cut_lineage(_vectors(_sides(arm_rows), keys, "_side", places))
+    rows = _vectors(perturbations, ["sig_id"], "value", places).join(meta, "sig_id")
+    measured = cut_lineage(ranked(rows, [], [*[F.col(c) for c in kinds], F.col("sig_id")], "_place").withColumn("_place", F.col("_place") - 1))
+
+    def summed(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        group = part.groupby(kinds, dropna=False, sort=False).ngroup().to_numpy()
+        order = np.argsort(group, kind="stable")
+        part = part.iloc[order]
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        done, slab = [], max(1, DENSE_VALUES // max(1, width))
+        for i in range(0, len(block), slab):
+            some = block.iloc[i : i + slab]
+            score, keep = _differ(Matrix(part, width), Matrix(some, width), minimum)
+            best = np.maximum.reduceat(np.where(keep, score, -np.inf), starts, axis=0)
+            n = np.add.reduceat(keep, starts, axis=0, dtype=np.int64)
+            positive = np.add.reduceat(keep & (score >= POSITIVE), starts, axis=0, dtype=np.int64)
+            g, q = np.nonzero(n)
+            own = {k: _taken(some[k], q) for k in keys} | {c: _taken(part[c], starts[g]) for c in kinds}
+            done.append(pd.DataFrame({**own, "best": best[g, q], "n": n[g, q], "n_positive": positive[g, q]}))
+        return pd.concat(done, ignore_index=True)
 
-    sides = arm_rows.where(F.col("direction").isin("up", "down")).withColumn("_side", F.when(F.col("direction") == "up", 1.0).otherwise(-1.0))
-    return score_by_blocks(sides, "_side", perturbations, keys, differ, {"reversal_score": "double"})
+    types = dict(asked.dtypes) | dict(measured.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, *kinds]) + ", best double, n long, n_positive long"
+    return meet(measured, asked, summed, schema, at="_place")
 
 
 def proxy_reversal(table: DataFrame, assignment: DataFrame, residual_arms: DataFrame, cluster_arms: DataFrame, blended: DataFrame | None = None, **kw) -> DataFrame:

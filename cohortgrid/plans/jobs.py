@@ -116,7 +116,8 @@ def analyse_profiles(assignment: DataFrame, z: DataFrame, centroids: DataFrame,
     """
     res = S.residual(z, assignment, centroids)
     mine = S.arms(res, ["profile_id"], "residual", n_side, n_side)
-    list2 = reversal_lists(mine, perturbations, meta, ["profile_id"]).select("profile_id", "canonical", F.col("percentile").alias("list2_percentile"), F.col("rank").alias("list2_rank"), "n_cell_lines", "consistency", "targets")
+    counts = cut_lineage(S.set_difference_counts(mine, perturbations, meta, ["profile_id"]))
+    list2 = A.compound_rollup_counts(counts, ["profile_id"]).select("profile_id", "canonical", F.col("percentile").alias("list2_percentile"), F.col("rank").alias("list2_rank"), "n_cell_lines", "consistency", "targets")
     list1 = assignment.select("profile_id", "cluster").join(cluster_lists.select("cluster", "canonical", F.col("percentile").alias("list1_percentile"), F.col("rank").alias("list1_rank")), "cluster")
     d = list1.join(list2, ["profile_id", "canonical"])
     d = G.robustness(d.withColumn("weaker_percentile", F.least("list1_percentile", "list2_percentile")).withColumn("rank_product", F.sqrt(F.col("list1_percentile") * F.col("list2_percentile"))))
