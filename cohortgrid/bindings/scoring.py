@@ -220,7 +220,7 @@ def priorities(spark, folder):
     s = drug_scores(spark, folder)
     p = table(spark, folder, "part").where(F.col("p_brand") != "Brand#3")
     support = p.groupBy(F.col("p_brand").alias("drug")).agg(F.round(F.avg("p_size") / 50, 9).alias("reliability"), F.round(F.avg("p_retailprice") / 3000, 9).alias("drug_support"))
-    return G.integrated_priority(s, s, support)
+    return G.integrated_priority(s, None, support)
 
 
 @query("sig_12_priority", f"""

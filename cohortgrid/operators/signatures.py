@@ -336,13 +336,13 @@ def regimen_scores(scores: DataFrame, regimens: DataFrame) -> DataFrame:
     return j.groupBy("profile_id").agg(F.avg("z_score").alias("regimen_score"), F.count("z_score").alias("n_scored"), F.count(F.lit(1)).alias("n_requested"))
 
 
-def integrated_priority(scores: DataFrame, reference_scores: DataFrame, support: DataFrame, **kw) -> DataFrame:
+def integrated_priority(scores: DataFrame, reference_scores: DataFrame | None, support: DataFrame, **kw) -> DataFrame:
     """0.60 empirical percentile + 0.25 reliability + 0.15 target support, ranked within the profile.
 
-    Rows without a score keep null priority, rank and percentile.
+    Without reference scores the profiles are compared with each other. Rows without a score keep null priority, rank and percentile.
     """
     s = scores.withColumn("raw_score", F.round("raw_score", 12))
-    ref = reference_scores.select("drug", F.round("raw_score", 12).alias("raw_score"))
+    ref = reference_scores.select("drug", F.round("raw_score", 12).alias("raw_score")) if reference_scores is not None else None
     j = empirical_percentile(s, ref, "raw_score", ["drug"], "sensitivity_percentile", **kw).join(support.select("drug", "reliability", "drug_support"), "drug", "left")
     rel, sup = F.coalesce("reliability", F.lit(0.0)), F.coalesce("drug_support", F.lit(0.0))
     j = j.withColumn("priority", F.round(0.60 * F.col("sensitivity_percentile") + 0.25 * rel + 0.15 * sup, 12)).withColumn("drug_support", sup)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortgrid.operators.scans import Scan, average_ranks, exact_quantiles, place, ranked, running, scan_placed, clean, top_k
+from cohortgrid.session import cut_lineage
 
 
 def rank_percentile(df: DataFrame, score: str, ties: Sequence[str], keys: Sequence[str] = (), **kw) -> DataFrame:
@@ -22,12 +23,15 @@ def midrank_percentile(df: DataFrame, score: str, keys: Sequence[str] = (), name
     return df.join(r, [*keys, score], "left")
 
 
-def empirical_percentile(values: DataFrame, reference: DataFrame, value: str, keys: Sequence[str] = (), name: str = "percentile", **kw) -> DataFrame:
+def empirical_percentile(values: DataFrame, reference: DataFrame | None, value: str, keys: Sequence[str] = (), name: str = "percentile", **kw) -> DataFrame:
     """(reference values below + half of those equal) / reference count, per key.
 
-    Both sides go through one ordered scan over distinct values, so no pair is formed.
+    Both sides go through one ordered scan over distinct values, so no pair is formed. Without a reference
+    the values are their own. They are written once: values worked out again may differ in the last digit
+    and then meet nothing.
     """
-    k = list(keys)
+    k, values = list(keys), cut_lineage(values)
+    reference = values if reference is None else reference
     ref = reference.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*k, value).agg(F.count(F.lit(1)).alias("_n"))
     mine = values.select(*k, value).where(F.col(value).isNotNull() & ~F.isnan(value)).distinct().withColumn("_n", F.lit(0).cast("long"))
     both = ref.unionByName(mine).groupBy(*k, value).agg(F.sum("_n").alias("_n"))
