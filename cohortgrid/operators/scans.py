@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 from cohortgrid.session import cut_lineage
 
+#: Rows of a group that one task may sort on its own, and numbers by which groups are counted together beforehand.
+GROUP_ROWS, GROUP_BUCKETS = 100_000, 1 << 16
+
+
 @dataclass(frozen=True)
 class Scan:
     """One running value: `fn` is sum, min, max or last; `back` runs from the end of the order."""
@@ -100,9 +104,16 @@ def running(
     return clean(scan_placed(place(df, keys, order, ranges), keys, scans, totals))
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank", total: str | None = None, **kw) -> DataFrame:
-    """Row number per key in a unique order, with the group size on request."""
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rank: str = "rank", total: str | None = None, at_most: int | None = None, **kw) -> DataFrame:
+    """Row number per key in a unique order, with the group size on request.
+
+    Groups known to have `at_most` GROUP_ROWS rows are sorted where they are, without being dealt by range.
+    """
     one = F.lit(1).cast("long")
+    if keys and at_most is not None and at_most <= GROUP_ROWS and not kw.get("ranges"):
+        w = Window.partitionBy(*keys)
+        d = df.withColumn(rank, F.row_number().over(w.orderBy(*order)).cast("long"))
+        return d.withColumn(total, F.sum(one).over(w)) if total else d
     return running(df, keys, order, {rank: Scan("sum", one)}, {total: one} if total else None, **kw)
 
 
@@ -119,9 +130,9 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: str | N
     return ok.groupBy(*keys, value).agg(n.alias("n_ties"))
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, **kw) -> DataFrame:
-    """One row per (key, distinct value): number of ties, tie-averaged rank, rows in the group."""
-    return _ranks(value_counts(df, keys, value), keys, value, **kw)
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, **kw) -> DataFrame:
+    """One row per (key, distinct value): number of ties, tie-averaged rank, rows in the group; `weight` as in `value_counts`."""
+    return _ranks(value_counts(df, keys, value, weight), keys, value, **kw)
 
 
 def _ranks(d: DataFrame, keys: Sequence[str], value: str, **kw) -> DataFrame:
@@ -135,6 +146,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     Rows are counted per distinct value and the quantiles read off the cumulative counts, so no
     group is gathered anywhere.
     """
+    if keys and not weight and not ranges:
+        return _quantiles(df, keys, [value], probs, count)
     d = value_counts(df, keys, value, weight)
     r = _ranks(d, keys, value, ranges=ranges)
     picks = []
@@ -155,8 +168,47 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     return g.select(*keys, *out)
 
 
+def _quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: dict[str, float], count: str | None = None) -> DataFrame:
+    """Exact quantiles per key of one column, or of several with one probability, which then keep their names.
+
+    The rows are written once and counted by a hash of their key, in GROUP_BUCKETS numbers whatever the
+    number of keys. Keys whose number stands for at most GROUP_ROWS rows are dealt by key and sorted
+    where they are; keys of any more rows are read off the cumulative counts of their ranges.
+    """
+    k = list(keys)
+    rows = cut_lineage(df.select(*k, *columns, F.xxhash64(*k).alias("_k")))
+    bucket = F.pmod("_k", F.lit(GROUP_BUCKETS))
+    large = sorted(r[0] for r in rows.groupBy(bucket.alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > GROUP_ROWS).select("_g").collect())
+    wanted = [(c if len(columns) > 1 else name, c, float(p)) for c in columns for name, p in probs.items()]
+    small = rows.where(~bucket.isin(large)) if large else rows
+    whole = Window.partitionBy("_k", *k)
+    small = small.withColumns({f"_n{i}": F.count_if(finite(c)).over(whole) for i, c in enumerate(columns)})
+    for i, c in enumerate(columns):
+        small = small.withColumn(f"_r{i}", F.row_number().over(whole.orderBy(finite(c).desc(), F.col(c).cast("double"))))
+    picks, out = [], []
+    for i, (_, c, p) in enumerate(wanted):
+        j = list(columns).index(c)
+        at = F.lit(p) * (F.col(f"_n{j}") - 1)
+        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            picks.append(F.max(F.when(F.col(f"_r{j}") == pos + 1, F.when(finite(c), F.col(c).cast("double")))).alias(f"_{side}{i}"))
+    picks += [F.max(f"_n{j}").alias(f"_n{j}") for j in range(len(columns))]
+    g = small.groupBy("_k", *k).agg(*picks).where(F.greatest(F.lit(0), *[F.col(f"_n{j}") for j in range(len(columns))]) > 0)
+    for i, (label, c, p) in enumerate(wanted):
+        at = F.lit(p) * (F.col(f"_n{list(columns).index(c)}") - 1)
+        out.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (at - F.floor(at))).alias(label))
+    done = g.select(*k, *out, *([F.col("_n0").alias(count)] if count else []))
+    if not large:
+        return done
+    rest, ranges = rows.where(bucket.isin(large)), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if len(columns) > 1:
+        return done.unionByName(medians(rest, k, columns, ranges=ranges))
+    return done.unionByName(exact_quantiles(rest, k, columns[0], probs, count, ranges=ranges))
+
+
 def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], count: str | None = None, **kw) -> DataFrame:
     """Exact medians of several columns: the columns become rows, so one pass serves all of them."""
+    if keys and not count and not kw.get("ranges"):
+        return _quantiles(df, keys, columns, {columns[0]: 0.5})
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_val")) for c in columns])).alias("_p")
     stacked = df.select(*keys, pairs).select(*keys, "_p.*")
     q = exact_quantiles(stacked, [*keys, "_col"], "_val", {"_med": 0.5}, **kw)
