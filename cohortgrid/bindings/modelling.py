@@ -122,13 +122,7 @@ def _(spark, folder):
     labels = table(spark, folder, "embeddings").select(F.col("vec_id").alias("sample_id"), (F.col("label") % 4).alias("cluster"))
     folds = ML.stratified_folds(labels, 5)
     feats = ML.top_variance_features(m, 1500)
-    out = None
-    for f in range(5):
-        train = folds.where(F.col("fold") != f)
-        model, scaler = ML.elastic_net_fit(m, train.select("sample_id", "cluster"), feats, max_iter=2000)
-        test = folds.where(F.col("fold") == f)
-        p = ML.elastic_net_predict(m.join(test.select("sample_id"), "sample_id", "left_semi"), feats, model, scaler).join(test, "sample_id")
-        out = p if out is None else out.unionByName(p)
+    out = ML.elastic_net_cv(m, folds, feats, max_iter=2000)
     return V.class_metrics(out.select("fold", "cluster", F.col("predicted").cast("long").alias("predicted")), "cluster", "predicted", ["fold"])
 
 

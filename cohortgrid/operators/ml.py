@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from cohortgrid.operators.scans import exact_quantiles, keep_first, ranked, top_k
+from cohortgrid.session import cut_lineage
 
 
 def _vectors(df: DataFrame, vec: str) -> DataFrame:
@@ -124,7 +128,11 @@ def top_variance_features(df: DataFrame, n: int) -> list[str]:
 
 def elastic_net_fit(df: DataFrame, labels: DataFrame, features: Sequence[str], c: float = 0.5, mix: float = 0.3, max_iter: int = 100):
     """Multinomial elastic net on standardised dense vectors: (model, scaler). Missing values take the feature mean."""
-    x, n = _dense(df, features), labels.count()
+    return _fit_dense(_dense(df, features), labels, c, mix, max_iter)
+
+
+def _fit_dense(x: DataFrame, labels: DataFrame, c: float, mix: float, max_iter: int):
+    n = labels.count()
     t = x.join(labels.select("sample_id", F.col("cluster").cast("double").alias("label")), "sample_id")
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="features").fit(t)
     lr = LogisticRegression(family="multinomial", elasticNetParam=mix, regParam=1.0 / (c * n), maxIter=max_iter, standardization=False)
@@ -132,16 +140,58 @@ def elastic_net_fit(df: DataFrame, labels: DataFrame, features: Sequence[str], c
 
 
 def elastic_net_predict(df: DataFrame, features: Sequence[str], model, scaler) -> DataFrame:
-    out = model.transform(scaler.transform(_dense(df, features)))
+    return _predict_dense(_dense(df, features), model, scaler)
+
+
+def _predict_dense(x: DataFrame, model, scaler) -> DataFrame:
+    out = model.transform(scaler.transform(x))
     return out.select("sample_id", F.col("prediction").cast("int").alias("predicted"), vector_to_array("probability").alias("probabilities"))
 
 
+def elastic_net_cv(df: DataFrame, folds: DataFrame, features: Sequence[str], c: float = 0.5, mix: float = 0.3, max_iter: int = 100) -> DataFrame:
+    """Every sample as predicted by the elastic net of the other folds: (sample_id, fold, cluster, predicted, probabilities).
+
+    `folds` is (sample_id, fold, cluster). The long rows become vectors once for all folds, and the models are
+    fitted side by side, since an iteration is a short job. As in `elastic_net_fit` and `elastic_net_predict`,
+    missing values take the mean of all rows in training, and that of the fold's rows in prediction.
+    """
+    folds, wide = cut_lineage(folds), cut_lineage(_wide(df, features))
+    parts = cut_lineage(wide.join(folds, "sample_id"))
+    all_means = _means(wide.withColumn("fold", F.lit(0)), len(features)).get(0, [])
+    own_means = _means(parts, len(features))
+
+    def one(fold) -> DataFrame:
+        model, scaler = _fit_dense(_filled(wide, all_means), folds.where(F.col("fold") != fold).select("sample_id", "cluster"), c, mix, max_iter)
+        return _predict_dense(_filled(parts.where(F.col("fold") == fold), own_means[fold]), model, scaler)
+
+    with ThreadPoolExecutor(max(1, len(own_means))) as pool:
+        done = [pool.submit(inheritable_thread_target(df.sparkSession)(one), f) for f in sorted(own_means)]
+        return reduce(DataFrame.unionByName, [d.result() for d in done]).join(folds, "sample_id")
+
+
+def _wide(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(sample_id, _v): the values of the features in their order, null where missing."""
+    kept = df.where(F.col("feature").isin(list(features)) & F.col("value").isNotNull())
+    m = kept.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_m"))
+    return m.select("sample_id", F.transform(F.array(*[F.lit(f) for f in features]), lambda f: F.try_element_at(F.col("_m"), f)).alias("_v"))
+
+
+def _means(wide: DataFrame, n: int) -> dict[object, list[float]]:
+    """Mean of each place of `_v` per fold, 0 where no row has it."""
+    out: dict[object, list[float]] = {}
+    for r in wide.select("fold", F.posexplode("_v").alias("i", "x")).groupBy("fold", "i").agg(F.avg("x").alias("m")).collect():
+        out.setdefault(r["fold"], [0.0] * n)[r["i"]] = 0.0 if r["m"] is None else r["m"]
+    return out
+
+
+def _filled(wide: DataFrame, means: list[float]) -> DataFrame:
+    mean = F.array(*[F.lit(x) for x in means])
+    return wide.select("sample_id", array_to_vector(F.zip_with("_v", mean, lambda v, m: F.coalesce(v, m))).alias("_raw"))
+
+
 def _dense(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    kept = df.where(F.col("feature").isin(list(features)))
-    means = kept.groupBy("feature").agg(F.avg("value").alias("m")).select(F.map_from_entries(F.collect_list(F.struct("feature", "m")))).scalar()
-    m = kept.where(F.col("value").isNotNull()).groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_m"))
-    vec = F.transform(F.array(*[F.lit(f) for f in features]), lambda f: F.coalesce(F.try_element_at(F.col("_m"), f), F.try_element_at(F.col("_means"), f), F.lit(0.0)))
-    return m.withColumn("_means", means).select("sample_id", array_to_vector(vec).alias("_raw"))
+    wide = cut_lineage(_wide(df, features))
+    return _filled(wide, _means(wide.withColumn("fold", F.lit(0)), len(features)).get(0, []))
 
 
 def score_profiles(profiles: DataFrame, model: DataFrame, intercepts: DataFrame, minimum_coverage: float = 0.6, high: float = 0.55, moderate: float = 0.40, abstain: float = 0.25) -> DataFrame:
