@@ -186,9 +186,10 @@ def spearman(pairs: DataFrame, x: str, y: str, keys: Sequence[str] = (), minimum
     """Rank correlation per key with n; null under `minimum` rows or when a side is constant."""
     k = list(keys)
     p = _finite(_finite(pairs, x), y).select(*k, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    rx = average_ranks(p, k, "_x", **kw).select(*k, "_x", F.col("avg_rank").alias("_rx"))
-    ry = average_ranks(p, k, "_y", **kw).select(*k, "_y", F.col("avg_rank").alias("_ry"))
-    counted = p.groupBy(*k, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    # Both ranks are taken of the counted pairs, which are worked out once.
+    counted = cut_lineage(p.groupBy(*k, "_x", "_y").agg(F.count(F.lit(1)).alias("_n")))
+    rx = average_ranks(counted, k, "_x", "_n", **kw).select(*k, "_x", F.col("avg_rank").alias("_rx"))
+    ry = average_ranks(counted, k, "_y", "_n", **kw).select(*k, "_y", F.col("avg_rank").alias("_ry"))
     j = counted.join(rx, [*k, "_x"]).join(ry, [*k, "_y"])
     n = F.sum("_n")
     sx, sy = F.sum(F.col("_n") * F.col("_rx")), F.sum(F.col("_n") * F.col("_ry"))
@@ -210,11 +211,14 @@ def spearman_split(pairs: DataFrame, x: str, y: str, flag: str, **kw) -> DataFra
 def target_sensitivity(screen: DataFrame, activity: DataFrame, minimum: int = 20, **kw) -> DataFrame:
     """Rank correlation of mean absolute activity of a row's targets with its negative response.
 
-    `screen` is (row_id, sample_id, response, targets ARRAY); `activity` is (sample_id, node, activity).
+    `screen` is (row_id, sample_id, response, targets ARRAY); `activity` is (sample_id, node, activity). Rows
+    that share a row_id share their targets. Activity is summed up once per sample and list of targets,
+    whatever the rows that have them; scores equal to 12 digits are ties.
     """
-    t = screen.select("row_id", "sample_id", F.explode("targets").alias("node"))
-    hit = t.join(activity, ["sample_id", "node"]).groupBy("row_id").agg(F.avg(F.abs("activity")).alias("score"))
-    j = screen.join(hit, "row_id").withColumn("_neg", -F.col("response"))
+    each = screen.select("sample_id", "targets").distinct().withColumn("node", F.explode("targets"))
+    sums = cut_lineage(each.join(activity, ["sample_id", "node"]).groupBy("sample_id", "targets").agg(F.sum(F.abs("activity")).alias("_s"), F.count("activity").alias("_c")))
+    hit = screen.join(sums, ["sample_id", "targets"]).groupBy("row_id").agg(F.round(F.sum("_s") / F.nullif(F.sum("_c"), F.lit(0)), 12).alias("score"))
+    j = cut_lineage(screen.join(hit, "row_id").select("sample_id", "score", (-F.col("response")).alias("_neg")))
     rho = spearman(j, "score", "_neg", (), minimum, **kw)
     extra = j.agg(F.count_distinct("sample_id").alias("n_lines"), F.avg((F.col("score") > 0).cast("double")).alias("any_active"))
     return attach_row(rho, extra)
