@@ -160,11 +160,11 @@ def _(spark, folder):
     return flattened(spark, folder).drop("size")
 
 
-def flattened(spark, folder):
+def flattened(spark, folder, paths=True):
     e = table(spark, folder, "events")
     items = F.transform(F.sequence(F.lit(0), F.when(F.col("user_id") % 10 == 0, 27).otherwise(F.col("user_id") % 4).cast("int")), lambda i: F.struct(i.alias("at")))
     doc = F.to_json(F.struct(F.col("event_type").alias("type"), F.from_json("props", "k long").alias("props"), items.alias("items")))
-    return D.flatten_json(e.select("event_id", doc.alias("js")), "event_id", "js", list_prefix=25)
+    return D.flatten_json(e.select("event_id", doc.alias("js")), "event_id", "js", list_prefix=25, paths=paths)
 
 
 @query("txt_10_container_sizes", """
@@ -184,7 +184,7 @@ def _(spark, folder):
     told = F.when(F.col("user_id") % 10 == 0, 28).otherwise(F.col("user_id") % 4 + 1)
     text = F.concat(told.cast("string"), F.lit(" items and "), (F.col("event_id") % 900 + 130).cast("string"), F.lit(" more"))
     texts = e.select(F.col("event_id").alias("text_id"), F.col("event_id").alias("context_id"), text.alias("text"))
-    context = D.json_context(flattened(spark, folder), "event_id").withColumnRenamed("event_id", "context_id")
+    context = D.json_context(flattened(spark, folder, paths=False), "event_id").withColumnRenamed("event_id", "context_id")
     return D.unsupported_numbers(texts, context).select("text_id", F.array_join("unsupported_numbers", ";").alias("numbers"))
 
 
@@ -251,11 +251,8 @@ WITH {CTX}, {TOK}, {KNOWN}, {FAILED}, nb AS (SELECT DISTINCT doc_id FROM bad), r
 SELECT doc_id AS text_id, reasons, reasons = '' AS accepted FROM r""")
 def _(spark, folder):
     texts, context = grounding(spark, folder)
-    tail = claimed(spark, folder).select("text_id", F.element_at(F.split("text", "\n"), -1).alias("_c"))
-    texts = texts.join(tail, "text_id").withColumn("text", F.concat("text", F.lit("\n"), F.col("_c"))).drop("_c")
-    both = context.withColumn("numbers_only", F.lit(True))
-    names = named_context(spark, folder)
-    ctx = both.drop("numbers_only").unionByName(names)
+    texts = texts.withColumn("text", F.concat("text", F.lit("\n"), pick(_CLAIM, F.col("text_id"))))
+    ctx = context.unionByName(named_context(spark, folder))
     out = D.review_texts(texts, ctx, gates(spark, folder), WORDS, PATTERNS[2:5])
     return out.select("text_id", F.array_join("reasons", ";").alias("reasons"), "accepted")
 
