@@ -49,8 +49,12 @@ def numbers(text: Column, free: Sequence[str] = FREE_NUMBERS) -> Column:
 
 def named(text: Column, names: Sequence[str]) -> Column:
     """Watch-list names that occur as whole words."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(low.rlike(r"(?U)\b" + re.escape(n.lower()) + r"\b"), F.lit(n.lower())) for n in names]))
+
+    def found(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(low.contains(n.lower()) & low.rlike(r"(?U)\b" + re.escape(n.lower()) + r"\b"), F.lit(n.lower())) for n in names]))
+
+    # A lambda over one element, so that the text is put in lower case once.
+    return F.transform(F.array(F.lower(F.coalesce(text, F.lit("")))), found)[0]
 
 
 def claims_all_passed(text: Column) -> Column:
@@ -86,22 +90,37 @@ def eligibility(text: Column, her2: Column, er: Column, pr: Column, age: Column,
     def need(state: Column, wanted: str, other: str) -> Column:
         return F.when(state == wanted, "met").when(state == other, "not_met").otherwise("unknown")
 
-    t = F.coalesce(text, F.lit(""))
     h, e, p = status_label(her2, amplification=True), status_label(er), status_label(pr)
-    years = F.regexp_extract(t, r"(?i)(\d{1,3})\s*years", 1)
-    ecog_max = F.regexp_extract(t, r"(?i)ECOG.*?([0-2])", 1)
-    rules = [
-        (t.rlike(r"(?i)her2[\s-]*(negative|non-amplified|ihc\s*0|ihc\s*1\+?)"), "HER2-negative requirement", need(h, "negative", "positive")),
-        (t.rlike(r"(?i)her2[\s-]*(positive|amplified|ihc\s*3\+)"), "HER2-positive requirement", need(h, "positive", "negative")),
-        (t.rlike(r"(?i)(er|estrogen receptor)[\s-]*positive"), "ER-positive requirement", need(e, "positive", "negative")),
-        (t.rlike(r"(?i)(er|estrogen receptor)[\s-]*negative"), "ER-negative requirement", need(e, "negative", "positive")),
-        (t.rlike(r"(?iU)\bPR[\s-]*positive|progesterone receptor[\s-]*positive"), "PR-positive requirement", need(p, "positive", "negative")),
-        (years != "", "Minimum age", F.when(age.isNull(), "unknown").when(age < years.try_cast("double"), "not_met").otherwise("met")),
-        (ecog_max != "", "ECOG performance status", F.when(ecog.isNull(), "unknown").when(ecog <= ecog_max.try_cast("int"), "met").otherwise("not_met")),
-        (t.rlike(r"(?i)stage\s+(IV|4|III|3|II|2)"), "Stage requirement", F.lit("unknown")),
-    ]
-    found = F.array_compact(F.array(*[F.when(hit, entry(name, status)) for hit, name, status in rules]))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(entry("General eligibility", F.lit("unknown"))))
+
+    def rules(t: Column, low: Column) -> list[tuple[Column, str, Column]]:
+        """A pattern is only tried where a word that it can't match without is in the lower-case text."""
+
+        def has(word: str, pattern: str) -> Column:
+            return low.contains(word) & t.rlike(pattern)
+
+        def number(word: str, pattern: str) -> Column:
+            return F.when(low.contains(word), F.regexp_extract(t, pattern, 1)).otherwise("")
+
+        years, ecog_max = number("years", r"(?i)(\d{1,3})\s*years"), number("ecog", r"(?i)ECOG.*?([0-2])")
+        return [
+            (has("her2", r"(?i)her2[\s-]*(negative|non-amplified|ihc\s*0|ihc\s*1\+?)"), "HER2-negative requirement", need(h, "negative", "positive")),
+            (has("her2", r"(?i)her2[\s-]*(positive|amplified|ihc\s*3\+)"), "HER2-positive requirement", need(h, "positive", "negative")),
+            (has("positive", r"(?i)(er|estrogen receptor)[\s-]*positive"), "ER-positive requirement", need(e, "positive", "negative")),
+            (has("negative", r"(?i)(er|estrogen receptor)[\s-]*negative"), "ER-negative requirement", need(e, "negative", "positive")),
+            # U also lets long s and dotless i match, so only letters without such twins are looked for.
+            (low.contains("po") & has("pr", r"(?iU)\bPR[\s-]*positive|progesterone receptor[\s-]*positive"), "PR-positive requirement", need(p, "positive", "negative")),
+            (years != "", "Minimum age", F.when(age.isNull(), "unknown").when(age < years.try_cast("double"), "not_met").otherwise("met")),
+            (ecog_max != "", "ECOG performance status", F.when(ecog.isNull(), "unknown").when(ecog <= ecog_max.try_cast("int"), "met").otherwise("not_met")),
+            (has("stage", r"(?i)stage\s+(IV|4|III|3|II|2)"), "Stage requirement", F.lit("unknown")),
+        ]
+
+    def found(x: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(hit, entry(name, status)) for hit, name, status in rules(x["t"], x["low"])]))
+
+    # Lambdas over one element name what is used more than once, so that it is worked out once.
+    t = F.coalesce(text, F.lit(""))
+    each = F.transform(F.array(t), lambda x: F.struct(x.alias("t"), F.lower(x).alias("low")))
+    return F.transform(F.transform(each, found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(entry("General eligibility", F.lit("unknown")))))[0]
 
 
 def eligibility_class(criteria: Column) -> Column:
