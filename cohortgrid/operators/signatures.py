@@ -288,10 +288,11 @@ def proxy_reversal(table: DataFrame, assignment: DataFrame, residual_arms: DataF
         (F.count_if(F.col("_r").isNotNull() & F.col("_c").isNotNull()) / F.count(F.lit(1))).alias("_j"))
     overlap = per.groupBy("profile_id").agg((F.sum("_j") / 2.0).alias("overlap"))
     drugs = table.select("cluster", "drug", "percentile", "targets")
+    # Arms meet the targets of their own features only, and stay dealt by profile up to the sums.
     hits = (
-        drugs.select("cluster", "drug", F.explode("targets").alias("feature"))
-        .join(assignment.select("profile_id", "cluster"), "cluster")
-        .join(residual_arms.select("profile_id", "feature", F.abs("effect").alias("_w")), ["profile_id", "feature"])
+        residual_arms.select("profile_id", "feature", F.abs("effect").alias("_w"))
+        .join(assignment.select("profile_id", "cluster"), "profile_id")
+        .join(drugs.select("cluster", "drug", F.explode("targets").alias("feature")), ["cluster", "feature"])
         .groupBy("profile_id", "drug").agg(F.sum("_w").alias("_hit"))
     )
     j = assignment.select("profile_id", "cluster").join(drugs.drop("targets"), "cluster").join(overlap, "profile_id", "left").join(hits, ["profile_id", "drug"], "left")
@@ -301,7 +302,9 @@ def proxy_reversal(table: DataFrame, assignment: DataFrame, residual_arms: DataF
     if blended is not None:
         out = out.join(blended.select("profile_id", "drug", "blended_percentile"), ["profile_id", "drug"], "left").withColumn(
             "reversal_score", F.when(F.col("blended_percentile").isNotNull(), 0.7 * F.col("reversal_score") + 0.3 * F.col("blended_percentile")).otherwise(F.col("reversal_score"))).drop("blended_percentile")
-    return rank_percentile(out.withColumn("reversal_score", F.round("reversal_score", 12)), "reversal_score", ["drug"], ["profile_id"], **kw)
+    # A profile has as many rows as its cluster's list.
+    longest = table.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return rank_percentile(out.withColumn("reversal_score", F.round("reversal_score", 12)), "reversal_score", ["drug"], ["profile_id"], at_most=longest, **kw)
 
 
 # ---- coefficient scores --------------------------------------------------------------------------------
