@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -92,12 +91,16 @@ def last_updates(table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # ---- stage durations -----------------------------------------------------------------------------------
-STAGE_OUT = "run_id string, stage string, started timestamp, ended timestamp, seconds double, state string"
-STAGE_STATE = "started timestamp"
+STAGE_OUT = "run_id string, stage string, started long, ended long, seconds double, state string"
+STAGE_STATE = "started long"
 
 
 class StageTimer(StatefulProcessor):
-    """Start and end events of one (run, stage): emits the duration, or a time-out when no end comes."""
+    """Start and end events of one (run, stage): emits the duration, or a time-out when no end comes.
+
+    Works on rows: a data frame per key and batch costs more than its few events. Times are microseconds,
+    so no time zone has a say. An open stage has the one timer that its start gives, so timers are never listed.
+    """
 
     def __init__(self, limit_ms: int):
         self._limit = limit_ms
@@ -106,30 +109,34 @@ class StageTimer(StatefulProcessor):
         self._handle = handle
         self._open = handle.getValueState("open", STAGE_STATE)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "phase"], ascending=[True, False])
-        started = self._open.get()[0] if self._open.exists() else None
-        out = []
-        for ts, phase in zip(got["ts"], got["phase"]):
-            if phase == "start":
-                started = ts
-            elif started is not None and pd.Timestamp(ts) >= pd.Timestamp(started):
-                out.append((key[0], key[1], started, ts, (pd.Timestamp(ts) - pd.Timestamp(started)).total_seconds(), "done"))
+    @staticmethod
+    def _row(key, started: int, ended: int | None, state: str) -> Row:
+        return Row(run_id=key[0], stage=key[1], started=started, ended=ended, seconds=None if ended is None else (ended - started) / 1e6, state=state)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self._open.get()
+        before = started = known[0] if known is not None else None
+        for row in sorted(rows, key=lambda r: (r["at"], r["phase"] != "start")):
+            if row["phase"] == "start":
+                started = row["at"]
+            elif started is not None and row["at"] >= started:
+                yield self._row(key, started, row["at"], "done")
                 started = None
-        for t in list(self._handle.listTimers()):
-            self._handle.deleteTimer(t)
+        if started == before:
+            return
+        if before is not None:
+            self._handle.deleteTimer(before // 1000 + self._limit)
         if started is None:
             self._open.clear()
         else:
             self._open.update((started,))
-            self._handle.registerTimer(int(pd.Timestamp(started).timestamp() * 1000) + self._limit)
-        yield pd.DataFrame(out, columns=["run_id", "stage", "started", "ended", "seconds", "state"])
+            self._handle.registerTimer(started // 1000 + self._limit)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        started = self._open.get()[0] if self._open.exists() else None
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        started = self._open.get()
         self._open.clear()
-        rows = [] if started is None else [(key[0], key[1], started, None, None, "timed_out")]
-        yield pd.DataFrame(rows, columns=["run_id", "stage", "started", "ended", "seconds", "state"])
+        if started is not None:
+            yield self._row(key, started[0], None, "timed_out")
 
     def close(self) -> None:
         pass
@@ -137,8 +144,9 @@ class StageTimer(StatefulProcessor):
 
 def stage_durations_stream(events: DataFrame, limit_hours: int, delay: str = "1 hour") -> DataFrame:
     """(run_id, stage, phase, ts) stream to durations; unfinished stages time out on event time."""
-    e = events.withWatermark("ts", delay)
-    return e.groupBy("run_id", "stage").transformWithStateInPandas(StageTimer(limit_hours * 3_600_000), outputStructType=STAGE_OUT, outputMode="Append", timeMode="EventTime")
+    e = events.withWatermark("ts", delay).select("run_id", "stage", "phase", "ts", F.unix_micros("ts").alias("at"))
+    out = e.groupBy("run_id", "stage").transformWithState(StageTimer(limit_hours * 3_600_000), outputStructType=STAGE_OUT, outputMode="Append", timeMode="EventTime")
+    return out.withColumns({c: F.timestamp_micros(c) for c in ("started", "ended")})
 
 
 def stage_durations(events: DataFrame, limit_hours: int) -> DataFrame:
