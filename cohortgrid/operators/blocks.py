@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,31 @@ def unit_rows(column: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str, vec: str = "vec",
-         merge: Callable[[pd.DataFrame], pd.DataFrame] | None = None, at: str | None = None) -> DataFrame:
+def compared(part: pd.DataFrame, block: pd.DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], Any], merge: Callable[[list], Any] | None = None,
+             finish: Callable[[pd.DataFrame, Any], pd.DataFrame] | None = None, pairs: int = PAIRS, merged: int = _MERGED) -> Iterator[pd.DataFrame]:
+    """Results of fn for rows of `part` and of `block` that make `pairs` pairs at most; see `meet`."""
+    width = max(1, pairs // _BATCH)
+    for start in range(0, len(part), _BATCH):
+        rows, found = part.iloc[start:start + _BATCH], []
+        for i in range(0, len(block), width):
+            done = fn(rows, block.iloc[i:i + width])
+            if not merge:
+                yield done
+                continue
+            found.append(done)
+            if len(found) == merged:
+                found = [merge(found)]
+        if found:
+            whole = found[0] if len(found) == 1 else merge(found)
+            yield finish(rows, whole) if finish else whole
+
+
+def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], Any], schema: str, vec: str = "vec",
+         merge: Callable[[list], Any] | None = None, at: str | None = None, finish: Callable[[pd.DataFrame, Any], pd.DataFrame] | None = None) -> DataFrame:
     """fn(part of left, block of right) for parts and blocks that together cover every combination.
 
     A part and a block make `PAIRS` pairs at most, whatever the sizes of the sides. `merge` puts together
-    what one part found in several blocks. `at` is a column of left with places from 0 on: rows are then
+    what one part found in several blocks, which `finish` (if given) turns into rows. `at` is a column of left with places from 0 on: rows are then
     dealt in that order, so that neighbours meet a block together.
 
     When the right side holds at most `SHARED_VALUES` numbers (counted first) it is shared with all tasks
@@ -40,31 +60,17 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
     bounded size, each by the length of its own vectors, and every pair of tiles is one group, so neither
     side is ever gathered whole. A right side without rows gives no rows.
     """
+    how = fn, merge, finish, PAIRS, _MERGED
     dim, n = right.select(F.max(F.size(vec)), F.count(F.lit(1))).first()
     if not n:
         return left.sparkSession.createDataFrame([], schema)
 
-    def in_batches(part: pd.DataFrame, block: pd.DataFrame):
-        width = max(1, PAIRS // _BATCH)
-        for start in range(0, len(part), _BATCH):
-            rows, found = part.iloc[start:start + _BATCH], []
-            for i in range(0, len(block), width):
-                done = fn(rows, block.iloc[i:i + width])
-                if not merge:
-                    yield done
-                    continue
-                found.append(done)
-                if len(found) == _MERGED:
-                    found = [merge(pd.concat(found, ignore_index=True))]
-            if found:
-                yield found[0] if len(found) == 1 else merge(pd.concat(found, ignore_index=True))
-
     if int(n) * max(1, int(dim)) <= SHARED_VALUES:
         shared = left.sparkSession.sparkContext.broadcast(right.toPandas())
 
         def stream(batches):
             for b in batches:
-                yield from in_batches(b, shared.value)
+                yield from compared(b, shared.value, *how)
 
         # With a stated number, small parts aren't put together again: the work is in the pairs.
         parts = 2 * left.sparkSession.sparkContext.defaultParallelism
@@ -88,6 +94,6 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
     def tile(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if part.empty or block.empty:
             return pd.DataFrame({c: pd.Series(dtype=object) for c in empty})
-        return pd.concat(list(in_batches(part.sort_values(at) if at else part, block)), ignore_index=True)
+        return pd.concat(list(compared(part.sort_values(at) if at else part, block, *how)), ignore_index=True)
 
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(tile, schema)

@@ -84,31 +84,52 @@ def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), count
     return out if keys else out.drop("_k")
 
 
+def _distances(part: pd.DataFrame, block: pd.DataFrame, n: int) -> dict[tuple, tuple[np.ndarray, int]]:
+    """(labeling, label of the block): each point's distances to its points summed up, and their number; labelings are _l0 to _l(n - 1)."""
+    q, m = dense(part["vec"]), dense(block["vec"])
+    dist = (q * q).sum(1)[:, None] + (m * m).sum(1)[None, :]
+    dist -= 2 * q @ m.T
+    np.sqrt(np.maximum(dist, 0.0, out=dist), out=dist)
+    dist[part["id"].to_numpy()[:, None] == block["id"].to_numpy()[None, :]] = 0.0
+    names, flags = [], []
+    for i in range(n):
+        place, seen = pd.factorize(block[f"_l{i}"], use_na_sentinel=False)
+        names += [(i, None if pd.isna(x) else x) for x in seen]
+        flags.append(np.arange(len(seen)) == place[:, None])
+    flags = np.concatenate(flags, axis=1)
+    sums = (dist @ flags.astype(float)).T
+    return {name: (sums[j], int(c)) for j, (name, c) in enumerate(zip(names, flags.sum(0)))}
+
+
+def _added(found: list[dict]) -> dict:
+    out: dict = {}
+    for one in found:
+        for name, (d, c) in one.items():
+            before = out.get(name)
+            out[name] = (before[0] + d, before[1] + c) if before else (d, c)
+    return out
+
+
+def _sum_rows(part: pd.DataFrame, found: dict) -> pd.DataFrame:
+    """id, at, label, other, dist, cnt: a row per point, labeling and label met."""
+    names = list(found)
+    return pd.DataFrame({
+        "id": np.tile(part["id"].to_numpy(), len(names)), "at": np.repeat(np.array([i for i, _ in names], np.int32), len(part)),
+        "label": np.concatenate([part[f"_l{i}"].to_numpy() for i, _ in names]), "other": np.repeat(np.array(pd.Series([x for _, x in names])), len(part)),
+        "dist": np.concatenate([found[x][0] for x in names]), "cnt": np.repeat([found[x][1] for x in names], len(part))})
+
+
 def silhouettes(df: DataFrame, labels: Sequence[str], vec: str = "vec", id_col: str = "id") -> DataFrame:
     """labelling, silhouette, n: mean Euclidean silhouette of several labelings (columns of one type), exact.
 
-    See `meet`: the distances of two blocks are worked out once for all labelings, and each meeting of
-    points hands on one sum of them per point, labeling and cluster, never the distances themselves.
+    See `meet`: the distances of two blocks are worked out once for all labelings and summed up by one
+    product. A worker keeps one sum per point, labeling and cluster, never the distances themselves.
     """
     kinds = dict(df.dtypes)
     t_id, t_label = kinds[id_col], kinds[labels[0]]
     pts = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec"), *[F.col(c).alias(f"_l{i}") for i, c in enumerate(labels)])
-
-    def sums(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        q, m = dense(part["vec"]), dense(block["vec"])
-        dist = np.sqrt(np.maximum((q * q).sum(1)[:, None] + (m * m).sum(1)[None, :] - 2 * q @ m.T, 0.0))
-        dist[part["id"].to_numpy()[:, None] == block["id"].to_numpy()[None, :]] = 0.0
-        done = []
-        for i in range(len(labels)):
-            own, (seen, lab) = part[f"_l{i}"].to_numpy(), np.unique(block[f"_l{i}"].to_numpy(), return_inverse=True)
-            per_label, cnt = dist @ np.eye(len(seen))[lab], np.bincount(lab, minlength=len(seen))
-            done += [pd.DataFrame({"id": part["id"].to_numpy(), "at": i, "label": own, "other": x, "dist": per_label[:, j], "cnt": int(cnt[j])}) for j, x in enumerate(seen)]
-        return pd.concat(done, ignore_index=True)
-
-    def added(found: pd.DataFrame) -> pd.DataFrame:
-        return found.groupby(["id", "at", "label", "other"], as_index=False, sort=False, dropna=False)[["dist", "cnt"]].sum()
-
-    met = meet(pts, pts, sums, f"id {t_id}, at int, label {t_label}, other {t_label}, dist double, cnt long", merge=added)
+    n = len(labels)
+    met = meet(pts, pts, lambda part, block: _distances(part, block, n), f"id {t_id}, at int, label {t_label}, other {t_label}, dist double, cnt long", merge=_added, finish=_sum_rows)
     per = met.groupBy("id", "at", "label", "other").agg(F.sum("dist").alias("d"), F.sum("cnt").alias("c"))
     own = F.max(F.when(F.col("label") == F.col("other"), F.when(F.col("c") > 1, F.col("d") / (F.col("c") - 1))))
     near = F.min(F.when(F.col("label") != F.col("other"), F.col("d") / F.col("c")))

@@ -190,7 +190,8 @@ def nearest_references(queries: DataFrame, references: DataFrame, k: int = 5, id
             rows, cols = np.indices(near.shape).reshape(2, -1)
         return pd.DataFrame({"query_id": part["id"].to_numpy()[rows], "ref_id": ids[cols], "similarity": sim[rows, cols]})
 
-    def nearest(found: pd.DataFrame) -> pd.DataFrame:
+    def nearest(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        found = pd.concat(parts, ignore_index=True)
         near = found["similarity"].round(12).fillna(-np.inf)
         ordered = found.assign(_near=-near).sort_values(["query_id", "_near", "ref_id"], kind="stable")
         return ordered[ordered.groupby("query_id", sort=False).cumcount() < k].drop(columns="_near")

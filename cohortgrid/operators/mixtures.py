@@ -90,8 +90,16 @@ def statistics(x: np.ndarray, m: Model) -> np.ndarray:
     return np.concatenate([[len(x), fit], r.sum(0), (r.T @ x).ravel(), second.ravel()])
 
 
+def _firm(cov: np.ndarray) -> np.ndarray:
+    """Covariances whose variances in any direction are at least about FLOOR, where rounding took them below."""
+    values, axes = np.linalg.eigh(cov)
+    if values.min() >= FLOOR / 2:
+        return cov
+    return (axes * np.maximum(values, FLOOR)[..., None, :]) @ np.swapaxes(axes, -1, -2)
+
+
 def updated(m: Model, s: np.ndarray, d: int) -> Model:
-    """The model that the statistics give; `fit` is that of the model before."""
+    """The model that the statistics give; `fit` is that of the model before. A component without rows stays as it is."""
     n, fit, share, sums, second = s[0], s[1], s[2 : 2 + m.k], s[2 + m.k : 2 + m.k + m.k * d].reshape(m.k, d), s[2 + m.k + m.k * d :]
     held = share > 1e-10
     means = np.where(held[:, None], sums / np.maximum(share, 1e-10)[:, None], m.means)
@@ -99,10 +107,11 @@ def updated(m: Model, s: np.ndarray, d: int) -> Model:
     cov = m.cov
     if m.kind == "full":
         cov = second.reshape(m.k, d, d) / share[:, None, None] - means[:, :, None] * means[:, None, :] + FLOOR * np.eye(d)
+        cov = _firm(np.where(held[:, None, None], cov, m.cov))
     elif m.kind == "diag":
-        cov = np.maximum(second.reshape(m.k, d) / share[:, None] - means**2, 0) + FLOOR
+        cov = np.where(held[:, None], np.maximum(second.reshape(m.k, d) / share[:, None] - means**2, 0) + FLOOR, m.cov)
     elif m.kind == "tied":
-        cov = (second.reshape(d, d) - (means.T * share) @ means) / n + FLOOR * np.eye(d)
+        cov = _firm((second.reshape(d, d) - (means.T * share) @ means) / n + FLOOR * np.eye(d))
     return replace(m, weights=share / share.sum(), means=means, cov=cov, fit=float(fit), n=int(n))
 
 
