@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,10 @@ WORDS, GRAMS, WIDTH, STATE, ATTEND = 20_000, 1 << 15, 8, 8, 8
 TOXIC, CLEAN, LONGEST = 1000, 2000, 20_000
 #: Distinct words whose inputs a Python worker keeps, and words of a text read at once.
 KEPT, PIECE = 1 << 18, 1 << 15
+#: Texts whose scores a Python worker keeps, under 128-bit hashes.
+TEXTS = 1 << 17
 #: Windows run through the network at once, in scoring and in a training step.
-BATCH, STEP = 2048, 192
+BATCH, STEP = 4096, 192
 
 
 def tokens(text: str | None) -> list[str]:
@@ -43,7 +46,7 @@ def char_grams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
             h = (h ^ line[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         inside = word[: len(h)] == word[n - 1 :]
-        out.append((word[: len(h)][inside], (h[inside] % np.uint64(GRAMS)).astype(np.int64)))
+        out.append((word[: len(h)][inside], (h[inside] & np.uint64(GRAMS - 1)).astype(np.int64)))
     return out
 
 
@@ -53,7 +56,7 @@ def char_input(grams: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, n_
     for word, bucket in grams:
         if len(word):
             first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            total[word[first]] += np.add.reduceat(table[bucket], first)
+            total[word[first]] += np.add.reduceat(np.take(table, bucket, axis=0), first)
             count[word[first]] += np.diff(np.append(first, len(word)))
     root = np.sqrt(np.maximum(count, 1))[:, None]
     return total / root, root
@@ -86,6 +89,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _gate(x: np.ndarray) -> np.ndarray:
+    """Hard sigmoid: a line of the sigmoid's slope at 0, cut at 0 and 1."""
+    return np.clip(0.25 * x + 0.5, 0, 1)
+
+
+def _softsign(x: np.ndarray) -> np.ndarray:
+    return x / (1 + np.abs(x))
+
+
 class Network:
     """Word and character embeddings, one gated recurrent unit a direction, attention, one output."""
 
@@ -122,9 +134,9 @@ class Network:
         order = range(len(gates)) if d == "ahead" else range(len(gates) - 1, -1, -1)
         for t in order:
             g, hu = gates[t], h @ u
-            zr = 1 / (1 + np.exp(-(g[:, : 2 * s] + hu[:, : 2 * s])))
+            zr = _gate(g[:, : 2 * s] + hu[:, : 2 * s])
             z, r = zr[:, :s], zr[:, s:]
-            n = np.tanh(g[:, 2 * s :] + r * hu[:, 2 * s :])
+            n = _softsign(g[:, 2 * s :] + r * hu[:, 2 * s :])
             new = n + z * (h - n)
             if keep is not None:
                 keep.append((t, h, z, r, n, hu[:, 2 * s :]))
@@ -137,7 +149,7 @@ class Network:
         kept = {d: [] if keep is not None else None for d in ("ahead", "back")}
         half = 3 * STATE
         states = np.concatenate([self._run(gates[..., :half], mask, "ahead", kept["ahead"]), self._run(gates[..., half:], mask, "back", kept["back"])], axis=2)
-        heard = np.tanh(states @ self.p["attend"])
+        heard = _softsign(states @ self.p["attend"])
         weight = np.where(mask[..., 0], heard @ self.p["attend_to"], -1e9)
         weight = np.exp(weight - weight.max(axis=0))
         weight /= weight.sum(axis=0)
@@ -157,7 +169,7 @@ class Network:
         d_weight = np.einsum("bs,tbs->tb", d_pooled, k["states"])
         d_score = k["weight"] * (d_weight - (k["weight"] * d_weight).sum(axis=0))
         g["attend_to"] = np.einsum("tb,tba->a", d_score, k["heard"])
-        d_heard = d_score[..., None] * self.p["attend_to"] * (1 - k["heard"] ** 2)
+        d_heard = d_score[..., None] * self.p["attend_to"] * (1 - np.abs(k["heard"])) ** 2
         g["attend"] = np.einsum("tbs,tba->sa", k["states"], d_heard)
         d_states = k["weight"][..., None] * d_pooled + d_heard @ self.p["attend"].T
         d_gates = np.zeros_like(gates)
@@ -169,9 +181,9 @@ class Network:
             for t, h, z, r, n, hn in reversed(k["kept"][d]):
                 total = d_states[t][:, s * i : s * (i + 1)] + flow
                 on = np.where(mask[t], total, 0)
-                dn = on * (1 - z) * (1 - n * n)
-                dz = on * (h - n) * z * (1 - z)
-                dr = dn * hn * r * (1 - r)
+                dn = on * (1 - z) * (1 - np.abs(n)) ** 2
+                dz = on * (h - n) * 0.25 * ((z > 0) & (z < 1))
+                dr = dn * hn * 0.25 * ((r > 0) & (r < 1))
                 d_gates[t][:, at] = np.concatenate([dz, dr, dn], axis=1)
                 d_hu = np.concatenate([dz, dr, dn * r], axis=1)
                 g[f"{d}_state"] += h.T @ d_hu
@@ -211,50 +223,53 @@ class Network:
     def every_window(self, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Logits of the windows at each start of a run of WINDOW or more rows of `table`.
 
-        As `forward`, without masks: step t of BATCH neighbouring windows reads one slice, and
-        both directions run at once. tanh(x) is 1 - 2 / (1 + exp(2x)).
+        As `forward`, without masks: step t of BATCH neighbouring windows reads one slice.
         """
         s, n = STATE, len(ids) - WINDOW + 1
-        sign = np.repeat(np.array([-1, 2], np.float32), [2 * s, s])
-        u = np.stack([(self.p[f"{d}_state"] * sign).T for d in ("ahead", "back")])
-        attend = np.ascontiguousarray(np.concatenate([2 * self.p["attend"], self.p["out"][:, None]], axis=1).T)
-        out = np.empty(n, np.float32)
-        with np.errstate(over="ignore"):
-            for a in range(0, n, BATCH):
-                b = min(BATCH, n - a)
-                gates = np.ascontiguousarray((table[ids[a : a + b + WINDOW - 1]] * np.tile(sign, 2)).T).reshape(2, 3 * s, -1)
-                h, q, hu = np.zeros((2, s, b), np.float32), np.empty((2, s, b), np.float32), np.zeros((2, 3 * s, b), np.float32)
-                states = np.empty((WINDOW, 2 * s, b), np.float32)
-                for t in range(WINDOW):
-                    places = t, WINDOW - 1 - t
-                    if t:
-                        np.matmul(u, h, out=hu)
-                    zr = hu[:, : 2 * s]
-                    for i, at in enumerate(places):
-                        zr[i] += gates[i, : 2 * s, at : at + b]
-                    np.exp(zr, out=zr)
-                    zr += 1
-                    np.reciprocal(zr, out=zr)
-                    np.multiply(zr[:, s:], hu[:, 2 * s :], out=q)
-                    for i, at in enumerate(places):
-                        q[i] += gates[i, 2 * s :, at : at + b]
-                    np.exp(q, out=q)
-                    q += 1
-                    np.divide(-2, q, out=q)
-                    q += 1
-                    h -= q
-                    h *= zr[:, :s]
+        slope, middle = (np.repeat(np.array(x, np.float32), [2 * s, s]) for x in ([0.25, 1], [0.5, 0]))
+        us = [np.ascontiguousarray((self.p[f"{d}_state"] * slope).T) for d in ("ahead", "back")]
+        attend = np.ascontiguousarray(np.concatenate([self.p["attend"], self.p["out"][:, None]], axis=1).T)
+        wide = min(BATCH, n)
+        room = np.empty((WINDOW, 2 * s, wide), np.float32), np.empty((3 * s, wide), np.float32), np.empty((s, wide), np.float32), np.empty((s, wide), np.float32)
+        heard_room = np.empty((ATTEND + 1, wide), np.float32)
+        low, high, out = np.float32(0), np.float32(1), np.empty(n, np.float32)
+        for a in range(0, n, BATCH):
+            b = min(BATCH, n - a)
+            states, hu, q, size = (x[..., :b] for x in room)
+            both = np.ascontiguousarray((np.take(table, ids[a : a + b + WINDOW - 1], axis=0) * np.tile(slope, 2) + np.tile(middle, 2)).T)
+            for i, u in enumerate(us):
+                gates, before = both[3 * s * i : 3 * s * (i + 1)], None
+                for at in range(WINDOW) if i == 0 else range(WINDOW - 1, -1, -1):
+                    g, h = gates[:, at : at + b], states[at, s * i : s * (i + 1)]
+                    if before is None:
+                        hu[:] = 0
+                    else:
+                        np.matmul(u, before, out=hu)
+                    zr = hu[: 2 * s]
+                    zr += g[: 2 * s]
+                    np.clip(zr, low, high, out=zr)
+                    np.multiply(zr[s:], hu[2 * s :], out=q)
+                    q += g[2 * s :]
+                    np.abs(q, out=size)
+                    size += 1
+                    q /= size
+                    np.subtract(0 if before is None else before, q, out=h)
+                    h *= zr[:s]
                     h += q
-                    for i, at in enumerate(places):
-                        states[at, s * i : s * (i + 1)] = h[i]
-                heard = np.matmul(attend, states)
-                e = heard[:, :-1]
-                np.exp(e, out=e)
-                e += 1
-                np.reciprocal(e, out=e)
-                weight = np.matmul(-2 * self.p["attend_to"], e)
-                weight = np.exp(weight - weight.max(axis=0))
-                out[a : a + b] = (weight * heard[:, -1]).sum(axis=0) / weight.sum(axis=0) + self.p["out_bias"][0]
+                    before = h
+            heard, weight, said = heard_room[:, :b], np.empty((WINDOW, b), np.float32), np.empty((WINDOW, b), np.float32)
+            for at in range(WINDOW):
+                np.matmul(attend, states[at], out=heard)
+                e = heard[:-1]
+                size = np.abs(e)
+                size += 1
+                e /= size
+                np.matmul(self.p["attend_to"], e, out=weight[at])
+                said[at] = heard[-1]
+            weight -= weight.max(axis=0)
+            np.exp(weight, out=weight)
+            said *= weight
+            out[a : a + b] = said.sum(axis=0) / weight.sum(axis=0) + self.p["out_bias"][0]
         return out
 
     def text_logits(self, table: np.ndarray, texts: list[np.ndarray]) -> list[np.ndarray]:
@@ -326,6 +341,8 @@ class Scorer:
         self.table = np.empty((KEPT, 6 * STATE), np.float32)
         self.clear()
 
+        self.known: dict[bytes, float] = {}
+
     def clear(self) -> None:
         self.place: dict[str, int] = {}
 
@@ -343,14 +360,27 @@ class Scorer:
         return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        """Scores of whole texts; 0 without words. Windows of many texts run together."""
+        """Scores of whole texts; 0 without words. Equal texts are scored once, as far as the last TEXTS ones are known."""
+        keys = [blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        new = {k: t for k, t in zip(keys, texts) if k not in self.known}
+        found = dict(zip(new, self._scores(list(new.values()))))
+        out = [found[k] if k in found else self.known[k] for k in keys]
+        if len(self.known) + len(found) > TEXTS:
+            self.known.clear()
+        self.known |= found
+        return out
+
+    def _scores(self, texts: list[str | None]) -> list[float]:
+        """Scores of whole texts. Windows of many texts run together."""
         split = [tokens(t) for t in texts]
         best = np.full(len(texts), -np.inf)
         waiting, owners = [], []
 
         def flush() -> None:
             if waiting:
-                np.maximum.at(best, owners, [x.max() for x in self.net.text_logits(self.table, waiting)])
+                ids = self.ids([w for part in waiting for w in part])
+                pieces = np.split(ids, np.cumsum([len(part) for part in waiting])[:-1])
+                np.maximum.at(best, owners, [x.max() for x in self.net.text_logits(self.table, pieces)])
                 waiting.clear()
                 owners.clear()
 
@@ -361,9 +391,7 @@ class Scorer:
                 part = words[at : at + PIECE + WINDOW - STRIDE]
                 if not part:
                     continue
-                if len(self.place) + len(part) > KEPT:
-                    flush()
-                waiting.append(self.ids(part))
+                waiting.append(part)
                 owners.append(i)
                 held += len(part)
                 if held >= PIECE:
