@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -23,8 +24,10 @@ BEST = 3
 WORDS, GRAMS, WIDTH, STATE, ATTEND = 20_000, 1 << 15, 8, 8, 8
 #: Bounds of the training sample: documents with label 1 and 0, and characters of one.
 TOXIC, CLEAN, LONGEST = 1000, 2000, 20_000
-#: Distinct words whose inputs a Python worker keeps, and words of a text read at once.
+#: Distinct words beyond which a Python worker starts anew to keep their inputs, and words of a text read at once.
 KEPT, PIECE = 1 << 18, 1 << 15
+#: Share of the words of a training step that count as outside the vocabulary.
+DROPPED = 0.3
 #: Texts whose scores a Python worker keeps, under 128-bit hashes.
 TEXTS = 1 << 17
 #: Windows run through the network at once, in scoring and in a training step.
@@ -36,29 +39,35 @@ def tokens(text: str | None) -> list[str]:
 
 
 def char_grams(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(word, bucket) arrays, in word order, of character 3- to 5-grams with the word's ends marked."""
-    line = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
-    out = []
-    for n in (3, 4, 5):
-        h = np.full(max(0, len(line) - n + 1), n, np.uint64)
-        for j in range(n):
-            h = (h ^ line[j : j + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-        inside = word[: len(h)] == word[n - 1 :]
-        out.append((word[: len(h)][inside], (h[inside] & np.uint64(GRAMS - 1)).astype(np.int64)))
+    """Buckets of character 3- to 5-grams with the word's ends marked: for each length the words' places and (grams, words) buckets."""
+    length = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(length, kind="stable")
+    line = np.frombuffer("".join([words[i] for i in order]).encode("utf-32-le", "surrogatepass"), "<u4")
+    out, at, read = [], 0, 0
+    for long, m in zip(*(x.tolist() for x in np.unique(length, return_counts=True))):
+        chars = np.empty((long + 2, m), np.uint64)
+        chars[0], chars[-1], chars[1:-1] = ord("^"), ord("$"), line[read : read + long * m].reshape(m, long).T
+        buckets = []
+        for n in range(3, min(5, long + 2) + 1):
+            h = np.full((long + 3 - n, m), n, np.uint64)
+            for j in range(n):
+                h ^= chars[j : j + len(h)]
+                h *= np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            buckets.append((h & np.uint64(GRAMS - 1)).astype(np.int64))
+        out.append((order[at : at + m], np.concatenate(buckets)))
+        at, read = at + m, read + long * m
     return out
 
 
 def char_input(grams: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sum of the n-grams' vectors over the root of their number, and that root."""
-    total, count = np.zeros((n_words, table.shape[1]), np.float32), np.zeros(n_words, np.float32)
+    total, root = np.zeros((n_words, table.shape[1]), np.float32), np.ones((n_words, 1), np.float32)
     for word, bucket in grams:
-        if len(word):
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            total[word[first]] += np.add.reduceat(np.take(table, bucket, axis=0), first)
-            count[word[first]] += np.diff(np.append(first, len(word)))
-    root = np.sqrt(np.maximum(count, 1))[:, None]
+        rows = max(1, PIECE // len(word))
+        for i in range(0, len(bucket), rows):
+            total[word] += np.take(table, bucket[i : i + rows], axis=0).sum(axis=0)
+        root[word] = np.sqrt(np.float32(len(bucket)))
     return total / root, root
 
 
@@ -149,7 +158,7 @@ class Network:
         kept = {d: [] if keep is not None else None for d in ("ahead", "back")}
         half = 3 * STATE
         states = np.concatenate([self._run(gates[..., :half], mask, "ahead", kept["ahead"]), self._run(gates[..., half:], mask, "back", kept["back"])], axis=2)
-        heard = _softsign(states @ self.p["attend"])
+        heard = states @ self.p["attend"]
         weight = np.where(mask[..., 0], heard @ self.p["attend_to"], -1e9)
         weight = np.exp(weight - weight.max(axis=0))
         weight /= weight.sum(axis=0)
@@ -169,7 +178,7 @@ class Network:
         d_weight = np.einsum("bs,tbs->tb", d_pooled, k["states"])
         d_score = k["weight"] * (d_weight - (k["weight"] * d_weight).sum(axis=0))
         g["attend_to"] = np.einsum("tb,tba->a", d_score, k["heard"])
-        d_heard = d_score[..., None] * self.p["attend_to"] * (1 - np.abs(k["heard"])) ** 2
+        d_heard = d_score[..., None] * self.p["attend_to"]
         g["attend"] = np.einsum("tbs,tba->sa", k["states"], d_heard)
         d_states = k["weight"][..., None] * d_pooled + d_heard @ self.p["attend"].T
         d_gates = np.zeros_like(gates)
@@ -191,11 +200,12 @@ class Network:
             g[f"{d}_bias"] = d_gates[..., at].sum(axis=(0, 1))
         return g, d_gates, loss
 
-    def step(self, words: list[str], ids: np.ndarray, label: np.ndarray, moments: dict, rate: float, t: int) -> float:
-        """One Adam step on windows `ids` (places in `words`, -1: none)."""
+    def step(self, words: list[str], known: np.ndarray, ids: np.ndarray, label: np.ndarray, moments: dict, rate: float, t: int) -> float:
+        """One Adam step on windows `ids` (places in `words`, whose rows are `known`, -1: none); some words are known by their characters alone."""
         used, local = np.unique(ids[ids >= 0], return_inverse=True)
         own = [words[i] for i in used]
-        rows, grams = self.word_rows(own), char_grams(own)
+        rows, grams = known[used], char_grams(own)
+        rows[np.random.default_rng(t).random(len(rows)) < DROPPED] = len(self.place)
         chars, root = char_input(grams, self.p["grams"], len(own))
         x = np.concatenate([self.p["words"][rows], chars], axis=1)
         table = np.concatenate([x @ self.p[f"{d}_in"] + self.p[f"{d}_bias"] for d in ("ahead", "back")], axis=1)
@@ -210,7 +220,8 @@ class Network:
             g[f"{d}_in"] = x.T @ part
             d_x += part @ self.p[f"{d}_in"].T
         g["words"] = sums_by(rows, d_x[:, :WIDTH], len(self.p["words"]))
-        word, bucket = (np.concatenate(x) for x in zip(*grams))
+        word = np.concatenate([np.broadcast_to(w, b.shape).ravel() for w, b in grams])
+        bucket = np.concatenate([b.ravel() for _, b in grams])
         g["grams"] = sums_by(bucket, (d_x[:, WIDTH:] / root)[word], GRAMS)
         for name, grad in g.items():
             m, v = moments.setdefault(name, [np.zeros_like(grad), np.zeros_like(grad)])
@@ -223,54 +234,59 @@ class Network:
     def every_window(self, table: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Logits of the windows at each start of a run of WINDOW or more rows of `table`.
 
-        As `forward`, without masks: step t of BATCH neighbouring windows reads one slice.
+        As `forward`, without masks: step t of BATCH neighbouring windows reads one slice. Each gate
+        has an array of its own with a window's values side by side, so that slices are contiguous
+        and products are of tall matrices, which take half the time of flat ones.
         """
         s, n = STATE, len(ids) - WINDOW + 1
-        slope, middle = (np.repeat(np.array(x, np.float32), [2 * s, s]) for x in ([0.25, 1], [0.5, 0]))
-        us = [np.ascontiguousarray((self.p[f"{d}_state"] * slope).T) for d in ("ahead", "back")]
-        attend = np.ascontiguousarray(np.concatenate([self.p["attend"], self.p["out"][:, None]], axis=1).T)
+        slope, middle = (np.array(x, np.float32).repeat(s) for x in ([0.25, 0.25, 1], [0.5, 0.5, 0]))
+        us = [np.ascontiguousarray((self.p[f"{d}_state"] * slope).reshape(s, 3, s).transpose(1, 0, 2)) for d in ("ahead", "back")]
+        attend, out = (self.p["attend"] @ self.p["attend_to"]).reshape(2, s), self.p["out"].reshape(2, s)
         wide = min(BATCH, n)
-        room = np.empty((WINDOW, 2 * s, wide), np.float32), np.empty((3 * s, wide), np.float32), np.empty((s, wide), np.float32), np.empty((s, wide), np.float32)
-        heard_room = np.empty((ATTEND + 1, wide), np.float32)
-        low, high, out = np.float32(0), np.float32(1), np.empty(n, np.float32)
+        # Words' rows and gates, a step's products, values, their sizes, two states by turns.
+        shapes = (wide + WINDOW - 1, 6 * s), (2, 3, wide + WINDOW - 1, s), (3, wide, s), (wide, s), (wide, s), (2, wide, s)
+        room = [np.empty(x, np.float32) for x in shapes]
+        totals, slope, middle = np.empty((3, WINDOW, wide), np.float32), np.tile(slope, 2), np.tile(middle, 2)
+        low, high, logits = np.float32(0), np.float32(1), np.empty(n, np.float32)
         for a in range(0, n, BATCH):
             b = min(BATCH, n - a)
-            states, hu, q, size = (x[..., :b] for x in room)
-            both = np.ascontiguousarray((np.take(table, ids[a : a + b + WINDOW - 1], axis=0) * np.tile(slope, 2) + np.tile(middle, 2)).T)
-            for i, u in enumerate(us):
-                gates, before = both[3 * s * i : 3 * s * (i + 1)], None
-                for at in range(WINDOW) if i == 0 else range(WINDOW - 1, -1, -1):
-                    g, h = gates[:, at : at + b], states[at, s * i : s * (i + 1)]
-                    if before is None:
-                        hu[:] = 0
+            rows, both = room[0][: b + WINDOW - 1], room[1][:, :, : b + WINDOW - 1]
+            hu, q, size, turns = (x[..., :b, :] for x in room[2:])
+            zr, z, r, hn = hu[:2], hu[0], hu[1], hu[2]
+            weight, said, more = totals[..., :b]
+            np.take(table, ids[a : a + b + WINDOW - 1], axis=0, out=rows, mode="clip")
+            rows *= slope
+            rows += middle
+            both[:] = rows.reshape(-1, 2, 3, s).transpose(1, 2, 0, 3)
+            # A window's first state is that of a word alone.
+            first = (1 - both[:, 0].clip(low, high)) * _softsign(both[:, 2])
+            for i, order in ((0, range(WINDOW)), (1, range(WINDOW - 1, -1, -1))):
+                h = first[i, order[0] : order[0] + b]
+                for at in order:
+                    if at != order[0]:
+                        g, before, h = both[i, :, at : at + b], h, turns[at % 2]
+                        np.matmul(before, us[i], out=hu)
+                        zr += g[:2]
+                        zr.clip(low, high, out=zr)
+                        np.multiply(r, hn, out=q)
+                        q += g[2]
+                        np.abs(q, out=size)
+                        size += high
+                        q /= size
+                        np.subtract(before, q, out=h)
+                        h *= z
+                        h += q
+                    if i == 0:
+                        np.matmul(h, attend[0], out=weight[at])
+                        np.matmul(h, out[0], out=said[at])
                     else:
-                        np.matmul(u, before, out=hu)
-                    zr = hu[: 2 * s]
-                    zr += g[: 2 * s]
-                    np.clip(zr, low, high, out=zr)
-                    np.multiply(zr[s:], hu[2 * s :], out=q)
-                    q += g[2 * s :]
-                    np.abs(q, out=size)
-                    size += 1
-                    q /= size
-                    np.subtract(0 if before is None else before, q, out=h)
-                    h *= zr[:s]
-                    h += q
-                    before = h
-            heard, weight, said = heard_room[:, :b], np.empty((WINDOW, b), np.float32), np.empty((WINDOW, b), np.float32)
-            for at in range(WINDOW):
-                np.matmul(attend, states[at], out=heard)
-                e = heard[:-1]
-                size = np.abs(e)
-                size += 1
-                e /= size
-                np.matmul(self.p["attend_to"], e, out=weight[at])
-                said[at] = heard[-1]
+                        weight[at] += np.matmul(h, attend[1], out=more[0])
+                        said[at] += np.matmul(h, out[1], out=more[1])
             weight -= weight.max(axis=0)
             np.exp(weight, out=weight)
             said *= weight
-            out[a : a + b] = said.sum(axis=0) / weight.sum(axis=0) + self.p["out_bias"][0]
-        return out
+            logits[a : a + b] = said.sum(axis=0) / weight.sum(axis=0) + self.p["out_bias"][0]
+        return logits
 
     def text_logits(self, table: np.ndarray, texts: list[np.ndarray]) -> list[np.ndarray]:
         """Logits of all windows of each text, given as rows of `table`; texts run joined, windows over a joint are left out."""
@@ -309,7 +325,7 @@ def train(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 7) -> Netwo
     vocabulary = [w for w, n in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:WORDS] if n >= 5]
     net = Network(vocabulary, seed)
     words = sorted(seen)
-    place = {w: i for i, w in enumerate(words)}
+    place, known = {w: i for i, w in enumerate(words)}, net.word_rows(words)
     ids = [np.array([place[w] for w in t], np.int64) for t in texts]
     if not len(rows) or not words:
         return net
@@ -329,35 +345,42 @@ def train(rows: list[tuple[str, int]], epochs: int = 10, seed: int = 7) -> Netwo
         chosen = rng.permutation(order[rank < most])
         for at in range(0, len(chosen), STEP):
             part, t = chosen[at : at + STEP], t + 1
-            net.step(words, stream[starts[part][:, None] + np.arange(WINDOW)], labels[owner[part]], moments, 0.012 if epoch < 7 else 0.004, t)
+            net.step(words, known, stream[starts[part][:, None] + np.arange(WINDOW)], labels[owner[part]], moments, 0.012 if epoch < 7 else 0.004, t)
     return net
 
 
+class Places(dict):
+    """Numbers of words in the order in which they are first asked for; `new` has those asked for lately."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        self[word] = at = len(self)
+        return at
+
+
 class Scorer:
-    """Scores texts; keeps the gate inputs of the words it has met, up to KEPT."""
+    """Scores texts; keeps the gate inputs of the words it has met until they are more than KEPT."""
 
     def __init__(self, net: Network):
         self.net = net
-        self.table = np.empty((KEPT, 6 * STATE), np.float32)
-        self.clear()
-
+        self.table = np.empty((KEPT + 2 * PIECE, 6 * STATE), np.float32)
+        self.place = Places()
         self.known: dict[bytes, float] = {}
 
-    def clear(self) -> None:
-        self.place: dict[str, int] = {}
-
     def ids(self, words: list[str]) -> np.ndarray:
-        place = self.place
-        new = [w for w in dict.fromkeys(words) if w not in place]
-        if len(place) + len(new) > KEPT:
-            self.clear()
-            place = self.place
-            new = list(dict.fromkeys(words))
-        if new:
-            at = len(place)
-            self.table[at : at + len(new)] = self.net.projected(new)
-            place.update(zip(new, range(at, at + len(new))))
-        return np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        if len(self.place) > KEPT:
+            self.place = Places()
+        place, at = self.place, len(self.place)
+        ids = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+        if place.new:
+            if len(place) > len(self.table):
+                self.table = np.concatenate([self.table[:at], np.empty((len(place), self.table.shape[1]), np.float32)])
+            self.table[at : len(place)] = self.net.projected(place.new)
+            place.new = []
+        return ids
 
     def scores(self, texts: list[str | None]) -> list[float]:
         """Scores of whole texts; 0 without words. Equal texts are scored once, as far as the last TEXTS ones are known."""
@@ -409,19 +432,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(_digits(doc_id) % 5 == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, longest: int = LONGEST) -> list[tuple[str, int]]:
-    """At most `toxic` and `clean` labelled, not held-out texts, of at most `longest` characters.
+def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, longest: int = LONGEST) -> DataFrame:
+    """labelled, text, label: at most `toxic` and `clean` labelled, not held-out texts, of at most `longest` characters.
 
-    They are the ones whose doc_id hashes lowest. toxic + clean ids go to the tasks; no other text
-    leaves the executors. A document with contrary labels counts as toxic.
+    They are the ones whose doc_id hashes lowest. toxic + clean ids go to the tasks. A document with
+    contrary labels counts as toxic.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("toxic").alias("label")).withColumn("order", F.xxhash64("labelled"))
     chosen = known.where("label = 1").orderBy("order", "labelled").limit(toxic).union(known.where("label = 0").orderBy("order", "labelled").limit(clean))
     text = F.col("text").cast("string")
     found = docs.where(text.isNotNull() & (F.char_length(text) <= longest)).join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled"))
-    rows = found.select("labelled", text.alias("text"), "label").dropDuplicates(["labelled"]).collect()
-    return [(r["text"], r["label"]) for r in sorted(rows, key=lambda r: r["labelled"])]
+    return found.select("labelled", text.alias("text"), "label").dropDuplicates(["labelled"])
+
+
+def trained(rows: DataFrame) -> Network | None:
+    """The network of a bounded sample, trained in one task; none without a label 1.
+
+    A task's array products run on one thread. On the driver they share all its cores, and waiting for
+    each other costs more than they gain.
+    """
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        known = pd.concat(parts).sort_values("labelled") if parts else None
+        if known is not None and known["label"].any():
+            yield pd.DataFrame({"network": [pickle.dumps(train(list(zip(known["text"], known["label"]))))]})
+
+    found = rows.repartition(1).mapInPandas(fit, "network binary").collect()
+    return pickle.loads(found[0]["network"]) if found else None
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -433,9 +472,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Rows without a doc_id are scored and not held out. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    rows = sample(docs, labels)
-    net = train(rows) if any(y for _, y in rows) else None
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    sent = docs.sparkSession.sparkContext.broadcast(trained(sample(docs, labels)))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
