@@ -88,7 +88,8 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
         return F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
 
     a = tiled(left, F.floor(F.col(at) * left_tiles / int(left_n)).cast("int") if at else hashed(left_tiles), "_i", "_j", right_tiles)
-    b = tiled(right, hashed(right_tiles), "_j", "_i", left_tiles)
+    # Columns of its own: a table that meets itself has each of them once only, which Spark refuses as ambiguous.
+    b = tiled(right.select(*[F.col(c).alias(c) for c in right.columns]), hashed(right_tiles), "_j", "_i", left_tiles)
     empty = [f.strip().split(" ")[0].strip("`") for f in schema.split(",")]
 
     def tile(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:

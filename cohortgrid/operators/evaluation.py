@@ -78,7 +78,8 @@ def adjusted_rand(df: DataFrame, a: str, b: str, keys: Sequence[str] = (), count
     sa = cells.groupBy(*k, a).agg(F.sum("_n").alias("_n")).groupBy(*k).agg(F.sum(pairs(F.col("_n"))).alias("_a"))
     sb = cells.groupBy(*k, b).agg(F.sum("_n").alias("_n")).groupBy(*k).agg(F.sum(pairs(F.col("_n"))).alias("_b"))
     j = s.join(sa, k).join(sb, k) if keys else attach_row(attach_row(s, sa.drop("_k")), sb.drop("_k"))
-    expected = F.col("_a") * F.col("_b") / pairs(F.col("n"))
+    # A single row makes no pairs: its labelings agree.
+    expected = F.when(F.col("n") > 1, F.col("_a") * F.col("_b") / pairs(F.col("n"))).otherwise(0.0)
     top = (F.col("_a") + F.col("_b")) / 2
     out = j.select(*k, F.when(top == expected, 1.0).otherwise((F.col("_ij") - expected) / (top - expected)).alias("ari"), "n")
     return out if keys else out.drop("_k")

@@ -206,7 +206,8 @@ class Fits:
                         on = in_resample(h, rep, seed, fraction)
                         cells = np.bincount(own[kind, k, 0][on] * k + memberships(x[on], m)[0].argmax(1), minlength=k * k)
                         at = np.flatnonzero(cells)
-                        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at)), *(pa.array(np.full(len(at), v, np.int32)) for v in (k, rep)), pa.array(at // k), pa.array(at % k), pa.array(cells[at])], names=["kind", "k", "rep", "a", "b", "n"])
+                        # A batch may have no row of a resample; the names keep their type then.
+                        yield pa.RecordBatch.from_arrays([pa.array([kind] * len(at), pa.string()), *(pa.array(np.full(len(at), v, np.int32)) for v in (k, rep)), pa.array(at // k), pa.array(at % k), pa.array(cells[at])], names=["kind", "k", "rep", "a", "b", "n"])
 
         cells = self._data.mapInArrow(run, "kind string, k int, rep int, a long, b long, n long")
         return adjusted_rand(cells, "a", "b", ["kind", "k", "rep"], count="n").select("kind", "k", "rep", "ari")

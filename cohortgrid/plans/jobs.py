@@ -66,10 +66,11 @@ def cluster_reversal(measurements: DataFrame, pairs: DataFrame, perturbations: D
 def assemble_cohort(vectors: DataFrame, follow_up: DataFrame, ks: Sequence[int] = tuple(range(2, 9)), dim: int = 16, n_boot: int = 50, seed: int = 0) -> dict[str, DataFrame]:
     """Latent, selection table, chosen k, all configurations, their survival tests and curves of the chosen one.
 
-    `vectors` is (id, vec), `follow_up` is (id, time, event). Structure is chosen before any outcome is
-    joined. All configurations and resamples are fitted side by side, and the silhouettes of all k
+    `vectors` is (id, vec), `follow_up` is (id, time, event); rows without a vector are left out. Structure is
+    chosen before any outcome is joined. All configurations and resamples are fitted side by side, and the silhouettes of all k
     share one comparison of points.
     """
+    vectors = vectors.where(F.col("vec").isNotNull())
     proj = ML.fit_projection(vectors, dim)
     latent = cut_lineage(proj.apply(vectors).select("id", "latent"))
     fits = M.fit_all(latent, ks, M.KINDS, n_boot, seed=seed)
