@@ -48,12 +48,13 @@ def compared(part: pd.DataFrame, block: pd.DataFrame, fn: Callable[[pd.DataFrame
 
 
 def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], Any], schema: str, vec: str = "vec",
-         merge: Callable[[list], Any] | None = None, at: str | None = None, finish: Callable[[pd.DataFrame, Any], pd.DataFrame] | None = None) -> DataFrame:
+         merge: Callable[[list], Any] | None = None, at: str | None = None, finish: Callable[[pd.DataFrame, Any], pd.DataFrame] | None = None, whole: bool = False) -> DataFrame:
     """fn(part of left, block of right) for parts and blocks that together cover every combination.
 
     A part and a block make `PAIRS` pairs at most, whatever the sizes of the sides. `merge` puts together
     what one part found in several blocks, which `finish` (if given) turns into rows. `at` is a column of left with places from 0 on: rows are then
-    dealt in that order, so that neighbours meet a block together.
+    dealt in that order, so that neighbours meet a block together. With `whole`, fn gets a batch or tile and all rows of
+    the other side's at once, bounds its own work and yields one table or more.
 
     When the right side holds at most `SHARED_VALUES` numbers (counted first) it is shared with all tasks
     and the left side streams past it with no shuffle. Beyond that both sides are cut into tiles of
@@ -61,6 +62,10 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
     side is ever gathered whole. A right side without rows gives no rows.
     """
     how = fn, merge, finish, PAIRS, _MERGED
+
+    def each(part: pd.DataFrame, block: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        return fn(part, block) if whole else compared(part, block, *how)
+
     dim, n = right.select(F.max(F.size(vec)), F.count(F.lit(1))).first()
     if not n:
         return left.sparkSession.createDataFrame([], schema)
@@ -70,7 +75,7 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
 
         def stream(batches):
             for b in batches:
-                yield from compared(b, shared.value, *how)
+                yield from each(b, shared.value)
 
         # With a stated number, small parts aren't put together again: the work is in the pairs.
         parts = 2 * left.sparkSession.sparkContext.defaultParallelism
@@ -95,6 +100,6 @@ def meet(left: DataFrame, right: DataFrame, fn: Callable[[pd.DataFrame, pd.DataF
     def tile(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
         if part.empty or block.empty:
             return pd.DataFrame({c: pd.Series(dtype=object) for c in empty})
-        return pd.concat(list(compared(part.sort_values(at) if at else part, block, *how)), ignore_index=True)
+        return pd.concat(list(each(part.sort_values(at) if at else part, block)), ignore_index=True)
 
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(tile, schema)

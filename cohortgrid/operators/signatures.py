@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -135,13 +135,18 @@ class Matrix:
 
     def __init__(self, rows: pd.DataFrame, width: int):
         row = np.repeat(np.arange(len(rows)), [len(x) for x in rows["at"]])
-        at = np.concatenate([np.zeros(0, np.int64), *rows["at"]]).astype(np.int64)
-        count, self.values = np.zeros((len(rows), width)), np.zeros((len(rows), width))
-        np.add.at(count, (row, at), 1.0)
-        np.add.at(self.values, (row, at), np.concatenate([np.zeros(0), *rows["vec"]]))
-        self.values /= np.maximum(count, 1.0)
+        cell = row * width + np.concatenate([np.zeros(0, np.int64), *rows["at"]]).astype(np.int64)
+        count = np.bincount(cell, minlength=len(rows) * width).reshape(len(rows), width)
+        self.values = np.bincount(cell, np.concatenate([np.zeros(0), *rows["vec"]]), len(rows) * width).reshape(len(rows), width)
+        self.values /= np.maximum(count, 1)
         self.mask = (count > 0).astype(float)
 
+    def part(self, begin: int, end: int) -> Matrix:
+        """Some of the rows."""
+        some = Matrix.__new__(Matrix)
+        some.values, some.mask = self.values[begin:end], self.mask[begin:end]
+        return some
+
 
 def _vectors(df: DataFrame, by: Sequence[str], value: str, places: DataFrame) -> DataFrame:
     """One row per `by`: positions and values of the features in `places`, and a number to deal rows by."""
@@ -238,6 +243,81 @@ def set_difference(arm_rows: DataFrame, perturbations: DataFrame, keys: Sequence
 
 #: A score that rounds to a positive number of 12 digits.
 POSITIVE = 5e-13
+#: Rows scored at once (their signs are counted in bytes, so 127 at most), queries, and rows of a mean run that is short.
+ROWS, SLAB, SHORT = 127, 2_048, 32
+
+
+def _places(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the few cells that are set; several times faster than nonzero of a table."""
+    return np.divmod(np.flatnonzero(flags), max(1, flags.shape[1]))
+
+
+def _short_runs(m: Matrix, starts: np.ndarray, q: Matrix, minimum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`best_and_counts` in double precision alone, several runs at once."""
+    best = np.full((len(starts), len(q.values)), -np.inf)
+    n, positive = np.zeros(best.shape, np.int64), np.zeros(best.shape, np.int64)
+    for i in range(0, len(m.values), ROWS):
+        j = min(i + ROWS, len(m.values))
+        first, last = np.searchsorted(starts, [i, j - 1], "right") - 1
+        own, at = slice(first, last + 1), np.maximum(starts[first : last + 1], i) - i
+        score, keep = _differ(m.part(i, j), q, minimum)
+        best[own] = np.maximum(best[own], np.maximum.reduceat(np.where(keep, score, -np.inf), at, axis=0))
+        n[own] += np.add.reduceat(keep, at, axis=0, dtype=np.int64)
+        positive[own] += np.add.reduceat(keep & (score >= POSITIVE), at, axis=0, dtype=np.int64)
+    return best, n, positive
+
+
+def best_and_counts(m: Matrix, starts: np.ndarray, q: Matrix, minimum: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per run of rows (one begins at each of `starts`) and query: best score, scores, and scores of POSITIVE or more.
+
+    The scores are those of `_differ`. Where nothing is missing they are worked out in single precision
+    first, with a bound on what they may be off by; a score that may be its run's best, or whose side of
+    POSITIVE the bound leaves open, is worked out again in double precision.
+    """
+    if len(m.values) < SHORT * len(starts):
+        return _short_runs(m, starts, q, minimum)
+    up, down = q.values > 0, q.values < 0
+    n_up, n_down = up.sum(1), down.sum(1)
+    weights = down / np.maximum(n_down, 1)[:, None] - up / np.maximum(n_up, 1)[:, None]
+    asked = (n_up >= minimum) & (n_down >= minimum)
+    largest = np.abs(m.values).max(initial=0.0)
+    kind = np.float32 if largest < 1e30 else np.float64
+    # A sum of t products is off by at most t + 3 roundings of half an eps each, of the sum of the products' sizes.
+    off = float(((n_up + n_down).max(initial=0) + 4) * np.finfo(kind).eps * largest * np.abs(weights).sum(1).max(initial=0.0) + np.finfo(kind).tiny)
+    x, w = m.values.astype(kind), np.ascontiguousarray(weights.T.astype(kind))
+    complete = m.mask.all(1)
+    best = np.full((len(starts), len(asked)), -np.inf)
+    n, positive = np.zeros(best.shape, np.int64), np.zeros(best.shape, np.int64)
+    scores, sure, likely = np.empty((ROWS, len(asked)), kind), np.empty((ROWS, len(asked)), bool), np.empty((ROWS, len(asked)), bool)
+
+    def exact(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        some = max(1, DENSE_VALUES // max(1, x.shape[1]))
+        return np.concatenate([np.einsum("ij,ij->i", m.values[r[i : i + some]], weights[c[i : i + some]]) for i in range(0, max(1, len(r)), some)])
+
+    for g, (begin, end) in enumerate(zip(starts, [*starts[1:], len(x)])):
+        top = np.full(len(asked), -np.inf, kind)
+        for i in range(begin, end, ROWS):
+            j = min(i + ROWS, end)
+            if not complete[i:j].all():
+                score, keep = _differ(m.part(i, j), q, minimum)
+                best[g] = np.maximum(best[g], np.where(keep, score, -np.inf).max(0))
+                n[g] += keep.sum(0)
+                positive[g] += (keep & (score >= POSITIVE)).sum(0)
+                continue
+            s, yes, perhaps = np.matmul(x[i:j], w, out=scores[: j - i]), sure[: j - i], likely[: j - i]
+            np.greater(s, POSITIVE + off, out=yes)
+            np.greater_equal(s, POSITIVE - off, out=perhaps)
+            positive[g] += np.add.reduce(yes.view(np.int8), axis=0, dtype=np.int8)
+            r, c = _places(np.not_equal(yes, perhaps, out=perhaps))
+            positive[g] += np.bincount(c[exact(i + r, c) >= POSITIVE], minlength=len(asked))
+            high = s.max(0)
+            may = np.flatnonzero(high >= top - 2 * off)
+            r, c = _places((s if len(may) == len(asked) else s[:, may]) >= high[may] - 2 * off)
+            np.maximum.at(best[g], may[c], exact(i + r, may[c]))
+            np.maximum(top, high, out=top)
+            n[g] += j - i
+    n[:, ~asked] = positive[:, ~asked] = 0
+    return best, n, positive
 
 
 def set_difference_counts(arm_rows: DataFrame, perturbations: DataFrame, meta: DataFrame, keys: Sequence[str], minimum: int = 5) -> DataFrame:
@@ -253,26 +333,24 @@ def set_difference_counts(arm_rows: DataFrame, perturbations: DataFrame, meta: D
     rows = _vectors(perturbations, ["sig_id"], "value", places).join(meta, "sig_id")
     measured = cut_lineage(ranked(rows, [], [*[F.col(c) for c in kinds], F.col("sig_id")], "_place").withColumn("_place", F.col("_place") - 1))
 
-    def summed(part: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+    def summed(part: pd.DataFrame, block: pd.DataFrame) -> Iterator[pd.DataFrame]:
         group = part.groupby(kinds, dropna=False, sort=False).ngroup().to_numpy()
         order = np.argsort(group, kind="stable")
-        part = part.iloc[order]
-        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
-        done, slab = [], max(1, DENSE_VALUES // max(1, width))
-        for i in range(0, len(block), slab):
-            some = block.iloc[i : i + slab]
-            score, keep = _differ(Matrix(part, width), Matrix(some, width), minimum)
-            best = np.maximum.reduceat(np.where(keep, score, -np.inf), starts, axis=0)
-            n = np.add.reduceat(keep, starts, axis=0, dtype=np.int64)
-            positive = np.add.reduceat(keep & (score >= POSITIVE), starts, axis=0, dtype=np.int64)
-            g, q = np.nonzero(n)
-            own = {k: _taken(some[k], q) for k in keys} | {c: _taken(part[c], starts[g]) for c in kinds}
-            done.append(pd.DataFrame({**own, "best": best[g, q], "n": n[g, q], "n_positive": positive[g, q]}))
-        return pd.concat(done, ignore_index=True)
+        part, group = part.iloc[order], group[order]
+        at_once = max(1, DENSE_VALUES // max(1, width))
+        for i in range(0, len(part), at_once):
+            rows = part.iloc[i : i + at_once]
+            m, starts = Matrix(rows, width), np.flatnonzero(np.diff(group[i : i + at_once], prepend=-1))
+            for j in range(0, len(block), min(SLAB, at_once)):
+                some = block.iloc[j : j + min(SLAB, at_once)]
+                best, n, positive = best_and_counts(m, starts, Matrix(some, width), minimum)
+                g, q = np.nonzero(n)
+                own = {k: _taken(some[k], q) for k in keys} | {c: _taken(rows[c], starts[g]) for c in kinds}
+                yield pd.DataFrame({**own, "best": best[g, q], "n": n[g, q], "n_positive": positive[g, q]})
 
     types = dict(asked.dtypes) | dict(measured.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*keys, *kinds]) + ", best double, n long, n_positive long"
-    return meet(measured, asked, summed, schema, at="_place")
+    return meet(measured, asked, summed, schema, at="_place", whole=True)
 
 
 def proxy_reversal(table: DataFrame, assignment: DataFrame, residual_arms: DataFrame, cluster_arms: DataFrame, blended: DataFrame | None = None, **kw) -> DataFrame:

@@ -118,12 +118,15 @@ def analyse_profiles(assignment: DataFrame, z: DataFrame, centroids: DataFrame,
     res = S.residual(z, assignment, centroids)
     mine = S.arms(res, ["profile_id"], "residual", n_side, n_side)
     counts = cut_lineage(S.set_difference_counts(mine, perturbations, meta, ["profile_id"]))
-    list2 = A.compound_rollup_counts(counts, ["profile_id"]).select("profile_id", "canonical", F.col("percentile").alias("list2_percentile"), F.col("rank").alias("list2_rank"), "n_cell_lines", "consistency", "targets")
-    list1 = assignment.select("profile_id", "cluster").join(cluster_lists.select("cluster", "canonical", F.col("percentile").alias("list1_percentile"), F.col("rank").alias("list1_rank")), "cluster")
-    d = list1.join(list2, ["profile_id", "canonical"])
+    # A profile has one row per compound at most. Dealt by profile once, its rows stay where they are to the end.
+    most = meta.select("drug").distinct().count()
+    list2 = A.compound_rollup_counts(counts.repartition("profile_id"), ["profile_id"], at_most=most).select("profile_id", "canonical", F.col("percentile").alias("list2_percentile"), F.col("rank").alias("list2_rank"), "n_cell_lines", "consistency", "targets")
+    listed = cut_lineage(cluster_lists.select("cluster", "canonical", F.col("percentile").alias("list1_percentile"), F.col("rank").alias("list1_rank")))
+    d = list2.join(assignment.select("profile_id", "cluster"), "profile_id").join(listed, ["cluster", "canonical"])
+    d = d.select("profile_id", "canonical", "cluster", "list1_percentile", "list1_rank", "list2_percentile", "list2_rank", "n_cell_lines", "consistency", "targets")
     d = G.robustness(d.withColumn("weaker_percentile", F.least("list1_percentile", "list2_percentile")).withColumn("rank_product", F.sqrt(F.col("list1_percentile") * F.col("list2_percentile"))))
     order = [-F.round("weaker_percentile", 12), -F.round("rank_product", 12), F.col("canonical")]
-    return W.ranked(d, ["profile_id"], order, "nomination_rank")
+    return W.ranked(d, ["profile_id"], order, "nomination_rank", at_most=most)
 
 
 def refresh_derived(profiles: DataFrame, previous: DataFrame, clusters: Sequence[int], quotas: dict[str, int]) -> tuple[DataFrame, DataFrame]:
